@@ -7,6 +7,7 @@ from importlib import import_module
 #: Query name: the module that defines a function of that name.
 MODULES = {
     "op1_best_fit_packing": "packing",
+    "op10_secret_scan": "secrets",
     "op4_sharding": "sharding",
     "op5_quality_rules": "quality_rules",
     "op8_quality_classifier": "quality_classifier",
