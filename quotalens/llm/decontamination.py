@@ -10,7 +10,7 @@ from .common import keep, table
 #: Words of a window, plain words that it must have at least, and the share of an item's windows that must be found in line.
 WINDOW, PLAIN, SHARE = 8, 4, 0.5
 #: Marks of a number, a name, a unit, and of a separator inside a number; all are private-use characters.
-NUMBER, NAME, UNIT, INNER = "", "", "", ""
+NUMBER, NAME, UNIT, INNER = "\ue000", "\ue001", "\ue002", "\ue003"
 #: Units that count as a slot when they follow a number.
 UNITS = (
     "mm cm m km in ft yd mi inches inch feet foot yards yard miles mile meters metres meter metre kilometers kilometres "

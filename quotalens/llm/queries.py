@@ -8,8 +8,10 @@ from importlib import import_module
 MODULES = {
     "op1_best_fit_packing": "packing",
     "op10_secret_scan": "secrets",
+    "op3_benchmark_decontamination": "decontamination",
     "op4_sharding": "sharding",
     "op5_quality_rules": "quality_rules",
+    "op6_hmm_scores": "hmm",
     "op8_quality_classifier": "quality_classifier",
     "op9_simhash_near_dedup": "simhash",
 }
