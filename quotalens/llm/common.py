@@ -9,8 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-ASCII_SPACE = r"[\x20\x09-\x0D]+"
-SALT = 1 << 16
+#: Rows of an Arrow batch; texts average some KB, and a Python worker holds a batch in several forms at once.
+ARROW_ROWS = 2000
 
 
 def ship_code(spark: SparkSession) -> None:
@@ -23,6 +23,7 @@ def ship_code(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_code(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -21,7 +21,7 @@ OWN, HASHED, KNOWN = 16384, 4096, 262144
 #: Stay chance before training, and what is added to expected counts, as a share of a class's overall share.
 STAY, SMOOTH = 0.9, 2.0
 LONGEST, END = 64, b"\n"
-_PACK = 512
+_PACK, _HELD = 512, 4_000_000
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -272,9 +272,17 @@ def score_texts(docs: DataFrame, held_out, states: int = STATES, rounds: int = R
     chain = sc.broadcast(baum_welch(coded, v.share, states, rounds))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def scored() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(log_likelihood(chain.value, held))], names=["row", "chain"])
+
+        keys, held = [], []
         for batch in batches:
-            made = log_likelihood(chain.value, [np.frombuffer(x, np.uint16) for x in batch.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made)], names=["row", "chain"])
+            keys += batch.column(0).to_pylist()
+            held += [np.frombuffer(x, np.uint16) for x in batch.column(1).to_pylist()]
+            if sum(map(len, held)) > _HELD:  # more texts at once find more of their own length
+                yield scored()
+                keys, held = [], []
+        yield scored()
 
     chained = keep(coded.select("row", "ids").mapInArrow(each, "row long, chain double"), "chain-scores")
     tail = coded.select("row", F.explode("tail").alias("t")).select("row", F.col("t.word").alias("word"), F.col("t.times").alias("times"))

@@ -8,7 +8,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Entries of the two memories of a Python worker; when full they serve what they hold and take no more.
-WORDS, PIECES, LONGEST = 300_000, 400_000, 48
+WORDS, PIECES, LONGEST = 200_000, 330_000, 48
 _PIECE = re.compile(rb"[a-z\x80-\xff]+|[^a-z\x80-\xff]+")
 # a text with one of these is encoded in one go: an added token, or a mark that could join the letter before it
 _WHOLE = re.compile(rb"<\||[\xcc\xcd]|\xe1\xaa|\xe1\xb7|\xe2\x83|\xef\xb8|\xe1\x85|\xe1\x86|\xe1\x87|\xe3\x82\x99|\xe3\x82\x9a|\xe0[\xa4-\xbf]|[\xf0-\xf4]")
@@ -42,8 +42,11 @@ class Encoder:
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text; texts are UTF-8."""
+    def encode(self, texts: list[bytes], at_once: int = 256) -> list[bytes]:
+        """Ids of each text; texts are UTF-8, and ``at_once`` of them are cut into words at a time."""
+        return [ids for at in range(0, len(texts), at_once) for ids in self._some(texts[at : at + at_once])]
+
+    def _some(self, texts: list[bytes]) -> list[bytes]:
         whole = [k for k, t in enumerate(texts) if _WHOLE.search(t)]
         found = dict(zip(whole, self._plain([texts[k].decode() for k in whole])))
         cut = {k: t.lower().split() for k, t in enumerate(texts) if k not in found}
