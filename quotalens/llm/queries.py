@@ -8,6 +8,7 @@ from importlib import import_module
 MODULES = {
     "op1_best_fit_packing": "packing",
     "op10_secret_scan": "secrets",
+    "op2_license_scan": "licenses",
     "op3_benchmark_decontamination": "decontamination",
     "op4_sharding": "sharding",
     "op5_quality_rules": "quality_rules",
