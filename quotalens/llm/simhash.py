@@ -11,10 +11,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, table
+from .common import keep, table, with_position
 from .graph import components
 
 SHINGLE, RADIUS, BITS, TILE = 3, 2, 64, 1024
+#: For dropping near copies: radius between fingerprints of distinct words, words of a compared shingle, and the least
+#: Jaccard similarity with the kept text.
+COPY_RADIUS, COPY_SHINGLE, COPY_SIMILARITY = 8, 5, 0.8
 _BIT_OF = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 _PLACE = np.arange(8, dtype=np.int64) * 256
 
@@ -50,6 +53,24 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id"
     return docs.select(id_col, text_col).mapInArrow(each, f"`{id_col}` {kind}, fp long")
 
 
+def word_fingerprint(text: bytes) -> int:
+    """64-bit SimHash of the distinct words, which a few edits in a long text hardly move."""
+    words = set(text.lower().split())
+    if not words:
+        return 0
+    by_byte = np.array([xxhash.xxh64_intdigest(w, 42) for w in words], dtype=">u8").view(np.uint8).reshape(-1, 8) + _PLACE
+    set_bits = np.einsum("pv,vb->pb", np.bincount(by_byte.ravel(), minlength=2048).reshape(8, 256), _BIT_OF)
+    return int.from_bytes(np.packbits(2 * set_bits.ravel() > len(words)).tobytes(), "big", signed=True)
+
+
+def similarity(a: bytes, b: bytes, shingle: int = COPY_SHINGLE) -> float:
+    """Jaccard similarity of the word shingles of two texts; blank texts are alike."""
+    sets = []
+    for words in (a.lower().split(), b.lower().split()):
+        sets.append({tuple(words[k : k + shingle]) for k in range(max(1, len(words) - shingle + 1))})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
 def _near_in_runs(radius: int):
     """Compares all fingerprints of a run of equal tile keys with exclusive-or and bit counts, in arrays over many runs."""
 
@@ -137,6 +158,55 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return rows.join(member.join(first, "root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
 
 
+def drop_near_duplicates(docs: DataFrame, radius: int = COPY_RADIUS, least: float = COPY_SIMILARITY) -> DataFrame:
+    """``docs`` (doc_id, text and any more columns) with one row of each group of near copies, the one of smallest id.
+
+    Fingerprints of distinct words within ``radius`` make candidate groups; equal texts are one candidate. In each group
+    the text of the smallest id stays, and every text whose shingles are ``least`` similar to it goes; the others form
+    the group's next round, until each text has stayed or gone. So no text goes without a kept one that it resembles. Null
+    and blank texts are copies of each other. Null ids come last; ties go by input order; an empty table stays empty.
+    """
+    names = docs.columns
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = [word_fingerprint(t or b"") for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), *batch.columns[2:]], names=["_row", "_fp", "_hash", "_id"])
+
+    rows = keep(with_position(docs, "_row"), "near-rows")
+    text = F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[\x20\x09-\x0D]+", " "))
+    marks = rows.select("_row", "text", F.xxhash64(text).alias("_hash"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("_id"))
+    marks = keep(marks.mapInArrow(marked, "_row long, _fp long, _hash long, _id long"), "near-marks")
+    texts = keep(marks.groupBy("_fp", "_hash").agg(F.min(F.struct("_id", "_row")).alias("_first")), "near-texts")
+    roots = components(near_links(texts.select(F.col("_fp").alias("fp")).distinct(), radius))
+    grouped = texts.join(roots, texts["_fp"] == roots["node"], "left").select(F.coalesce("root", "_fp").alias("_root"), "_first")
+    grouped = keep(grouped, "near-groups")
+    alone = grouped.groupBy("_root").agg(F.count("*").alias("n"), F.min("_first").alias("_first"))
+    stays = [keep(alone.select(F.col("_first._row").alias("_row")), "near-stays")]
+    left = grouped.join(alone.where("n > 1").select("_root"), "_root").select("_root", "_first", F.col("_first._row").alias("_row"))
+    left = keep(left.join(rows.select("_row", "text"), "_row").select("_root", "_first", "text"), "near-candidates")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(*(batch.column(k).cast(pa.binary()).to_pylist() for k in (0, 1)))
+            far = pa.array([similarity(a or b"", b or b"") < least for a, b in pairs], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*batch.columns, far], names=["text", "kept_text", "_root", "_first", "far"])
+
+    while True:
+        kept = left.groupBy("_root").agg(F.min("_first").alias("_kept"))
+        kept = left.join(kept, "_root").where("_first = _kept").select("_root", "_kept", F.col("text").alias("kept_text"))
+        pairs = left.join(kept, "_root").where("_first != _kept").select("text", "kept_text", "_root", "_first")
+        kinds = f"text string, kept_text string, _root long, _first {left.schema['_first'].dataType.simpleString()}, far boolean"
+        left = keep(pairs.mapInArrow(compared, kinds).where("far").select("_root", "_first", "text"), "near-left")
+        if left.isEmpty():
+            break
+        stays.append(keep(left.groupBy("_root").agg(F.min("_first").alias("_first")).select(F.col("_first._row").alias("_row")), "near-stays"))
+    every = stays[0]
+    for more in stays[1:]:
+        every = every.unionByName(more)
+    return rows.join(every, "_row", "left_semi").select(*names)
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
