@@ -13,6 +13,7 @@ MODULES = {
     "op4_sharding": "sharding",
     "op5_quality_rules": "quality_rules",
     "op6_hmm_scores": "hmm",
+    "op7_token_files": "token_files",
     "op8_quality_classifier": "quality_classifier",
     "op9_simhash_near_dedup": "simhash",
 }

@@ -8,7 +8,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Entries of the two memories of a Python worker; when full they serve what they hold and take no more.
-WORDS, PIECES, LONGEST = 200_000, 330_000, 48
+WORDS, PIECES, LONGEST = 300_000, 450_000, 48
 _PIECE = re.compile(rb"[a-z\x80-\xff]+|[^a-z\x80-\xff]+")
 # a text with one of these is encoded in one go: an added token, or a mark that could join the letter before it
 _WHOLE = re.compile(rb"<\||[\xcc\xcd]|\xe1\xaa|\xe1\xb7|\xe2\x83|\xef\xb8|\xe1\x85|\xe1\x86|\xe1\x87|\xe3\x82\x99|\xe3\x82\x9a|\xe0[\xa4-\xbf]|[\xf0-\xf4]")
