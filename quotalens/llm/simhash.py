@@ -3,21 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import keep, table, with_position
 from .graph import components
 
 SHINGLE, RADIUS, BITS, TILE = 3, 2, 64, 1024
-#: For dropping near copies: radius between fingerprints of distinct words, words of a compared shingle, and the least
-#: Jaccard similarity with the kept text.
-COPY_RADIUS, COPY_SHINGLE, COPY_SIMILARITY = 8, 5, 0.8
+#: For dropping near copies: radius between fingerprints of distinct words, words of a compared shingle, radius between
+#: fingerprints of these shingles, and the least Jaccard similarity with the kept text.
+COPY_RADIUS, COPY_SHINGLE, SHINGLE_RADIUS, COPY_SIMILARITY = 7, 5, 22, 0.8
+#: Texts of a group that are settled at a time, after the first.
+LEADERS = 16
 _BIT_OF = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 _PLACE = np.arange(8, dtype=np.int64) * 256
 
@@ -63,18 +66,20 @@ def word_fingerprint(text: bytes) -> int:
     return int.from_bytes(np.packbits(2 * set_bits.ravel() > len(words)).tobytes(), "big", signed=True)
 
 
-def similarity(a: bytes, b: bytes, shingle: int = COPY_SHINGLE) -> float:
-    """Jaccard similarity of the word shingles of two texts; blank texts are alike."""
-    sets = []
-    for words in (a.lower().split(), b.lower().split()):
-        sets.append({tuple(words[k : k + shingle]) for k in range(max(1, len(words) - shingle + 1))})
-    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+def _shingles(text: str) -> set:
+    words = text.encode().lower().split()
+    return {tuple(words[k : k + COPY_SHINGLE]) for k in range(max(1, len(words) - COPY_SHINGLE + 1))}
 
 
-def _near_in_runs(radius: int):
+def _jaccard(a: set, b: set) -> float:
+    same = len(a & b)
+    return same / (len(a) + len(b) - same)
+
+
+def _near_in_runs(radius: int, other_radius: int, ratio: float):
     """Compares all fingerprints of a run of equal tile keys with exclusive-or and bit counts, in arrays over many runs."""
 
-    def linked(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+    def linked(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, others: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
         left, right, step = [], [], 0
         at = np.arange(len(keys))
         while len(at):
@@ -82,6 +87,11 @@ def _near_in_runs(radius: int):
             at = at[at + step < len(keys)]
             at = at[keys[at] == keys[at + step]]
             near = at[np.bitwise_count(fps[at] ^ fps[at + step]) <= radius]
+            if other_radius < BITS:
+                near = near[np.bitwise_count(others[near] ^ others[near + step]) <= other_radius]
+            if ratio:
+                a, b = sizes[near], sizes[near + step]
+                near = near[np.minimum(a, b) >= ratio * np.maximum(a, b)]
             left.append(near)
             right.append(near + step)
         i, j = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
@@ -96,50 +106,52 @@ def _near_in_runs(radius: int):
                 break
             root = new
         k = np.flatnonzero(root != np.arange(len(keys)))
-        return pa.RecordBatch.from_arrays([pa.array(fps[k]), pa.array(fps[root[k]])], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(nodes[k]), pa.array(nodes[root[k]])], names=["a", "b"])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, fps = np.empty(0, np.int64), np.empty(0, np.int64)
+        held = [np.empty(0, np.int64)] * 5
         for batch in batches:
-            keys = np.concatenate([keys, batch.column(0).to_numpy(zero_copy_only=False)])
-            fps = np.concatenate([fps, batch.column(1).to_numpy(zero_copy_only=False)])
+            held = [np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(held, batch.columns)]
+            keys = held[0]
             if len(keys) and keys[0] != keys[-1]:
                 whole = np.flatnonzero(keys != keys[-1])[-1] + 1  # the last run may go on in the next batch
-                yield linked(keys[:whole], fps[:whole])
-                keys, fps = keys[whole:], fps[whole:]
-        if len(keys):
-            yield linked(keys, fps)
+                yield linked(*[h[:whole] for h in held])
+                held = [h[whole:] for h in held]
+        if len(held[0]):
+            yield linked(*held)
 
     return each
 
 
-def near_links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """Links (a, b) between the distinct fingerprints ``fps.fp``, with the same components as all pairs within ``radius``.
+def near_links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE, other_radius: int = BITS, ratio: float = 0.0) -> DataFrame:
+    """Links (a, b) between ``nodes`` (node, fp, other, size; all long) with the same components as all near pairs.
 
-    Of radius + 2 segments of a fingerprint, two at least are equal in any pair within the radius; so the pairs inside
-    the blocks that share two segments are all there are. A block of up to ``tile`` fingerprints is one tile. A larger
-    one is cut into tiles of one population count each, and tile pairs whose counts differ by more than the radius are
-    skipped. Every remaining tile pair is compared exactly, whatever the block's size; a task never holds more than two
-    tiles (about; tiles are cut by a hash) of one block.
+    Near: fp differs in at most ``radius`` bits, other in at most ``other_radius``, and the smaller size is at least
+    ``ratio`` of the larger. Of radius + 2 segments of a fingerprint, two at least are equal in any pair within the
+    radius; so the pairs inside the blocks that share two segments are all there are. A block of up to ``tile`` nodes is
+    one tile. A larger one is cut into tiles of one population count each, and tile pairs whose counts differ by more
+    than the radius are skipped. Every remaining tile pair is compared exactly, whatever the block's size; a task never
+    holds more than two tiles (about; tiles are cut by a hash) of one block.
     """
     n, fp = radius + 2, F.col("fp")
     cuts = [round(BITS * k / n) for k in range(n + 1)]
     segment = [F.shiftrightunsigned(fp, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(cuts, cuts[1:])]
     bands = [F.xxhash64(F.lit(k), segment[x], segment[y]) for k, (x, y) in enumerate(combinations(range(n), 2))]
-    keyed = fps.select("fp", F.bit_count(fp).alias("ones"), F.explode(F.array(*bands)).alias("band"))
+    own = ["node", "fp", "other", "size"]
+    keyed = nodes.select(*own, F.bit_count(fp).alias("ones"), F.explode(F.array(*bands)).alias("band"))
     by_ones = keyed.groupBy("band", "ones").agg(F.count("*").alias("n"))
-    blocks = by_ones.groupBy("band").agg(F.sum("n").alias("size"), F.map_from_entries(F.collect_list(F.struct("ones", "n"))).alias("counts")).where("size > 1")
+    blocks = by_ones.groupBy("band").agg(F.sum("n").alias("_all"), F.map_from_entries(F.collect_list(F.struct("ones", "n"))).alias("counts")).where("_all > 1")
     keyed = keyed.join(blocks, "band")
-    small = keyed.where(F.col("size") <= tile).select(F.col("band").alias("tile"), "fp")
-    cut = keyed.where(F.col("size") > tile).selectExpr(
-        "fp", "band",
-        f"named_struct('ones', ones, 'k', pmod(xxhash64(fp), ceil(counts[ones] / {tile}))) AS own",
+    small = keyed.where(F.col("_all") <= tile).select(F.col("band").alias("tile"), *own)
+    cut = keyed.where(F.col("_all") > tile).selectExpr(
+        *own, "band",
+        f"named_struct('ones', ones, 'k', pmod(xxhash64(node), ceil(counts[ones] / {tile}))) AS own_tile",
         f"""explode(flatten(transform(filter(map_keys(counts), o -> abs(o - ones) <= {radius}),
-                o -> transform(sequence(0L, ceil(counts[o] / {tile}) - 1), k -> named_struct('ones', o, 'k', k))))) AS other""",
+                o -> transform(sequence(0L, ceil(counts[o] / {tile}) - 1), k -> named_struct('ones', o, 'k', k))))) AS other_tile""",
     )
-    large = cut.select(F.xxhash64("band", F.least("own", "other"), F.greatest("own", "other")).alias("tile"), "fp")
+    large = cut.select(F.xxhash64("band", F.least("own_tile", "other_tile"), F.greatest("own_tile", "other_tile")).alias("tile"), *own)
     tiles = small.unionByName(large).repartition("tile").sortWithinPartitions("tile")
-    return tiles.mapInArrow(_near_in_runs(radius), "a long, b long")
+    return tiles.mapInArrow(_near_in_runs(radius, other_radius, ratio), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, tile: int = TILE, id_col: str = "doc_id") -> DataFrame:
@@ -151,7 +163,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     """
     rows = keep(fingerprints(docs, shingle, id_col), "fingerprints")
     distinct = keep(rows.groupBy("fp").agg(F.min(id_col).alias("first_id")), "distinct-fingerprints")
-    roots = components(near_links(distinct.select("fp"), radius, tile))
+    nodes = distinct.select(F.col("fp").alias("node"), "fp", F.lit(0).cast("long").alias("other"), F.lit(0).cast("long").alias("size"))
+    roots = components(near_links(nodes, radius, tile))
     member = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     member = keep(member, "members")
     first = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
@@ -161,46 +174,67 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 def drop_near_duplicates(docs: DataFrame, radius: int = COPY_RADIUS, least: float = COPY_SIMILARITY) -> DataFrame:
     """``docs`` (doc_id, text and any more columns) with one row of each group of near copies, the one of smallest id.
 
-    Fingerprints of distinct words within ``radius`` make candidate groups; equal texts are one candidate. In each group
-    the text of the smallest id stays, and every text whose shingles are ``least`` similar to it goes; the others form
-    the group's next round, until each text has stayed or gone. So no text goes without a kept one that it resembles. Null
+    Texts whose fingerprints of distinct words lie within ``radius``, and those of their shingles within SHINGLE_RADIUS,
+    and whose numbers of shingles allow for the similarity, make candidate groups; equal texts are one candidate. In each group
+    the text of the smallest id stays, and every text whose shingles are ``least`` similar to it goes; the others go on to
+    the group's next round, LEADERS of them settled at a time, until each has stayed or gone. So no text goes without a
+    kept one that it resembles. Null
     and blank texts are copies of each other. Null ids come last; ties go by input order; an empty table stays empty.
     """
     names = docs.columns
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [word_fingerprint(t or b"") for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), *batch.columns[2:]], names=["_row", "_fp", "_hash", "_id"])
+            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            made = [[word_fingerprint(t) for t in texts], [fingerprint(t, COPY_SHINGLE) for t in texts], [max(1, len(t.split()) - COPY_SHINGLE + 1) for t in texts]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(m, pa.int64()) for m in made], *batch.columns[2:]], names=["_row", "fp", "other", "size", "node", "_id"])
 
     rows = keep(with_position(docs, "_row"), "near-rows")
     text = F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[\x20\x09-\x0D]+", " "))
-    marks = rows.select("_row", "text", F.xxhash64(text).alias("_hash"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("_id"))
-    marks = keep(marks.mapInArrow(marked, "_row long, _fp long, _hash long, _id long"), "near-marks")
-    texts = keep(marks.groupBy("_fp", "_hash").agg(F.min(F.struct("_id", "_row")).alias("_first")), "near-texts")
-    roots = components(near_links(texts.select(F.col("_fp").alias("fp")).distinct(), radius))
-    grouped = texts.join(roots, texts["_fp"] == roots["node"], "left").select(F.coalesce("root", "_fp").alias("_root"), "_first")
+    marks = rows.select("_row", "text", F.xxhash64(text).alias("node"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("_id"))
+    marks = keep(marks.mapInArrow(marked, "_row long, fp long, other long, size long, node long, _id long"), "near-marks")
+    texts = keep(marks.groupBy("node").agg(F.min(F.struct("_id", "_row")).alias("_first"), *[F.min(c).alias(c) for c in ("fp", "other", "size")]), "near-texts")
+    roots = components(near_links(texts, radius, TILE, SHINGLE_RADIUS, least)).withColumnRenamed("node", "_node")
+    grouped = texts.join(roots, texts["node"] == roots["_node"], "left").select(F.coalesce("root", "node").alias("_root"), "_first")
     grouped = keep(grouped, "near-groups")
     alone = grouped.groupBy("_root").agg(F.count("*").alias("n"), F.min("_first").alias("_first"))
-    stays = [keep(alone.select(F.col("_first._row").alias("_row")), "near-stays")]
+    stays = [keep(alone.where("n = 1").select(F.col("_first._row").alias("_row")), "near-alone")]
     left = grouped.join(alone.where("n > 1").select("_root"), "_root").select("_root", "_first", F.col("_first._row").alias("_row"))
     left = keep(left.join(rows.select("_row", "text"), "_row").select("_root", "_first", "text"), "near-candidates")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = lru_cache(maxsize=256)(_shingles)
         for batch in batches:
-            pairs = zip(*(batch.column(k).cast(pa.binary()).to_pylist() for k in (0, 1)))
-            far = pa.array([similarity(a or b"", b or b"") < least for a, b in pairs], pa.bool_())
-            yield pa.RecordBatch.from_arrays([*batch.columns, far], names=["text", "kept_text", "_root", "_first", "far"])
-
-    while True:
-        kept = left.groupBy("_root").agg(F.min("_first").alias("_kept"))
-        kept = left.join(kept, "_root").where("_first = _kept").select("_root", "_kept", F.col("text").alias("kept_text"))
-        pairs = left.join(kept, "_root").where("_first != _kept").select("text", "kept_text", "_root", "_first")
-        kinds = f"text string, kept_text string, _root long, _first {left.schema['_first'].dataType.simpleString()}, far boolean"
-        left = keep(pairs.mapInArrow(compared, kinds).where("far").select("_root", "_first", "text"), "near-left")
-        if left.isEmpty():
-            break
-        stays.append(keep(left.groupBy("_root").agg(F.min("_first").alias("_first")).select(F.col("_first._row").alias("_row")), "near-stays"))
+            far = []
+            for text, kept in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist()):
+                own = _shingles(text or "")
+                far.append(all(_jaccard(own, shingles(k)) < least for k in kept))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(far, pa.bool_())], names=["_root", "text", "_first", "far"])
+
+    def apart(group):
+        kept: list[set] = []
+        stay = []
+        for text in group.sort_values("_id")["text"]:
+            own = _shingles(text)
+            stay.append(all(_jaccard(own, k) < least for k in kept))
+            if stay[-1]:
+                kept.append(own)
+        return group.sort_values("_id")[stay]
+
+    pair = left.schema["_first"].dataType.simpleString()
+    leaders = 1
+    while not left.isEmpty():
+        place = F.row_number().over(Window.partitionBy("_root").orderBy("_first"))
+        ahead = keep(left.select("_root", "_first", place.alias("_n")).where(F.col("_n") <= leaders).select("_root", "_first"), "near-ahead")
+        kept = left.join(ahead, ["_root", "_first"]).select("_root", F.coalesce("text", F.lit("")).alias("text"), F.col("_first._id").alias("_id"), F.col("_first._row").alias("_row"))
+        if leaders > 1:
+            kept = kept.groupBy("_root").applyInPandas(apart, kept.schema)
+        kept = keep(kept, "near-kept")
+        stays.append(kept.select("_row"))
+        packs = kept.groupBy("_root").agg(F.collect_list("text").alias("kept"))  # LEADERS texts at most
+        rest = left.join(ahead, ["_root", "_first"], "left_anti").join(packs, "_root").select("_root", "text", "_first", "kept")
+        left = keep(rest.mapInArrow(compared, f"_root long, text string, _first {pair}, far boolean").where("far").drop("far"), "near-left")
+        leaders = LEADERS
     every = stays[0]
     for more in stays[1:]:
         every = every.unionByName(more)
