@@ -1,0 +1,137 @@
+"""Resets, billing periods and activity sessions of quota series."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .samples import KEY
+
+MINUTE_US, HOUR_US, DAY_US = 60_000_000, 3_600_000_000, 86_400_000_000
+
+
+def reset_boundaries(rows: DataFrame) -> DataFrame:
+    """Samples at which the reset time moved by over 10 minutes, appeared or went, or use fell by over 20 points from
+    over 20, or fell at all after a gap of over an hour."""
+    w = Window.partitionBy(*KEY).orderBy("us", "snapshot_id")
+    rows = rows.withColumns({"_used": F.lag("used_bp").over(w), "_reset": F.lag("reset_us").over(w), "_us": F.lag("us").over(w)})
+    moved = F.when(F.col("reset_us").isNotNull() & F.col("_reset").isNotNull(), F.abs(F.col("reset_us") - F.col("_reset")) > 10 * MINUTE_US).otherwise(F.col("reset_us").isNotNull() | F.col("_reset").isNotNull())
+    fell = (F.col("_used") > 2000) & (F.col("_used") - F.col("used_bp") > 2000)
+    gap = (F.col("us") - F.col("_us") > HOUR_US) & (F.col("used_bp") < F.col("_used"))
+    return rows.withColumn("is_boundary", F.col("_us").isNotNull() & (moved | fell | gap)).drop("_used", "_reset", "_us")
+
+
+def cycle_stats(rows: DataFrame) -> DataFrame:
+    """A9 over T12's segments: peak, sum of rises, and the first reset time, per segment."""
+    w = Window.partitionBy(*KEY).orderBy("us", "snapshot_id")
+    rows = reset_boundaries(rows).withColumn("segment", F.sum(F.col("is_boundary").cast("bigint")).over(w))
+    rise = F.greatest(F.col("used_bp") - F.lag("used_bp").over(Window.partitionBy(*KEY, "segment").orderBy("us", "snapshot_id")), F.lit(0))
+    rows = rows.withColumn("_rise", F.coalesce(rise, F.lit(0)))
+    return rows.groupBy(*KEY, "segment").agg(
+        F.min("us").alias("start_us"), F.max("us").alias("end_us"), F.max("used_bp").alias("peak_bp"), F.sum("_rise").alias("delta_bp"),
+        F.min_by("reset_us", F.struct("us", "snapshot_id")).alias("reset_us"), F.count("*").alias("samples"),
+    )
+
+
+def bad_cycles(cycles: DataFrame) -> DataFrame:
+    """Cycles that last longer than their quota can."""
+    cap = F.when(F.col("quota_name") == "five_hour", 6 * HOUR_US).when(F.col("quota_name").startswith("seven_day"), 8 * DAY_US).when(F.col("quota_name") == "monthly", 32 * DAY_US)
+    return cycles.where(F.col("end_us") - F.col("start_us") > cap)
+
+
+def repaired_cycles(cycles: DataFrame, rows: DataFrame) -> DataFrame:
+    """The samples of each bad cycle, cut at T12's boundaries into cycles of their own.
+
+    Cycles of a key do not overlap, so a sample meets one cycle at most: equality on the key and a range filter.
+    """
+    bad = bad_cycles(cycles).select(*KEY, F.col("start_us").alias("cycle_us"), F.col("end_us").alias("_to"))
+    held = rows.join(bad, KEY).where((F.col("us") >= F.col("cycle_us")) & (F.col("us") < F.col("_to"))).drop("_to")
+    w = Window.partitionBy(*KEY, "cycle_us").orderBy("us", "snapshot_id")
+    held = held.withColumns({"_used": F.lag("used_bp").over(w), "_reset": F.lag("reset_us").over(w), "_us": F.lag("us").over(w)})
+    moved = F.when(F.col("reset_us").isNotNull() & F.col("_reset").isNotNull(), F.abs(F.col("reset_us") - F.col("_reset")) > 10 * MINUTE_US).otherwise(F.col("reset_us").isNotNull() | F.col("_reset").isNotNull())
+    fell = (F.col("_used") > 2000) & (F.col("_used") - F.col("used_bp") > 2000)
+    gap = (F.col("us") - F.col("_us") > HOUR_US) & (F.col("used_bp") < F.col("_used"))
+    cut = (F.col("_us").isNotNull() & (moved | fell | gap)).cast("bigint")
+    held = held.withColumn("segment", F.sum(cut).over(w)).withColumn("_rise", F.when(cut == 1, 0).otherwise(F.greatest(F.coalesce(F.col("used_bp") - F.col("_used"), F.lit(0)), F.lit(0))))
+    return held.groupBy(*KEY, "cycle_us", "segment").agg(F.min("us").alias("start_us"), F.max("used_bp").alias("peak_bp"), F.sum("_rise").alias("delta_bp"), F.count("*").alias("samples"))
+
+
+def billing_periods(cycles: DataFrame, floor_bp: int = 500) -> DataFrame:
+    """Runs of cycles; a cycle whose peak is under half of its run's highest (over ``floor_bp``) opens a new run.
+
+    The running maximum starts anew with each run, so rows are folded in order: each task walks its sorted keys with one
+    row of state.
+    """
+    out = "provider string, account_id long, quota_name string, period long, start_us long, cycles long, peak_bp long, delta_bp long"
+
+    def walk(batches):
+        import pandas as pd
+
+        key, run, made = None, None, []
+        for b in batches:
+            for r in b.itertuples(index=False):
+                own = (r.provider, r.account_id, r.quota_name)
+                if own != key or (run[3] > floor_bp and 2 * r.peak_bp < run[3]):
+                    if key is not None:
+                        made.append((*key, *run))
+                    run = [0 if own != key else run[0] + 1, r.start_us, 0, 0, 0]
+                    key = own
+                run[2] += 1
+                run[3] = max(run[3], r.peak_bp)
+                run[4] += r.delta_bp
+            if made:
+                yield pd.DataFrame(made, columns=[c.split()[0] for c in out.split(", ")])
+                made = []
+        if key is not None:
+            yield pd.DataFrame([(*key, *run)], columns=[c.split()[0] for c in out.split(", ")])
+
+    ordered = cycles.select(*KEY, "start_us", "peak_bp", "delta_bp").repartition(*KEY).sortWithinPartitions(*KEY, "start_us")
+    return ordered.mapInPandas(walk, out)
+
+
+def idle_sessions(rows: DataFrame, timeout_us: int) -> DataFrame:
+    """Activity sessions of a series, from changes of its value; windows alone, no fold.
+
+    The first sample is the baseline. A change opens a session, or extends an open one whatever the gap; an unchanged
+    sample within the timeout counts, one beyond closes. So a session starts at a change if none came before, or if the
+    sample before lies over the timeout after the last change. It ends at its last change plus the timeout.
+    """
+    w = Window.partitionBy(*KEY).orderBy("us", "snapshot_id")
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_changed", F.coalesce(F.col("used_bp") != F.lag("used_bp").over(w), F.lit(False)))
+    rows = rows.withColumns({"_last": F.last(F.when(F.col("_changed"), F.col("us")), ignorenulls=True).over(earlier), "_us": F.lag("us").over(w), "_before": F.lag("used_bp").over(w)})
+    opens = F.col("_changed") & (F.col("_last").isNull() | (F.col("_us") - F.col("_last") > timeout_us))
+    rows = rows.withColumn("session", F.sum(opens.cast("bigint")).over(w)).withColumn("_opens", opens)
+    member = (F.col("session") > 0) & (F.col("_changed") | (F.col("us") - F.col("_last") <= timeout_us))
+    return rows.where(member).groupBy(*KEY, "session").agg(
+        F.min("us").alias("start_us"), (F.max(F.when(F.col("_changed"), F.col("us"))) + timeout_us).alias("end_us"), F.max(F.when(F.col("_opens"), F.col("_before"))).alias("start_bp"),
+        F.max(F.when(F.col("_changed"), F.col("used_bp"))).alias("max_bp"), F.count("*").alias("samples"),
+    )
+
+
+def split_sessions(rows: DataFrame, gap_us: int) -> DataFrame:
+    """Sessions split at a gap, a fall in use, or a reset time that moved by over a second."""
+    w = Window.partitionBy(*KEY).orderBy("us", "snapshot_id")
+    split = (F.col("us") - F.lag("us").over(w) > gap_us) | (F.col("used_bp") < F.lag("used_bp").over(w)) | (F.abs(F.coalesce("reset_us", F.lit(0)) - F.coalesce(F.lag("reset_us").over(w), F.lit(0))) > 1_000_000)
+    rows = rows.withColumn("session", F.sum(F.coalesce(split, F.lit(False)).cast("bigint")).over(w))
+    return rows.groupBy(*KEY, "session").agg(F.min("us").alias("start_us"), F.max("us").alias("end_us"), F.min("used_bp").alias("start_bp"), F.max("used_bp").alias("max_bp"), F.count("*").alias("samples"))
+
+
+def cumulative_delta(events: DataFrame) -> DataFrame:
+    """Changes of cumulative counters per path; a new model or any counter that fell starts anew from the whole value."""
+    w = Window.partitionBy("source_path").orderBy("us", "event_id")
+    counters = ["input_tokens", "cached_input_tokens", "output_tokens"]
+    d = {f"_{c}": F.col(c) - F.lag(c).over(w) for c in counters}
+    rows = events.withColumns(d | {"_model": F.lag("model").over(w)})
+    goes_on = F.coalesce(F.col("model") == F.col("_model"), F.lit(False))
+    for c in counters:
+        goes_on = goes_on & (F.col(f"_{c}") >= 0)
+    return rows.select("event_id", "source_path", goes_on.alias("goes_on"), *[F.when(goes_on, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in counters])
+
+
+def daily_usage(rows: DataFrame) -> DataFrame:
+    """Rises of each quota by UTC day; falls are skipped."""
+    w = Window.partitionBy(*KEY).orderBy("us", "snapshot_id")
+    rise = F.col("used_bp") - F.lag("used_bp").over(w)
+    rows = rows.withColumn("_rise", rise).where(F.col("_rise") > 0)
+    return rows.groupBy(*KEY, F.expr("us DIV 86400000000").alias("day")).agg(F.sum("_rise").alias("rise_bp"))

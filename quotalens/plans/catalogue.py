@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("usage",)
+FAMILIES = ("usage", "quotas")
 
 
 def _all() -> dict:

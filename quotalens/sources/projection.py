@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quotalens.session import prepare
+
 DAY, HOUR, MINUTE = 86_400, 3_600, 60
 #: Quota of an event type and the seconds of its window.
 QUOTAS = {"view": ("seven_day", 7 * DAY), "click": ("five_hour", 5 * HOUR), "purchase": ("seven_day_sonnet", 7 * DAY), "signup": ("monthly", 30 * DAY), "error": ("daily", DAY)}
@@ -39,6 +41,7 @@ def _duck(text: str) -> str:
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, us (epoch microseconds), user_id, event_type, value, k (from props)."""
+    prepare(spark)
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     return e.select(
         "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "user_id", "event_type", "value",
@@ -48,13 +51,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def usage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per API request: dimensions, token counts, cost in cents (null: unknown price)."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return events(spark, sf_dir).selectExpr(*_split(_USAGE))
 
 
 def quota_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long form: one row per snapshot and quota; used_bp is utilisation in hundredths of a percent, reset_us may be null."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return events(spark, sf_dir).selectExpr(*_split(_SAMPLES))
 
 
