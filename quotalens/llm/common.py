@@ -2,25 +2,18 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quotalens.session import ship_code
+
 #: Rows of an Arrow batch; texts average some KB, and a Python worker holds a batch in several forms at once.
 ARROW_ROWS = 2000
 
 
-def ship_code(spark: SparkSession) -> None:
-    """Lets Python workers on this host import the package; on a cluster it is installed or sent with --py-files."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    known = spark.sparkContext.environment.get("PYTHONPATH", "")
-    if root not in known.split(os.pathsep):
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_code(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
