@@ -1,0 +1,94 @@
+"""Subscription value: allowance cycles of meters against the cost of events."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .samples import KEY
+
+#: An interval closes when use has risen by so much, at 100 %, or with the last meter of its cycle.
+LEAST_BP, DROP_BP, RESET_US = 500, 10, 60_000_000
+_OUT = "provider string, account_id long, quota_name string, cycle long, from_us long, to_us long, from_bp long, to_bp long"
+
+
+def allowance_cycles(meters: DataFrame) -> DataFrame:
+    """Intervals (from, to] of rising use, numbered by allowance cycle.
+
+    A cycle starts at a fall of use or a reset time that moved by over a minute. Within it the anchor is the last closed
+    meter; an interval is emitted when use has risen LEAST_BP above the anchor, reaches 100 %, or the cycle ends above it.
+    """
+
+    def walk(batches):
+        import pandas as pd
+
+        key, cycle, anchor, last = None, 0, None, None
+        for b in batches:
+            made = []
+
+            def close(to):
+                made.append((*key, cycle, anchor[0], to[0], anchor[1], to[1]))
+
+            for p, a, q, us, used, reset in zip(b["provider"], b["account_id"], b["quota_name"], b["us"].tolist(), b["used_bp"].tolist(), b["_reset"].tolist()):
+                now = (us, used, reset)
+                new_key = (p, a, q) != key
+                if new_key or used < last[1] - DROP_BP or (reset >= 0 and last[2] >= 0 and abs(reset - last[2]) > RESET_US):
+                    if last is not None and last[1] > anchor[1]:
+                        close(last)
+                    cycle = 0 if new_key else cycle + 1
+                    key, anchor = (p, a, q), now
+                elif anchor[1] < 10000 and us > anchor[0] and (used - anchor[1] >= LEAST_BP or (used >= 10000 and used > anchor[1])):
+                    close(now)
+                    anchor = now
+                last = now
+            yield pd.DataFrame(made, columns=[c.split()[0] for c in _OUT.split(", ")])
+        if last is not None and last[1] > anchor[1]:
+            yield pd.DataFrame([(*key, cycle, anchor[0], last[0], anchor[1], last[1])], columns=[c.split()[0] for c in _OUT.split(", ")])
+
+    ordered = meters.select(*KEY, "us", "snapshot_id", "used_bp", F.coalesce("reset_us", F.lit(-1)).cast("bigint").alias("_reset"))
+    return ordered.repartition(*KEY).sortWithinPartitions(*KEY, "us", "snapshot_id").mapInPandas(walk, _OUT)
+
+
+def allowance_sql(samples: str) -> str:
+    k = "provider, account_id, quota_name"
+    new = f"(s.used_bp < f.used_bp - {DROP_BP} OR (s.r >= 0 AND f.r >= 0 AND abs(s.r - f.r) > {RESET_US}))"
+    hit = f"(f.a_bp < 10000 AND s.us > f.a_us AND (s.used_bp - f.a_bp >= {LEAST_BP} OR (s.used_bp >= 10000 AND s.used_bp > f.a_bp)))"
+    return f"""WITH RECURSIVE {samples}, s AS MATERIALIZED (SELECT {k}, us, used_bp, coalesce(CAST(reset_us AS BIGINT), -1) AS r, row_number() OVER (PARTITION BY {k} ORDER BY us, snapshot_id) AS rn FROM qs),
+    f AS (SELECT {k}, rn, us, used_bp, r, CAST(0 AS BIGINT) AS cycle, us AS a_us, used_bp AS a_bp, false AS closed, CAST(0 AS BIGINT) AS c_cycle, CAST(NULL AS BIGINT) AS from_us, CAST(NULL AS BIGINT) AS to_us, CAST(NULL AS BIGINT) AS from_bp, CAST(NULL AS BIGINT) AS to_bp FROM s WHERE rn = 1
+    UNION ALL SELECT s.provider, s.account_id, s.quota_name, s.rn, s.us, s.used_bp, s.r, CASE WHEN {new} THEN f.cycle + 1 ELSE f.cycle END, CASE WHEN {new} OR {hit} THEN s.us ELSE f.a_us END, CASE WHEN {new} OR {hit} THEN s.used_bp ELSE f.a_bp END,
+        CASE WHEN {new} THEN f.used_bp > f.a_bp ELSE {hit} END, f.cycle, f.a_us, CASE WHEN {new} THEN f.us ELSE s.us END, f.a_bp, CASE WHEN {new} THEN f.used_bp ELSE s.used_bp END
+        FROM f JOIN s ON s.provider = f.provider AND s.account_id = f.account_id AND s.quota_name = f.quota_name AND s.rn = f.rn + 1),
+    iv AS (SELECT {k}, c_cycle AS cycle, from_us, to_us, from_bp, to_bp FROM f WHERE closed
+        UNION ALL SELECT {k}, cycle, a_us, us, a_bp, used_bp FROM (SELECT * FROM f QUALIFY rn = max(rn) OVER (PARTITION BY {k})) WHERE used_bp > a_bp)
+    SELECT * FROM iv"""
+
+
+def subscription_value(meters: DataFrame, events: DataFrame) -> DataFrame:
+    """Cost of the provider's priced events within each cycle's intervals, and the cost of a whole allowance.
+
+    Both sides meet by provider and day (an interval is taken apart into its days), so that the range filter only sees
+    pairs of one day. An interval with an event of unknown price taints its cycle; per100 is given for cycles of 5
+    points or more, with a cost and no taint; points without any event are counted as unmatched.
+    """
+    day = 86_400_000_000
+    iv = allowance_cycles(meters)
+    days = iv.withColumn("day", F.explode(F.sequence(F.expr(f"from_us DIV {day}"), F.expr(f"to_us DIV {day}"))))
+    e = events.groupBy("provider", "us", F.expr(f"us DIV {day}").alias("day")).agg(F.sum("cost_cents").alias("cents"), F.count("*").alias("n"), F.count_if(F.col("cost_cents").isNull()).alias("unknown"))
+    met = days.join(e, ["provider", "day"]).where((F.col("us") > F.col("from_us")) & (F.col("us") <= F.col("to_us")))
+    cost = met.groupBy(*KEY, "cycle", "from_us").agg(F.sum("cents").alias("cents"), F.sum("n").alias("n"), F.sum("unknown").alias("unknown"))
+    iv = iv.join(cost, [*KEY, "cycle", "from_us"], "left").withColumn("points", F.col("to_bp") - F.col("from_bp"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
+    a = iv.groupBy(*KEY, "cycle").agg(F.sum("points").alias("used_bp"), zero(F.sum("cents")).alias("cost_cents"), zero(F.sum("n")).alias("requests"), zero(F.sum("unknown")).alias("unknown"), zero(F.sum(F.when(F.col("n").isNull(), F.col("points")))).alias("unmatched_bp"))
+    known = (F.col("used_bp") >= LEAST_BP) & (F.col("cost_cents") > 0) & (F.col("unknown") == 0)
+    return a.withColumn("per100_cents", F.when(known, F.round(F.col("cost_cents") * 10000.0 / F.col("used_bp"), 4)))
+
+
+def value_sql(samples: str, usage: str) -> str:
+    head = allowance_sql(samples).rsplit("SELECT * FROM iv", 1)[0]
+    ue = usage.split(", ue AS", 1)[1]
+    k = "provider, account_id, quota_name"
+    return f"""{head.rstrip()}, ue AS{ue},
+    c AS (SELECT iv.provider, iv.account_id, iv.quota_name, iv.cycle, iv.from_us, iv.to_bp - iv.from_bp AS points, sum(ue.cost_cents) AS cents, count(ue.event_id) AS n, count(ue.event_id) FILTER (ue.cost_cents IS NULL) AS unknown
+        FROM iv LEFT JOIN ue ON ue.provider = iv.provider AND ue.us > iv.from_us AND ue.us <= iv.to_us GROUP BY ALL),
+    a AS (SELECT {k}, cycle, CAST(sum(points) AS BIGINT) AS used_bp, CAST(coalesce(sum(cents), 0) AS BIGINT) AS cost_cents, CAST(sum(n) AS BIGINT) AS requests, CAST(sum(unknown) AS BIGINT) AS unknown, CAST(coalesce(sum(points) FILTER (n = 0), 0) AS BIGINT) AS unmatched_bp FROM c GROUP BY ALL)
+    SELECT *, CASE WHEN used_bp >= {LEAST_BP} AND cost_cents > 0 AND unknown = 0 THEN round(cost_cents * CAST(10000 AS DOUBLE) / used_bp, 4) END AS per100_cents FROM a"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("usage", "quotas")
+FAMILIES = ("usage", "quotas", "insights")
 
 
 def _all() -> dict:
