@@ -259,30 +259,33 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str) -> None:
     rows.mapInArrow(each, _FILE).write.option("compression", "uncompressed").parquet(path)
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start long, ids binary): decoded texts with the ids of all texts before them; a damaged block raises."""
+def read_token_files(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
+    """(doc_id, start long, n_tokens long, ids binary): decoded texts with the ids of all texts before them.
+
+    With ``digest``, ids_crc32 (long) stands for the ids, so that they do not leave the task that decodes them. A
+    damaged block raises.
+    """
     files = spark.read.schema(_FILE).parquet(path)
+    last, kind = ("ids_crc32", pa.int64()) if digest else ("ids", pa.binary())
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 number, keys, lengths = (batch.column(c)[k].as_py() for c in (0, 1, 2))
-                data = decode_segment(batch.column(3)[k].as_py()).tobytes()
+                data = memoryview(decode_segment(batch.column(3)[k].as_py()).tobytes())
                 ends = np.cumsum(lengths)
                 starts = (ends - lengths).tolist()
-                ids = [data[4 * a : 4 * b] for a, b in zip(starts, ends.tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([number] * len(keys), pa.int64()), pa.array(keys, pa.int64()), pa.array(starts, pa.int64()), pa.array(ids, pa.binary())],
-                    names=["segment", "doc_id", "inside", "ids"],
-                )
+                parts = [data[4 * a : 4 * b] for a, b in zip(starts, ends.tolist())]
+                made = [zlib.crc32(p) for p in parts] if digest else [bytes(p) for p in parts]
+                columns = [pa.array([number] * len(keys), pa.int64()), pa.array(keys, pa.int64()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(made, kind)]
+                yield pa.RecordBatch.from_arrays(columns, names=["segment", "doc_id", "inside", "n_tokens", last])
 
-    texts = files.select("segment", "doc_ids", "lengths", "coded").mapInArrow(each, "segment long, doc_id long, inside long, ids binary")
+    texts = files.select("segment", "doc_ids", "lengths", "coded").mapInArrow(each, f"segment long, doc_id long, inside long, n_tokens long, {last} {'long' if digest else 'binary'}")
     before = prefix_by_split(files.select("segment", "n_tokens"), "segment", ["n_tokens"], block=1 << 33)
-    return texts.join(before, "segment").select("doc_id", (F.col("before_n_tokens") + F.col("inside")).alias("start"), "ids")
+    return texts.join(before, "segment").select("doc_id", (F.col("before_n_tokens") + F.col("inside")).alias("start"), "n_tokens", last)
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/quotalens-token-files-{uuid.uuid4().hex}"
     write_token_files(table(spark, sf_dir, "documents"), path, tokenizer_path())
-    texts = read_token_files(spark, path)
-    return texts.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").cast("long").alias("ids_crc32"))
+    return read_token_files(spark, path, digest=True)
