@@ -55,15 +55,24 @@ def _features(sizes: np.ndarray) -> np.ndarray:
     return np.stack([np.ones_like(n), difference, ratio, length, difference * ratio, difference * length, ratio * length, difference**2, ratio**2, length**2], axis=1)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, steps: int = 40) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 60) -> np.ndarray:
+    """Ridge logistic regression by Newton steps, each halved until the loss falls, so that it cannot run away."""
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((np.logaddexp(0, z) - y * z).sum() + ridge / 2 * w @ w)
+
     w = np.zeros(x.shape[1])
+    now = loss(w)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
         h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        move = np.linalg.solve(h, x.T @ (y - p) - ridge * w)
-        w = w + move
-        if np.abs(move).max() < 1e-8:
+        move, size = np.linalg.solve(h, x.T @ (y - p) - ridge * w), 1.0
+        while (then := loss(w + size * move)) > now and size > 1e-6:
+            size /= 2
+        if now - then < 1e-9 * max(1.0, now):
             break
+        w, now = w + size * move, then
     return w
 
 

@@ -335,3 +335,12 @@ def test_pipeline(spark):
     assert got["secret_scan"] == got["benchmark_decontamination"]
     assert kept.groupBy("sequence_id").sum("length").agg({"sum(length)": "max"}).first()[0] <= packing.CAPACITY
     assert kept.select("doc_id").distinct().count() == got["secret_scan"]
+
+
+def test_calibration_does_not_run_away():
+    rng = np.random.default_rng(7)
+    y = (rng.random(6000) < 0.5).astype(float)
+    sizes = np.stack([np.full(6000, 2000.0), 900 + 80 * (1 - y) + rng.normal(0, 5, 6000), 900 + 80 * y + rng.normal(0, 5, 6000)], axis=1)
+    x = quality_classifier._features(sizes)
+    p = 1 / (1 + np.exp(-(x @ quality_classifier._logistic(x, y))))
+    assert ((p > 0.5) == (y > 0.5)).mean() > 0.99 and abs(p.mean() - y.mean()) < 0.01
