@@ -6,6 +6,7 @@ import hashlib
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -65,16 +66,16 @@ class Vocabulary:
         for c, (n, k) in tail.items():
             totals[c] += n
             kinds[c] += k
-        self.of: dict[bytes, tuple[int, float]] = {}
-        for rank, k in enumerate(order):
-            word, n = words[k], counts[k]
-            if rank < self.own:
-                self.of[word] = (rank, float(np.log10(n + 0.5)))
-            else:
-                c = zlib.crc32(word) % HASHED
-                totals[c] += n
-                kinds[c] += 1
-                self.of[word] = (self.own + c, float(np.log10(n + 0.5)))
+        #: place of a known word in class_of and log_of
+        self.place = {words[k]: rank for rank, k in enumerate(order)}
+        self.class_of = np.arange(len(order) + 1)
+        for rank, k in enumerate(order[self.own :], self.own):
+            c = zlib.crc32(words[k]) % HASHED
+            totals[c] += counts[k]
+            kinds[c] += 1
+            self.class_of[rank] = self.own + c
+        self.class_of = self.class_of.astype(np.uint16)
+        self.log_of = np.log10(np.array([*(counts[k] for k in order), 0.5]) + 0.5)
         #: log10 of what a hashed class's counts are divided by: its words, and one place for those never seen
         self.divisor = np.log10(totals + 0.5 * (kinds + 1))
         own = np.array([counts[k] for k in order[: self.own]], float)
@@ -107,26 +108,22 @@ def encode(rows: DataFrame, shared) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
-        of, own, divisor = v.of, v.own, v.divisor
-        class_of, log_of = (lambda w: of[w][0]), (lambda w: of[w][1])
+        find, class_of, log_of, own, divisor = v.place.get, v.class_of, v.log_of, v.own, v.divisor
         for batch in batches:
             made = []
             for text in _texts(batch.column(3)):
                 words = words_of(text)
-                new = Counter(w for w in words if w not in of)
+                places = np.fromiter(map(find, words, repeat(-1)), np.int64, len(words))
+                ids, logs = class_of[places], log_of[places]
+                unknown = np.flatnonzero(places < 0)
+                new = [words[k] for k in unknown]
                 if new:
-                    hashed = {w: own + zlib.crc32(w) % HASHED for w in new}
-                    ids = np.array([of[w][0] if w in of else hashed[w] for w in words], np.uint16)
-                    base = sum(of[w][1] for w in words if w in of)
-                else:
-                    ids = np.fromiter(map(class_of, words), np.uint16, len(words))
-                    base = sum(map(log_of, words))
-                of_class = ids[ids >= own].astype(np.int64) - own
-                inner = -float(divisor[of_class].sum())
-                if len(of_class) > sum(new.values()):
-                    inner += sum(of[w][1] for w in words if w in of and of[w][0] >= own)
-                n_new = sum(new.values())
-                made.append((len(words), len(words) - n_new, base, inner, ids.tobytes(), [{"word": w, "times": n} for w, n in new.items()]))
+                    ids[unknown] = [own + zlib.crc32(w) % HASHED for w in new]
+                    logs[unknown] = 0
+                shared_class = ids >= own
+                inner = float(logs[shared_class].sum() - divisor[ids[shared_class].astype(np.int64) - own].sum())
+                tail = [{"word": w, "times": n} for w, n in Counter(new).items()]
+                made.append((len(words), len(words) - len(new), float(logs.sum()), inner, ids.tobytes(), tail))
             columns = list(zip(*made)) or [()] * 6
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), tail_type]
             arrays = [*batch.columns[:3], *[pa.array(c, k) for c, k in zip(columns, kinds)]]
