@@ -43,8 +43,8 @@ TEMPLATES = (
 )
 #: What a notice cannot do without, lower case; a line without any is no candidate.
 CUES = (b"licen", b"hereby granted", b"redistribut", b"rights reserved", b"public domain", b"waived all copyright", b"spdx")
-#: Words around the cues of a block, templates confirmed whatever they save, size reduction from which others are, least share of a template's words found.
-REACH, RANKED, REDUCTION, FOUND = 40, 5, 0.05, 0.9
+#: Words around the cues of a block, templates confirmed whatever they save, size reduction from which others are, least share of a template's words found, and words below which a notice must stand exactly (and is looked for whatever it saves, as so few bytes say little).
+REACH, RANKED, REDUCTION, FOUND, SHORT = 40, 5, 0.05, 0.9, 8
 _SPDX = re.compile(r"SPDX-License-Identifier:\s*([A-Za-z0-9.+-]+)", re.I)
 _TOKEN = re.compile(r"\S+")
 
@@ -94,7 +94,7 @@ def _confirmed(template: list[str], words: list[str], spans: list[tuple[int, int
             k += n
         else:
             k += 1
-    if exact or n < 8:  # a short notice has no word to spare
+    if exact or n < SHORT:  # a short notice has no word to spare
         return exact
     same = [b for b in SequenceMatcher(None, template, words, autojunk=False).get_matching_blocks() if b.size]
     if not same or sum(b.size for b in same) < FOUND * n:
@@ -111,8 +111,8 @@ def find_licenses(text: str) -> list[tuple[str, int, int, float, float, bool]]:
     """(license, start, end, size reduction, share of the wording found, exact) of a whole text, in order of start.
 
     A block is compressed alone and with each template as zstandard raw dictionary. Templates are ranked by how much
-    smaller, for their own length, they make the block; the first RANKED, and all others that save REDUCTION of their
-    own compressed size, are then held against the wording. Where two notices overlap the longer one stays.
+    smaller, for their own length, they make the block; the first RANKED, all others that save REDUCTION of their own
+    compressed size, and short notices are then held against the wording. Where two notices overlap the longer one stays.
     """
     found = []
     for a, b in blocks(text):
@@ -128,8 +128,8 @@ def find_licenses(text: str) -> list[tuple[str, int, int, float, float, bool]]:
             saved = (plain - len(compressor.compress(joined))) / own
             ranked.append((saved, name, template))
         for place, (saved, name, template) in enumerate(sorted(ranked, key=lambda r: (-r[0], r[1]))):
-            if place >= RANKED and saved < REDUCTION:
-                break
+            if place >= RANKED and saved < REDUCTION and len(template) >= SHORT:
+                continue
             found += [(name, s, e, saved, share, exact) for s, e, share, exact in _confirmed(template, words, spans)]
         found += [(m[1], m.start() + a, m.end() + a, 1.0, 1.0, True) for m in _SPDX.finditer(part)]
     chosen: list = []
