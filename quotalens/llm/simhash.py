@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations, repeat
@@ -18,9 +19,8 @@ from .graph import components
 SHINGLE, RADIUS, BITS, TILE = 3, 2, 64, 1024
 #: For dropping near copies: radius between 64-bit fingerprints of distinct words; words of a shingle; 64-bit parts of the
 #: shingles' wide fingerprint and its radius. Two sets of Jaccard similarity J differ in acos(2J / (1 + J)) / pi of the
-#: bits: of 512, 77 +- 8 at 0.8, 98 +- 9 at 0.7. A dropped text also has the least exact similarity with the kept one: 0.8
-#: in a group of two, else what two links of 0.8 leave between their ends, 0.6, as Jaccard distance is a metric.
-COPY_RADIUS, COPY_SHINGLE, WIDE, WIDE_RADIUS, SIZE_RATIO, PAIR_SIMILARITY, COPY_SIMILARITY = 7, 5, 8, 92, 0.75, 0.8, 0.6
+#: bits: of 512, 77 +- 8 at 0.8, 98 +- 9 at 0.7. A dropped text also has the least exact similarity with one that stays.
+COPY_RADIUS, COPY_SHINGLE, WIDE, WIDE_RADIUS, SIZE_RATIO, PAIR_SIMILARITY = 7, 5, 8, 92, 0.75, 0.8
 _MIX = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) & (1 << 64) - 1 for k in range(1, WIDE + 1)], np.uint64)
 _BIT_OF = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 _PLACE = np.arange(8, dtype=np.int64) * 256
@@ -187,14 +187,59 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return rows.join(member.join(first, "root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
 
 
+def _goes_to_earlier(least: float):
+    """(row, by) of every text at least ``least`` similar to an earlier text that stays, in runs of equal keys, in order.
+
+    Texts that stay are found by the first shingles of their sorted hashes, of which two such texts share one; so a text
+    is held against all that stay in its run, and the memory of a task holds the shingles of one run's.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, stay, by_hash = None, [], {}
+        for batch in batches:
+            gone, by = [], []
+            for k, row, text in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                if k != key:
+                    key, stay, by_hash = k, [], {}
+                own = np.unique(_shingle_hashes((text or "").encode(), COPY_SHINGLE))
+                first = own[: _prefix(len(own), least)].tolist()
+                for i in sorted({i for h in first for i in by_hash.get(h, ())}):
+                    if _set_jaccard(own, stay[i][1]) >= least:
+                        gone.append(row)
+                        by.append(stay[i][0])
+                        break
+                else:
+                    for h in first:
+                        by_hash.setdefault(h, []).append(len(stay))
+                    stay.append((row, own))
+            yield pa.RecordBatch.from_arrays([pa.array(gone, pa.int64()), pa.array(by, pa.int64())], names=["_row", "_by"])
+
+    return each
+
+
+def _prefix(size: int, least: float) -> int:
+    """Of two sets in one order, similar to ``least``, the first so many of each share an element."""
+    return size - math.ceil(least * size - 1e-9) + 1 if size else 0
+
+
+def _set_jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of sorted distinct hashes; two empty sets are equal."""
+    if min(len(a), len(b)) < PAIR_SIMILARITY * max(len(a), len(b)):
+        return 0.0
+    same = len(np.intersect1d(a, b, assume_unique=True))
+    return same / (len(a) + len(b) - same) if len(a) else 1.0
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text and any more columns) with one row of each group of near copies, the one of smallest id.
 
     Groups are the components of links between texts whose word fingerprints lie within COPY_RADIUS, whose wide
     shingle fingerprints lie within WIDE_RADIUS and whose numbers of shingles allow for the similarity; equal texts (but
-    for white space and case) are one text. A text goes if its shingles are similar enough (PAIR_SIMILARITY in a group
-    of two, else COPY_SIMILARITY) to those of the text that its group keeps, so no chain of links can drop what does not resemble what stays. Null and blank texts are copies of
-    each other. Null ids come last; ties go by input order; an empty table stays empty.
+    for white space and case) are one text. In a group, in the order of ids, a text goes if its shingles are at least
+    PAIR_SIMILARITY similar to those of one that stays: first all are held against the smallest, in parallel, then the
+    leftovers of a group against each other in one sorted pass. So no two texts of a group that stay are that similar, and
+    no chain of links drops what does not resemble what stays. Null and blank texts are copies of each other. Null ids
+    come last; ties go by input order; an empty table stays empty.
     """
     names, parts = docs.columns, [f"w{k}" for k in range(WIDE)]
 
@@ -214,18 +259,21 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     grouped = texts.join(roots, texts["node"] == roots["_node"], "left").select(F.coalesce("root", "node").alias("_root"), F.col("_first._id").alias("_id"), F.col("_first._row").alias("_row"))
     grouped = keep(grouped, "near-groups")
     heads = keep(grouped.groupBy("_root").agg(F.min(F.struct("_id", "_row"))["_row"].alias("_head"), F.count("*").alias("n")), "near-heads")
-    others = grouped.join(heads.where("n > 1"), "_root").where("_row != _head").select("_row", "_head", F.when(F.col("n") == 2, PAIR_SIMILARITY).otherwise(COPY_SIMILARITY).alias("least"))
-    pairs = others.join(rows.select("_row", "text"), "_row").join(rows.select(F.col("_row").alias("_head"), F.col("text").alias("kept_text")), "_head").select("_row", "text", "kept_text", "least")
+    others = grouped.join(heads.where("n > 1"), "_root").where("_row != _head").select("_root", "_id", "_row", "_head")
+    pairs = others.select("_row", "_head").join(rows.select("_row", "text"), "_row").join(rows.select(F.col("_row").alias("_head"), F.col("text").alias("kept_text")), "_head").select("_row", "_head", "text", "kept_text")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = lru_cache(maxsize=64)(_shingles)
         for batch in batches:
-            rows_ = zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)))
-            far = [_jaccard(_shingles(a or ""), shingles(b or "")) < least for a, b, least in rows_]
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(far, pa.bool_()))], names=["_row"])
-
-    far = pairs.mapInArrow(compared, "_row long")
-    stays = keep(heads.select(F.col("_head").alias("_row")).unionByName(far), "near-stays")
+            rows_ = zip(*(batch.column(k).to_pylist() for k in (2, 3)))
+            near = pa.array([_jaccard(_shingles(a or ""), shingles(b or "")) >= PAIR_SIMILARITY for a, b in rows_], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], names=["_row", "_by"])
+
+    gone = keep(pairs.mapInArrow(compared, "_row long, _by long"), "near-gone")
+    rest = others.select("_root", "_id", "_row").join(gone, "_row", "left_anti")
+    rest = rest.join(rows.select("_row", "text"), "_row").repartition("_root").sortWithinPartitions("_root", "_id", "_row")
+    gone = gone.unionByName(keep(rest.select("_root", "_row", "text").mapInArrow(_goes_to_earlier(PAIR_SIMILARITY), "_row long, _by long"), "near-leftovers"))
+    stays = keep(grouped.select("_row").join(gone, "_row", "left_anti"), "near-stays")
     return rows.join(stays, "_row", "left_semi").select(*names)
 
 

@@ -273,6 +273,18 @@ def test_dropping_near_copies(spark, docs):
         assert any(simhash._jaccard(sets[i], sets[k]) >= 0.6 for k in kept)
 
 
+def test_leftovers_of_a_group_are_settled_among_themselves(spark, monkeypatch):
+    words = [f"w{k}" for k in range(500)]
+    cases = {1: words, 2: [*words[:450], *["x%d" % k for k in range(50)]], 3: [*words[:390], *["y%d" % k for k in range(110)]], 4: [*words[:390], *["y%d" % k for k in range(105)]]}
+    rows = [(i, " ".join(t)) for i, t in cases.items()]
+    sets = {i: simhash._shingles(t) for i, t in rows}
+    assert 0.6 < simhash._jaccard(sets[1], sets[3]) < 0.8 < 0.95 < simhash._jaccard(sets[3], sets[4])
+    # the candidates put all four in one group, as a chain of links does
+    monkeypatch.setattr(simhash, "near_links", lambda nodes, *_: nodes.crossJoin(nodes.selectExpr("node AS b")).selectExpr("node AS a", "b"))
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {1, 3}
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
