@@ -21,6 +21,8 @@ SHINGLE, RADIUS, BITS, TILE = 3, 2, 64, 1024
 #: shingles' wide fingerprint and its radius. Two sets of Jaccard similarity J differ in acos(2J / (1 + J)) / pi of the
 #: bits: of 512, 77 +- 8 at 0.8, 98 +- 9 at 0.7. A dropped text also has the least exact similarity with one that stays.
 COPY_RADIUS, COPY_SHINGLE, WIDE, WIDE_RADIUS, SIZE_RATIO, PAIR_SIMILARITY = 7, 5, 8, 92, 0.75, 0.8
+#: Texts sampled for common shingles, texts of these that share one, and the most that are told apart; they order shingles only.
+SAMPLE_TEXTS, COMMON_TEXTS, COMMON_MOST = 10_000, 3, 50_000
 _MIX = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) & (1 << 64) - 1 for k in range(1, WIDE + 1)], np.uint64)
 _BIT_OF = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 _PLACE = np.arange(8, dtype=np.int64) * 256
@@ -230,23 +232,107 @@ def _set_jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return same / (len(a) + len(b) - same) if len(a) else 1.0
 
 
+def _common_shingles(texts: DataFrame, n: int) -> np.ndarray:
+    """Hashes of shingles that COMMON_TEXTS or more of some SAMPLE_TEXTS texts share, the most common last, at most COMMON_MOST."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [np.unique(_shingle_hashes(t or b"", COPY_SHINGLE)) for t in batch.column(0).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *made]).view(np.int64))], names=["h"])
+
+    sample = texts.where(F.pmod(F.xxhash64("_row"), F.lit(max(1, n // SAMPLE_TEXTS))) == 0).select("text")
+    common = sample.mapInArrow(each, "h long").groupBy("h").agg(F.count("*").alias("n")).where(f"n >= {COMMON_TEXTS}")
+    return np.array([r["h"] for r in common.orderBy(F.desc("n"), "h").limit(COMMON_MOST).collect()][::-1], np.int64).view(np.uint64)
+
+
+def _first_shingles(texts: DataFrame, common: np.ndarray, new: int) -> DataFrame:
+    """(h, _row, at, size, new) of the distinct shingles of which two texts similar to PAIR_SIMILARITY share one: the first
+    by common rank (rare ones before all) and hash. Any fixed order is exact; this one keeps what many texts hold out."""
+    by_hash = np.argsort(common)
+    sorted_ = common[by_hash]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, rows_, at, size = [np.empty(0, np.uint64)], [], [], []
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
+                own = np.unique(_shingle_hashes(text or b"", COPY_SHINGLE))
+                rank = np.full(len(own), -1)
+                if len(common):
+                    place = np.minimum(np.searchsorted(sorted_, own), len(common) - 1)
+                    rank = np.where(sorted_[place] == own, by_hash[place], -1)
+                first = own[np.lexsort((own, rank))][: _prefix(len(own), PAIR_SIMILARITY)]
+                found.append(first)
+                rows_.append(np.full(len(first), row, np.int64))
+                at.append(np.arange(len(first)))
+                size.append(np.full(len(first), len(own), np.int64))
+            columns = [np.concatenate(found).view(np.int64), *[np.concatenate([np.empty(0, np.int64), *c]) for c in (rows_, at, size)]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "_row", "at", "size"])
+
+    return texts.select("_row", "text").mapInArrow(each, "h long, _row long, at long, size long").withColumn("new", F.lit(new))
+
+
+def _similar_pairs(first: DataFrame) -> DataFrame:
+    """(_row, _head) of all pairs, at least one of them new, that share a first shingle and whose sizes and places allow for
+    PAIR_SIMILARITY (9 times the common shingles is 4 times both sizes). Blocks of over TILE texts are dealt into tiles of
+    that size, and all pairs of tiles compared."""
+    counts = first.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    dealt = first.join(counts, "h").selectExpr("*", f"pmod(xxhash64(_row), ceil(n / {TILE})) AS k", f"explode(sequence(0L, ceil(n / {TILE}) - 1)) AS j")
+    dealt = dealt.selectExpr("h", "least(k, j) AS k", "greatest(k, j) AS j", "_row", "at", "size", "new")
+    a, b = dealt.alias("a"), dealt.alias("b")
+    both = a.join(b, F.expr("a.h = b.h AND a.k = b.k AND a.j = b.j AND a._row < b._row"))
+    both = both.where("a.new + b.new > 0 AND 5 * least(a.size, b.size) >= 4 * greatest(a.size, b.size) AND 9 * least(a.size - a.at, b.size - b.at) >= 4 * (a.size + b.size)")
+    return both.selectExpr("a._row AS _row", "b._row AS _head").distinct()
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(_row, _by) of the pairs (_row, _head, text, kept_text) that are similar."""
+    shingles = lru_cache(maxsize=64)(_shingles)
+    for batch in batches:
+        rows_ = zip(*(batch.column(k).to_pylist() for k in (2, 3)))
+        near = pa.array([_jaccard(_shingles(a or ""), shingles(b or "")) >= PAIR_SIMILARITY for a, b in rows_], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], names=["_row", "_by"])
+
+
+def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    both = pairs.join(texts.select("_row", "text"), "_row").join(texts.select(F.col("_row").alias("_head"), F.col("text").alias("kept_text")), "_head")
+    return both.select("_row", "_head", "text", "kept_text").mapInArrow(_compared, "_row long, _by long")
+
+
+def _settled(groups: DataFrame, texts: DataFrame) -> DataFrame:
+    """(_row, _by) of texts that go in groups (_root, _order, _row)."""
+    dealt = groups.join(texts.select("_row", "text"), "_row").repartition("_root").sortWithinPartitions("_root", "_order")
+    return dealt.select("_root", "_row", "text").mapInArrow(_goes_to_earlier(PAIR_SIMILARITY), "_row long, _by long")
+
+
+def _settled_exactly(members: DataFrame, first: DataFrame, texts: DataFrame) -> DataFrame:
+    """(_row, _by) of members (_row, _order) that go, all members of similar pairs held against each other."""
+    links = keep(_similar(_similar_pairs(first), texts), "near-exact-links")
+    roots = components(links, "_row", "_by").select(F.col("node").alias("_row"), F.col("root").alias("_root"))
+    return keep(_settled(members.join(roots, "_row"), texts), "near-exact-gone")
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text and any more columns) with one row of each group of near copies, the one of smallest id.
 
-    Groups are the components of links between texts whose word fingerprints lie within COPY_RADIUS, whose wide
-    shingle fingerprints lie within WIDE_RADIUS and whose numbers of shingles allow for the similarity; equal texts (but
-    for white space and case) are one text. In a group, in the order of ids, a text goes if its shingles are at least
-    PAIR_SIMILARITY similar to those of one that stays: first all are held against the smallest, in parallel, then the
-    leftovers of a group against each other in one sorted pass. So no two texts of a group that stay are that similar, and
-    no chain of links drops what does not resemble what stays. Null and blank texts are copies of each other. Null ids
-    come last; ties go by input order; an empty table stays empty.
+    Equal texts (but for white space and case) are one text. No two texts that stay are PAIR_SIMILARITY similar in their
+    distinct shingles, and each that goes is so to one that stays, in three steps:
+
+    1. Dense groups shrink: components of links between texts whose word fingerprints lie within COPY_RADIUS, whose wide
+       shingle fingerprints lie within WIDE_RADIUS and whose numbers of shingles allow for it. In a group, in the order of
+       ids, a text goes if it is similar to one that stays: first all are held against the smallest, in parallel, then
+       the leftovers against each other in one sorted pass.
+    2. Among what is left, all similar pairs are found by a prefix filter, which misses none, and components of these are
+       settled alike; a text to which more went in step 1 comes first.
+    3. A text that went to one that itself goes in step 2 comes back, and is held against all that stay.
+
+    Null and blank texts are copies of each other. Null ids come last; ties go by input order; an empty table stays empty.
     """
     names, parts = docs.columns, [f"w{k}" for k in range(WIDE)]
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            made = [[word_fingerprint(t) for t in texts], [max(1, len(t.split()) - COPY_SHINGLE + 1) for t in texts]]
+            made = [[word_fingerprint(t) for t in texts], [len(np.unique(_shingle_hashes(t, COPY_SHINGLE))) for t in texts]]
             made += list(np.array([wide_fingerprint(t) for t in texts], np.int64).reshape(-1, WIDE).T)
             yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], *[pa.array(m, pa.int64()) for m in made]], names=["_row", "node", "_id", "fp", "size", *parts])
 
@@ -259,21 +345,29 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     grouped = texts.join(roots, texts["node"] == roots["_node"], "left").select(F.coalesce("root", "node").alias("_root"), F.col("_first._id").alias("_id"), F.col("_first._row").alias("_row"))
     grouped = keep(grouped, "near-groups")
     heads = keep(grouped.groupBy("_root").agg(F.min(F.struct("_id", "_row"))["_row"].alias("_head"), F.count("*").alias("n")), "near-heads")
-    others = grouped.join(heads.where("n > 1"), "_root").where("_row != _head").select("_root", "_id", "_row", "_head")
-    pairs = others.select("_row", "_head").join(rows.select("_row", "text"), "_row").join(rows.select(F.col("_row").alias("_head"), F.col("text").alias("kept_text")), "_head").select("_row", "_head", "text", "kept_text")
-
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = lru_cache(maxsize=64)(_shingles)
-        for batch in batches:
-            rows_ = zip(*(batch.column(k).to_pylist() for k in (2, 3)))
-            near = pa.array([_jaccard(_shingles(a or ""), shingles(b or "")) >= PAIR_SIMILARITY for a, b in rows_], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], names=["_row", "_by"])
-
-    gone = keep(pairs.mapInArrow(compared, "_row long, _by long"), "near-gone")
-    rest = others.select("_root", "_id", "_row").join(gone, "_row", "left_anti")
-    rest = rest.join(rows.select("_row", "text"), "_row").repartition("_root").sortWithinPartitions("_root", "_id", "_row")
-    gone = gone.unionByName(keep(rest.select("_root", "_row", "text").mapInArrow(_goes_to_earlier(PAIR_SIMILARITY), "_row long, _by long"), "near-leftovers"))
-    stays = keep(grouped.select("_row").join(gone, "_row", "left_anti"), "near-stays")
+    others = grouped.join(heads.where("n > 1"), "_root").where("_row != _head").select("_root", F.struct("_id", "_row").alias("_order"), "_row", "_head")
+    gone = keep(_similar(others.select("_row", "_head"), rows), "near-gone")
+    rest = others.select("_root", "_order", "_row").join(gone, "_row", "left_anti")
+    gone = gone.unionByName(keep(_settled(rest, rows), "near-leftovers"))
+
+    taken = gone.groupBy(F.col("_by").alias("_row")).agg(F.count("*").alias("_taken"))
+    left = grouped.select("_row", "_id").join(gone, "_row", "left_anti").join(taken, "_row", "left")
+    left = keep(left.select("_row", F.struct((-F.coalesce("_taken", F.lit(0))).alias("_before"), "_id", "_row").alias("_order")), "near-left")
+    left_texts = rows.select("_row", "text").join(left, "_row", "left_semi")
+    common = _common_shingles(left_texts, left.count())
+    first = keep(_first_shingles(left_texts, common, 1), "near-first")
+    again = _settled_exactly(left, first, rows)
+
+    left = left.join(again, "_row", "left_anti").select("_row", "_order")
+    back = keep(gone.join(again.select(F.col("_row").alias("_by")), "_by", "left_semi").select("_row").join(grouped.select("_row", "_id"), "_row"), "near-back")
+    if not back.isEmpty():
+        more = keep(_first_shingles(rows.select("_row", "text").join(back, "_row", "left_semi"), common, 1), "near-more")
+        first = first.join(left, "_row", "left_semi").join(more, "h", "left_semi").withColumn("new", F.lit(0)).unionByName(more)
+        # those that stay come first, so none of them goes: no two are similar
+        back = back.select("_row", F.struct(F.lit(1).cast("long").alias("_before"), "_id", "_row").alias("_order"))
+        left = left.unionByName(back)
+        left = left.join(_settled_exactly(left, first, rows), "_row", "left_anti")
+    stays = keep(left.select("_row"), "near-stays")
     return rows.join(stays, "_row", "left_semi").select(*names)
 
 

@@ -285,6 +285,23 @@ def test_leftovers_of_a_group_are_settled_among_themselves(spark, monkeypatch):
     assert kept == {1, 3}
 
 
+def test_appended_truncated_and_doubled_copies_go(spark):
+    rows = []
+    for k in range(40):
+        words = [f"a{k}b{i}" for i in range(120 + 7 * k)]
+        n = len(words)
+        texts_ = [words, [*words, *[f"z{k}y{i}" for i in range(int(n * (0.04 + k * 0.0045)))]], words[: n - int(n * 0.15)], words + words]
+        rows += [(4 * k + i, " ".join(t)) for i, t in enumerate(texts_)]
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {i: simhash._shingles(t) for i, t in rows}
+    for k in range(40):
+        group = range(4 * k, 4 * k + 4)
+        stay = [i for i in group if i in kept]
+        assert all(simhash._jaccard(sets[a], sets[b]) < 0.8 for a in stay for b in stay if a < b)
+        assert all(any(simhash._jaccard(sets[i], sets[j]) >= 0.8 for j in stay) for i in group if i not in kept)
+    assert len(kept) < 60
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
