@@ -121,6 +121,22 @@ def test_leaks_with_other_values(spark):
     assert {(r["doc_id"], r["same_values"]) for r in found} == {(1, False), (3, True)}
 
 
+def test_leaks_with_one_edit(spark):
+    short = "the old miller walked slowly down towards his river while seven grey geese followed him".split()
+    long = [f"{a}{b}" for a in ("ka", "lo", "mi", "ne", "pu") for b in ("rad", "sten", "vil", "mon", "tir", "gal", "hus")]
+    named = "Tom has 12 red apples in the basket. Tom buys 30 more apples from the shop.\nTom then gives all the apples away to poor people nearby"
+    items = spark.createDataFrame([(1, " ".join(short)), (2, " ".join(long)), (3, named)], "item_id long, text string")
+    cases = {}
+    for item, words in ((1, short), (2, long)):
+        for k in range(1, len(words) - 1):
+            for edited in (words[:k] + ["zzz"] + words[k:], words[:k] + words[k + 1 :], words[:k] + ["zzz"] + words[k + 1 :]):
+                cases[len(cases)] = (item, " ".join(["Before", "it", *edited, "after"]))
+    for edited in (named.replace("Tom", "Bob"), named.lower(), named.replace(" ", "\n"), named.replace("Tom", "Bob").replace(". Bob", ".\n\nBob")):
+        cases[len(cases)] = (3, edited)
+    found = decontamination.leaks(spark.createDataFrame([(i, t) for i, (_, t) in cases.items()], "doc_id long, text string"), items).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(i, item) for i, (item, _) in cases.items()}
+
+
 @pytest.mark.parametrize("path", ["sf", "odd"])
 def test_shards(spark, odd, path):
     path = SF if path == "sf" else odd
