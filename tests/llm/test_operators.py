@@ -137,6 +137,16 @@ def test_leaks_with_one_edit(spark):
     assert {(r["doc_id"], r["item_id"]) for r in found} == {(i, item) for i, (item, _) in cases.items()}
 
 
+def test_leaks_of_numbers_and_short_items(spark):
+    items = spark.createDataFrame([(1, "Compute 12 + 30 - 5 * 7 + 9 - 3"), (2, "zyzzyva quorum flange"), (3, "A baker sold 3 loaves and then later sold 5 loaves to people waiting outside the small shop")], "item_id long, text string")
+    cases = {
+        1: "First do this. Compute 12 + 30 - 5 * 7 + 9 - 3 and go on", 2: "First do this. Compute 13 + 31 - 6 * 8 + 1 - 4 and go on", 3: "they say zyzzyva quorum flange is odd", 4: "they say zyzzyva quorum",
+        5: "A baker sold 4 loaves and then later sold 4 loaves to people waiting outside the small shop",
+    }
+    found = decontamination.leaks(spark.createDataFrame(list(cases.items()), "doc_id long, text string"), items).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(1, 1), (3, 2), (5, 3)}
+
+
 @pytest.mark.parametrize("path", ["sf", "odd"])
 def test_shards(spark, odd, path):
     path = SF if path == "sf" else odd
