@@ -4,13 +4,20 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
 
 #: Entries of the two memories of a Python worker; when full they serve what they hold and take no more.
-WORDS, PIECES, LONGEST = 300_000, 450_000, 48
+WORDS, PIECES, LONGEST = 500_000, 500_000, 48
 _PIECE = re.compile(rb"[a-z\x80-\xff]+|[^a-z\x80-\xff]+")
-# a text with one of these is encoded in one go: an added token, or a mark that could join the letter before it
+# a text with one of these is encoded in one go: an added token, or a mark that could join the letter before it;
+# only texts with a byte that can begin one are searched
+#: Byte-level alphabets write printable Latin-1 bytes as they are and the others as letters from U+0100 on.
+_PLAIN_BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PLAIN_BYTES)}
+_HARMLESS = bytes(b for b in range(256) if b not in b"\xcc\xcd\xe0\xe1\xe2\xe3\xef\xf0\xf1\xf2\xf3\xf4")
 _WHOLE = re.compile(rb"<\||[\xcc\xcd]|\xe1\xaa|\xe1\xb7|\xe2\x83|\xef\xb8|\xe1\x85|\xe1\x86|\xe1\x87|\xe3\x82\x99|\xe3\x82\x9a|\xe0[\xa4-\xbf]|[\xf0-\xf4]")
 
 
@@ -34,8 +41,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         vocab = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.model = self.tokenizer.model
+        self.four = [i.to_bytes(4, "little") for i in range(max(vocab.values()) + 1)]
         self.words: dict[bytes, bytes] = {}
         self.pieces: dict[bytes, bytes] = {}
 
@@ -47,55 +54,51 @@ class Encoder:
         return [ids for at in range(0, len(texts), at_once) for ids in self._some(texts[at : at + at_once])]
 
     def _some(self, texts: list[bytes]) -> list[bytes]:
-        whole = [k for k, t in enumerate(texts) if _WHOLE.search(t)]
+        whole = [k for k, t in enumerate(texts) if (b"<|" in t or t.translate(None, _HARMLESS)) and _WHOLE.search(t)]
         found = dict(zip(whole, self._plain([texts[k].decode() for k in whole])))
-        cut = {k: t.lower().split() for k, t in enumerate(texts) if k not in found}
-        new = set().union(*cut.values()) - self.words.keys()
-        made = self._new_words(new)
-        room = WORDS - len(self.words)
-        if room > 0:
-            self.words.update((w, made[w]) for w in list(made)[:room] if len(w) <= LONGEST)
-        if made:
-            known = self.words
-            for k, words in cut.items():
-                found[k] = b"".join([known[w] if w in known else made[w] for w in words])
-        else:
-            for k, words in cut.items():
-                found[k] = b"".join(map(self.words.__getitem__, words))
-        return [found[k] for k in range(len(texts))]
+        cut = [[] if k in found else t.lower().split() for k, t in enumerate(texts)]
+        words = list(chain.from_iterable(cut))
+        ids = list(map(self.words.get, words))
+        # only words that the memory lacks are looked at one by one
+        missed = [k for k, x in enumerate(ids) if x is None]
+        if missed:
+            made = self._new_words({words[k] for k in missed})
+            for k in missed:
+                ids[k] = made[words[k]]
+            room = WORDS - len(self.words)
+            if room > 0:
+                self.words.update((w, made[w]) for w in list(made)[:room] if len(w) <= LONGEST)
+        at, out = 0, []
+        for k, own in enumerate(cut):
+            out.append(found[k] if k in found else b"".join(ids[at : at + len(own)]))
+            at += len(own)
+        return out
 
     def _new_words(self, words: set[bytes]) -> dict[bytes, bytes]:
-        if not words:
-            return {}
-        apart = {w: _PIECE.findall(w) for w in words if b"'" not in w}
         quoted = [w for w in words if b"'" in w]
         made = dict(zip(quoted, self._plain([w.decode() for w in quoted])))
-        pieces = set().union(*apart.values()) - self.pieces.keys()
-        ids = self._new_pieces(sorted(pieces))
-        room = PIECES - len(self.pieces)
-        if room > 0:
-            self.pieces.update((p, ids[p]) for p in list(ids)[:room] if len(p) <= LONGEST)
+        if quoted:
+            words = words.difference(quoted)
         known = self.pieces
-        for w, parts in apart.items():
-            made[w] = b"".join([known[p] if p in known else ids[p] for p in parts])
+        for w in words:
+            ids = b""
+            for p in _PIECE.findall(w):
+                ids += known[p] if p in known else self._new_piece(p)
+            made[w] = ids
         return made
 
-    def _new_pieces(self, pieces: list[bytes]) -> dict[bytes, bytes]:
-        """Pieces of letters alone go in one text, cut again where a word-end token stands; others one by one."""
-        letters = [p.isalpha() or p.decode().isalpha() for p in pieces]
-        joint = [p for p, x in zip(pieces, letters) if x]
-        rest = [p for p, x in zip(pieces, letters) if not x]
-        made = dict(zip(rest, self._plain([p.decode() for p in rest])))
-        for at in range(0, len(joint), 2000):
-            some = joint[at : at + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(some):
-                data, edges = ids.tobytes(), [0, *(4 * stops).tolist()]
-                made.update((p, data[a:b]) for p, a, b in zip(some, edges, edges[1:]))
-            else:
-                made.update(zip(some, self._plain([p.decode() for p in some])))
-        return made
+    def _new_piece(self, piece: bytes) -> bytes:
+        """Letters that the normaliser leaves as they are go to the model itself, whose alphabet writes a byte as a letter."""
+        letters = piece.decode()
+        if piece.islower() and piece.isascii() and piece.isalpha():
+            ids = b"".join([self.four[t.id] for t in self.model.tokenize(letters)])
+        elif letters.isalpha() and letters == letters.lower() and is_normalized("NFC", letters):
+            ids = b"".join([self.four[t.id] for t in self.model.tokenize(piece.decode("latin-1").translate(_BYTE_LETTERS))])
+        else:
+            ids = self._plain([letters])[0]
+        if len(self.pieces) < PIECES and len(piece) <= LONGEST:
+            self.pieces[piece] = ids
+        return ids
 
 
 @lru_cache(maxsize=2)
