@@ -17,15 +17,15 @@ from .common import prefix_by_split, shared_dir, table
 from .tokens import encoder, tokenizer_path
 
 #: Ids of a block, blocks of a segment, lanes of a block that are coded side by side, ids that a lane has at least, and the mark of a segment.
-BLOCK, BLOCKS, LANES, LANE, MAGIC = 1 << 20, 4, 2048, 128, b"QCM2"
+BLOCK, BLOCKS, LANES, LANE, MAGIC = 1 << 21, 2, 4096, 128, b"QCM2"
 END_ID = 2
 #: Ids that the order-0 table holds, slots of the order-2 table, steps between two rebuilds of the order-0 table.
 SYMBOLS, _SLOTS, _EVERY = 49408, 1 << 18, 16
-#: Bits of the coder's total and of the order-0 total, highest sureness of a prediction, weight of an id in order 0.
-_TOTAL, _ORDER0, _SURE, _WEIGHT = 28, 22, 7, 24
+#: Bits of the coder's total and of the order-0 total, highest sureness of a prediction.
+_TOTAL, _ORDER0, _SURE = 28, 22, 7
 _TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
 _WORD, _KEEP = np.uint64(16), np.uint64(48)
-_ONE = np.uint32(1 << 16)
+_HALF = np.uint32(16)
 
 
 class _Coder:
@@ -85,10 +85,10 @@ class _Mixture:
         pairs = 2 * (_SURE + 1) ** 2
         self.outcomes = np.tile([0.4, 0.2, 0.4], (pairs, 1))
         self.outcomes[1::2, 1] = 0  # odd: both predict the same
-        self.counts = np.ones(SYMBOLS, np.int64)
-        self.new: list[np.ndarray] = []
+        self.rank, self.seen = np.full(SYMBOLS, -1, np.int64), np.empty(0, np.int64)
+        self.counts, self.new = np.empty(0, np.int64), []
+        self.cumulative = np.array([SYMBOLS], np.int64)
         self.weigh()
-        self.rebuild()
 
     def weigh(self) -> None:
         """Shares of the total for an order-2 hit and an order-1 hit; order 0 keeps a 64th at least."""
@@ -97,21 +97,54 @@ class _Mixture:
         self.two, self.one = np.ascontiguousarray(share[:, 0]), np.ascontiguousarray(share[:, 1])
         self.one[1::2] = 0
         self.both = self.two + self.one
+        #: intervals of a hit, by pair and whether it is order 2's
+        self.start = np.stack([self.two, np.zeros_like(self.two)], 1).ravel()
+        self.size = np.stack([self.one, self.two], 1).ravel()
 
     def rebuild(self) -> None:
-        if self.new:
-            self.counts += _WEIGHT * np.bincount(np.concatenate(self.new), minlength=SYMBOLS)
-            self.new = []
-        total = np.concatenate([[0], np.cumsum(self.counts)])
-        # every id keeps a frequency of one
-        self.cumulative = total * ((1 << _ORDER0) - SYMBOLS) // total[-1] + np.arange(SYMBOLS + 1)
-
-
-def _followed(table: np.ndarray, at: np.ndarray, entry: np.ndarray, guess: np.ndarray, token: np.ndarray) -> None:
+        """Order-0 frequencies of what has been seen, above one unit of the total for every id there is."""
+        ids = np.concatenate(self.new)
+        ranks, self.new = self.rank.take(ids), []
+        if len(ids) and ranks.min() < 0:
+            more = np.unique(ids[ranks < 0])
+            self.rank[more] = len(self.seen) + np.arange(len(more))
+            self.seen = np.concatenate([self.seen, more])
+            self.counts = np.concatenate([self.counts, np.zeros(len(more), np.int64)])
+            ranks = self.rank.take(ids)
+        self.counts = self.counts + np.bincount(ranks, minlength=len(self.seen))
+        if len(self.seen):
+            total = np.cumsum(self.counts)
+            room = (1 << _ORDER0) - SYMBOLS - len(self.seen)
+            upto = total * room // total[-1] + np.arange(1, len(total) + 1)
+            self.cumulative = np.concatenate([[0], upto]) + SYMBOLS
+
+    def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where ids begin and end in the order-0 total."""
+        rank = self.rank.take(ids)
+        known = rank >= 0
+        if known.all():
+            return self.cumulative.take(rank), self.cumulative.take(rank + 1)
+        begin, end = ids.copy(), ids + 1
+        begin[known], end[known] = self.cumulative[rank[known]], self.cumulative[rank[known] + 1]
+        return begin, end
+
+    def found(self, place: np.ndarray) -> np.ndarray:
+        """The ids whose intervals hold the places."""
+        ids = np.searchsorted(self.cumulative, place, side="right") - 1
+        known = ids >= 0
+        return self.seen.take(ids) if known.all() else np.where(known, np.append(self.seen, 0)[ids], np.minimum(place, SYMBOLS - 1))
+
+
+#: What a guess's sureness gains, by that sureness and whether the guess was right.
+_GAIN = np.array([[0 if k == 0 else -1 << 16, 0 if k == _SURE else 1 << 16] for k in range(_SURE + 1)], np.int64).astype(np.uint32).ravel()
+
+
+def _followed(table: np.ndarray, at: np.ndarray, entry: np.ndarray, sure: np.ndarray, right: np.ndarray, token: np.ndarray) -> None:
     """A right guess grows surer, a wrong one less sure, and one that is not sure gives way. Of equal slots the last lane writes."""
-    right, sure = guess == token, entry >= _ONE
-    better = np.where(entry < _ONE * np.uint32(_SURE), entry + _ONE, entry)
-    table[at] = np.where(right, better, np.where(sure, entry - _ONE, token.astype(np.uint32)))
+    new = entry + _GAIN.take(sure * 2 + right)
+    gives_way = np.flatnonzero(sure + right == 0)
+    new[gives_way] = token[gives_way]
+    table[at] = new
 
 
 def _run(n_ids: int, lanes: int, ids: np.ndarray | None, streams: np.ndarray | None) -> np.ndarray | tuple[np.ndarray, bytes]:
@@ -124,7 +157,7 @@ def _run(n_ids: int, lanes: int, ids: np.ndarray | None, streams: np.ndarray | N
     last_steps = n_ids - steps * (lanes - 1)
     told = None
     if ids is not None:
-        told = np.zeros(steps * lanes, np.int64)
+        told = np.zeros(steps * lanes, np.uint16)
         told[:n_ids] = ids
         told = np.ascontiguousarray(told.reshape(lanes, steps).T)
     coder, model = _Coder(lanes, 2 * steps + 8, streams), _Mixture()
@@ -136,38 +169,44 @@ def _run(n_ids: int, lanes: int, ids: np.ndarray | None, streams: np.ndarray | N
             before, last = before[:n], last[:n]
         slot = (last * 0x9E3779B1 + before * 0x85EBCA77 >> 13) & (_SLOTS - 1)
         two, one = model.after_two.take(slot), model.after_one.take(last)
-        guess_two, guess_one = two & np.uint32(0xFFFF), one & np.uint32(0xFFFF)
-        pair = ((two >> np.uint32(16)) * np.uint32(2 * (_SURE + 1)) + (one >> np.uint32(16)) * np.uint32(2) + (guess_two == guess_one)).astype(np.int64)
-        share_two, both = model.two.take(pair), model.both.take(pair)
-        rest = (1 << _TOTAL) - both
+        guess_two, guess_one = two.astype(np.uint16), one.astype(np.uint16)  # the lower halves
+        sure_two, sure_one = two >> _HALF, one >> _HALF
+        pair = (sure_two * np.uint32(2 * (_SURE + 1)) + sure_one * np.uint32(2) + (guess_two == guess_one)).astype(np.int64)
         if told is None:
             value = coder.value(n)
-            is_two, is_hit = value < share_two, value < both
-            token = np.where(is_two, guess_two, guess_one).astype(np.int64)
-            missed = np.flatnonzero(~is_hit)
-            place = (((value[missed] - both[missed] + 1) << _ORDER0) - 1) // rest[missed]
-            token[missed] = np.searchsorted(model.cumulative, place, side="right") - 1
+            is_two = value < model.two.take(pair)
+            missed = np.flatnonzero(value >= model.both.take(pair))
+            token = guess_one.copy()
+            np.copyto(token, guess_two, where=is_two)
+            pair_missed = pair[missed]
+            both = model.both.take(pair_missed)
+            found = model.found((((value[missed] - both + 1) << _ORDER0) - 1) // ((1 << _TOTAL) - both))
+            token[missed] = found
         else:
             token = told[t, :n]
             is_two = guess_two == token
-            is_hit = is_two | (guess_one == token)
-            missed = np.flatnonzero(~is_hit)
-        start, size = np.where(is_two, 0, share_two), np.where(is_two, share_two, both - share_two)
-        found, room = token[missed], rest[missed]
-        begins = room * model.cumulative.take(found) >> _ORDER0
-        start[missed] = both[missed] + begins
-        size[missed] = (room * model.cumulative.take(found + 1) >> _ORDER0) - begins
+            missed = np.flatnonzero(~(is_two | (guess_one == token)))
+            found, pair_missed = token[missed].astype(np.int64), pair[missed]
+            both = model.both.take(pair_missed)
+        hit = pair * 2 + is_two
+        start, size = model.start.take(hit), model.size.take(hit)
+        begin, end = model.interval(found)
+        room = (1 << _TOTAL) - both
+        begin = room * begin >> _ORDER0
+        start[missed] = both + begin
+        size[missed] = (room * end >> _ORDER0) - begin
         coder.narrow(n, start, size)
-        outcome = np.bincount(pair * 3 + np.where(is_two, 0, 2 - is_hit), minlength=model.outcomes.size)
-        model.outcomes += outcome.reshape(-1, 3)
-        _followed(model.after_two, slot, two, guess_two, token)
-        _followed(model.after_one, last, one, guess_one, token)
+        hits, misses = np.bincount(hit, minlength=model.start.size).reshape(-1, 2), np.bincount(pair_missed, minlength=model.both.size)
+        model.outcomes += np.stack([hits[:, 1], hits[:, 0] - misses, misses], 1)
+        _followed(model.after_two, slot, two, sure_two, is_two, token)
+        _followed(model.after_one, last, one, sure_one, guess_one == token, token)
         model.new.append(found)
-        model.weigh()
         if t < _EVERY or t % _EVERY == 0:
             model.rebuild()
+        if t < _EVERY or t % 4 == 0:
+            model.weigh()
         out[t, :n] = token
-        before, last = last, token
+        before, last = last, token.astype(np.int64)
     return np.ascontiguousarray(out.T).ravel()[:n_ids] if told is None else coder.finish()
 
 

@@ -237,7 +237,7 @@ def test_token_files(spark, odd, path):
 def test_segments_round_trip_and_report_damage():
     rng = np.random.default_rng(4)
     for ids in (np.empty(0), np.array([5]), rng.integers(0, 49_408, 5000), rng.zipf(1.4, 9000) % 49_408, np.full(4100, 49_407)):
-        data = token_files.encode_segment(ids.astype("<u4"), block=512)
+        data = token_files.encode_segment(ids.astype("<u4"), block=1500)
         assert (token_files.decode_segment(data) == ids).all()
     for damaged in (data[:-40] + bytes([data[-40] ^ 1]) + data[-39:], data[:30], b"none"):
         with pytest.raises(ValueError):
