@@ -26,14 +26,14 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced by a mark and n_chars counted anew."""
-    return secrets.redact(docs).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """All documents, with secrets replaced by a mark and n_chars, if there is one, counted anew (null for a null text)."""
+    made = secrets.redact(docs)
+    return made.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else made
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces, with their ids (little-endian unsigned 32-bit), sequence and offset."""
-    pieces = keep(packing.token_pieces(docs, tokenizer_path()), "pipeline-pieces")
-    return packing.pack(pieces, order=["doc_id", "piece", "ids_crc32", "length"])
+    return packing.pack(packing.token_pieces(docs, tokenizer_path()))
 
 
 #: In this order; each stage's rows are written as Parquet and read again as the next one's.

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,9 +18,10 @@ from .common import keep, table
 from .tokens import encoder, tokenizer_path
 
 CAPACITY, END_ID = 4096, 1
-#: Rounds of the multiplicative weights, the share of its scarcest length that one pattern may cover, the prices' learning rate, how far below the best a pattern may lie, the noise that makes rounds' patterns differ, and how often what rounding left is solved anew.
-ROUNDS, STEP, RATE, NEAR, NOISE, PASSES = 24, 0.25, 0.3, 0.5, 0.3, 2
-RANK_BLOCK = 20_000
+#: Rounds of the multiplicative weights, the share of its scarcest length that one pattern may cover, the prices' learning rate, how far below the best a pattern may lie, and the noise that makes rounds' patterns differ.
+ROUNDS, STEP, RATE, NEAR, NOISE = 24, 0.25, 0.3, 0.5, 0.3
+#: Most rows of counts (split, length, pieces before it) that are broadcast; more are joined.
+BROADCAST_ROWS = 500_000
 
 
 def _knapsack(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -43,14 +45,23 @@ def _fill(last: np.ndarray, sizes: np.ndarray, room: int) -> list[int]:
     return made
 
 
+def _best_pattern(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> float:
+    """Unbounded knapsack: the highest price of any pattern, with each size as often as it fits."""
+    best = np.zeros(capacity + 1)
+    for room in range(1, capacity + 1):
+        fits = int(np.searchsorted(sizes, room, side="right"))
+        best[room] = max(best[room - 1], float((best[room - sizes[:fits]] + prices[:fits]).max()) if fits else 0.0)
+    return float(best[capacity])
+
+
 def configuration_program(sizes: np.ndarray, demand: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> tuple[dict, float]:
     """Fractional patterns that cover the demand, by multiplicative weights, and a lower bound on the sequences.
 
     Each length has a price, at first its share of the capacity. A round solves the pricing knapsack once, by dynamic
     programming; for every length still short of its demand the pattern of that length and the best filling of what it
     leaves is taken, if its price is near the round's best, in an amount that covers STEP of its scarcest length; covered
-    lengths become cheaper by exp(-RATE * covered share). The demand at the first prices, over a full sequence's, is the
-    volume bound.
+    lengths become cheaper by exp(-RATE * covered share). Any prices give a dual bound: the demand at these prices over
+    the best pattern's price; the better of the last prices' and the first ones' (the volume) is returned.
     """
     prices, covered = sizes / capacity, np.zeros(len(sizes))
     noise = np.random.default_rng(0)
@@ -71,7 +82,7 @@ def configuration_program(sizes: np.ndarray, demand: np.ndarray, capacity: int =
             share = amount * takes / demand[ids]
             covered[ids] += share
             prices[ids] *= np.exp(-RATE * share)
-    return amounts, float(demand @ sizes / capacity)
+    return amounts, max(float(demand @ sizes / capacity), float(demand @ prices) / _best_pattern(sizes, prices, capacity))
 
 
 def _rounded(amounts: dict, demand: np.ndarray) -> tuple[list, np.ndarray]:
@@ -113,23 +124,34 @@ def _best_fit(sizes: np.ndarray, left: np.ndarray, capacity: int) -> list:
 
 
 def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> tuple[list[tuple[dict[int, int], int]], float]:
-    """[(pattern {length: times in the sequence}, sequences)] that pack the histogram exactly, and the lower bound.
+    """[(pattern {length: times in the sequence}, sequences)] that pack the histogram exactly, and the program's dual bound.
 
-    The program's amounts are rounded to whole sequences, and the demand that leaves is solved anew, PASSES times; what
-    then is left is packed best-fit.
+    The program's amounts are rounded to whole sequences, and the demand that leaves is solved anew until none is left;
+    each time some third of it goes. Where packing the rest best-fit after some pass takes fewer sequences in all (as it
+    may with a few hundred pieces, whose amounts round badly), the plan stops there; on equal numbers it goes on.
     """
     if not histogram:
         return [], 0.0
     sizes = np.array(sorted(histogram))
     demand = np.array([histogram[s] for s in sizes], np.float64)
-    bound, plan, left = float(demand @ sizes / capacity), [], demand.astype(np.int64)
-    for _ in range(PASSES):
+    bound, plan, left = 0.0, [], demand.astype(np.int64)
+    used, best = 0, None
+    while True:
+        rest = _best_fit(sizes, left, capacity)
+        total = used + sum(times for _, times in rest)
+        if best is None or total <= best[0]:
+            best = total, len(plan), rest
         some = np.flatnonzero(left)
-        if len(some):
-            amounts = configuration_program(sizes[some], left[some].astype(np.float64), capacity, rounds)[0]
-            taken, left[some] = _rounded(amounts, left[some])
-            plan += [({int(some[k]): n for k, n in pattern.items()}, times) for pattern, times in taken]
-    plan += _best_fit(sizes, left, capacity)
+        if not len(some):
+            break
+        amounts, least = configuration_program(sizes[some], left[some].astype(np.float64), capacity, rounds)
+        bound = bound or least
+        taken, left[some] = _rounded(amounts, left[some])
+        if not taken:
+            break
+        plan += [({int(some[k]): n for k, n in pattern.items()}, times) for pattern, times in taken]
+        used += sum(times for _, times in taken)
+    plan = plan[: best[1]] + best[2]
     return [({int(sizes[k]): n for k, n in pattern.items()}, times) for pattern, times in plan], bound
 
 
@@ -147,24 +169,50 @@ def _intervals(plan: list) -> np.ndarray:
     return np.array(sorted(rows), dtype=np.int64).reshape(-1, 5)
 
 
-def with_rank(rows: DataFrame, key: str, order: list[str], name: str = "rank") -> DataFrame:
-    """Adds the row's place (from 0) among those of its ``key``, without bringing a key's rows together.
+def numbered(rows: DataFrame) -> DataFrame:
+    """Adds _split (the task that made the row) and _nth (long: rows of the same ``length`` before it in that task).
 
-    Each row gets a salt from a hash of ``order``; ranks run inside (key, salt), salts follow one another by their
-    counts. The salts' number follows the table's rows, so no window sees much more than RANK_BLOCK rows unless they
-    are equal in all of ``order``.
+    Both hold once the rows are written: later reads see what was written.
     """
-    salts = max(1, -(-rows.count() // RANK_BLOCK))
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
-    inside = Window.partitionBy(key, "_salt").orderBy(*order)
-    before = Window.partitionBy(key).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    counts = salted.groupBy(key, "_salt").agg(F.count("*").alias("_n"))
-    counts = counts.select(key, "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return salted.join(counts, [key, "_salt"]).withColumn(name, F.col("_before") + F.row_number().over(inside) - 1).drop("_salt", "_before")
+    at = rows.columns.index("length")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, seen = TaskContext.get().partitionId(), np.zeros(0, np.int64)
+        for batch in batches:
+            length = batch.column(at).to_numpy(zero_copy_only=False).astype(np.int64)
+            if not len(length):
+                continue
+            seen = np.concatenate([seen, np.zeros(max(0, int(length.max()) + 1 - len(seen)), np.int64)])
+            order = np.argsort(length, kind="stable")
+            sorted_ = length[order]
+            first = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
+            counts = np.diff(np.append(first, len(sorted_)))
+            nth = np.empty(len(length), np.int64)
+            nth[order] = np.arange(len(sorted_)) - np.repeat(first, counts) + seen[sorted_]
+            seen[sorted_[first]] += counts
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(length), split, np.int32)), pa.array(nth)], names=[*batch.schema.names, "_split", "_nth"])
+
+    return rows.mapInArrow(each, T.StructType([*rows.schema.fields, T.StructField("_split", T.IntegerType()), T.StructField("_nth", T.LongType())]))
+
+
+def with_rank(rows: DataFrame, name: str) -> DataFrame:
+    """Adds the row's place (from 0) among all of its ``length`` to written rows with _split and _nth.
+
+    Only counts are shuffled, one row a split and length; the rows themselves meet their counts by a broadcast where the
+    counts have been seen to be few (BROADCAST_ROWS), else by a join.
+    """
+    counts = rows.groupBy("length", "_split").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("length").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    counts = keep(counts.select("length", "_split", F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("long").alias("_before")), "piece-counts")
+    counts = F.broadcast(counts) if counts.count() <= BROADCAST_ROWS else counts
+    return rows.join(counts, ["length", "_split"]).withColumn(name, F.col("_before") + F.col("_nth"))
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
-    """(id, piece int, start long, length int, ids_crc32 long[, ids binary]): whole texts' ids and the end id, cut at ``capacity``."""
+    """(id, piece int, start long, length int, ids_crc32 long[, ids binary]): whole texts' ids and the end id, cut at ``capacity``.
+
+    Null and empty texts are the end id alone; repeated rows and null ids give their own pieces; an empty table gives none.
+    """
     end = np.array([END_ID], "<u4").tobytes()
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -187,23 +235,23 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: s
     return docs.select(id_col, text_col).mapInArrow(each, f"`{id_col}` {kind}, piece int, start long, length int, ids_crc32 long" + ", ids binary" * with_ids)
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS, order: list[str] | None = None) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
     """Adds sequence_id and offset (long) to pieces with a ``length`` (1 to ``capacity``): few, nearly full sequences.
 
     The driver sees the length histogram alone (``capacity`` rows at most) and returns, for each pattern and length,
     the interval of that length's ranks it takes; a piece finds its place by its rank. Patterns number at most as many
-    as lengths times rounds, whatever the corpus. ``order`` (default: all columns) fixes ranks; rows equal in it are
-    interchangeable. An empty table gives no rows. Other columns pass through.
+    as lengths times rounds, a pass, whatever the corpus. The pieces are written once, with their place in the task that
+    makes them, and never shuffled. Which of equally long pieces goes where follows the input's order. Null columns and
+    repeated rows are packed like any others; an empty table gives no rows. Other columns pass through, but sequence_id
+    and offset of the input are replaced.
     """
-    rows = pieces.drop("sequence_id", "offset")
-    order = order or rows.columns
+    rows = pieces.drop("sequence_id", "offset", "_split", "_nth")
+    names, schema = rows.columns, T.StructType([*rows.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    rows = keep(numbered(rows), "pieces")
     histogram = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan, _ = plan_sequences(histogram, capacity, rounds)
     found = _intervals(plan)
     keys = found[:, 0] * (1 << 48) + found[:, 1]
-    ranked = with_rank(rows, "length", order, "_rank")
-    schema = T.StructType([*rows.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    names = rows.columns
     at = names.index("length"), len(names)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,10 +262,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS, orde
             made = pa.array(sequence + place // each_), pa.array(offset + place % each_ * length)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*names, "sequence_id", "offset"])
 
-    return ranked.select(*names, "_rank").mapInArrow(each, schema) if len(found) else rows.select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return with_rank(rows, "_rank").select(*names, "_rank").mapInArrow(each, schema)
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = keep(token_pieces(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False), "pieces")
-    packed = pack(pieces, order=["doc_id", "piece", "ids_crc32", "length"])
+    """Every piece of every document with its place, in the contract's columns; see ``token_pieces`` and ``pack``."""
+    packed = pack(token_pieces(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False))
     return packed.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
