@@ -71,8 +71,13 @@ def _upper_tail(z: Column) -> Column:
     return F.when(z < 0, 1 - tail).otherwise(tail)
 
 
-def randomness(runs: DataFrame) -> DataFrame:
-    """Adds the battery's chances and ``text_p`` to runs (column token).
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is made once: a lambda over an array of one."""
+    return F.transform(F.array(value), body)[0]
+
+
+def battery(token: Column) -> Column:
+    """struct<uniform_p, runs_p, serial_p, text_p> of one run of characters.
 
     The encoding is the narrowest alphabet that holds all characters. uniform_p: upper tail of chi-squared against the
     uniform alphabet (Wilson-Hilferty); runs_p: Wald-Wolfowitz about the alphabet's middle; serial_p: lag-1 correlation
@@ -80,43 +85,66 @@ def randomness(runs: DataFrame) -> DataFrame:
     is noncentral, by the length times (alphabet * TEXT_MATCH - 1), so a short run cannot reach a small chance; an
     alphabet that holds only part of ordinary text's characters multiplies it by that share for each character.
     """
-    alphabet, share, known = F.lit(ENCODINGS[-1][1]), F.lit(1.0), runs
-    for pattern, chars, part in reversed(ENCODINGS[:-1]):
-        fits = F.col("token").rlike(pattern)
-        alphabet, share = F.when(fits, F.lit(chars)).otherwise(alphabet), F.when(fits, F.lit(part)).otherwise(share)
-    known = known.withColumn("_alphabet", alphabet).withColumn("_share", share)
-    known = known.withColumn("_at", F.expr("transform(filter(split(token, ''), c -> c != ''), c -> instr(_alphabet, c) - 1)"))
-    known = known.withColumn("_n", F.size("_at").cast("double")).withColumn("_a", F.char_length("_alphabet").cast("double"))
-    known = known.withColumn("_mean", F.expr("aggregate(_at, 0L, (s, x) -> s + x) / _n"))
-    # sums of squared counts from the sorted places; runs and products of neighbours from the places as they stand
-    known = known.withColumn(
-        "_equal",
-        F.expr("""aggregate(array_sort(_at), named_struct('last', -1, 'run', 0L, 'sum', 0D),
-            (s, x) -> if(x = s.last, named_struct('last', x, 'run', s.run + 1L, 'sum', s.sum + 2D * s.run + 1D),
-                                     named_struct('last', x, 'run', 1L, 'sum', s.sum + 1D)), s -> s.sum)"""),
-    ).withColumn(
-        "_walk",
-        F.expr("""aggregate(_at, named_struct('last', cast(null AS INT), 'runs', 0D, 'low', 0D, 'cross', 0D, 'square', 0D),
-            (s, x) -> named_struct('last', x,
-                'runs', s.runs + if(s.last IS NULL OR (s.last < _a / 2) != (x < _a / 2), 1D, 0D),
-                'low', s.low + if(x < _a / 2, 1D, 0D),
-                'cross', s.cross + if(s.last IS NULL, 0D, (s.last - _mean) * (x - _mean)),
-                'square', s.square + (x - _mean) * (x - _mean)))"""),
-    )
-    n, a, low = F.col("_n"), F.col("_a"), F.col("_walk.low")
-    freedom = a - 1
-    chi = F.col("_equal") * a / n - n
-    uniform_z = (F.pow(F.greatest(chi, F.lit(0.0)) / freedom, 1 / 3) - (1 - 2 / (9 * freedom))) / F.sqrt(2 / (9 * freedom))
-    expected = 1 + 2 * low * (n - low) / n
-    runs_z = F.when(expected > 2, (F.col("_walk.runs") - expected) / F.sqrt((expected - 1) * (expected - 2) / (n - 1))).otherwise(F.lit(37.0))
-    serial_z = F.when(F.col("_walk.square") > 0, F.col("_walk.cross") / F.col("_walk.square") * F.sqrt(n)).otherwise(F.lit(37.0))
-    shift = n * F.greatest(a * TEXT_MATCH - 1, F.lit(0.0))
-    text_z = (freedom + shift - chi) / F.sqrt(2 * (freedom + 2 * shift))
-    match_p = F.when(shift > 0, _upper_tail(text_z)).otherwise(F.lit(1.0))
-    mixed = F.col("token").rlike("[0-9]") & F.col("token").rlike("[A-Za-z]")
-    part_p = F.when(mixed, F.pow("_share", n)).otherwise(F.lit(1.0))
-    known = known.withColumns({"uniform_p": _upper_tail(uniform_z), "runs_p": 2 * _upper_tail(F.abs(runs_z)), "serial_p": 2 * _upper_tail(F.abs(serial_z)), "text_p": match_p * part_p})
-    return known.drop("_alphabet", "_share", "_at", "_n", "_a", "_mean", "_equal", "_walk")
+
+    def encoding(t: Column) -> Column:
+        alphabet, share = F.lit(ENCODINGS[-1][1]), F.lit(1.0)
+        for pattern, chars, part in reversed(ENCODINGS[:-1]):
+            fits = t.rlike(pattern)
+            alphabet, share = F.when(fits, F.lit(chars)).otherwise(alphabet), F.when(fits, F.lit(part)).otherwise(share)
+        places = F.transform(F.filter(F.split(t, ""), lambda c: c != ""), lambda c: F.instr(alphabet, c) - 1)
+        mixed = t.rlike("[0-9]") & t.rlike("[A-Za-z]")
+        return F.struct(places.alias("at"), F.char_length(t).cast("double").alias("n"), F.char_length(alphabet).cast("double").alias("a"), share.alias("share"), mixed.alias("mixed"))
+
+    def counted(e: Column) -> Column:
+        # sums of squared counts from the sorted places; runs and products of neighbours from the places as they stand
+        start = F.struct(F.lit(-1).alias("last"), F.lit(0).cast("long").alias("run"), F.lit(0.0).alias("sum"))
+        equal = F.aggregate(
+            F.array_sort(e["at"]), start,
+            lambda s, x: F.when(x == s["last"], F.struct(x.alias("last"), (s["run"] + 1).alias("run"), (s["sum"] + 2.0 * s["run"] + 1.0).alias("sum"))).otherwise(
+                F.struct(x.alias("last"), F.lit(1).cast("long").alias("run"), (s["sum"] + 1.0).alias("sum"))
+            ),
+            lambda s: s["sum"],
+        )
+        mean = F.aggregate(e["at"], F.lit(0).cast("long"), lambda s, x: s + x) / e["n"]
+        return F.struct(e.alias("e"), equal.alias("equal"), mean.alias("mean"))
+
+    def walked(c: Column) -> Column:
+        half, mean = c["e"]["a"] / 2, c["mean"]
+        zero = F.lit(0.0)
+        start = F.struct(F.lit(None).cast("int").alias("last"), zero.alias("runs"), zero.alias("low"), zero.alias("cross"), zero.alias("square"))
+        walk = F.aggregate(
+            c["e"]["at"], start,
+            lambda s, x: F.struct(
+                x.alias("last"),
+                (s["runs"] + F.when(s["last"].isNull() | ((s["last"] < half) != (x < half)), 1.0).otherwise(0.0)).alias("runs"),
+                (s["low"] + F.when(x < half, 1.0).otherwise(0.0)).alias("low"),
+                (s["cross"] + F.when(s["last"].isNull(), 0.0).otherwise((s["last"] - mean) * (x - mean))).alias("cross"),
+                (s["square"] + (x - mean) * (x - mean)).alias("square"),
+            ),
+        )
+        return F.struct(c["e"].alias("e"), c["equal"].alias("equal"), walk.alias("walk"))
+
+    def chances(k: Column) -> Column:
+        n, a, low = k["e"]["n"], k["e"]["a"], k["walk"]["low"]
+        freedom = a - 1
+        chi = k["equal"] * a / n - n
+        uniform_z = (F.pow(F.greatest(chi, F.lit(0.0)) / freedom, 1 / 3) - (1 - 2 / (9 * freedom))) / F.sqrt(2 / (9 * freedom))
+        expected = 1 + 2 * low * (n - low) / n
+        runs_z = F.when(expected > 2, (k["walk"]["runs"] - expected) / F.sqrt((expected - 1) * (expected - 2) / (n - 1))).otherwise(F.lit(37.0))
+        serial_z = F.when(k["walk"]["square"] > 0, k["walk"]["cross"] / k["walk"]["square"] * F.sqrt(n)).otherwise(F.lit(37.0))
+        shift = n * F.greatest(a * TEXT_MATCH - 1, F.lit(0.0))
+        text_z = (freedom + shift - chi) / F.sqrt(2 * (freedom + 2 * shift))
+        match_p = F.when(shift > 0, _upper_tail(text_z)).otherwise(F.lit(1.0))
+        part_p = F.when(k["e"]["mixed"], F.pow(k["e"]["share"], n)).otherwise(F.lit(1.0))
+        return F.struct(_upper_tail(uniform_z).alias("uniform_p"), (2 * _upper_tail(F.abs(runs_z))).alias("runs_p"), (2 * _upper_tail(F.abs(serial_z))).alias("serial_p"), (match_p * part_p).alias("text_p"))
+
+    return _let(encoding(token), lambda e: _let(counted(e), lambda c: _let(walked(c), chances)))
+
+
+def discovery_level(token: Column) -> Column:
+    """The bin of -log10 text_p of a run that passes the battery, -1 of any other."""
+    level = lambda p: F.least(F.floor(-F.log10(F.greatest(p["text_p"], F.lit(1e-300))) / BIN), F.lit(BINS)).cast("int")
+    return _let(battery(token), lambda p: F.when(F.least(p["uniform_p"], p["runs_p"], p["serial_p"]) >= TEST_LEVEL, level(p)).otherwise(F.lit(-1)))
 
 
 def discovery_bin(tested: DataFrame) -> int | None:
@@ -143,10 +171,7 @@ def scan(docs: DataFrame) -> DataFrame:
     rows = with_position(docs.select("doc_id", "text"), "row")
     found = keep(matches(rows, F.coalesce("text", F.lit(""))), "matches")
     placed = spans(found)
-    tested = randomness(placed.where("kind = 3")).withColumn("_passes", F.least("uniform_p", "runs_p", "serial_p") >= TEST_LEVEL)
-    level = F.least(F.floor(-F.log10(F.greatest("text_p", F.lit(1e-300))) / BIN), F.lit(BINS)).cast("int")
-    tested = tested.withColumn("bin", F.when(F.col("_passes"), level).otherwise(F.lit(-1)))
-    tested = keep(tested.select("row", "kind", "start", "end", "bin"), "tested-runs")
+    tested = keep(placed.where("kind = 3").select("row", "kind", "start", "end", discovery_level(F.col("token")).alias("bin")), "tested-runs")
     lowest = discovery_bin(tested)
     everything = placed.where("kind < 3").select("row", "kind", "start", "end").unionByName(
         tested.where(F.col("bin") >= (lowest if lowest is not None else BINS + 1)).select("row", "kind", "start", "end")
@@ -165,19 +190,29 @@ def _listed(spans: str) -> str:
     return f"array_join(transform({spans}, s -> concat_ws(':', CASE s.kind {names} END, s.start, s.end)), ',')"
 
 
-def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """``docs`` with every found span of ``text`` replaced by ``mark``; rows and columns stay, a text without spans too."""
-    names = docs.columns
-    rows = keep(with_position(docs, "_row"), "secret-rows")
-    scan_rows = scan(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "found")
-    joined = rows.join(scan_rows.where(F.size("found") > 0), "_row", "left")
-    cut = F.expr(
-        f"""aggregate(found, named_struct('at', 0L, 'parts', cast(array() AS array<string>)),
-            (acc, s) -> if(s.start < acc.at, named_struct('at', greatest(acc.at, s.end), 'parts', acc.parts),
-                named_struct('at', s.end, 'parts', concat(acc.parts, array(substring(text, cast(acc.at + 1 AS INT), cast(s.start - acc.at AS INT)), '{mark}')))),
-            acc -> concat(array_join(acc.parts, ''), substring(text, cast(acc.at + 1 AS INT))))"""
-    )
-    return joined.withColumn("text", F.when(F.col("found").isNull(), F.col("text")).otherwise(cut)).select(*names)
+def _replaced(text: Column, pattern: str, value) -> Column:
+    """``text`` with every match of ``pattern`` replaced by ``value`` of it: the texts between matches and the values, joined."""
+    parts = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, m: F.concat(gap, F.coalesce(value(m), F.lit(""))))
+    return F.when(text.rlike(pattern), F.array_join(parts, "")).otherwise(text)
+
+
+def redact(docs: DataFrame, mark: str = "[secret]", text_col: str = "text") -> DataFrame:
+    """``docs`` with secrets in ``text_col`` replaced by ``mark``; rows and all columns stay, a text without secrets too.
+
+    A first pass over the texts only counts runs by their bin of chances, which gives the bin that false-discovery control
+    accepts; the second replaces matches inside each row: the named patterns in the order of KINDS, then accepted runs of
+    what is left. So no text is shuffled or written. Null texts stay null, repeated rows are treated alike, an empty
+    table stays empty.
+    """
+    text = F.col(text_col)
+    runs = docs.where(text.rlike(CANDIDATE)).select(F.explode(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).alias("token"))
+    lowest = discovery_bin(runs.select(discovery_level(F.col("token")).alias("bin")))
+    made = _replaced(text, ASSIGN, lambda m: F.when(F.char_length(F.regexp_extract(m, ASSIGN, 2)) >= ASSIGN_VALUE, mark).otherwise(m))
+    made = F.regexp_replace(F.regexp_replace(made, ACCESS, mark), HEX, mark)
+    made = docs.withColumn(text_col, made)
+    if lowest is None:
+        return made
+    return made.withColumn(text_col, _replaced(text, CANDIDATE, lambda m: F.when(discovery_level(m) >= lowest, mark).otherwise(m)))
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
