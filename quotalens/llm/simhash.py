@@ -17,13 +17,11 @@ from .common import keep, table, with_position
 from .graph import components
 
 SHINGLE, RADIUS, BITS, TILE = 3, 2, 64, 1024
-#: For dropping near copies: radius between 64-bit fingerprints of distinct words; words of a shingle; 64-bit parts of the
-#: shingles' wide fingerprint and its radius. Two sets of Jaccard similarity J differ in acos(2J / (1 + J)) / pi of the
-#: bits: of 512, 77 +- 8 at 0.8, 98 +- 9 at 0.7. A dropped text also has the least exact similarity with one that stays.
-COPY_RADIUS, COPY_SHINGLE, WIDE, WIDE_RADIUS, SIZE_RATIO, PAIR_SIMILARITY = 7, 5, 8, 92, 0.75, 0.8
+#: For dropping near copies: radius between 64-bit fingerprints of distinct words, words of a shingle, and the least exact
+#: similarity of a dropped text with one that stays.
+COPY_RADIUS, COPY_SHINGLE, PAIR_SIMILARITY = 3, 5, 0.8
 #: Texts sampled for common shingles, texts of these that share one, and the most that are told apart; they order shingles only.
 SAMPLE_TEXTS, COMMON_TEXTS, COMMON_MOST = 10_000, 3, 50_000
-_MIX = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) & (1 << 64) - 1 for k in range(1, WIDE + 1)], np.uint64)
 _BIT_OF = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 _PLACE = np.arange(8, dtype=np.int64) * 256
 
@@ -71,16 +69,6 @@ def word_fingerprint(text: bytes) -> int:
     return _majority(np.array([xxhash.xxh64_intdigest(w, 42) for w in set(text.lower().split())], np.uint64))
 
 
-def wide_fingerprint(text: bytes) -> list[int]:
-    """SimHash of the distinct shingles in WIDE parts of 64 bits, from as many mixes of each shingle's hash."""
-    hashes, made = np.unique(_shingle_hashes(text, COPY_SHINGLE)), []
-    for m in _MIX:
-        mixed = (hashes ^ (hashes >> np.uint64(29)) ^ m) * (m | np.uint64(1))
-        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        made.append(_majority(mixed ^ (mixed >> np.uint64(32))))
-    return made
-
-
 def _shingles(text: str) -> set:
     words = text.encode().lower().split()
     return {tuple(words[k : k + COPY_SHINGLE]) for k in range(max(1, len(words) - COPY_SHINGLE + 1))}
@@ -91,10 +79,10 @@ def _jaccard(a: set, b: set) -> float:
     return same / (len(a) + len(b) - same)
 
 
-def _near_in_runs(radius: int, parts: int, wide_radius: int, ratio: float):
+def _near_in_runs(radius: int):
     """Compares all fingerprints of a run of equal tile keys with exclusive-or and bit counts, in arrays over many runs."""
 
-    def linked(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, *more: np.ndarray) -> pa.RecordBatch:
+    def linked(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
         left, right, step = [], [], 0
         at = np.arange(len(keys))
         while len(at):
@@ -102,14 +90,6 @@ def _near_in_runs(radius: int, parts: int, wide_radius: int, ratio: float):
             at = at[at + step < len(keys)]
             at = at[keys[at] == keys[at + step]]
             near = at[np.bitwise_count(fps[at] ^ fps[at + step]) <= radius]
-            if ratio:
-                a, b = more[0][near], more[0][near + step]
-                near = near[np.minimum(a, b) >= ratio * np.maximum(a, b)]
-            if parts and len(near):
-                differ = np.zeros(len(near), np.int32)
-                for part in more[1:]:
-                    differ += np.bitwise_count(part[near] ^ part[near + step])
-                near = near[differ <= wide_radius]
             left.append(near)
             right.append(near + step)
         i, j = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
@@ -142,18 +122,16 @@ def _near_in_runs(radius: int, parts: int, wide_radius: int, ratio: float):
     return each
 
 
-def near_links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE, wide_radius: int = 0, ratio: float = 0.0) -> DataFrame:
-    """Links (a, b) between ``nodes`` (node, fp, and for texts: size, w0, w1, ...; all long) with the same components as
-    all near pairs.
+def near_links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """Links (a, b) between ``nodes`` (node, fp; both long) with the same components as all near pairs.
 
-    Near: fp differs in at most ``radius`` bits, the smaller size is at least ``ratio`` of the larger, and the parts w
-    differ in at most ``wide_radius`` bits in all. Of radius + 2 segments of a fingerprint, two at least are equal in any
+    Near: fp differs in at most ``radius`` bits. Of radius + 2 segments of a fingerprint, two at least are equal in any
     pair within the radius; so the pairs inside the blocks that share two segments are all there are. A block of up to
     ``tile`` nodes is one tile. A larger one is cut into tiles of one population count each, and tile pairs whose counts
     differ by more than the radius are skipped. Every remaining tile pair is compared exactly, whatever the block's size;
     a task never holds more than two tiles (about; tiles are cut by a hash) of one block.
     """
-    n, fp, own = radius + 2, F.col("fp"), nodes.columns
+    n, fp, own = radius + 2, F.col("fp"), ["node", "fp"]
     cuts = [round(BITS * k / n) for k in range(n + 1)]
     segment = [F.shiftrightunsigned(fp, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(cuts, cuts[1:])]
     bands = [F.xxhash64(F.lit(k), segment[x], segment[y]) for k, (x, y) in enumerate(combinations(range(n), 2))]
@@ -170,7 +148,7 @@ def near_links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE, wide_ra
     )
     large = cut.select(F.xxhash64("band", F.least("own_tile", "other_tile"), F.greatest("own_tile", "other_tile")).alias("tile"), *own)
     tiles = small.unionByName(large).repartition("tile").sortWithinPartitions("tile")
-    return tiles.mapInArrow(_near_in_runs(radius, len(own) - 3 if len(own) > 2 else 0, wide_radius, ratio), "a long, b long")
+    return tiles.mapInArrow(_near_in_runs(radius), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, tile: int = TILE, id_col: str = "doc_id") -> DataFrame:
@@ -263,24 +241,46 @@ def _first_shingles(texts: DataFrame, common: np.ndarray, new: int) -> DataFrame
                 first = own[np.lexsort((own, rank))][: _prefix(len(own), PAIR_SIMILARITY)]
                 found.append(first)
                 rows_.append(np.full(len(first), row, np.int64))
-                at.append(np.arange(len(first)))
-                size.append(np.full(len(first), len(own), np.int64))
-            columns = [np.concatenate(found).view(np.int64), *[np.concatenate([np.empty(0, np.int64), *c]) for c in (rows_, at, size)]]
+                at.append(np.arange(len(first), dtype=np.int32))
+                size.append(np.full(len(first), len(own), np.int32))
+            columns = [np.concatenate(found).view(np.int64), np.concatenate([np.empty(0, np.int64), *rows_]), *[np.concatenate([np.empty(0, np.int32), *c]) for c in (at, size)]]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "_row", "at", "size"])
 
-    return texts.select("_row", "text").mapInArrow(each, "h long, _row long, at long, size long").withColumn("new", F.lit(new))
+    return texts.select("_row", "text").mapInArrow(each, "h long, _row long, at int, size int").withColumn("new", F.lit(new))
+
+
+def _in_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows, sorted by their first column, whose key another row has too; a task holds one row between batches."""
+    last_key, last_given, last_row = None, True, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(0).to_numpy()
+        same = keys[1:] == keys[:-1]
+        given = np.append(False, same) | np.append(same, False)
+        if last_row is not None and keys[0] == last_key:
+            given[0] = True
+            if not last_given:
+                yield last_row
+        yield batch.filter(pa.array(given))
+        last_key, last_given, last_row = keys[-1], given[-1], batch.slice(batch.num_rows - 1)
 
 
 def _similar_pairs(first: DataFrame) -> DataFrame:
     """(_row, _head) of all pairs, at least one of them new, that share a first shingle and whose sizes and places allow for
-    PAIR_SIMILARITY (9 times the common shingles is 4 times both sizes). Blocks of over TILE texts are dealt into tiles of
-    that size, and all pairs of tiles compared."""
-    counts = first.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    dealt = first.join(counts, "h").selectExpr("*", f"pmod(xxhash64(_row), ceil(n / {TILE})) AS k", f"explode(sequence(0L, ceil(n / {TILE}) - 1)) AS j")
+    PAIR_SIMILARITY (9 times the common shingles is 4 times both sizes).
+
+    Most first shingles are in one text alone, so one narrow shuffle drops these; what is left is written. Blocks of over
+    TILE texts are dealt into tiles of that size, and all pairs of tiles compared.
+    """
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in first.schema)
+    shared = keep(first.repartition("h").sortWithinPartitions("h").mapInArrow(_in_runs, kind), "near-shared")
+    counts = shared.groupBy("h").agg(F.count("*").alias("n"))
+    dealt = shared.join(counts, "h").selectExpr("*", f"pmod(xxhash64(_row), ceil(n / {TILE})) AS k", f"explode(sequence(0L, ceil(n / {TILE}) - 1)) AS j")
     dealt = dealt.selectExpr("h", "least(k, j) AS k", "greatest(k, j) AS j", "_row", "at", "size", "new")
     a, b = dealt.alias("a"), dealt.alias("b")
     both = a.join(b, F.expr("a.h = b.h AND a.k = b.k AND a.j = b.j AND a._row < b._row"))
-    both = both.where("a.new + b.new > 0 AND 5 * least(a.size, b.size) >= 4 * greatest(a.size, b.size) AND 9 * least(a.size - a.at, b.size - b.at) >= 4 * (a.size + b.size)")
+    both = both.where("a.new + b.new > 0 AND 5L * least(a.size, b.size) >= 4L * greatest(a.size, b.size) AND 9L * least(a.size - a.at, b.size - b.at) >= 4L * (a.size + b.size)")
     return both.selectExpr("a._row AS _row", "b._row AS _head").distinct()
 
 
@@ -317,31 +317,28 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     Equal texts (but for white space and case) are one text. No two texts that stay are PAIR_SIMILARITY similar in their
     distinct shingles, and each that goes is so to one that stays, in three steps:
 
-    1. Dense groups shrink: components of links between texts whose word fingerprints lie within COPY_RADIUS, whose wide
-       shingle fingerprints lie within WIDE_RADIUS and whose numbers of shingles allow for it. In a group, in the order of
-       ids, a text goes if it is similar to one that stays: first all are held against the smallest, in parallel, then
-       the leftovers against each other in one sorted pass.
+    1. Dense groups shrink: components of links between texts whose fingerprints of distinct words lie within COPY_RADIUS.
+       In a group, in the order of ids, a text goes if it is similar to one that stays: first all are held against the
+       smallest, in parallel, then the leftovers against each other in one sorted pass.
     2. Among what is left, all similar pairs are found by a prefix filter, which misses none, and components of these are
        settled alike; a text to which more went in step 1 comes first.
     3. A text that went to one that itself goes in step 2 comes back, and is held against all that stay.
 
     Null and blank texts are copies of each other. Null ids come last; ties go by input order; an empty table stays empty.
     """
-    names, parts = docs.columns, [f"w{k}" for k in range(WIDE)]
+    names = docs.columns
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            made = [[word_fingerprint(t) for t in texts], [len(np.unique(_shingle_hashes(t, COPY_SHINGLE))) for t in texts]]
-            made += list(np.array([wide_fingerprint(t) for t in texts], np.int64).reshape(-1, WIDE).T)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], *[pa.array(m, pa.int64()) for m in made]], names=["_row", "node", "_id", "fp", "size", *parts])
+            made = [word_fingerprint(t or b"") for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(made, pa.int64())], names=["_row", "node", "_id", "fp"])
 
     rows = keep(with_position(docs, "_row"), "near-rows")
     text = F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[\x20\x09-\x0D]+", " "))
     marks = rows.select("_row", "text", F.xxhash64(text).alias("node"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("_id"))
-    marks = keep(marks.mapInArrow(marked, ", ".join(f"{c} long" for c in ("_row", "node", "_id", "fp", "size", *parts))), "near-marks")
-    texts = keep(marks.groupBy("node").agg(F.min(F.struct("_id", "_row")).alias("_first"), *[F.min(c).alias(c) for c in ("fp", "size", *parts)]), "near-texts")
-    roots = components(near_links(texts.select("node", "fp", "size", *parts), COPY_RADIUS, TILE, WIDE_RADIUS, SIZE_RATIO)).withColumnRenamed("node", "_node")
+    marks = marks.mapInArrow(marked, "_row long, node long, _id long, fp long")
+    texts = keep(marks.groupBy("node").agg(F.min(F.struct("_id", "_row")).alias("_first"), F.min("fp").alias("fp")), "near-texts")
+    roots = components(near_links(texts.select("node", "fp"), COPY_RADIUS)).withColumnRenamed("node", "_node")
     grouped = texts.join(roots, texts["node"] == roots["_node"], "left").select(F.coalesce("root", "node").alias("_root"), F.col("_first._id").alias("_id"), F.col("_first._row").alias("_row"))
     grouped = keep(grouped, "near-groups")
     heads = keep(grouped.groupBy("_root").agg(F.min(F.struct("_id", "_row"))["_row"].alias("_head"), F.count("*").alias("n")), "near-heads")
@@ -355,14 +352,15 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     left = keep(left.select("_row", F.struct((-F.coalesce("_taken", F.lit(0))).alias("_before"), "_id", "_row").alias("_order")), "near-left")
     left_texts = rows.select("_row", "text").join(left, "_row", "left_semi")
     common = _common_shingles(left_texts, left.count())
-    first = keep(_first_shingles(left_texts, common, 1), "near-first")
+    first = _first_shingles(left_texts, common, 1)
     again = _settled_exactly(left, first, rows)
 
     left = left.join(again, "_row", "left_anti").select("_row", "_order")
     back = keep(gone.join(again.select(F.col("_row").alias("_by")), "_by", "left_semi").select("_row").join(grouped.select("_row", "_id"), "_row"), "near-back")
     if not back.isEmpty():
+        # texts that come back are few, so first shingles are made anew rather than kept for them
         more = keep(_first_shingles(rows.select("_row", "text").join(back, "_row", "left_semi"), common, 1), "near-more")
-        first = first.join(left, "_row", "left_semi").join(more, "h", "left_semi").withColumn("new", F.lit(0)).unionByName(more)
+        first = first.withColumn("new", F.lit(0)).join(more.select("h").distinct(), "h", "left_semi").join(left, "_row", "left_semi").unionByName(more)
         # those that stay come first, so none of them goes: no two are similar
         back = back.select("_row", F.struct(F.lit(1).cast("long").alias("_before"), "_id", "_row").alias("_order"))
         left = left.unionByName(back)
