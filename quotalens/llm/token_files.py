@@ -20,9 +20,9 @@ from .tokens import encoder, tokenizer_path
 BLOCK, BLOCKS, LANES, LANE, MAGIC = 1 << 21, 2, 4096, 128, b"QCM2"
 END_ID = 2
 #: Ids that the order-0 table holds, slots of the order-2 table, steps between two rebuilds of the order-0 table.
-SYMBOLS, _SLOTS, _EVERY = 49408, 1 << 18, 16
-#: Bits of the coder's total and of the order-0 total, highest sureness of a prediction.
-_TOTAL, _ORDER0, _SURE = 28, 22, 7
+SYMBOLS, _SLOTS, _EVERY = 49408, 1 << 18, 32
+#: Bits of the coder's total and of the order-0 total, highest sureness of a prediction, low bits that the table of places leaves out.
+_TOTAL, _ORDER0, _SURE, _NEARBY = 28, 22, 7, 8
 _TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
 _WORD, _KEEP = np.uint64(16), np.uint64(48)
 _HALF = np.uint32(16)
@@ -33,12 +33,14 @@ class _Coder:
 
     def __init__(self, lanes: int, room: int, streams: np.ndarray | None = None) -> None:
         self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
-        self.at, self.decoding = np.zeros(lanes, np.int64), streams is not None
-        self.words = streams if self.decoding else np.zeros((lanes, room), np.uint16)
+        self.decoding = streams is not None
+        rows = streams if self.decoding else np.zeros((lanes, room), np.uint16)
+        #: words of all lanes in one row, and each lane's place there
+        self.room, self.words, self.at = rows.shape[1], rows.ravel(), np.arange(lanes) * rows.shape[1]
         self.code = np.zeros(lanes, np.uint64)
         if self.decoding:
             for _ in range(4):
-                self.code = (self.code << _WORD) | self.words[np.arange(lanes), self.at]
+                self.code = (self.code << _WORD) | self.words[self.at]
                 self.at += 1
 
     def value(self, n: int) -> np.ndarray:
@@ -47,22 +49,24 @@ class _Coder:
         return np.minimum((self.code[:n] - self.low[:n]) // step, np.uint64((1 << _TOTAL) - 1)).astype(np.int64)
 
     def narrow(self, n: int, start: np.ndarray, size: np.ndarray) -> None:
-        step = self.range[:n] >> np.uint64(_TOTAL)
         low, span = self.low[:n], self.range[:n]
-        low += start.astype(np.uint64) * step
-        np.multiply(size.astype(np.uint64), step, out=span)
+        span >>= np.uint64(_TOTAL)
+        low += start.view(np.uint64) * span
+        span *= size.view(np.uint64)
         same = (low ^ (low + span)) < _TOP
         moved = np.flatnonzero(same | (span < _BOTTOM))
         while len(moved):  # only a lane that gave a word can have another
-            l, r = low[moved], span[moved]
-            r = np.where(same[moved], r, (np.uint64(0) - l) & (_BOTTOM - np.uint64(1)))
-            at = self.at[moved]
+            l, r, at = low.take(moved), span.take(moved), self.at.take(moved)
+            tight = np.flatnonzero(~same.take(moved))
+            if len(tight):
+                r[tight] = (np.uint64(0) - l[tight]) & (_BOTTOM - np.uint64(1))
             if self.decoding:
-                self.code[moved] = (self.code[moved] << _WORD) | self.words[moved, at]
+                self.code[moved] = (self.code.take(moved) << _WORD) | self.words.take(at)
             else:
-                self.words[moved, at] = l >> _KEEP
+                self.words[at] = l >> _KEEP
             self.at[moved] = at + 1
-            l, r = l << _WORD, r << _WORD
+            l <<= _WORD
+            r <<= _WORD
             low[moved], span[moved] = l, r
             again = (l ^ (l + r)) < _TOP
             same[moved] = again
@@ -70,10 +74,10 @@ class _Coder:
 
     def finish(self) -> tuple[np.ndarray, bytes]:
         """Words of each lane, and all lanes' words; two close a lane, as the decoder reads zeros after them."""
-        lanes, last = np.arange(len(self.low)), self.low + (_BOTTOM - np.uint64(1))
-        self.words[lanes, self.at], self.words[lanes, self.at + 1] = last >> _KEEP, (last >> np.uint64(32)) & np.uint64(0xFFFF)
-        sizes = self.at + 2
-        return sizes, self.words[np.arange(self.words.shape[1]) < sizes[:, None]].astype("<u2").tobytes()
+        last = self.low + (_BOTTOM - np.uint64(1))
+        self.words[self.at], self.words[self.at + 1] = last >> _KEEP, (last >> np.uint64(32)) & np.uint64(0xFFFF)
+        sizes = self.at % self.room + 2
+        return sizes, self.words.reshape(-1, self.room)[np.arange(self.room) < sizes[:, None]].astype("<u2").tobytes()
 
 
 class _Mixture:
@@ -117,6 +121,7 @@ class _Mixture:
             room = (1 << _ORDER0) - SYMBOLS - len(self.seen)
             upto = total * room // total[-1] + np.arange(1, len(total) + 1)
             self.cumulative = np.concatenate([[0], upto]) + SYMBOLS
+            self.nearby = np.searchsorted(self.cumulative, np.arange(1 << (_ORDER0 - _NEARBY)) << _NEARBY, side="right") - 1
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where ids begin and end in the order-0 total."""
@@ -130,9 +135,13 @@ class _Mixture:
 
     def found(self, place: np.ndarray) -> np.ndarray:
         """The ids whose intervals hold the places."""
-        ids = np.searchsorted(self.cumulative, place, side="right") - 1
+        if not len(self.seen):
+            return np.minimum(place, SYMBOLS - 1)
+        ids = self.nearby.take(place >> _NEARBY)  # right but for rare ids and places near an end
+        wrong = np.flatnonzero(self.cumulative.take(ids + 1) <= place)
+        ids[wrong] = np.searchsorted(self.cumulative, place[wrong], side="right") - 1
         known = ids >= 0
-        return self.seen.take(ids) if known.all() else np.where(known, np.append(self.seen, 0)[ids], np.minimum(place, SYMBOLS - 1))
+        return self.seen.take(ids) if known.all() else np.where(known, self.seen.take(ids), np.minimum(place, SYMBOLS - 1))
 
 
 #: What a guess's sureness gains, by that sureness and whether the guess was right.
@@ -142,8 +151,7 @@ _GAIN = np.array([[0 if k == 0 else -1 << 16, 0 if k == _SURE else 1 << 16] for
 def _followed(table: np.ndarray, at: np.ndarray, entry: np.ndarray, sure: np.ndarray, right: np.ndarray, token: np.ndarray) -> None:
     """A right guess grows surer, a wrong one less sure, and one that is not sure gives way. Of equal slots the last lane writes."""
     new = entry + _GAIN.take(sure * 2 + right)
-    gives_way = np.flatnonzero(sure + right == 0)
-    new[gives_way] = token[gives_way]
+    np.copyto(new, token, where=(sure + right) == 0)
     table[at] = new
 
 

@@ -10,7 +10,7 @@ from unicodedata import is_normalized
 import numpy as np
 
 #: Entries of the two memories of a Python worker; when full they serve what they hold and take no more.
-WORDS, PIECES, LONGEST = 500_000, 500_000, 48
+WORDS, PIECES, LONGEST = 800_000, 600_000, 48
 _PIECE = re.compile(rb"[a-z\x80-\xff]+|[^a-z\x80-\xff]+")
 # a text with one of these is encoded in one go: an added token, or a mark that could join the letter before it;
 # only texts with a byte that can begin one are searched
