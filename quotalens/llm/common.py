@@ -21,11 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which driver and executors share; a local one only where it is unset (tests)."""
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share; a local one only where it is unset and Spark runs on one
+    host (tests); on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="quotalens-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -41,6 +44,20 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def keep_bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
+    """As ``keep``, dealt into buckets by ``column``: a join on it moves the other side alone, however often it is done.
+
+    There are as many buckets as the session has shuffle partitions (Spark's limit is 100 000). The table is known to the
+    session's catalog; its files lie in the shared folder.
+    """
+    spark, tag = df.sparkSession, uuid.uuid4().hex
+    buckets = min(100_000, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    made = f"quotalens_{name.replace('-', '_')}_{tag}"
+    writer = df.repartition(buckets, column).write.format("parquet").bucketBy(buckets, column).option("compression", "zstd")
+    writer.option("path", f"{shared_dir(spark)}/quotalens-{name}-{tag}").saveAsTable(made)
+    return spark.table(made)
+
+
 def with_position(df: DataFrame, name: str) -> DataFrame:
     """Adds the place in the input (split number in the high bits, row in the low 33) as long column ``name``."""
     return df.withColumn(name, F.monotonically_increasing_id())

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, table, with_position
+from .common import keep, keep_bucketed, table, with_position
 from .graph import components
 
 SHINGLE, RADIUS, BITS, TILE = 3, 2, 64, 1024
@@ -324,6 +324,8 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
        settled alike; a text to which more went in step 1 comes first.
     3. A text that went to one that itself goes in step 2 comes back, and is held against all that stay.
 
+    Texts are dealt out by row once; every later step moves ids and hashes to them, and texts only within groups and pairs.
+
     Null and blank texts are copies of each other. Null ids come last; ties go by input order; an empty table stays empty.
     """
     names = docs.columns
@@ -333,7 +335,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
             made = [word_fingerprint(t or b"") for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(made, pa.int64())], names=["_row", "node", "_id", "fp"])
 
-    rows = keep(with_position(docs, "_row"), "near-rows")
+    rows = keep_bucketed(with_position(docs, "_row"), "near-rows", "_row")
     text = F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[\x20\x09-\x0D]+", " "))
     marks = rows.select("_row", "text", F.xxhash64(text).alias("node"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("_id"))
     marks = marks.mapInArrow(marked, "_row long, node long, _id long, fp long")
