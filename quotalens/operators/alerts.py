@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .boundaries import reset_boundaries
+from .folds import fold_sorted
 from .samples import KEY
 
 WEEK_US = 7 * 86_400_000_000
@@ -29,20 +30,18 @@ def pace_alerts(rows: DataFrame, fires_bp: int = 1500, clears_bp: int = 1000, ag
     week = rows.where(F.col("quota_name").startswith("seven_day") & (F.col("reset_us") > F.col("us")) & (F.col("reset_us") - F.col("us") <= WEEK_US))
     week = week.select(*KEY, "snapshot_id", "us", F.expr(f"used_bp - 10000 + (reset_us - us) * 10000 DIV {WEEK_US}").alias("over_bp"))
 
-    def walk(batches):
+    def walk(rows):
         key, sent = None, None
-        for b in batches:
-            fires = []
-            for p, a, q, over in zip(b["provider"], b["account_id"], b["quota_name"], b["over_bp"]):
-                if (p, a, q) != key:
-                    key, sent = (p, a, q), None
-                fire = over >= fires_bp and (sent is None or over >= sent + again_bp)
-                sent = over if fire else None if over < clears_bp else sent
-                fires.append(fire)
-            yield b[fires]
+        for *own, snapshot, us, over in rows:
+            if own != key:
+                key, sent = own, None
+            fire = over >= fires_bp and (sent is None or over >= sent + again_bp)
+            sent = over if fire else None if over < clears_bp else sent
+            if fire:
+                yield *own, snapshot, us, over
 
     ordered = week.repartition(*KEY).sortWithinPartitions(*KEY, "us", "snapshot_id")
-    return ordered.mapInPandas(walk, "provider string, account_id long, quota_name string, snapshot_id long, us long, over_bp long")
+    return fold_sorted(ordered, walk, "provider string, account_id long, quota_name string, snapshot_id long, us long, over_bp long")
 
 
 def missed_polls(rows: DataFrame, now_us: int, interval_us: int, grace_us: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import fold_sorted
 from .samples import KEY
 
 MINUTE_US, HOUR_US, DAY_US = 60_000_000, 3_600_000_000, 86_400_000_000
@@ -33,19 +34,35 @@ def cycle_stats(rows: DataFrame) -> DataFrame:
     )
 
 
-def bad_cycles(cycles: DataFrame) -> DataFrame:
-    """Cycles that last longer than their quota can."""
-    cap = F.when(F.col("quota_name") == "five_hour", 6 * HOUR_US).when(F.col("quota_name").startswith("seven_day"), 8 * DAY_US).when(F.col("quota_name") == "monthly", 32 * DAY_US)
+#: The longest that a cycle can last, by provider family: (quota, or its first letters if it ends in *, microseconds).
+CAPS = {
+    "anthropic": (("five_hour", 6 * HOUR_US), ("seven_day*", 8 * DAY_US), ("monthly", 32 * DAY_US)),
+    "synthetic": (("search", 2 * HOUR_US), ("subscription", 48 * HOUR_US)),
+    "zai": (("tokens", 48 * HOUR_US),),
+    "copilot": (("*", 35 * DAY_US),),
+}
+
+
+def bad_cycles(cycles: DataFrame, family: str = "anthropic") -> DataFrame:
+    """Cycles that last longer than their quota can; quotas without a cap have none."""
+    cap = F.lit(None).cast("bigint")
+    for name, us in reversed(CAPS[family]):
+        fits = F.col("quota_name").startswith(name[:-1]) if name.endswith("*") else F.col("quota_name") == name
+        cap = F.when(fits, F.lit(us)).otherwise(cap)
     return cycles.where(F.col("end_us") - F.col("start_us") > cap)
 
 
 def repaired_cycles(cycles: DataFrame, rows: DataFrame) -> DataFrame:
     """The samples of each bad cycle, cut at T12's boundaries into cycles of their own.
 
-    Cycles of a key do not overlap, so a sample meets one cycle at most: equality on the key and a range filter.
+    ``end_us`` is a cycle's last sample, which belongs to it. Cycles of a key do not overlap, so a window over samples and
+    cycle starts carries the latest start forward: no pairs, and null accounts meet their own.
     """
-    bad = bad_cycles(cycles).select(*KEY, F.col("start_us").alias("cycle_us"), F.col("end_us").alias("_to"))
-    held = rows.join(bad, KEY).where((F.col("us") >= F.col("cycle_us")) & (F.col("us") < F.col("_to"))).drop("_to")
+    bad = bad_cycles(cycles).select(*KEY, F.col("start_us").alias("us"), F.struct("start_us", "end_us").alias("_cycle"), F.lit(-1).cast("bigint").alias("snapshot_id"), F.lit(0).alias("_side"))
+    both = rows.select(*KEY, "us", "snapshot_id", "used_bp", "reset_us", F.lit(1).alias("_side")).unionByName(bad, allowMissingColumns=True)
+    at = Window.partitionBy(*KEY).orderBy("us", "_side", "snapshot_id").rowsBetween(Window.unboundedPreceding, 0)
+    held = both.withColumn("_cycle", F.last("_cycle", ignorenulls=True).over(at)).where((F.col("_side") == 1) & (F.col("us") <= F.col("_cycle.end_us")))
+    held = held.withColumn("cycle_us", F.col("_cycle.start_us"))
     w = Window.partitionBy(*KEY, "cycle_us").orderBy("us", "snapshot_id")
     held = held.withColumns({"_used": F.lag("used_bp").over(w), "_reset": F.lag("reset_us").over(w), "_us": F.lag("us").over(w)})
     moved = F.when(F.col("reset_us").isNotNull() & F.col("_reset").isNotNull(), F.abs(F.col("reset_us") - F.col("_reset")) > 10 * MINUTE_US).otherwise(F.col("reset_us").isNotNull() | F.col("_reset").isNotNull())
@@ -62,31 +79,30 @@ def billing_periods(cycles: DataFrame, floor_bp: int = 500) -> DataFrame:
     The running maximum starts anew with each run, so rows are folded in order: each task walks its sorted keys with one
     row of state.
     """
-    out = "provider string, account_id long, quota_name string, period long, start_us long, cycles long, peak_bp long, delta_bp long"
-
-    def walk(batches):
-        import pandas as pd
-
-        key, run, made = None, None, []
-        for b in batches:
-            for r in b.itertuples(index=False):
-                own = (r.provider, r.account_id, r.quota_name)
-                if own != key or (run[3] > floor_bp and 2 * r.peak_bp < run[3]):
-                    if key is not None:
-                        made.append((*key, *run))
-                    run = [0 if own != key else run[0] + 1, r.start_us, 0, 0, 0]
-                    key = own
-                run[2] += 1
-                run[3] = max(run[3], r.peak_bp)
-                run[4] += r.delta_bp
-            if made:
-                yield pd.DataFrame(made, columns=[c.split()[0] for c in out.split(", ")])
-                made = []
+
+    def walk(rows):
+        key, run = None, None
+        for *own, start, peak, delta in rows:
+            if own != key or (run[3] > floor_bp and 2 * peak < run[3]):
+                if key is not None:
+                    yield *key, *run
+                run = [0 if own != key else run[0] + 1, start, 0, 0, 0]
+                key = own
+            run[2] += 1
+            run[3] = max(run[3], peak)
+            run[4] += delta
         if key is not None:
-            yield pd.DataFrame([(*key, *run)], columns=[c.split()[0] for c in out.split(", ")])
+            yield *key, *run
 
     ordered = cycles.select(*KEY, "start_us", "peak_bp", "delta_bp").repartition(*KEY).sortWithinPartitions(*KEY, "start_us")
-    return ordered.mapInPandas(walk, out)
+    return fold_sorted(ordered, walk, "provider string, account_id long, quota_name string, period long, start_us long, cycles long, peak_bp long, delta_bp long")
+
+
+def billing_summary(periods: DataFrame) -> DataFrame:
+    """Number, sum, average and highest of the peaks of each quota's billing periods."""
+    return periods.groupBy(*KEY).agg(
+        F.count("*").alias("periods"), F.sum("peak_bp").cast("bigint").alias("total_peak_bp"), F.round(F.avg("peak_bp"), 6).alias("avg_peak_bp"), F.max("peak_bp").alias("max_peak_bp")
+    )
 
 
 def idle_sessions(rows: DataFrame, timeout_us: int) -> DataFrame:

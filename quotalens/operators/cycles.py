@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import fold_sorted
 from .samples import KEY
 
 MINUTE_US = 60_000_000
@@ -23,7 +24,8 @@ class Rule:
     counts only with a fall of more than this. drop_bp: a fall of more than this is a reset by itself. below: a value
     under this share of the last is a reset. past_fell: any fall after the stored reset is one. whole_hours: reset times
     are compared by their hour. confirm: a shift must be seen again by the next sample (within 5 minutes, use at most 2
-    points above); a lone one is skipped. rolls: the stored reset follows the samples. adds: the closing sample's rise
+    points above); until then shifted samples are skipped, the latest being the one to confirm. forgets: the last reset
+    time is the last sample's, even if that has none. rolls: the stored reset follows the samples. adds: the closing sample's rise
     counts; peaks: its value may be the peak; ends_at_reset: a late sample ends the cycle at the stored reset.
     """
 
@@ -37,11 +39,17 @@ class Rule:
     past_fell: bool = False
     whole_hours: bool = False
     confirm: bool = False
+    forgets: bool = False
     rolls: bool = False
     adds: bool = False
     peaks: bool = False
     ends_at_reset: bool = True
 
+    @property
+    def local(self) -> bool:
+        """Whether a reset depends on the samples alone, not on what a cycle stored at its opening."""
+        return self.past_us is None and self.shift_from == "last" and not (self.appeared or self.past_fell or self.confirm or self.rolls or self.adds or self.peaks or self.whole_hours)
+
 
 RULES = {
     "anthropic": Rule(past_us=2 * MINUTE_US, shift_us=10 * MINUTE_US, appeared=True, adds=True, peaks=True),
@@ -51,10 +59,10 @@ RULES = {
     "gemini": Rule(past_us=2 * MINUTE_US, shift_us=60 * MINUTE_US, fell_bp=200, rolls=True, adds=True, peaks=True),
     "antigravity": Rule(shift_us=10 * MINUTE_US, shift_from="last", drop_bp=1000, past_fell=True),
     "minimax": Rule(shift_us=10 * MINUTE_US, shift_from="last", below=(3, 5)),
-    "copilot": Rule(shift_us=0, shift_from="last", past_fell=True),
+    "copilot": Rule(shift_us=0, shift_from="last", past_fell=True, forgets=True),
     "zai_tokens": Rule(past_us=2 * MINUTE_US, shift_us=0, appeared=True, adds=True, peaks=True),
-    "zai_time": Rule(below=(1, 2), ends_at_reset=False),
-    "openrouter": Rule(below=(1, 2), ends_at_reset=False),
+    "zai_time": Rule(shift_from="last", below=(1, 2), ends_at_reset=False),
+    "openrouter": Rule(shift_from="last", below=(1, 2), ends_at_reset=False),
 }
 
 
@@ -85,15 +93,11 @@ class Cycle:
         past = r.past_us is not None and self.reset is not None and us > self.reset + r.past_us
         shifted = self._shifted(reset) and (r.fell_bp is None or fall > r.fell_bp)
         if r.confirm:
-            if not past and self.pending is not None:
-                was, low = self.pending
-                self.pending = None
-                shifted = reset is not None and abs(reset - was) <= 5 * MINUTE_US and used <= low + 200
-            elif not past and shifted:
+            shifted = shifted and self.reset is not None
+            was, self.pending = self.pending, None
+            if shifted and not past and not (was and abs(reset - was[0]) <= 5 * MINUTE_US and used <= was[1] + 200):
                 self.pending = (reset, used)
                 return None
-            if past:
-                self.pending = None
         ended = past or shifted or (r.appeared and reset is not None and self.reset is None)
         ended = ended or (r.drop_bp is not None and fall > r.drop_bp) or (r.past_fell and late and fall > 0)
         ended = ended or (r.below is not None and used * r.below[1] < self.last * r.below[0])
@@ -111,46 +115,58 @@ class Cycle:
             if r.rolls and reset is not None:
                 self.reset = reset
         self.last = used
-        if reset is not None:
+        if reset is not None or r.forgets:
             self.last_reset = reset
         return closed
 
 
-_OUT = ["provider", "account_id", "quota_name", "start_us", "end_us", "reset_us", "peak_bp", "delta_bp"]
+_OUT = "provider string, account_id long, quota_name string, start_us long, end_us long, reset_us long, peak_bp long, delta_bp long"
 
 
 def detect_cycles(rows: DataFrame, rule: Rule) -> DataFrame:
     """Closed cycles of every key and its open one (null end), from all samples in order of time and id.
 
-    What ends a cycle depends on what its opening stored, so a key's samples are walked in order. They come sorted, and
-    a task holds one open cycle at a time: memory does not grow with a key's samples. A single key's own series is the
-    smallest unit of work.
+    Under most rules what ends a cycle depends on what its opening stored, so a key's samples are walked in order. They
+    come sorted, and a task holds one open cycle at a time: memory does not grow with a key's samples. A single key's own
+    series is the smallest unit of work. Local rules are windows alone. A null account is an account like any other.
     """
+    if rule.local:
+        return _local_cycles(rows, rule)
 
-    def walk(batches: Iterator):
-        import pandas as pd
-
+    def walk(samples: Iterator[tuple]) -> Iterator[tuple]:
         key, cycle = None, None
-        for b in batches:
-            made = []
-            resets = b["reset_us"].astype("Int64")
-            for p, a, q, us, used, reset in zip(b["provider"], b["account_id"], b["quota_name"], b["us"].tolist(), b["used_bp"].tolist(), resets.tolist()):
-                reset = None if reset is pd.NA else int(reset)
-                if (p, a, q) != key:
-                    if cycle is not None:
-                        made.append((*key, cycle.start, None, cycle.reset, cycle.peak, cycle.delta))
-                    key, cycle = (p, a, q), Cycle(rule, us, used, reset)
-                elif closed := cycle.take(us, used, reset):
-                    made.append((*key, *closed))
-            yield _frame(made)
+        for *own, us, used, reset in samples:
+            if own != key:
+                if cycle is not None:
+                    yield *key, cycle.start, None, cycle.reset, cycle.peak, cycle.delta
+                key, cycle = own, Cycle(rule, us, used, reset)
+            elif closed := cycle.take(us, used, reset):
+                yield *key, *closed
         if cycle is not None:
-            yield _frame([(*key, cycle.start, None, cycle.reset, cycle.peak, cycle.delta)])
+            yield *key, cycle.start, None, cycle.reset, cycle.peak, cycle.delta
 
     ordered = rows.select(*KEY, "us", "snapshot_id", "used_bp", "reset_us").repartition(*KEY).sortWithinPartitions(*KEY, "us", "snapshot_id")
-    return ordered.mapInPandas(walk, "provider string, account_id long, quota_name string, start_us long, end_us long, reset_us long, peak_bp long, delta_bp long")
-
-
-def _frame(rows: list):
-    import pandas as pd
-
-    return pd.DataFrame({c: pd.array([r[k] for r in rows], dtype="Int64" if k not in (0, 2) else "object") for k, c in enumerate(_OUT)})
+    return fold_sorted(ordered.drop("snapshot_id"), walk, _OUT)
+
+
+def _local_cycles(rows: DataFrame, rule: Rule) -> DataFrame:
+    """``detect_cycles`` of a local rule: resets from the sample before, running sums of them, one aggregate a segment."""
+    w = Window.partitionBy(*KEY).orderBy("us", "snapshot_id")
+    seen = F.lag("reset_us").over(w) if rule.forgets else F.last("reset_us", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.select(*KEY, "us", "snapshot_id", "used_bp", "reset_us").withColumns({"_last": F.lag("used_bp").over(w), "_seen": seen})
+    ended = F.lit(False)
+    if rule.shift_us is not None:
+        fell = F.lit(True) if rule.fell_bp is None else F.col("_last") - F.col("used_bp") > rule.fell_bp
+        ended = ended | ((F.abs(F.col("reset_us") - F.col("_seen")) > rule.shift_us) & fell)
+    if rule.drop_bp is not None:
+        ended = ended | (F.col("_last") - F.col("used_bp") > rule.drop_bp)
+    if rule.below is not None:
+        ended = ended | (F.col("used_bp") * rule.below[1] < F.col("_last") * rule.below[0])
+    rows = rows.withColumn("_ended", F.coalesce(ended, F.lit(False))).withColumn("_segment", F.sum(F.col("_ended").cast("bigint")).over(w))
+    rise = F.when(F.col("_ended"), 0).otherwise(F.coalesce(F.greatest(F.col("used_bp") - F.col("_last"), F.lit(0)), F.lit(0)))
+    cycles = rows.groupBy(*KEY, "_segment").agg(
+        F.min("us").alias("start_us"), F.min_by("reset_us", F.struct("us", "snapshot_id")).alias("reset_us"), F.max("used_bp").alias("peak_bp"), F.sum(rise).cast("bigint").alias("delta_bp")
+    )
+    following = F.lead("start_us").over(Window.partitionBy(*KEY).orderBy("_segment"))
+    end = F.when(F.col("_next") > F.col("reset_us"), F.col("reset_us")).otherwise(F.col("_next")) if rule.ends_at_reset else F.col("_next")
+    return cycles.withColumn("_next", following).select(*KEY, "start_us", end.alias("end_us"), "reset_us", "peak_bp", "delta_bp")
