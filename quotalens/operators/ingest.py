@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import fold_sorted
 from .samples import KEY
 
 MINUTE_US = 60_000_000
 PROVIDERS = ("anthropic", "openai", "gemini")
-LINE = "ts string, integration string, provider string, model string, input_tokens bigint, output_tokens bigint, cost_usd double, metadata string"
+LINE = "ts string, integration string, provider string, account string, model string, request_id string, input_tokens bigint, output_tokens bigint, total_tokens bigint, cost_usd double, metadata string"
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
@@ -34,6 +35,23 @@ def fingerprint(*parts: Column) -> Column:
     return F.sha2(F.concat(*[x for p in parts for x in (F.coalesce(p.cast("string"), F.lit("")), F.lit("\0"))]), 256)
 
 
+def event_fingerprint(source_path: Column, us: Column, metadata: Column) -> Column:
+    """what makes an event the same one (columns integration, provider, account, model, request_id, tokens; metadata JSON).
+
+    Requests of Claude transcripts with a request id: their file, account, session, request, model and all token counts;
+    else the metadata's event_key, if it has one; else path, time, names, counts and request id.
+    """
+    of = lambda k: F.coalesce(F.trim(F.get_json_object(metadata, f"$.{k}")), F.lit(""))
+    count = lambda k: F.coalesce(F.nullif(of(k), F.lit("")), F.lit("0"))
+    request = F.coalesce(F.col("request_id"), F.lit(""))
+    total = F.coalesce(F.col("total_tokens"), F.coalesce("input_tokens", F.lit(0)) + F.coalesce("output_tokens", F.lit(0)))
+    tokens = ("input_tokens", "cached_input_tokens", "cache_creation_input_tokens", "cache_creation_1h_input_tokens", "output_tokens", "reasoning_output_tokens")
+    claude = fingerprint(F.lit("claude_usage"), of("source_path"), F.col("provider"), F.col("account"), of("session_id"), request, F.col("model"), *map(count, tokens), total)
+    plain = fingerprint(source_path, us, F.col("integration"), F.col("provider"), F.col("account"), F.col("model"), F.coalesce("input_tokens", F.lit(0)), F.coalesce("output_tokens", F.lit(0)), total, request)
+    is_claude = (F.col("provider") == "anthropic") & (of("source") == "claude") & (request != "")
+    return F.when(is_claude, claude).when(of("event_key") != "", fingerprint(F.lit("event_key"), of("event_key"))).otherwise(plain)
+
+
 def dedupe(events: DataFrame, key: str = "fingerprint") -> DataFrame:
     """The first event of each fingerprint, by time and id."""
     rest = [c for c in events.columns if c != key]
@@ -72,32 +90,26 @@ def thin_meters(rows: DataFrame, within_us: int = 10 * MINUTE_US) -> DataFrame:
     What is kept depends on what was kept before, so each task walks its sorted rows holding one time.
     """
 
-    def walk(batches):
+    def walk(meters):
         key, kept = None, 0
-        for b in batches:
-            stay = []
-            for own in zip(b["provider"], b["account_id"], b["quota_name"], b["used_bp"], b["_reset"], b["us"]):
-                if own[:5] != key or own[5] - kept >= within_us:
-                    key, kept = own[:5], own[5]
-                    stay.append(True)
-                else:
-                    stay.append(False)
-            yield b[stay].drop(columns="_reset")
-
-    keyed = rows.select(*KEY, "snapshot_id", "us", "used_bp").withColumn("_reset", F.lit(0).cast("bigint"))
-    if "reset_us" in rows.columns:
-        keyed = rows.select(*KEY, "snapshot_id", "us", "used_bp", F.coalesce("reset_us", F.lit(-1)).alias("_reset"))
+        for *own, snapshot, us in meters:
+            if own != key or us - kept >= within_us:
+                key, kept = own, us
+                yield *own[:3], snapshot, us, own[3]
+
+    reset = F.col("reset_us") if "reset_us" in rows.columns else F.lit(None).cast("bigint")
     order = [*KEY, "used_bp", "_reset"]
-    return keyed.repartition(*order).sortWithinPartitions(*order, "us", "snapshot_id").mapInPandas(walk, "provider string, account_id long, quota_name string, snapshot_id long, us long, used_bp long")
+    keyed = rows.select(*KEY, "used_bp", reset.alias("_reset"), "snapshot_id", "us")
+    ordered = keyed.repartition(*order).sortWithinPartitions(*order, "us", "snapshot_id")
+    return fold_sorted(ordered, walk, "provider string, account_id long, quota_name string, snapshot_id long, us long, used_bp long")
 
 
 def prefer_polled(meters: DataFrame, within_us: int = 10 * MINUTE_US) -> DataFrame:
     """Drops a rollout meter if a polled one of the same quota lies within ten minutes on either side."""
-    by_time = Window.partitionBy(*KEY).orderBy("us")
     polled = F.when(F.col("source") == "poll", F.col("us"))
-    before = F.last(polled, ignorenulls=True).over(by_time.rangeBetween(Window.unboundedPreceding, 0))
-    after = F.first(polled, ignorenulls=True).over(by_time.rangeBetween(0, Window.unboundedFollowing))
-    rows = meters.withColumns({"_before": before, "_after": after})
+    upto = lambda order: Window.partitionBy(*KEY).orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
+    # the nearest poll on each side is a running value in one of the two orders: no frame is read twice
+    rows = meters.withColumns({"_before": F.max(polled).over(upto(F.asc("us"))), "_after": F.min(polled).over(upto(F.desc("us")))})
     near = (F.col("us") - F.col("_before") <= within_us) | (F.col("_after") - F.col("us") <= within_us)
     return rows.where((F.col("source") == "poll") | ~F.coalesce(near, F.lit(False))).drop("_before", "_after")
 

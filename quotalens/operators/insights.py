@@ -94,13 +94,31 @@ def trim_empty(cycles: DataFrame) -> DataFrame:
     return cycles.withColumn("_n", F.row_number().over(w)).where((F.col("delta_bp") > 0) | (F.col("_n") == 1)).select(*KEY, "start_us", "delta_bp")
 
 
-def report_totals(events: DataFrame) -> DataFrame:
-    """Cost, requests and unknown prices for the report, by model with effort and speed, and by device class."""
-    device = F.when(F.col("source_path").isin("p0", "p1"), "mac").when(F.col("source_path").isin("p2", "p3"), "windows").otherwise("linux")
-    keyed = events.withColumn("what", F.explode(F.array(
-        F.lit("report"), F.concat_ws("|", F.lit("model"), "model", "reasoning_effort", "speed_mode"), F.concat_ws("|", F.lit("device"), device),
+def device_class(path: Column) -> Column:
+    """What kind of machine a source path comes from."""
+    p = F.coalesce(path, F.lit(""))
+    return (
+        F.when(p.contains("/Users/"), "macOS source").when(p.contains(":\\") | p.contains(":/"), "Windows source")
+        .when(p.startswith("device:") | p.startswith("import:"), "Imported source").otherwise("Other / unknown source")
+    )
+
+
+def report_totals(united: DataFrame) -> DataFrame:
+    """Cost, requests, unknown prices and archived requests for the report as a whole, by model with effort and speed,
+    and by device class (P12), each kind by falling cost (L9).
+
+    ``united``: model, reasoning_effort, speed_mode, source_path, request_count, cost_cents, unpriced, archived.
+    """
+    keyed = united.withColumn("_k", F.explode(F.array(
+        F.struct(F.lit("report").alias("kind"), F.lit("").alias("name")),
+        F.struct(F.lit("model").alias("kind"), F.concat_ws("|", "model", "reasoning_effort", "speed_mode").alias("name")),
+        F.struct(F.lit("device").alias("kind"), device_class(F.col("source_path")).alias("name")),
     )))
-    return keyed.groupBy("what").agg(F.coalesce(F.sum("cost_cents"), F.lit(0)).cast("bigint").alias("cost_cents"), F.count("*").alias("requests"), F.count_if(F.col("cost_cents").isNull()).alias("unknown"))
+    a = keyed.groupBy("_k.kind", "_k.name").agg(
+        F.sum("cost_cents").cast("bigint").alias("cost_cents"), F.sum("request_count").cast("bigint").alias("requests"), F.sum("unpriced").cast("bigint").alias("unknown"),
+        F.sum(F.when(F.col("archived"), F.col("request_count")).otherwise(0)).cast("bigint").alias("archived"),
+    )
+    return a.withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("cost_cents"), "name")).cast("bigint"))
 
 
 def burn_insights(rates: DataFrame) -> DataFrame:
@@ -113,12 +131,14 @@ def burn_insights(rates: DataFrame) -> DataFrame:
 
 
 def cycle_rate(cycles: DataFrame, now_us: int) -> DataFrame:
-    """The open cycle's change an hour once it is half an hour old and has risen, and the use it leads to at its reset."""
+    """The open cycle's change an hour once it is half an hour old and has risen, and the use it leads to at its reset
+    (at most 100 %); an unknown rate or reset leaves that unknown."""
     open_ = cycles.where("is_open")
     age = F.lit(now_us) - F.col("start_us")
     rate = F.when((age >= 30 * MINUTE_US) & (F.col("delta_bp") > 0), F.col("delta_bp") * float(HOUR_US) / age)
-    left = F.greatest(F.col("reset_us") - now_us, F.lit(0)) / float(HOUR_US)
-    return open_.select(*KEY, F.round(rate, 6).alias("rate"), F.round(F.least(F.lit(10000.0), F.when(rate.isNotNull() & F.col("reset_us").isNotNull(), F.col("peak_bp") + rate * left)), 4).alias("projected_bp"))
+    left = F.when(F.col("reset_us").isNotNull(), F.greatest(F.col("reset_us") - now_us, F.lit(0)) / float(HOUR_US))
+    reached = F.col("peak_bp") + rate * left
+    return open_.select(*KEY, F.round(rate, 6).alias("rate"), F.round(F.when(reached > 10000, 10000.0).otherwise(reached), 4).alias("projected_bp"))
 
 
 def variance_insight(cycles: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("usage", "quotas", "insights", "reports")
+FAMILIES = ("usage", "quotas", "insights", "reports", "value", "current")
 
 
 def _all() -> dict:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from quotalens.operators import alerts, boundaries, ingest
 from quotalens.operators import analytics as an
 from quotalens.operators import samples as sm
-from quotalens.operators import value as val
 from quotalens.sources.projection import SAMPLES, USAGE, quota_samples, usage_events
 
 from .quotas import _STATS, K, ORD, WK
@@ -71,9 +70,21 @@ def _lines(s, d):
     )).alias("value"))
 
 
-_PACE = """CASE WHEN abs(delta) <= 1 THEN 'on_pace' WHEN delta > 0 THEN
-        CASE WHEN delta >= 15 THEN 'very_over' WHEN left_share > 0 AND delta >= CAST(0.3 AS DOUBLE) * left_share THEN 'very_over' WHEN delta >= 10 THEN 'over' WHEN left_share > 0 AND delta >= CAST(0.2 AS DOUBLE) * left_share THEN 'over' ELSE 'slightly_over' END
-    ELSE CASE WHEN delta <= -15 THEN 'very_under' WHEN passed > 0 AND -delta >= CAST(0.3 AS DOUBLE) * passed THEN 'very_under' WHEN delta <= -10 THEN 'under' WHEN passed > 0 AND -delta >= CAST(0.2 AS DOUBLE) * passed THEN 'under' ELSE 'slightly_under' END END"""
+_PACE = """CASE WHEN delta > -1 AND delta < 1 THEN 'on_pace|' WHEN delta > 0 THEN
+        CASE WHEN delta >= 15 THEN 'very_over|flat' WHEN delta >= CAST(0.3 AS DOUBLE) * left_share THEN 'very_over|time_left' WHEN delta >= 10 THEN 'over|flat' WHEN delta >= CAST(0.2 AS DOUBLE) * left_share THEN 'over|time_left' ELSE 'on_pace|' END
+    ELSE CASE WHEN -delta >= 15 THEN 'very_under|flat' WHEN -delta >= CAST(0.3 AS DOUBLE) * passed THEN 'very_under|elapsed' WHEN -delta >= 10 THEN 'under|flat' WHEN -delta >= CAST(0.2 AS DOUBLE) * passed THEN 'under|elapsed' ELSE 'on_pace|' END END"""
+PACED = """(lower(trim(quota_name)) IN ('seven_day', 'seven_day_sonnet') OR contains(lower(trim(quota_name)), 'weekly') OR starts_with(lower(trim(quota_name)), 'wkly_'))"""
+_GEMINI = ["gemini-2.5-pro", "gemini-3-pro", "gemini-2.5-flash", "gemini-3-flash", "gemini-2.5-flash-lite", "Gemini-Lite-Flash", "other"]
+
+
+def _models(s, d):
+    """Snapshots of model quotas: seven models each, some without a reset."""
+    names = F.array(*[F.lit(n) for n in _GEMINI])
+    m = _q(s, d).select(F.expr("snapshot_id DIV 7").alias("snapshot_id"), (F.col("snapshot_id") % 7).alias("place"), "used_bp", "reset_us")
+    return m.withColumn("model", F.element_at(names, (F.col("place") + 1).cast("int")))
+
+
+_MODELS_SQL = f"md AS (SELECT snapshot_id // 7 AS snapshot_id, snapshot_id % 7 AS place, used_bp, reset_us, {_GEMINI!r}[CAST(snapshot_id % 7 AS INTEGER) + 1] AS model FROM qs)"
 
 
 def _workdays(start, end):
@@ -81,7 +92,12 @@ def _workdays(start, end):
         CASE WHEN {end} > {start} AND ((({start} + x * {DAY}) // {DAY}) + 3) % 7 < 5 THEN least(CAST(1 AS DOUBLE), ({end} - {start} - x * {DAY}) / CAST({DAY} AS DOUBLE)) ELSE CAST(0 AS DOUBLE) END)), 0)"""
 
 
-_ASOF = lambda name: f"ASOF LEFT JOIN (SELECT provider, account_id, us, used_bp FROM qs WHERE quota_name = '{name}') {name} ON o.provider = {name}.provider AND o.account_id = {name}.account_id AND o.peak_us >= {name}.us"
+def _asof(name: str, at: str) -> str:
+    t = f"{name}_{at}"
+    return f"ASOF LEFT JOIN (SELECT provider, coalesce(account_id, -1) AS acc, us, max_by(used_bp, snapshot_id) AS v FROM qs WHERE quota_name = '{name}' GROUP BY ALL) {t} ON o.provider = {t}.provider AND coalesce(o.account_id, -1) = {t}.acc AND o.{at} >= {t}.us"
+
+
+_NAMED = ("five_hour", "monthly", "seven_day")
 
 QUERIES = {
     "snapshot_asof": (
@@ -99,14 +115,15 @@ QUERIES = {
         lambda s, d: an.burn_rate(_q(s, d), NOW_US, WINDOW_US, LEAST_US),
         f"""WITH {SAMPLES}, a AS (SELECT {K}, min(us) AS t0, max(us) AS t1, arg_min(used_bp, (us, snapshot_id)) AS first_bp, arg_max(used_bp, (us, snapshot_id)) AS last_bp, (list(reset_us ORDER BY us DESC, snapshot_id DESC))[1] AS reset_us, count(*) AS n
             FROM qs WHERE us > {NOW_US - WINDOW_US} AND us <= {NOW_US} GROUP BY ALL),
-        b AS (SELECT *, round(CASE WHEN n >= 2 AND t1 - t0 >= {LEAST_US} THEN greatest(last_bp - first_bp, 0) * CAST({HOUR} AS DOUBLE) / (t1 - t0) END, 6) AS rate, round(CASE WHEN reset_us IS NULL THEN 0 ELSE greatest(reset_us - {NOW_US}, 0) END / CAST({HOUR} AS DOUBLE), 6) AS hours_left FROM a),
-        c AS (SELECT *, CASE WHEN rate > 0 THEN (10000 - last_bp) / rate END AS ex FROM b)
-        SELECT {K}, n, rate, hours_left, round(ex, 4) AS exhaust_hours, round(least(CAST(10000 AS DOUBLE), CASE WHEN rate IS NULL THEN 10000 ELSE last_bp + rate * hours_left END), 4) AS projected_bp, ex < hours_left AS exhausts_first FROM c""",
+        b AS (SELECT *, round(CASE WHEN n >= 2 AND t1 - t0 >= {LEAST_US} THEN greatest(last_bp - first_bp, 0) * CAST({HOUR} AS DOUBLE) / (t1 - t0) END, 6) AS rate, round(CASE WHEN reset_us > {NOW_US} THEN (reset_us - {NOW_US}) / CAST({HOUR} AS DOUBLE) WHEN reset_us IS NOT NULL THEN 0 END, 6) AS hours_left FROM a),
+        c AS (SELECT *, CASE WHEN rate > 0 THEN (10000 - last_bp) / rate END AS ex, last_bp + rate * hours_left AS reached FROM b)
+        SELECT {K}, n, rate, hours_left, round(ex, 4) AS exhaust_hours, round(CASE WHEN reached > 10000 THEN 10000 ELSE reached END, 4) AS projected_bp, ex < hours_left AS exhausts_first FROM c""",
     ),
     "weekly_pace": (
-        lambda s, d: an.weekly_pace(_q(s, d)),
-        f"""WITH {SAMPLES}, p AS (SELECT *, round(least(CAST(100 AS DOUBLE), (reset_us - us) * CAST(100 AS DOUBLE) / {WEEK}), 6) AS left_share FROM qs WHERE starts_with(quota_name, 'seven_day') AND reset_us > us),
-        q AS (SELECT *, 100 - left_share AS passed, least(used_bp / CAST(100 AS DOUBLE), 100) - (100 - left_share) AS delta FROM p) SELECT {K}, snapshot_id, left_share, {_PACE} AS tier FROM q""",
+        lambda s, d: an.weekly_pace(_noisy(s, d)),
+        f"""WITH {_NOISY}, p AS (SELECT *, round(CASE WHEN reset_us - us > {WEEK} THEN 100 WHEN reset_us < us THEN 0 ELSE (reset_us - us) * CAST(100 AS DOUBLE) / {WEEK} END, 6) AS left_share FROM qn WHERE {PACED} AND reset_us IS NOT NULL),
+        q AS (SELECT *, 100 - left_share AS passed, used_bp / CAST(100 AS DOUBLE) - (100 - left_share) AS delta FROM p), t AS (SELECT *, {_PACE} AS pt FROM q)
+        SELECT {K}, snapshot_id, left_share, split_part(pt, '|', 1) AS tier, nullif(split_part(pt, '|', 2), '') AS trigger FROM t""",
     ),
     "workday_pace": (
         lambda s, d: an.workday_pace(_q(s, d)),
@@ -114,40 +131,54 @@ QUERIES = {
         q AS (SELECT *, round({_workdays('st', 'us')}, 6) AS passed, round({_workdays('st', 'reset_us')}, 6) AS whole FROM p),
         r AS (SELECT *, used_bp / CAST(100 AS DOUBLE) - CAST(100 AS DOUBLE) * passed / whole AS delta FROM q) SELECT {K}, snapshot_id, passed, whole, CASE WHEN delta > 2 THEN 'ahead' WHEN delta < -2 THEN 'behind' ELSE 'on_track' END AS pace FROM r""",
     ),
-    "status_ladder": (lambda s, d: an.status_ladder(_q(s, d)), f"""WITH {SAMPLES} SELECT snapshot_id, {STATUS.format('used_bp')} AS usage_status,
-        CASE WHEN 10000 - used_bp <= 500 THEN 'critical' WHEN 10000 - used_bp <= 2000 THEN 'danger' WHEN 10000 - used_bp <= 5000 THEN 'warning' ELSE 'healthy' END AS remaining_status FROM qs"""),
-    "provider_aggregate": (
-        lambda s, d: an.provider_aggregate(_latest(s, d)),
+    "status_ladder": (
+        lambda s, d: an.status_ladder(_q(s, d)),
+        f"""WITH {SAMPLES} SELECT snapshot_id, {STATUS.format('used_bp')} AS usage_status, CASE WHEN used_bp >= 9500 THEN 'exhausted' WHEN used_bp >= 8000 THEN 'critical' WHEN used_bp >= 6000 THEN 'warning' ELSE 'healthy' END AS cursor_status,
+        CASE WHEN used_bp >= 9500 THEN 'negative' WHEN used_bp >= 8000 THEN 'warning' WHEN used_bp >= 5000 THEN 'info' ELSE 'positive' END AS severity_status, CASE WHEN used_bp >= 9000 THEN 'negative' WHEN used_bp >= 7000 THEN 'warning' ELSE 'positive' END AS copilot_insight_status,
+        CASE WHEN used_bp >= 9000 THEN 'critical' WHEN used_bp >= 7000 THEN 'warning' ELSE 'healthy' END AS menubar_status, CASE WHEN used_bp >= 9000 THEN 'high' WHEN used_bp >= 7500 THEN 'moderate' ELSE 'low' END AS openrouter_status,
+        CASE WHEN 10000 - used_bp <= 500 THEN 'critical' WHEN 10000 - used_bp <= 2000 THEN 'danger' WHEN 10000 - used_bp <= 5000 THEN 'warning' ELSE 'healthy' END AS remaining_status FROM qs""",
+    ),
+    "provider_cards": (
+        lambda s, d: an.provider_cards(_latest(s, d)),
         f"WITH {SAMPLES}, {LATEST} SELECT provider, max(used_bp) AS max_bp, arg_max({STATUS.format('used_bp')}, {RANK}) AS worst, count(*) AS quotas, count(*) FILTER ({RANK} >= 2) AS alarming FROM la GROUP BY 1",
     ),
+    "provider_aggregate": (
+        lambda s, d: an.provider_aggregate(an.provider_cards(_latest(s, d).where("used_bp < 9000 OR provider = 'openai'"))),
+        f"""WITH {SAMPLES}, {LATEST}, c AS (SELECT provider, max(used_bp) AS mx, max({RANK}) AS r FROM la WHERE used_bp < 9000 OR provider = 'openai' GROUP BY 1),
+        a AS (SELECT count(*) AS providers, max(mx) AS max_bp, max(r) AS r, count(*) FILTER (r = 3) AS critical, count(*) FILTER (r IN (1, 2)) AS warned FROM c)
+        SELECT providers, max_bp, ['healthy', 'warning', 'danger', 'critical'][r + 1] AS status, critical, warned, CASE WHEN critical > 0 THEN critical || ' Critical' WHEN warned > 0 THEN warned || ' Warning' ELSE 'All Good' END AS label FROM a""",
+    ),
     "family_rollup": (
-        lambda s, d: an.family_rollup(usage_events(s, d)),
-        f"WITH {USAGE} SELECT split_part(lower(trim(model)), '-', 1) AS family, us - us % {HOUR} AS hour_us, arg_min(output_tokens, (us, event_id)) AS first_output, min(us) AS earliest_us, array_to_string(list_sort(list(DISTINCT model)), '+') AS members FROM ue GROUP BY 1, 2",
+        lambda s, d: an.family_rollup(_models(s, d)),
+        f"""WITH {SAMPLES}, {_MODELS_SQL}, fm AS (SELECT *, CASE WHEN contains(lower(model), 'flash') AND contains(lower(model), 'lite') THEN 'flash-lite' WHEN contains(lower(model), 'pro') THEN 'pro' WHEN contains(lower(model), 'flash') THEN 'flash' ELSE model END AS family FROM md)
+        SELECT snapshot_id, family, arg_min(used_bp, place) AS used_bp, min(reset_us) AS reset_us, string_agg(model, '+' ORDER BY place) AS members, CASE family WHEN 'pro' THEN 0 WHEN 'flash' THEN 1 WHEN 'flash-lite' THEN 2 ELSE 3 END AS rank FROM fm GROUP BY snapshot_id, family""",
     ),
     "pool_groups": (
         lambda s, d: an.pool_groups(_latest(s, d)),
-        f"WITH {SAMPLES}, {LATEST} SELECT provider, used_bp, reset_us, count(*) AS n, array_to_string(list_sort(list(DISTINCT quota_name || '@' || CAST(account_id AS VARCHAR))), '+') AS pool FROM la GROUP BY 1, 2, 3",
+        f"WITH {SAMPLES}, {LATEST} SELECT provider, used_bp, reset_us, count(*) AS n, array_to_string(list_sort(list(DISTINCT quota_name || '@' || coalesce(CAST(account_id AS VARCHAR), ''))), '+') AS pool FROM la GROUP BY 1, 2, 3",
     ),
     "shared_pool": (
-        lambda s, d: an.shared_pool(_latest(s, d)),
-        f"WITH {SAMPLES}, {LATEST} SELECT provider, account_id, count(*) AS n, count(*) > 1 AND min(used_bp) = max(used_bp) AND coalesce(max(reset_us) - min(reset_us), 0) <= 1000000 AS is_shared FROM la GROUP BY 1, 2",
+        lambda s, d: an.shared_pool(_latest(s, d).withColumn("used_bp", F.expr("used_bp DIV 5000"))),
+        f"""WITH {SAMPLES}, {LATEST}, a AS (SELECT provider, account_id, count(*) AS n, count(*) > 1 AND min(used_bp // 5000) = max(used_bp // 5000) AND coalesce(max(reset_us) - min(reset_us), 0) <= 1000000 AS is_shared,
+            min(quota_name) AS q, arg_min(used_bp // 5000, quota_name) AS u, (list(reset_us ORDER BY quota_name))[1] AS r FROM la GROUP BY 1, 2)
+        SELECT provider, account_id, n, is_shared, CASE WHEN is_shared THEN q END AS merged_quota_name, CASE WHEN is_shared THEN u END AS merged_used_bp, CASE WHEN is_shared THEN r END AS merged_reset_us FROM a""",
     ),
     "grouped_cycles": (
         lambda s, d: an.grouped_cycles(_cycles(s, d)),
-        f"WITH {_STATS} SELECT provider, quota_name, start_us - start_us % {HOUR} AS hour_us, min(start_us) AS start_us, max(end_us) AS end_us, max(peak_bp) AS peak_bp, CAST(sum(delta_bp) AS BIGINT) AS delta_bp FROM cy GROUP BY 1, 2, 3",
+        f"WITH {_STATS} SELECT provider, quota_name, start_us - start_us % 60000000 AS minute_us, min(start_us) AS start_us, max(end_us) AS end_us, max(peak_bp) AS peak_bp, CAST(sum(delta_bp) AS BIGINT) AS delta_bp FROM cy GROUP BY 1, 2, 3",
     ),
     "trend_half_split": (
         lambda s, d: an.trend_half_split(boundaries.daily_usage(_q(s, d))),
         f"""WITH {SAMPLES}, r AS (SELECT *, used_bp - lag(used_bp) OVER w AS rise FROM qs {WK}), dy AS (SELECT {K}, us // {DAY} AS day, CAST(sum(rise) AS BIGINT) AS rise_bp FROM r WHERE rise > 0 GROUP BY ALL),
         n AS (SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY day) AS i, count(*) OVER (PARTITION BY {K}) AS n FROM dy),
-        a AS (SELECT {K}, round(avg(rise_bp) FILTER (i <= (n + 1) // 2), 6) AS older, round(avg(rise_bp) FILTER (i > (n + 1) // 2), 6) AS newer FROM n GROUP BY ALL)
-        SELECT *, CASE WHEN newer IS NULL OR abs(newer - older) <= greatest(CAST(500 AS DOUBLE), CAST(0.15 AS DOUBLE) * older) THEN 'stable' WHEN newer > older THEN 'rising' ELSE 'falling' END AS trend FROM a""",
+        a AS (SELECT {K}, round(avg(rise_bp) FILTER (i <= n // 2), 6) AS older, round(avg(rise_bp) FILTER (i > n // 2), 6) AS newer FROM n GROUP BY ALL)
+        SELECT *, CASE WHEN older IS NULL OR newer IS NULL THEN 'stable' WHEN newer - older > greatest(500, CAST(0.15 AS DOUBLE) * older) THEN 'rising' WHEN older - newer > greatest(500, CAST(0.15 AS DOUBLE) * older) THEN 'falling' ELSE 'stable' END AS trend FROM a""",
     ),
     "cycle_overview": (
         lambda s, d: an.cycle_overview(_cycles(s, d), _q(s, d)),
-        f"""WITH {_STATS}, h AS (SELECT {K}, start_us, us, used_bp, snapshot_id FROM qs JOIN (SELECT {K}, start_us, end_us FROM cy) USING ({K}) WHERE us >= start_us AND us <= end_us),
+        f"""WITH {_STATS}, h AS (SELECT cy.provider, cy.account_id, cy.quota_name, cy.start_us, qs.us, used_bp, snapshot_id FROM qs JOIN cy ON qs.provider = cy.provider AND qs.account_id IS NOT DISTINCT FROM cy.account_id AND qs.quota_name = cy.quota_name WHERE us >= cy.start_us AND us <= cy.end_us),
         o AS (SELECT {K}, start_us, arg_max(us, (used_bp, -us)) AS peak_us, max(used_bp) AS peak_bp, arg_min(used_bp, (us, snapshot_id)) AS start_bp FROM h GROUP BY ALL)
-        SELECT o.*, five_hour.used_bp AS five_hour_bp, seven_day.used_bp AS seven_day_bp, monthly.used_bp AS monthly_bp FROM o {_ASOF('five_hour')} {_ASOF('seven_day')} {_ASOF('monthly')}""",
+        SELECT o.*, {', '.join(f'{n}_peak_us.v AS {n}_bp, {n}_peak_us.v - {n}_start_us.v AS {n}_delta_bp' for n in _NAMED)} FROM o {' '.join(_asof(n, at) for n in _NAMED for at in ('peak_us', 'start_us'))}""",
     ),
     "observed_providers": (lambda s, d: _q(s, d).groupBy("provider").agg(F.min("us").alias("first_us"), F.max("us").alias("last_us")), f"WITH {SAMPLES} SELECT provider, min(us) AS first_us, max(us) AS last_us FROM qs GROUP BY 1"),
     "distinct_names": (lambda s, d: _q(s, d).select("provider", "quota_name").distinct(), f"WITH {SAMPLES} SELECT DISTINCT provider, quota_name FROM qs"),
@@ -173,13 +204,13 @@ QUERIES = {
         lambda s, d: ingest.thin_meters(_q(s, d).withColumn("used_bp", F.expr("used_bp DIV 500")), 5 * DAY),
         f"""WITH RECURSIVE {SAMPLES}, m AS MATERIALIZED (SELECT {K}, snapshot_id, us, used_bp // 500 AS used_bp, coalesce(reset_us, -1) AS r, row_number() OVER (PARTITION BY {K}, used_bp // 500, coalesce(reset_us, -1) ORDER BY us, snapshot_id) AS rn FROM qs),
         f AS (SELECT *, us AS kept, true AS stays FROM m WHERE rn = 1 UNION ALL SELECT m.*, CASE WHEN m.us - f.kept >= {5 * DAY} THEN m.us ELSE f.kept END, m.us - f.kept >= {5 * DAY} FROM f JOIN m
-            ON m.provider = f.provider AND m.account_id = f.account_id AND m.quota_name = f.quota_name AND m.used_bp = f.used_bp AND m.r = f.r AND m.rn = f.rn + 1)
+            ON m.provider = f.provider AND m.account_id IS NOT DISTINCT FROM f.account_id AND m.quota_name = f.quota_name AND m.used_bp = f.used_bp AND m.r = f.r AND m.rn = f.rn + 1)
         SELECT {K}, snapshot_id, us, used_bp FROM f WHERE stays""",
     ),
     "poll_meter_preference": (
         lambda s, d: ingest.prefer_polled(_meters(s, d), 12 * HOUR),
         f"""WITH {SAMPLES}, m AS (SELECT *, CASE WHEN snapshot_id % 2 = 0 THEN 'poll' ELSE 'rollout' END AS source FROM qs)
-        SELECT * FROM m WHERE source = 'poll' OR NOT EXISTS (SELECT 1 FROM m p WHERE p.source = 'poll' AND p.provider = m.provider AND p.account_id = m.account_id AND p.quota_name = m.quota_name AND abs(p.us - m.us) <= {12 * HOUR})""",
+        SELECT * FROM m WHERE source = 'poll' OR NOT EXISTS (SELECT 1 FROM m p WHERE p.source = 'poll' AND p.provider = m.provider AND p.account_id IS NOT DISTINCT FROM m.account_id AND p.quota_name = m.quota_name AND abs(p.us - m.us) <= {12 * HOUR})""",
     ),
     "upsert_hourly": (
         lambda s, d: ingest.upsert_hourly(*[usage_events(s, d).where(f"event_id % 2 = {k}").select("integration_name", F.expr(f"us - us % {HOUR}").alias("hour_us"), "output_tokens", F.col("us").alias("first_us"), F.col("us").alias("last_us")) for k in (0, 1)], ["integration_name", "hour_us"], ["output_tokens"]),
@@ -187,7 +218,7 @@ QUERIES = {
     ),
     "merge_mutable": (
         lambda s, d: ingest.merge_mutable(_q(s, d).where("snapshot_id % 2 = 0"), _q(s, d).where("snapshot_id % 2 = 1")),
-        f"WITH {SAMPLES}, {LATEST}, p AS (SELECT {K}, max(used_bp) AS peak_bp FROM qs GROUP BY ALL) SELECT {K}, reset_us, snapshot_id, peak_bp, us FROM la JOIN p USING ({K})",
+        f"WITH {SAMPLES}, {LATEST}, p AS (SELECT {K}, max(used_bp) AS peak_bp FROM qs GROUP BY ALL) SELECT la.provider, la.account_id, la.quota_name, reset_us, snapshot_id, peak_bp, us FROM la JOIN p ON la.provider = p.provider AND la.account_id IS NOT DISTINCT FROM p.account_id AND la.quota_name = p.quota_name",
     ),
     "ingest_health": (
         lambda s, d: ingest.ingest_health(usage_events(s, d).select("source_path").distinct(), usage_events(s, d).where("integration_name = 'error' AND source_path <> 'p3'")),
@@ -210,7 +241,7 @@ QUERIES = {
         n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {K} {ORD}) AS rn FROM p),
         f AS (SELECT *, CASE WHEN over_bp >= 1500 THEN over_bp END AS sent, over_bp >= 1500 AS fires FROM n WHERE rn = 1
         UNION ALL SELECT n.*, CASE WHEN n.over_bp < 1000 THEN NULL WHEN n.over_bp >= 1500 AND (f.sent IS NULL OR n.over_bp >= f.sent + 1000) THEN n.over_bp ELSE f.sent END, n.over_bp >= 1500 AND (f.sent IS NULL OR n.over_bp >= f.sent + 1000)
-            FROM f JOIN n ON n.provider = f.provider AND n.account_id = f.account_id AND n.quota_name = f.quota_name AND n.rn = f.rn + 1)
+            FROM f JOIN n ON n.provider = f.provider AND n.account_id IS NOT DISTINCT FROM f.account_id AND n.quota_name = f.quota_name AND n.rn = f.rn + 1)
         SELECT {K}, snapshot_id, us, over_bp FROM f WHERE fires""",
     ),
     "missed_polls": (
@@ -228,6 +259,4 @@ QUERIES = {
         f"""WITH {SAMPLES}, {LATEST}, v AS (SELECT *, used_bp / CAST(100 AS DOUBLE) AS u, (reset_us - {NOW_US}) / CAST(1000000 AS DOUBLE) AS r, ({NOW_US} - us) / CAST(1000000 AS DOUBLE) AS a FROM la)
         SELECT provider, account_id, quota_name, metric, value FROM (SELECT {K}, 'quota_utilization_percent' AS metric, u AS value FROM v UNION ALL SELECT {K}, 'quota_reset_seconds', r FROM v UNION ALL SELECT {K}, 'quota_sample_age_seconds', a FROM v) WHERE value IS NOT NULL""",
     ),
-    "allowance_cycles": (lambda s, d: val.allowance_cycles(_q(s, d)), val.allowance_sql(SAMPLES)),
-    "subscription_value": (lambda s, d: val.subscription_value(_q(s, d), usage_events(s, d)), val.value_sql(SAMPLES, USAGE)),
 }

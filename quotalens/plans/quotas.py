@@ -56,8 +56,9 @@ def cycles_sql(rule: c.Rule) -> str:
     if rule.below:
         more.append(f"(s.used_bp * {rule.below[1]} < f.last * {rule.below[0]})")
     if rule.confirm:
-        confirmed = "(f.p_reset IS NOT NULL AND s.reset_us IS NOT NULL AND abs(s.reset_us - f.p_reset) <= 300000000 AND s.used_bp <= f.p_used + 200)"
-        skip = f"(NOT {past} AND f.p_reset IS NULL AND {shift})"
+        shift = f"coalesce(f.reset IS NOT NULL AND {shift}, false)"
+        confirmed = f"({shift} AND coalesce(abs(s.reset_us - f.p_reset) <= 300000000 AND s.used_bp <= f.p_used + 200, false))"
+        skip = f"(NOT {past} AND {shift} AND NOT {confirmed})"
         shift = confirmed
     else:
         skip = "false"
@@ -67,16 +68,17 @@ def cycles_sql(rule: c.Rule) -> str:
     peak = "greatest(f.peak, s.used_bp)" if rule.peaks else "f.peak"
     delta = f"f.delta + {rise}" if rule.adds else "f.delta"
     kept = "coalesce(s.reset_us, f.reset)" if rule.rolls else "f.reset"
+    last = "s.reset_us" if rule.forgets else "coalesce(s.reset_us, f.last_reset)"
     return f"""WITH RECURSIVE {SAMPLES}, s AS MATERIALIZED (SELECT {K}, us, used_bp, CAST(reset_us AS BIGINT) AS reset_us, row_number() OVER w AS rn FROM qs {WK}),
     f AS (SELECT {K}, rn, us AS start_us, reset_us AS reset, used_bp AS peak, CAST(0 AS BIGINT) AS delta, used_bp AS last, reset_us AS last_reset, CAST(NULL AS BIGINT) AS p_reset, CAST(NULL AS BIGINT) AS p_used,
         false AS ended, CAST(NULL AS BIGINT) AS c_start, CAST(NULL AS BIGINT) AS c_end, CAST(NULL AS BIGINT) AS c_reset, CAST(NULL AS BIGINT) AS c_peak, CAST(NULL AS BIGINT) AS c_delta FROM s WHERE rn = 1
     UNION ALL SELECT s.provider, s.account_id, s.quota_name, s.rn,
         CASE WHEN {ended} THEN s.us ELSE f.start_us END, CASE WHEN {ended} THEN s.reset_us WHEN {skip} THEN f.reset ELSE {kept} END,
         CASE WHEN {ended} THEN s.used_bp WHEN {skip} THEN f.peak ELSE greatest(f.peak, s.used_bp) END, CASE WHEN {ended} THEN 0 WHEN {skip} THEN f.delta ELSE f.delta + {rise} END,
-        CASE WHEN {skip} THEN f.last ELSE s.used_bp END, CASE WHEN {skip} THEN f.last_reset ELSE coalesce(s.reset_us, f.last_reset) END,
+        CASE WHEN {skip} THEN f.last ELSE s.used_bp END, CASE WHEN {skip} THEN f.last_reset ELSE {last} END,
         CASE WHEN {skip} THEN s.reset_us ELSE NULL END, CASE WHEN {skip} THEN s.used_bp ELSE NULL END,
         {ended}, f.start_us, {end}, f.reset, {peak}, {delta}
-        FROM f JOIN s ON s.provider = f.provider AND s.account_id = f.account_id AND s.quota_name = f.quota_name AND s.rn = f.rn + 1)
+        FROM f JOIN s ON s.provider = f.provider AND s.account_id IS NOT DISTINCT FROM f.account_id AND s.quota_name = f.quota_name AND s.rn = f.rn + 1)
     SELECT {K}, c_start AS start_us, c_end AS end_us, c_reset AS reset_us, c_peak AS peak_bp, c_delta AS delta_bp FROM f WHERE ended
     UNION ALL SELECT {K}, start_us, NULL, reset, peak, delta FROM f QUALIFY rn = max(rn) OVER (PARTITION BY {K})"""
 
@@ -133,7 +135,7 @@ QUERIES = {
     "repaired_cycles": (
         lambda s, d: b.repaired_cycles(_whole(quota_samples(s, d)), quota_samples(s, d)),
         f"""WITH {SAMPLES}, {_WHOLE}, bad AS (SELECT * FROM wh WHERE {_BAD}),
-        hd AS (SELECT qs.*, bad.start_us AS cycle_us FROM qs JOIN bad USING ({K}) WHERE us >= start_us AND us < end_us),
+        hd AS (SELECT qs.*, bad.start_us AS cycle_us FROM qs JOIN bad ON qs.provider = bad.provider AND qs.account_id IS NOT DISTINCT FROM bad.account_id AND qs.quota_name = bad.quota_name WHERE us >= start_us AND us <= end_us),
         bo AS (SELECT *, {_BOUND} AS is_boundary, lag(used_bp) OVER w AS before FROM hd {WK}),
         sg AS (SELECT *, CAST(sum(CAST(is_boundary AS BIGINT)) OVER w AS BIGINT) AS segment FROM bo {WK})
         SELECT {K}, cycle_us, segment, min(us) AS start_us, max(used_bp) AS peak_bp, CAST(sum(CASE WHEN is_boundary THEN 0 ELSE greatest(coalesce(used_bp - before, 0), 0) END) AS BIGINT) AS delta_bp, count(*) AS samples FROM sg GROUP BY ALL""",
@@ -143,9 +145,19 @@ QUERIES = {
         f"""WITH RECURSIVE {_STATS}, n AS MATERIALIZED (SELECT {K}, start_us, peak_bp, delta_bp, row_number() OVER (PARTITION BY {K} ORDER BY start_us) AS rn FROM cy),
         f AS (SELECT *, CAST(0 AS BIGINT) AS period, peak_bp AS run FROM n WHERE rn = 1
         UNION ALL SELECT n.*, f.period + CASE WHEN f.run > 500 AND 2 * n.peak_bp < f.run THEN 1 ELSE 0 END, CASE WHEN f.run > 500 AND 2 * n.peak_bp < f.run THEN n.peak_bp ELSE greatest(f.run, n.peak_bp) END
-            FROM f JOIN n ON n.provider = f.provider AND n.account_id = f.account_id AND n.quota_name = f.quota_name AND n.rn = f.rn + 1)
+            FROM f JOIN n ON n.provider = f.provider AND n.account_id IS NOT DISTINCT FROM f.account_id AND n.quota_name = f.quota_name AND n.rn = f.rn + 1)
         SELECT {K}, period, min(start_us) AS start_us, count(*) AS cycles, max(peak_bp) AS peak_bp, CAST(sum(delta_bp) AS BIGINT) AS delta_bp FROM f GROUP BY ALL""",
     ),
+    "billing_summary": (
+        lambda s, d: b.billing_summary(b.billing_periods(b.cycle_stats(quota_samples(s, d)))),
+        f"""WITH RECURSIVE {_STATS}, n AS MATERIALIZED (SELECT {K}, start_us, peak_bp, row_number() OVER (PARTITION BY {K} ORDER BY start_us) AS rn FROM cy),
+        f AS (SELECT *, CAST(0 AS BIGINT) AS period, peak_bp AS run FROM n WHERE rn = 1
+        UNION ALL SELECT n.*, f.period + CASE WHEN f.run > 500 AND 2 * n.peak_bp < f.run THEN 1 ELSE 0 END, CASE WHEN f.run > 500 AND 2 * n.peak_bp < f.run THEN n.peak_bp ELSE greatest(f.run, n.peak_bp) END
+            FROM f JOIN n ON n.provider = f.provider AND n.account_id IS NOT DISTINCT FROM f.account_id AND n.quota_name = f.quota_name AND n.rn = f.rn + 1),
+        p AS (SELECT {K}, period, max(peak_bp) AS peak_bp FROM f GROUP BY ALL)
+        SELECT {K}, count(*) AS periods, CAST(sum(peak_bp) AS BIGINT) AS total_peak_bp, round(avg(peak_bp), 6) AS avg_peak_bp, max(peak_bp) AS max_peak_bp FROM p GROUP BY ALL""",
+    ),
+    "bad_cycles_copilot": (lambda s, d: b.bad_cycles(_whole(quota_samples(s, d)), "copilot"), f"WITH {SAMPLES}, {_WHOLE} SELECT * FROM wh WHERE end_us - start_us > {35 * b.DAY_US}"),
     "sessions_idle": (
         lambda s, d: b.idle_sessions(quota_samples(s, d), TIMEOUT_US),
         f"""WITH {SAMPLES}, ch AS (SELECT *, coalesce(used_bp <> lag(used_bp) OVER w, false) AS changed, lag(us) OVER w AS before_us, lag(used_bp) OVER w AS before FROM qs {WK}),

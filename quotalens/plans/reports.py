@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from quotalens.operators import analytics as an
 from quotalens.operators import insights as ins
+from quotalens.operators import rollup
 from quotalens.sources.projection import SAMPLES, USAGE, usage_events
 
 from .insights import DAY, HOUR, LATEST, LEAST_US, NOW_US, WINDOW_US, K, QUERIES as _OTHERS, _cycles, _latest, _q
 from .quotas import _STATS, ORD
+from .usage import ARCHIVE, CUT_US
 
 _OPEN = f"{_STATS}, op AS (SELECT *, segment = max(segment) OVER (PARTITION BY {K}) AS is_open FROM cy)"
 _BURN = _OTHERS["burn_rate"][1]
@@ -26,6 +28,20 @@ def _slots(hour):
     return f"CAST(floor((us - {hour * HOUR} + {DAY // 2}) / {DAY}) AS BIGINT) * {DAY} + {hour * HOUR}"
 
 
+_PATH = """CASE event_id % 6 WHEN 0 THEN '/Users/' WHEN 1 THEN 'C:\\logs' WHEN 2 THEN 'D:/logs' WHEN 3 THEN 'device:7' WHEN 4 THEN 'import:x' ELSE '' END"""
+_REPORT = f"""{ARCHIVE}, rr AS (SELECT model, reasoning_effort, speed_mode, {_PATH} AS path, 1 AS request_count, coalesce(cost_cents, 0) AS cost_cents, CAST(cost_cents IS NULL AS BIGINT) AS unpriced, false AS archived FROM ue WHERE us >= {CUT_US}
+    UNION ALL SELECT model, reasoning_effort, speed_mode, '', request_count, cost_cents, unpriced, true FROM archive)"""
+
+
+def _report_rows(s, d):
+    e = usage_events(s, d)
+    n = F.col("event_id") % 6
+    path = F.when(n == 0, "/Users/").when(n == 1, "C:\\logs").when(n == 2, "D:/logs").when(n == 3, "device:7").when(n == 4, "import:x").otherwise("")
+    raw = e.where(f"us >= {CUT_US}").select("model", "reasoning_effort", "speed_mode", path.alias("source_path"), F.lit(1).cast("bigint").alias("request_count"), F.coalesce("cost_cents", F.lit(0)).cast("bigint").alias("cost_cents"), F.col("cost_cents").isNull().cast("bigint").alias("unpriced"), F.lit(False).alias("archived"))
+    old = rollup.compact_hourly(e.where(f"us < {CUT_US}"))
+    return raw.unionByName(old.select("model", "reasoning_effort", "speed_mode", F.lit("").alias("source_path"), "request_count", "cost_cents", "unpriced", F.lit(True).alias("archived")))
+
+
 QUERIES = {
     "display_mode": (lambda s, d: ins.display_mode(_latest(s, d), "available").select("snapshot_id", "shown_bp"), f"WITH {SAMPLES}, {LATEST} SELECT snapshot_id, greatest(10000 - used_bp, 0) AS shown_bp FROM la"),
     "normalized_plan": (
@@ -59,9 +75,11 @@ QUERIES = {
         f"WITH {_STATS} SELECT {K}, start_us, delta_bp FROM cy QUALIFY delta_bp > 0 OR row_number() OVER (PARTITION BY {K} ORDER BY delta_bp > 0, start_us DESC) = 1",
     ),
     "report_totals": (
-        lambda s, d: ins.report_totals(usage_events(s, d)),
-        f"""WITH {USAGE}, k AS (SELECT *, unnest(['report', concat_ws('|', 'model', model, reasoning_effort, speed_mode), concat_ws('|', 'device', CASE WHEN source_path IN ('p0', 'p1') THEN 'mac' WHEN source_path IN ('p2', 'p3') THEN 'windows' ELSE 'linux' END)]) AS what FROM ue)
-        SELECT what, CAST(coalesce(sum(cost_cents), 0) AS BIGINT) AS cost_cents, count(*) AS requests, count(*) FILTER (cost_cents IS NULL) AS unknown FROM k GROUP BY 1""",
+        lambda s, d: ins.report_totals(_report_rows(s, d)),
+        f"""WITH {_REPORT}, k AS (SELECT *, unnest([{{'kind': 'report', 'name': ''}}, {{'kind': 'model', 'name': concat_ws('|', model, reasoning_effort, speed_mode)}}, {{'kind': 'device', 'name': CASE WHEN contains(path, '/Users/') THEN 'macOS source' WHEN contains(path, ':\\') OR contains(path, ':/') THEN 'Windows source'
+            WHEN starts_with(path, 'device:') OR starts_with(path, 'import:') THEN 'Imported source' ELSE 'Other / unknown source' END}}]) AS k FROM rr),
+        t AS (SELECT k.kind AS kind, k.name AS name, CAST(sum(cost_cents) AS BIGINT) AS cost_cents, CAST(sum(request_count) AS BIGINT) AS requests, CAST(sum(unpriced) AS BIGINT) AS unknown, CAST(coalesce(sum(request_count) FILTER (archived), 0) AS BIGINT) AS archived FROM k GROUP BY 1, 2)
+        SELECT *, row_number() OVER (PARTITION BY kind ORDER BY cost_cents DESC, name) AS place FROM t""",
     ),
     "burn_insights": (
         lambda s, d: ins.burn_insights(an.burn_rate(_q(s, d), NOW_US, WINDOW_US, LEAST_US)),
@@ -70,7 +88,7 @@ QUERIES = {
     "cycle_rate": (
         lambda s, d: ins.cycle_rate(an.with_open(_cycles(s, d)), NOW_US),
         f"""WITH {_OPEN}, r AS (SELECT *, CASE WHEN {NOW_US} - start_us >= {HOUR // 2} AND delta_bp > 0 THEN delta_bp * CAST({HOUR} AS DOUBLE) / ({NOW_US} - start_us) END AS rt FROM op WHERE is_open)
-        SELECT {K}, round(rt, 6) AS rate, round(least(CAST(10000 AS DOUBLE), CASE WHEN rt IS NULL OR reset_us IS NULL THEN 10000 ELSE peak_bp + rt * greatest(reset_us - {NOW_US}, 0) / CAST({HOUR} AS DOUBLE) END), 4) AS projected_bp FROM r""",
+        SELECT {K}, round(rt, 6) AS rate, round(CASE WHEN reset_us IS NULL OR rt IS NULL THEN NULL ELSE least(10000, peak_bp + rt * CASE WHEN reset_us > {NOW_US} THEN reset_us - {NOW_US} ELSE 0 END / CAST({HOUR} AS DOUBLE)) END, 4) AS projected_bp FROM r""",
     ),
     "variance_insight": (
         lambda s, d: ins.variance_insight(an.with_open(_cycles(s, d))),

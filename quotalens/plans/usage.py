@@ -59,5 +59,5 @@ QUERIES = {
         lambda s, d: pricing.price_asof(usage_events(s, d), prices(s)).select("event_id", "model", "price_model", "from_us", "input_cost"),
         pricing.sql(f"WITH {USAGE}, {PRICES_SQL}", "SELECT event_id, model, price_model, from_us, input_cost FROM priced"),
     ),
-    "credits": (lambda s, d: pricing.credits(usage_events(s, d)).select("event_id", "credits"), f"WITH {USAGE} SELECT event_id, {pricing.CREDITS_SQL} AS credits FROM ue"),
+    "credits": (lambda s, d: pricing.credits(usage_events(s, d)).select("event_id", "credits"), f"WITH {USAGE} SELECT event_id, {pricing.CREDITS_SQL} AS credits FROM ue LEFT JOIN {pricing.CREDIT_RATES_SQL} ON r.model = ue.model"),
 }

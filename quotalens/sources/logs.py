@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-EVENT = ["source", "provider", "session_id", "request_id", "model", "reasoning_effort", "mode", "speed_mode", "us", "input_tokens", "cached_input_tokens", "cache_creation_input_tokens", "output_tokens", "reasoning_output_tokens", "total_tokens", "cost_usd", "source_path"]
+EVENT = ["source", "provider", "session_id", "request_id", "model", "reasoning_effort", "mode", "speed_mode", "us", "input_tokens", "cached_input_tokens", "cache_creation_input_tokens", "cache_creation_1h_input_tokens", "output_tokens", "reasoning_output_tokens", "total_tokens", "cost_usd", "source_path"]
 
 
 def text(json: str, *paths: str) -> Column:
@@ -49,6 +49,7 @@ def claude_lines(lines: DataFrame, value: str = "value", path: str = "source_pat
         "reasoning_output_tokens": number("_u", "reasoning_output_tokens", "reasoning_tokens", "thinking_tokens"),
     }
     total, own = number("_u", "total_tokens", "total"), sum(counts.values(), F.lit(0))
+    counts["cache_creation_1h_input_tokens"] = number("_u", "cache_creation.ephemeral_1h_input_tokens")  # a part of cache creation
     speed, tier = F.lower(text("_u", "speed")), F.lower(text("_u", "service_tier"))
     mode = F.when(speed.isin("fast", "priority"), "fast").when(speed == "standard", "standard").when(tier == "priority", "fast").when(tier == "standard", "standard")
     return _events(
@@ -157,9 +158,14 @@ def cursor_state(pairs: DataFrame, path: str = "state") -> DataFrame:
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of text files with their path and their order in it (the order of a file's own lines, not their number)."""
+    """Lines of text files with their path and their order in it (the order of a file's own lines, not their number).
+
+    A file may be read in several splits, which Spark packs into tasks by size, not by place. So ``line_no`` (a struct) orders
+    first by the split's place in the file, then by the order in which a task reads lines.
+    """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_block_start").alias("_block"))
-    return lines.withColumn("line_no", F.monotonically_increasing_id())
+    lines = lines.withColumn("_at", F.monotonically_increasing_id())
+    return lines.select("value", "source_path", F.struct("_block", "_at").alias("line_no"))
 
 
 def write_events(events: DataFrame, path: str) -> None:

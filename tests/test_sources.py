@@ -50,18 +50,63 @@ def test_cursor(spark, tmp_path):
     assert sorted((r["session_id"], r["model"], r["total_tokens"]) for r in got) == [("c1", "big", 7), ("c2", "cursor-unknown", 1)]
 
 
+def line(hour, n, **more):
+    return json.dumps({"ts": f"2024-01-01T0{hour}:00:01Z", "integration": "i", "provider": "openai", "model": "m", "input_tokens": n, "output_tokens": 1} | more)
+
+
 def test_stream_of_lines_counts_each_event_once(spark, tmp_path):
-    line = lambda h, n: json.dumps({"ts": f"2024-01-01T0{h}:00:01Z", "integration": "i", "provider": "openai", "model": "m", "input_tokens": n, "output_tokens": 1})
+    key = {"metadata": json.dumps({"event_key": "k"})}
     (tmp_path / "in").mkdir()
-    (tmp_path / "in/a.jsonl").write_text("\n".join([line(1, 5), line(1, 5), line(1, 6), "oops", line(2, 7)]))
-    (tmp_path / "in/b.jsonl").write_text("\n".join([line(2, 7), line(9, 1)]))
+    # the same line twice in a file, the same event in two files, and one moment with two requests
+    (tmp_path / "in/a.jsonl").write_text("\n".join([line(1, 5), line(1, 5), line(1, 6), "oops", line(2, 7, **key)]))
+    (tmp_path / "in/b.jsonl").write_text("\n".join([line(2, 7, **key), line(2, 8, request_id="x"), line(2, 8, request_id="y"), line(9, 1)]))
     sums = usage.hourly(usage.valid_events(usage.read_lines(spark, str(tmp_path / "in"), 1)))
-    flat = sums.select(F.unix_seconds("window.start").alias("hour"), "integration", "model", "request_count", "input_tokens")
-    q = flat.writeStream.outputMode("append").foreachBatch(usage.upsert_into(str(tmp_path / "out"), ["hour", "integration", "model"], ["request_count", "input_tokens"])).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    last = sorted(tmp_path.glob("out/batch=*"), key=lambda p: int(p.name.split("=")[1]))[-1]
-    got = spark.read.parquet(str(last)).orderBy("hour").collect()
-    assert [(r["request_count"], r["input_tokens"]) for r in got] == [(2, 11), (1, 7)]
+    for _ in range(2):  # started again, the stream adds nothing
+        usage.write_hourly(sums, str(tmp_path / "out"), str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+    got = spark.read.parquet(str(tmp_path / "out")).orderBy("hour_us").collect()
+    assert [(r["request_count"], r["input_tokens"]) for r in got] == [(2, 11), (3, 23)]
+
+
+def test_fingerprints_tell_requests_accounts_and_files_apart(spark):
+    rows = [line(1, 5), line(1, 5), line(1, 5, account="a"), line(1, 5, request_id="r"), line(1, 5, total_tokens=9)]
+    e = usage.parse_lines(spark.createDataFrame([(r, f"p{k % 2}") for k, r in enumerate(rows)], "value string, source_path string"))
+    got = e.withColumn("f", usage.event_fingerprint(F.col("source_path"), F.col("us"), F.col("metadata"))).collect()
+    assert len({r["f"] for r in got}) == len(rows)
+    claude = {"provider": "anthropic", "request_id": "r", "metadata": json.dumps({"source": "claude", "session_id": "s", "source_path": "x"})}
+    e = usage.parse_lines(spark.createDataFrame([(line(1, 5, **claude), "p"), (line(2, 5, **claude), "q")], "value string, source_path string"))
+    assert e.select(usage.event_fingerprint(F.col("source_path"), F.col("us"), F.col("metadata"))).distinct().count() == 1
+
+
+def test_lines_of_a_split_file_keep_their_order(spark, tmp_path):
+    rows = [json.dumps({"type": "turn_context", "payload": {"model": f"m{k}"}}) + " " * 200 for k in range(3000)]
+    (tmp_path / "big.jsonl").write_text("\n".join(rows))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        read = logs.text_lines(spark, str(tmp_path / "big.jsonl"))
+        assert read.rdd.getNumPartitions() > 1
+        got = [r["value"] for r in read.orderBy("line_no").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert got == rows
+
+
+def test_late_stream_samples_change_nothing(spark, tmp_path):
+    minute = 60_000_000
+    schema = "provider string, account_id long, quota_name string, snapshot_id long, us long, used_bp long, reset_us long"
+    big = 9_007_199_254_740_993
+    batches = [
+        [("p", a, "q", k, k * minute, 100 * k, 300 * minute) for k in (1, 2, 5) for a in (None, big)],
+        [("p", a, "q", 3, 3 * minute, 9_000, 300 * minute) for a in (None, big)],
+        [("p", a, "q", 6, 6 * minute, 50, 900 * minute) for a in (None, big)],
+    ]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = usage.closed_cycles(stream, cycles.RULES["anthropic"]).writeStream.outputMode("append").format("memory").queryName("late").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(240)
+    got = sorted(map(tuple, spark.table("late").select("account_id", "start_us", "end_us", "peak_bp", "delta_bp").collect()), key=str)
+    assert got == sorted([(None, minute, 6 * minute, 500, 400), (big, minute, 6 * minute, 500, 400)], key=str)
 
 
 def test_streamed_cycles_equal_those_of_the_batch(spark, tmp_path):
