@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -43,8 +44,11 @@ TEMPLATES = (
 )
 #: What a notice cannot do without, lower case; a line without any is no candidate.
 CUES = (b"licen", b"hereby granted", b"redistribut", b"rights reserved", b"public domain", b"waived all copyright", b"spdx")
-#: Words around the cues of a block, templates confirmed whatever they save, size reduction from which others are, least share of a template's words found, and words below which a notice must stand exactly (and is looked for whatever it saves, as so few bytes say little).
-REACH, RANKED, REDUCTION, FOUND, SHORT = 40, 5, 0.05, 0.9, 8
+#: Words around the cues of a block, size reduction (of a template's own compressed size) from which it is confirmed, least share of a template's words found, and words below which a notice must stand exactly.
+REACH, REDUCTION, FOUND, SHORT = 40, 0.05, 0.9, 8
+#: Words that tell licenses apart, beside those with a digit: an edited notice must keep them.
+KEPT = {"gnu", "lesser", "affero", "mit", "apache", "mozilla", "not"}
+_TAG = "SPDX-License-Identifier:"
 _SPDX = re.compile(r"SPDX-License-Identifier:\s*([A-Za-z0-9.+-]+)", re.I)
 _TOKEN = re.compile(r"\S+")
 
@@ -56,12 +60,22 @@ def _key(word: str) -> str:
 
 @lru_cache(maxsize=1)
 def _compressors() -> tuple:
-    made = []
-    for name, text in TEMPLATES:
+    """(license, words, compressor with them as dictionary, own compressed size) of every template and the tag, and the plain compressor."""
+    alone, made = zstandard.ZstdCompressor(level=9, write_content_size=False, write_checksum=False), []
+    for name, text in (*TEMPLATES, (None, _TAG)):
         words = [k for w in text.split() if (k := _key(w))]
-        d = zstandard.ZstdCompressionDict(" ".join(words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        made.append((name, words, zstandard.ZstdCompressor(level=9, dict_data=d, write_content_size=False, write_checksum=False)))
-    return tuple(made), zstandard.ZstdCompressor(level=9, write_content_size=False, write_checksum=False)
+        joined = " ".join(words).encode()
+        d = zstandard.ZstdCompressionDict(joined, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        made.append((name, words, zstandard.ZstdCompressor(level=9, dict_data=d, write_content_size=False, write_checksum=False), len(alone.compress(joined))))
+    return tuple(made), alone
+
+
+def reductions(joined: bytes) -> list[tuple[float, str | None, list[str]]]:
+    """(size reduction, license, words) of every template for a block, the largest first: by how much smaller its dictionary makes
+    the block, for its own compressed size."""
+    with_template, alone = _compressors()
+    plain = len(alone.compress(joined))
+    return sorted((((plain - len(c.compress(joined))) / own, name, words) for name, words, c, own in with_template), key=lambda r: (-r[0], r[1] or ""))
 
 
 def blocks(text: str) -> list[tuple[int, int]]:
@@ -85,53 +99,76 @@ def blocks(text: str) -> list[tuple[int, int]]:
     return [(words[a][0], words[b][1]) for a, b in found]
 
 
-def _confirmed(template: list[str], words: list[str], spans: list[tuple[int, int]]) -> list[tuple]:
-    """Places where the wording stands: all exact ones, else the nearest by its word differences, if close enough."""
+def _edited(template: list[str], words: list[str]) -> list[tuple[int, int, float]]:
+    """(first word, last word, share of the wording) of all places that differ from the template in a few words, none in another.
+
+    Words of the template vote for where it would start; around every start with votes enough the word differences decide.
+    Numbers and license names must stand as they are: a changed version is another license.
+    """
+    n, at, votes = len(template), defaultdict(list), Counter()
+    for i, w in enumerate(template):
+        at[w].append(i)
+    slack = max(2, n // 8)
+    for j, w in enumerate(words):
+        for i in at.get(w, ()):
+            votes[(j - i) // slack] += 1
+    found, free = [], 0
+    for k in sorted(votes):
+        if votes[k - 1] + votes[k] + votes[k + 1] < FOUND * n:
+            continue
+        low = max(free, (k - 1) * slack)
+        same = [b for b in SequenceMatcher(None, template, words[low : (k + 2) * slack + n], autojunk=False).get_matching_blocks() if b.size]
+        covered = sum(b.size for b in same)
+        if covered < FOUND * n:
+            continue
+        kept = {i for b in same for i in range(b.a, b.a + b.size)}
+        if any(i not in kept and (any(c.isdigit() for c in w) or w in KEPT) for i, w in enumerate(template)):
+            continue
+        first, last = low + same[0].b, low + same[-1].b + same[-1].size - 1
+        if last - first < 2 * n:
+            found.append((first, last, covered / n))
+            free = last + 1
+    return found
+
+
+def _confirmed(template: list[str], words: list[str]) -> list[tuple[int, int, float, bool]]:
+    """All places where the wording stands: exact ones and, between these, edited ones of notices of SHORT words or more."""
     n, exact, k = len(template), [], 0
     while k + n <= len(words):
         if words[k] == template[0] and words[k : k + n] == template:
-            exact.append((spans[k][0], spans[k + n - 1][1], 1.0, True))
+            exact.append((k, k + n - 1, 1.0, True))
             k += n
         else:
             k += 1
-    if exact or n < SHORT:  # a short notice has no word to spare
+    if n < SHORT:  # a short notice has no word to spare
         return exact
-    same = [b for b in SequenceMatcher(None, template, words, autojunk=False).get_matching_blocks() if b.size]
-    if not same or sum(b.size for b in same) < FOUND * n:
-        return []
-    # numbers and license names must stand as they are: a changed version is another license
-    kept = {i for b in same for i in range(b.a, b.a + b.size)}
-    if any(i not in kept and (any(c.isdigit() for c in w) or w in {"gnu", "lesser", "affero", "mit", "apache", "mozilla", "not"}) for i, w in enumerate(template)):
-        return []
-    first, last = same[0].b, same[-1].b + same[-1].size - 1
-    return [(spans[first][0], spans[last][1], sum(b.size for b in same) / n, False)] if last - first < 2 * n else []
+    edited, low = [], 0
+    for first, last in [(f, t) for f, t, _, _ in exact] + [(len(words), len(words))]:
+        edited += [(low + a, low + b, share, False) for a, b, share in _edited(template, words[low:first])]
+        low = last + 1
+    return exact + edited
 
 
 def find_licenses(text: str) -> list[tuple[str, int, int, float, float, bool]]:
     """(license, start, end, size reduction, share of the wording found, exact) of a whole text, in order of start.
 
-    A block is compressed alone and with each template as zstandard raw dictionary. Templates are ranked by how much
-    smaller, for their own length, they make the block; the first RANKED, all others that save REDUCTION of their own
-    compressed size, and short notices are then held against the wording. Where two notices overlap the longer one stays.
+    A block is compressed alone and with each template as zstandard raw dictionary, and templates are ranked by the size
+    they save. Those that save REDUCTION of their own compressed size or more, and no others, are held against the
+    wording, all their places in the block. Where two notices overlap the exact or longer one stays. An SPDX tag names its
+    license itself.
     """
     found = []
     for a, b in blocks(text):
         part = text[a:b]
         pairs = [(k, (m.start() + a, m.end() + a)) for m in _TOKEN.finditer(part) if (k := _key(m[0]))]
         words, spans = [k for k, _ in pairs], [s for _, s in pairs]
-        joined = " ".join(words).encode()
-        with_template, alone = _compressors()
-        plain = len(alone.compress(joined))
-        ranked = []
-        for name, template, compressor in with_template:
-            own = len(alone.compress(" ".join(template).encode()))
-            saved = (plain - len(compressor.compress(joined))) / own
-            ranked.append((saved, name, template))
-        for place, (saved, name, template) in enumerate(sorted(ranked, key=lambda r: (-r[0], r[1]))):
-            if place >= RANKED and saved < REDUCTION and len(template) >= SHORT:
-                continue
-            found += [(name, s, e, saved, share, exact) for s, e, share, exact in _confirmed(template, words, spans)]
-        found += [(m[1], m.start() + a, m.end() + a, 1.0, 1.0, True) for m in _SPDX.finditer(part)]
+        for saved, name, template in reductions(" ".join(words).encode()):
+            if saved < REDUCTION:
+                break
+            if name is None:
+                found += [(m[1], m.start() + a, m.end() + a, saved, 1.0, True) for m in _SPDX.finditer(part)]
+            else:
+                found += [(name, spans[first][0], spans[last][1], saved, share, exact) for first, last, share, exact in _confirmed(template, words)]
     chosen: list = []
     for one in sorted(set(found), key=lambda f: (not f[5], f[1] - f[2], f[1], f[0])):
         if all(one[2] <= c[1] or one[1] >= c[2] for c in chosen):
@@ -159,5 +196,6 @@ def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every license notice of every document; see ``license_spans``."""
     docs = table(spark, sf_dir, "documents")
     return license_spans(docs)
