@@ -12,22 +12,27 @@ from pyspark.sql import functions as F
 
 from .common import keep, table
 
-#: Words with at least this share of a language's words are its common words; languages with at least this share of all words have a reference of their own.
-COMMON_SHARE, LANGUAGE_SHARE, SLACK = 0.001, 0.01, 8
-#: Largest Jensen-Shannon distances, from the number of words or bytes n: floor + slope / sqrt(n), as a short sample diverges by chance.
+#: Words with at least this share of a language's words are its common words; languages with so many words have a reference, others are not measured.
+COMMON_SHARE, LANGUAGE_WORDS, SLACK = 0.001, 20_000, 8
+#: Largest Jensen-Shannon distances, from the number of words or characters n: floor + slope / sqrt(n), as a short sample diverges by chance.
 WORDS_FLOOR, WORDS_SLOPE, CLASS_FLOOR, CLASS_SLOPE = 0.20, 2.1, 0.22, 1.0
-#: Below these lengths a histogram decides nothing.
-MIN_WORDS, MIN_BYTES = 50, 200
-POOLED = "*"
+#: Below these lengths (words; characters) a histogram decides nothing.
+MIN_WORDS, MIN_CHARS = 50, 200
 
-_CLASSES = [b"abcdefghijklmnopqrstuvwxyz" + bytes(range(128, 256)), b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\n\r\x0b\f", b".,:;?!'\"-()", b"#*$%&|<>"]
+#: Classes of characters by their first byte: a UTF-8 character counts once, one of U+2000 to U+2FFF (0xE2) as punctuation.
+_CLASSES = [b"abcdefghijklmnopqrstuvwxyz" + bytes(b for b in range(0xC0, 0x100) if b != 0xE2), b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\n\r\x0b\f", b".,:;?!'\"-()\xe2", b"#*$%&|<>"]
 N_CLASSES = len(_CLASSES) + 1
 _CLASS_OF = np.full(256, N_CLASSES - 1)
 for _k, _of in enumerate(_CLASSES):
     _CLASS_OF[list(_of)] = _k
+_CLASS_OF[0x80:0xC0] = N_CLASSES  # inside a character
 _SYMBOLS, _SPACES, _INNER = list(b"#*$%&|<>"), list(b" \t\n\r\x0b\f"), list(range(0x80, 0xC0))
 
 
+def _class_counts(by_byte: np.ndarray) -> np.ndarray:
+    return np.bincount(_CLASS_OF, weights=by_byte, minlength=N_CLASSES + 1)[:N_CLASSES].astype(np.int64)
+
+
 def _texts(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
@@ -57,11 +62,8 @@ def _frequent_parts(share: float):
         classes: dict = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), _texts(batch.column(1))):
-                histogram = np.bincount(_CLASS_OF[np.frombuffer(text, np.uint8)], minlength=N_CLASSES)
-                words = text.lower().split()
-                for key in (lang, POOLED):
-                    counts.setdefault(key, Counter()).update(words)
-                    classes[key] = classes.get(key, 0) + histogram
+                counts.setdefault(lang, Counter()).update(text.lower().split())
+                classes[lang] = classes.get(lang, 0) + _class_counts(np.bincount(np.frombuffer(text, np.uint8), minlength=256))
             if sum(map(len, counts.values())) > 400_000:  # bounds the task's memory
                 yield flush(counts, classes)
                 counts, classes = {}, {}
@@ -77,26 +79,24 @@ def _exact_parts(candidates: dict):
         counts = {lang: Counter() for lang in candidates}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), _texts(batch.column(1))):
-                words = Counter(text.lower().split())
-                for key in (lang, POOLED):
-                    if key in counts:
-                        common = words.keys() & candidates[key]
-                        counts[key].update({w: words[w] for w in common})
+                if lang in counts:
+                    known = candidates[lang]
+                    counts[lang].update([w for w in text.lower().split() if w in known])
         yield _rows(_PART[:3], [(lang, w, n) for lang, words in counts.items() for w, n in words.items()])
 
     return each
 
 
 def language_references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> dict:
-    """{language: (common words, their counts and the rest's, class counts)} over all texts, with the pool of all as ``*``.
+    """{language: (common words, their counts and the rest's, class counts)} over all texts of each language with LANGUAGE_WORDS words.
 
     Two passes give exact counts without shuffling the whole vocabulary. In the first, a task reports a word if it has
     at least an eighth of COMMON_SHARE of what the task has counted; a word can be common only if its reported count,
     plus that eighth of all words in tasks that did not report it, reaches COMMON_SHARE. At most 8 / (7 * COMMON_SHARE)
-    words of a language pass this test, and the second pass counts them exactly. Languages number at most
-    1 / LANGUAGE_SHARE, so what reaches the driver is bounded whatever the corpus.
+    words of a language pass this test, and the second pass counts them exactly. So a language takes some 30 KB of the
+    driver, and a rare one has the same reference whatever share of the table it is. A null language has none.
     """
-    pairs = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(POOLED)).alias("lang"), F.col(text_col).alias("text"))
+    pairs = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL")
     low = COMMON_SHARE / SLACK
     parts = pairs.mapInArrow(_frequent_parts(low), _PART_DDL)
     # one aggregation: totals under the null word, reported words under their own
@@ -127,11 +127,7 @@ def language_references(docs: DataFrame, lang_col: str = "lang", text_col: str =
 
 
 def _large_languages(summed: DataFrame) -> list:
-    totals = summed.where(F.col("word").isNull())
-    pool = totals.where(F.col("lang") == POOLED).first()
-    if pool is None or not pool["n"]:
-        return []
-    return totals.where((F.col("lang") == POOLED) | (F.col("n") >= LANGUAGE_SHARE * pool["n"])).collect()
+    return summed.where(F.col("word").isNull() & (F.col("n") >= LANGUAGE_WORDS)).collect()
 
 
 def js_distance(p: np.ndarray, q: np.ndarray) -> float:
@@ -181,9 +177,10 @@ def judge(text: bytes, reference: tuple | None) -> tuple:
         for w, k in Counter(text.lower().split()).items():
             own[at.get(w, -1)] += k
         of_words = js_distance(own, counts)
-        of_classes = js_distance(np.bincount(_CLASS_OF, weights=by_byte, minlength=N_CLASSES), classes)
+        of_classes = js_distance(_class_counts(by_byte), classes)
+    chars = len(text) - int(by_byte[_INNER].sum())
     far = n >= MIN_WORDS and of_words > WORDS_FLOOR + WORDS_SLOPE / np.sqrt(n)
-    far |= len(text) >= MIN_BYTES and of_classes > CLASS_FLOOR + CLASS_SLOPE / np.sqrt(len(text))
+    far |= chars >= MIN_CHARS and of_classes > CLASS_FLOOR + CLASS_SLOPE / np.sqrt(chars)
     word_chars = len(text) - int(by_byte[_INNER].sum() + by_byte[_SPACES].sum())
     return n, word_chars, int(by_byte[_SYMBOLS].sum()), len(lines) - len(set(lines)), repeated, of_words, of_classes, failed, not failed and not far
 
@@ -193,13 +190,13 @@ def apply_rules(docs: DataFrame, references: dict, id_col: str = "doc_id", lang_
 
     A text is dropped if it fails the base rules, or if its common-word or character-class histogram lies farther from
     its language's reference than a sample of its length should; a text below the minimum length of a histogram is not
-    judged by it. A null or rare language is held against the pool of all. A null text counts as empty (and fails on
-    length); repeated rows are judged alike; no references (an empty table) leave the base rules alone.
+    judged by it. A text of a null language, or of one without a reference, is judged by the base rules alone. A null text
+    counts as empty (and fails on length); repeated rows are judged alike; an empty table gives no rows.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [judge(t, references.get(lang, references.get(POOLED))) for lang, t in zip(batch.column(1).to_pylist(), _texts(batch.column(2)))]
+            rows = [judge(t, references.get(lang)) for lang, t in zip(batch.column(1).to_pylist(), _texts(batch.column(2)))]
             made = _rows(_OUT, rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), *made.columns], names=[id_col, *made.schema.names])
 
@@ -209,5 +206,7 @@ def apply_rules(docs: DataFrame, references: dict, id_col: str = "doc_id", lang_
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document, in the contract's columns, the distances after them; see ``apply_rules``."""
     docs = table(spark, sf_dir, "documents")
-    return apply_rules(docs, language_references(docs))
+    found = apply_rules(docs, language_references(docs))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "word_distance", "class_distance")
