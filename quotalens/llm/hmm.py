@@ -156,8 +156,10 @@ def _padded(parts: list[np.ndarray], pad: int) -> np.ndarray:
 
 
 def log_likelihood(chain: Chain, sequences: list[np.ndarray]) -> np.ndarray:
-    """log10 likelihood of each whole sequence, by the scaled forward recursion; sequences of like length go together."""
+    """log10 likelihood of each whole sequence, by the scaled forward recursion in 64-bit floats; sequences of like length go
+    together."""
     pad, out = len(chain.emit) - 1, np.zeros(len(sequences))
+    chain_emit, chain_start, chain_move = chain.emit.astype(np.float64), chain.start.astype(np.float64), chain.move.astype(np.float64)
     order = sorted(range(len(sequences)), key=lambda k: -len(sequences[k]))
     for at in range(0, len(order), _PACK):
         group = order[at : at + _PACK]
@@ -165,10 +167,10 @@ def log_likelihood(chain: Chain, sequences: list[np.ndarray]) -> np.ndarray:
         ids = _padded([sequences[k] for k in group], pad)
         total = np.zeros(len(group))
         active = np.searchsorted(-lengths, -np.arange(1, len(ids) + 1), side="right")  # longest first
-        state = chain.emit[ids[0]] * chain.start
+        state = chain_emit[ids[0]] * chain_start
         for t in range(len(ids)):
             n = int(active[t])
-            state = chain.emit[ids[t, :n]] * (state[:n] @ chain.move) if t else state
+            state = chain_emit[ids[t, :n]] * (state[:n] @ chain_move) if t else state
             scale = state.sum(1)
             state /= scale[:, None]
             total[:n] += np.log10(scale)
@@ -299,4 +301,5 @@ def score_texts(docs: DataFrame, held_out, states: int = STATES, rounds: int = R
 
 
 def op6_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document, in the contract's columns; see ``score_texts``."""
     return score_texts(table(spark, sf_dir, "documents"), fold_mod5() == 1)
