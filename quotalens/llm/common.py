@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -83,6 +84,14 @@ def prefix_by_split(totals: DataFrame, split: str, values: list[str], block: int
     return t.select(split, *[(F.col(f"_in_{v}") + F.col(f"_before_{v}")).cast("long").alias(f"before_{v}") for v in values])
 
 
+def apart(df: DataFrame, *own: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with every column but ``own`` under a name that no operator uses, and what gives the old names (and only these
+    columns) back; so an input may have columns of any name."""
+    names = df.columns
+    inner = [n if n in own else f"x{k}" for k, n in enumerate(names)]
+    return df.toDF(*inner), lambda made: made.select(*[F.col(i).alias(n) for i, n in zip(inner, names)])
+
+
 def fold_mod5(doc_id: str = "doc_id") -> Column:
     """crc32 of the id written as text, modulo 5; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5
