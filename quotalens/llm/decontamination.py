@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, table
+from .common import apart, keep, table
 
 #: Words of a window, plain words that it must have at least, the share of an item's windows that must be found in a band of shifts, the windows below which all must be, and half the width of a band.
 WINDOW, PLAIN, SHARE, FEW, BAND = 5, 3, 0.5, 4, 8
@@ -136,11 +136,16 @@ def leaks(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` without the rows that hold a benchmark item; columns stay as they are."""
-    held = keep(leaks(docs, items).select(F.col("doc_id").alias("_held"), "_text_hash").distinct(), "leaks")
-    return docs.join(held, docs["doc_id"].eqNullSafe(held["_held"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == held["_text_hash"]), "left_anti")
+    """``docs`` without the rows that hold a benchmark item; columns stay as they are, whatever they are named.
+
+    Null and empty texts hold none and stay; repeated rows stay or go together; empty tables are left as they are.
+    """
+    rows, back = apart(docs, "doc_id", "text")
+    held = keep(leaks(rows, items).select(F.col("doc_id").alias("_held"), "_text_hash").distinct(), "leaks")
+    return back(rows.join(held, rows["doc_id"].eqNullSafe(held["_held"]) & (F.xxhash64(F.coalesce(rows["text"], F.lit(""))) == held["_text_hash"]), "left_anti"))
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents and benchmark items that they hold; see ``leaks``."""
     found = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "windows", "share", "same_values")

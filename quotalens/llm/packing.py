@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import keep, table
+from .common import apart, keep, table
 from .tokens import encoder, tokenizer_path
 
 CAPACITY, END_ID = 4096, 1
@@ -245,7 +245,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> D
     repeated rows are packed like any others; an empty table gives no rows. Other columns pass through, but sequence_id
     and offset of the input are replaced.
     """
-    rows = pieces.drop("sequence_id", "offset", "_split", "_nth")
+    rows, _ = apart(pieces.drop("sequence_id", "offset"), "length")
     names, schema = rows.columns, T.StructType([*rows.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     rows = keep(numbered(rows), "pieces")
     histogram = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}
@@ -262,7 +262,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> D
             made = pa.array(sequence + place // each_), pa.array(offset + place % each_ * length)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*names, "sequence_id", "offset"])
 
-    return with_rank(rows, "_rank").select(*names, "_rank").mapInArrow(each, schema)
+    packed = with_rank(rows, "_rank").select(*names, "_rank").mapInArrow(each, schema)
+    return packed.toDF(*[n for n in pieces.columns if n not in ("sequence_id", "offset")], "sequence_id", "offset")
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -216,6 +216,7 @@ def redact(docs: DataFrame, mark: str = "[secret]", text_col: str = "text") -> D
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, digest and spans of every document, in the contract's columns; see ``scan``."""
     found = scan(table(spark, sf_dir, "documents"))
     counts = [F.expr(f"cast(size(filter(found, s -> s.kind = {k})) AS BIGINT)").alias(f"n_{kind}") for k, kind in enumerate(KINDS) if k < 3]
     return found.select("doc_id", *counts, F.sha2(F.expr(_listed("filter(found, s -> s.kind < 3)")), 256).alias("base_sha256"), F.expr(_listed("found")).alias("spans"))

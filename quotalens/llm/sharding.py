@@ -60,5 +60,7 @@ def sized(docs: DataFrame) -> DataFrame:
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard under the law ``bytes``; see ``balanced_shards``. Equal texts are not kept together: the law is
+    equal sizes, and a group of copies may be larger than a shard."""
     shards = balanced_shards(sized(table(spark, sf_dir, "documents")))
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, keep_bucketed, table, with_position
+from .common import apart, keep, keep_bucketed, table, with_position
 from .graph import components
 
 SHINGLE, RADIUS, BITS, TILE = 3, 2, 64, 1024
@@ -328,7 +328,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
     Null and blank texts are copies of each other. Null ids come last; ties go by input order; an empty table stays empty.
     """
-    names = docs.columns
+    docs, restored = apart(docs, "doc_id", "text")
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -368,9 +368,10 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
         left = left.unionByName(back)
         left = left.join(_settled_exactly(left, first, rows), "_row", "left_anti")
     stays = keep(left.select("_row"), "near-stays")
-    return rows.join(stays, "_row", "left_semi").select(*names)
+    return restored(rows.join(stays, "_row", "left_semi"))
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document, in the contract's columns; see ``near_duplicates``."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

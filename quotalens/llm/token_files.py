@@ -329,6 +329,7 @@ def read_token_files(spark: SparkSession, path: str, digest: bool = False) -> Da
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes every document's ids in coded files and reads these back; see ``write_token_files`` and ``read_token_files``."""
     path = f"{shared_dir(spark)}/quotalens-token-files-{uuid.uuid4().hex}"
     write_token_files(table(spark, sf_dir, "documents"), path, tokenizer_path())
     return read_token_files(spark, path, digest=True)
