@@ -31,7 +31,7 @@ def usage_summary(events: DataFrame) -> DataFrame:
 
 
 def compact_hourly(events: DataFrame) -> DataFrame:
-    """Hour and all dimensions, with the first and last capture; one shuffle on partial sums."""
+    """Hour and all dimensions, with the first and last capture; one shuffle on partial sums. See ``reconciled``."""
     hour = (F.col("us") - F.pmod("us", F.lit(HOUR_US))).alias("hour_us")
     return events.groupBy(hour, *DIMENSIONS).agg(*measures(), F.min("us").alias("first_us"), F.max("us").alias("last_us"))
 
@@ -43,6 +43,17 @@ def with_archive(events: DataFrame, archive: DataFrame) -> DataFrame:
     return raw.unionByName(archive.select(raw.columns))
 
 
+def reconciled(events: DataFrame, archive: DataFrame) -> DataFrame:
+    """Per integration, whether the archive adds up to the events it stands for; events may be deleted only where it does."""
+    sums = remeasures()
+    raw = with_archive(events, archive.where("false")).groupBy("integration_name").agg(*sums)
+    old = archive.groupBy("integration_name").agg(*sums)
+    names = ["request_count", *TOKENS, "cost_cents", "unpriced"]
+    both = raw.alias("r").join(old.alias("o"), F.expr("r.integration_name <=> o.integration_name"), "full")
+    same = [F.col(f"r.{n}").eqNullSafe(F.col(f"o.{n}")) for n in names]
+    return both.select(F.coalesce("r.integration_name", "o.integration_name").alias("integration_name"), F.coalesce("r.request_count", F.lit(0)).alias("events"), F.coalesce("o.request_count", F.lit(0)).alias("archived"), F.least(*same).alias("adds_up"))
+
+
 def effort_summary(united: DataFrame) -> DataFrame:
     """A2: as A1, with effort, mode and speed, over raw and archive."""
     return united.groupBy(*DIMENSIONS).agg(*remeasures(), F.max("last_us").alias("last_us"))
@@ -93,7 +104,18 @@ def usage_hierarchy(events: DataFrame) -> DataFrame:
     return events.rollup(*keys).agg(F.grouping_id().cast("bigint").alias("level"), *measures())
 
 
-def usage_cumulative(buckets: DataFrame) -> DataFrame:
-    """Running cost and output tokens per integration over its buckets."""
-    w = Window.partitionBy("integration_name").orderBy("bucket_us").rowsBetween(Window.unboundedPreceding, 0)
-    return buckets.select("integration_name", "bucket_us", F.sum("cost_cents").over(w).alias("cum_cost_cents"), F.sum("output_tokens").over(w).alias("cum_output_tokens"))
+def usage_cumulative(buckets: DataFrame, totals: DataFrame | None = None) -> DataFrame:
+    """Running cost and output tokens per integration over its buckets.
+
+    With ``totals`` (A6, per integration), its last bucket shows the range's totals, which count what buckets leave out,
+    as archived hours across the edges; an integration without totals keeps its sums.
+    """
+    order = Window.partitionBy("integration_name").orderBy("bucket_us")
+    w = order.rowsBetween(Window.unboundedPreceding, 0)
+    made = buckets.select("integration_name", "bucket_us", F.sum("cost_cents").over(w).alias("cum_cost_cents"), F.sum("output_tokens").over(w).alias("cum_output_tokens"), F.lead("bucket_us").over(order).isNull().alias("_last"))
+    if totals is None:
+        return made.drop("_last")
+    t = totals.select("integration_name", F.col("cost_cents").alias("_cost"), F.col("output_tokens").alias("_tokens"))
+    made = made.join(t, "integration_name", "left")
+    of = lambda total, own: F.when(F.col("_last"), F.coalesce(total, own)).otherwise(F.col(own)).alias(own)
+    return made.select("integration_name", "bucket_us", of("_cost", "cum_cost_cents"), of("_tokens", "cum_output_tokens"))

@@ -22,7 +22,10 @@ def latest_snapshot(rows: DataFrame) -> DataFrame:
 
 
 def latest_per_quota(rows: DataFrame, last_ids: int | None = None) -> DataFrame:
-    """L4: the newest sample of each quota; with ``last_ids``, among each provider's ids within that distance of its newest."""
+    """L4: the newest sample of each quota; with ``last_ids``, among each provider's ids within that distance of its newest.
+
+    The bound is the feature: a quota that the last snapshots no longer name is not current.
+    """
     if last_ids is not None:
         newest = rows.groupBy("provider").agg(F.max("snapshot_id").alias("_newest"))
         rows = rows.join(newest, "provider").where(F.col("snapshot_id") >= F.col("_newest") - last_ids).drop("_newest")
@@ -75,19 +78,28 @@ def range_sampled(rows: DataFrame, points: int) -> DataFrame:
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
-    order = Window.partitionBy("provider").orderBy("us", "snapshot_id")
-    return rows.withColumn("_i", F.row_number().over(order).cast("bigint")).withColumn("_n", F.count("*").over(Window.partitionBy("provider")))
+    """Numbers a provider's rows (_i, from 1, of _n) by time and id: a place in the day, and the rows of all days before.
+
+    The windows over rows see one provider's day, those over providers one row a day, so that no task sorts a provider.
+    """
+    rows = rows.withColumn("_day", F.expr("us DIV 86400000000"))
+    days = rows.groupBy("provider", "_day").agg(F.count("*").alias("_rows"))
+    whole = Window.partitionBy("provider")
+    days = days.select("provider", "_day", F.coalesce(F.sum("_rows").over(whole.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_rows").over(whole).alias("_n"))
+    inside = F.row_number().over(Window.partitionBy("provider", "_day").orderBy("us", "snapshot_id"))
+    return rows.join(days, ["provider", "_day"]).withColumn("_i", F.col("_before") + inside).drop("_day", "_before")
 
 
 def rank_sampled(rows: DataFrame, points: int) -> DataFrame:
     """Row 1, and rows at which (i - 1) * (points - 1) div (n - 1) grows."""
+    names = rows.columns
     rows = _numbered(rows)
     step = "({i} * %d) DIV greatest(_n - 1, 1)" % (points - 1)
     grows = F.expr(f"_i = 1 OR _n <= {points} OR {step.format(i='(_i - 1)')} > {step.format(i='(_i - 2)')}")
-    return rows.where(grows).drop("_i", "_n")
+    return rows.where(grows).select(*names)
 
 
 def stride(rows: DataFrame, most: int = 500) -> DataFrame:
     """Every ceil(n / most)-th row, and the last."""
-    rows = _numbered(rows)
-    return rows.where(F.expr(f"(_i - 1) % greatest(1, ceil(_n / {most})) = 0 OR _i = _n")).drop("_i", "_n")
+    names = rows.columns
+    return _numbered(rows).where(F.expr(f"(_i - 1) % greatest(1, ceil(_n / {most})) = 0 OR _i = _n")).select(*names)

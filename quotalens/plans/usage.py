@@ -51,6 +51,17 @@ QUERIES = {
         SELECT integration_name, bucket_us, CAST(sum(cost_cents) OVER w AS BIGINT) AS cum_cost_cents, CAST(sum(output_tokens) OVER w AS BIGINT) AS cum_output_tokens FROM b
         WINDOW w AS (PARTITION BY integration_name ORDER BY bucket_us ROWS UNBOUNDED PRECEDING)""",
     ),
+    "usage_cumulative_totals": (
+        lambda s, d: rollup.usage_cumulative(rollup.usage_buckets(usage_events(s, d), _SIZE), rollup.usage_totals(_united(s, d), FROM_US, TO_US).where("integration_name != 'error'")),
+        f"""WITH {UNITED}, b AS (SELECT integration_name, us - us % {_B} AS bucket_us, {MEASURES} FROM ue GROUP BY 1, 2),
+        t AS (SELECT integration_name, {REMEASURES} FROM united WHERE first_us < {TO_US} AND last_us >= {FROM_US} AND integration_name <> 'error' GROUP BY 1),
+        r AS (SELECT integration_name, bucket_us, CAST(sum(cost_cents) OVER w AS BIGINT) AS c, CAST(sum(output_tokens) OVER w AS BIGINT) AS o, bucket_us = max(bucket_us) OVER (PARTITION BY integration_name) AS last FROM b WINDOW w AS (PARTITION BY integration_name ORDER BY bucket_us ROWS UNBOUNDED PRECEDING))
+        SELECT r.integration_name, bucket_us, CASE WHEN last AND t.cost_cents IS NOT NULL THEN t.cost_cents ELSE c END AS cum_cost_cents, CASE WHEN last AND t.output_tokens IS NOT NULL THEN t.output_tokens ELSE o END AS cum_output_tokens FROM r LEFT JOIN t ON r.integration_name = t.integration_name""",
+    ),
+    "archive_reconciled": (
+        lambda s, d: rollup.reconciled(usage_events(s, d), rollup.compact_hourly(usage_events(s, d).where("event_id % 5 != 0 OR integration_name != 'click'"))),
+        f"WITH {USAGE} SELECT integration_name, count(*) AS events, count(*) FILTER (event_id % 5 <> 0 OR integration_name <> 'click') AS archived, integration_name <> 'click' AS adds_up FROM ue GROUP BY 1",
+    ),
     "token_cost": (
         lambda s, d: pricing.token_cost(pricing.price_asof(usage_events(s, d), prices(s))).select("event_id", "price_model", "cost"),
         pricing.sql(f"WITH {USAGE}, {PRICES_SQL}", "SELECT event_id, price_model, cost FROM costed"),
