@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .documents import adds_to
 from .folds import fold_sorted
 from .samples import KEY
 
@@ -63,17 +66,48 @@ def not_compacted(events: DataFrame, tombstones: DataFrame) -> DataFrame:
     return events.join(tombstones.select("fingerprint").distinct(), "fingerprint", "left_anti")
 
 
-def receipts(batches: DataFrame) -> DataFrame:
-    """Status of each arrival of (device, event): first accepted; later duplicate if the payload is the same, enriched if
-    it only adds a cost to a payload that had none, else rejected."""
-    w = Window.partitionBy("device_id", "event_key").orderBy("us", "event_id")
-    first = lambda c: F.first(c).over(w)
-    same = F.col("model") == first("model")
-    state = (
-        F.when(F.row_number().over(w) == 1, "accepted").when(same & F.col("cost_cents").eqNullSafe(first("cost_cents")), "duplicate")
-        .when(same & first("cost_cents").isNull() & F.col("cost_cents").isNotNull(), "enriched").otherwise("rejected")
-    )
-    return batches.select("event_id", "device_id", "event_key", state.alias("status"))
+def receipts(arrivals: DataFrame) -> DataFrame:
+    """Status (and code, if rejected) of each arrival, in order of time and id of its (device_id, event_key).
+
+    ``arrivals``: event_id, device_id, event_key, us, kind (usage_event or quota_snapshot), identity (digest of what may not
+    change), payload (JSON), stored (whether its fingerprint is known already), owner (the device that polls the account).
+    The first arrival is accepted, or a duplicate if its fingerprint is known; a quota snapshot of a device that does not
+    own the account is rejected and leaves no receipt. A later one with another identity is rejected; with an equal payload it
+    is a duplicate; a usage event whose payload adds to the last accepted one is enriched, and then that is the accepted one;
+    else it is rejected. What arrives later depends on what was accepted, so a key's arrivals are walked in order.
+    """
+
+    def same(a: str, b: str) -> bool:
+        try:
+            return json.loads(a) == json.loads(b)
+        except (TypeError, ValueError):
+            return a == b
+
+    def walk(rows):
+        key, held = None, None
+        for event, *own, kind, identity, payload, stored, owner in rows:
+            if own != key:
+                key, held = own, None
+            code = None
+            if held is None:
+                if kind != "usage_event" and owner != own[0]:
+                    state, code = "rejected", "ownership_conflict"
+                else:
+                    state, held = "duplicate" if stored and kind == "usage_event" else "accepted", (identity, payload)
+            elif identity != held[0]:
+                state, code = "rejected", "event_identity_conflict"
+            elif same(payload, held[1]):
+                state = "duplicate"
+            elif kind == "usage_event" and adds_to(held[1], payload):
+                state, held = "enriched", (identity, payload)
+            else:
+                state, code = "rejected", "event_payload_conflict"
+            yield event, *own, state, code
+
+    keys = ["device_id", "event_key"]
+    columns = ["event_id", *keys, "kind", "identity", "payload", "stored", "owner"]
+    ordered = arrivals.select(*columns, "us").repartition(*keys).sortWithinPartitions(*keys, "us", "event_id").select(*columns)
+    return fold_sorted(ordered, walk, "event_id long, device_id string, event_key string, status string, code string")
 
 
 def late_observations(rows: DataFrame, arrival: Column, late_us: int = 5 * MINUTE_US, ahead_us: int = MINUTE_US) -> DataFrame:

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .folds import fold_sorted
 from .samples import KEY
 
 HOUR_US, DAY_US, MINUTE_US = 3_600_000_000, 86_400_000_000, 60_000_000
@@ -157,12 +155,28 @@ def underuse_slots(rows: DataFrame, hours: tuple[int, ...] = (10, 22), reach_us:
     return found.groupBy(*KEY, F.col("_slot").alias("slot_us")).agg(F.min_by("snapshot_id", F.struct("us", "snapshot_id")).alias("snapshot_id"))
 
 
-def poll_failures(polls: DataFrame, threshold: int = 3) -> DataFrame:
-    """Runs of failed polls per poller; one that reaches the threshold is reported at the poll where it does."""
-    w = Window.partitionBy("provider", "account_id").orderBy("us", "snapshot_id")
-    runs = polls.withColumn("_ok", F.sum((~F.col("failed")).cast("bigint")).over(w)).where("failed")
-    n = F.row_number().over(Window.partitionBy("provider", "account_id", "_ok").orderBy("us", "snapshot_id"))
-    return runs.withColumn("_n", n).where(F.col("_n") == threshold).select("provider", "account_id", "snapshot_id", "us")
+def poll_failures(polls: DataFrame, threshold: int = 3, min_outage_us: int = 0, repeat_us: int = 6 * HOUR_US) -> DataFrame:
+    """Alerts for runs of failed polls per poller: at the first failure that makes ``threshold`` (below 2: 3) of them and lies
+    ``min_outage_us`` after the run's first, and again at failures ``repeat_us`` after the last alert. A poll that succeeds ends
+    the run. An alert counts as delivered. Each task walks its sorted polls with one run of state."""
+    threshold = threshold if threshold >= 2 else 3
+
+    def walk(rows):
+        key = None
+        for *own, snapshot, us, failed in rows:
+            if own != key:
+                key, run, first, sent = own, 0, None, None
+            if not failed:
+                run, first, sent = 0, None, None
+                continue
+            run, first = run + 1, us if first is None else first
+            if run >= threshold and us - first >= min_outage_us and (sent is None or us - sent >= repeat_us):
+                sent = us
+                yield *own, snapshot, us, run
+
+    keys = ["provider", "account_id"]
+    ordered = polls.select(*keys, "snapshot_id", "us", "failed").repartition(*keys).sortWithinPartitions(*keys, "us", "snapshot_id")
+    return fold_sorted(ordered, walk, "provider string, account_id long, snapshot_id long, us long, failures long")
 
 
 def system_alerts(alerts: DataFrame, now_us: int, provider: str | None = None) -> DataFrame:
@@ -176,32 +190,6 @@ def older_than(rows: DataFrame, cutoff_us: int) -> tuple[DataFrame, DataFrame]:
     return rows.where(F.col("us") >= cutoff_us), rows.where(F.col("us") < cutoff_us)
 
 
-def _adds_to(old, new) -> bool:
-    if isinstance(old, dict) and isinstance(new, dict):
-        return all(k in new and _adds_to(v, new[k]) for k, v in old.items())
-    if isinstance(old, list) and isinstance(new, list):
-        return len(old) == len(new) and all(map(_adds_to, old, new))
-    return old is None or old == new and isinstance(old, bool) == isinstance(new, bool)
-
-
-def _enriched(old: pd.Series, new: pd.Series) -> pd.Series:
-    def one(a, b):
-        try:
-            return _adds_to(json.loads(a), json.loads(b))
-        except (TypeError, ValueError):
-            return None
-
-    return pd.Series([one(a, b) for a, b in zip(old, new)], dtype="boolean")
-
-
-def is_enrichment(old: Column, new: Column) -> Column:
-    """F8: whether the new JSON keeps all that the old one says and at most fills nulls or adds keys; null if either is no JSON.
-
-    Depth is unbounded, so no built-in expresses it.
-    """
-    return F.pandas_udf(_enriched, "boolean")(old, new)
-
-
 def export_tables(tables: dict[str, DataFrame], path: str) -> None:
     """Each table as Parquet, and a manifest of rows and a digest of their hashes."""
     lines = None

@@ -47,8 +47,15 @@ def _arrival():
     return F.col("us") + (F.col("snapshot_id") % 10) * 60_000_000
 
 
-def _batches(s, d):
-    return usage_events(s, d).select("event_id", "us", "model", "cost_cents", F.concat(F.lit("d"), (F.col("event_id") % 7).cast("string")).alias("device_id"), F.concat(F.lit("e"), (F.col("event_id") % 3000).cast("string")).alias("event_key"))
+def _arrivals(s, d):
+    """Several arrivals of each (device, event): some with another model, some whose cost comes later, some not owned."""
+    e = usage_events(s, d)
+    n = F.col("event_id")
+    payload = F.concat(F.lit('{"model": "'), F.trim("model"), F.lit('", "cost": '), F.coalesce((F.col("cost_cents") % 3).cast("string"), F.lit("null")), F.when(n % 2 == 0, ', "id": 1}').otherwise(', "id":1}'))
+    return e.select(
+        n.alias("event_id"), "us", F.concat(F.lit("d"), (n % 7).cast("string")).alias("device_id"), F.concat(F.lit("e"), (n % 350).cast("string")).alias("event_key"), F.when(n % 5 == 0, "quota_snapshot").otherwise("usage_event").alias("kind"),
+        F.when(n % 11 == 0, "other").otherwise("same").alias("identity"), payload.alias("payload"), (n % 350 % 4 == 0).alias("stored"), F.when(n % 350 % 10 == 0, F.concat(F.lit("d"), (n % 7).cast("string"))).otherwise("d9").alias("owner"),
+    )
 
 
 def _fingerprinted(s, d):
@@ -191,10 +198,15 @@ QUERIES = {
         f"WITH {USAGE}, f AS (SELECT event_id, us, integration_name, model, input_tokens, session_id, {_FP} AS fingerprint FROM ue) SELECT * FROM f WHERE fingerprint NOT IN (SELECT fingerprint FROM f WHERE us < {NOW_US - 10 * DAY})",
     ),
     "receipts_status": (
-        lambda s, d: ingest.receipts(_batches(s, d)),
-        f"""WITH {USAGE}, b AS (SELECT event_id, us, model, cost_cents, 'd' || CAST(event_id % 7 AS VARCHAR) AS device_id, 'e' || CAST(event_id % 3000 AS VARCHAR) AS event_key FROM ue)
-        SELECT event_id, device_id, event_key, CASE WHEN row_number() OVER w = 1 THEN 'accepted' WHEN model = first_value(model) OVER w AND cost_cents IS NOT DISTINCT FROM first_value(cost_cents) OVER w THEN 'duplicate'
-        WHEN model = first_value(model) OVER w AND first_value(cost_cents) OVER w IS NULL AND cost_cents IS NOT NULL THEN 'enriched' ELSE 'rejected' END AS status FROM b WINDOW w AS (PARTITION BY device_id, event_key ORDER BY us, event_id)""",
+        lambda s, d: ingest.receipts(_arrivals(s, d)),
+        f"""WITH RECURSIVE {USAGE}, b AS MATERIALIZED (SELECT event_id, us, 'd' || CAST(event_id % 7 AS VARCHAR) AS device_id, 'e' || CAST(event_id % 350 AS VARCHAR) AS event_key, event_id % 5 = 0 AS quota, event_id % 11 = 0 AS other, trim(model) AS m, cost_cents % 3 AS c,
+            event_id % 350 % 4 = 0 AS stored, event_id % 350 % 10 = 0 AS owned, row_number() OVER (PARTITION BY event_id % 7, event_id % 350 ORDER BY us, event_id) AS rn FROM ue),
+        f AS (SELECT b.*, CASE WHEN quota AND NOT owned THEN 'rejected:ownership_conflict' WHEN stored AND NOT quota THEN 'duplicate' ELSE 'accepted' END AS st, NOT quota OR owned AS held, other AS h_o, m AS h_m, c AS h_c FROM b WHERE rn = 1
+        UNION ALL SELECT b.*, CASE WHEN NOT f.held THEN CASE WHEN b.quota AND NOT b.owned THEN 'rejected:ownership_conflict' WHEN b.stored AND NOT b.quota THEN 'duplicate' ELSE 'accepted' END
+                WHEN b.other <> f.h_o THEN 'rejected:event_identity_conflict' WHEN b.m = f.h_m AND b.c IS NOT DISTINCT FROM f.h_c THEN 'duplicate' WHEN NOT b.quota AND b.m = f.h_m AND f.h_c IS NULL THEN 'enriched' ELSE 'rejected:event_payload_conflict' END,
+            f.held OR NOT b.quota OR b.owned, CASE WHEN f.held THEN f.h_o ELSE b.other END, CASE WHEN f.held THEN f.h_m ELSE b.m END,
+            CASE WHEN f.held AND NOT (NOT b.quota AND b.other = f.h_o AND b.m = f.h_m AND f.h_c IS NULL) THEN f.h_c ELSE b.c END FROM f JOIN b ON b.device_id = f.device_id AND b.event_key = f.event_key AND b.rn = f.rn + 1)
+        SELECT event_id, device_id, event_key, split_part(st, ':', 1) AS status, nullif(split_part(st, ':', 2), '') AS code FROM f""",
     ),
     "late_observations": (
         lambda s, d: ingest.late_observations(_q(s, d), _arrival()),
@@ -254,9 +266,35 @@ QUERIES = {
         f"""WITH {_NOISY} SELECT {K}, reset_us, snapshot_id, us, used_bp FROM qn WHERE starts_with(quota_name, 'seven_day') AND reset_us > us AND reset_us - us <= {WEEK // 2} AND used_bp < 5000
         QUALIFY row_number() OVER (PARTITION BY {K}, reset_us {ORD}) = 1""",
     ),
+    "threshold_overrides": (
+        lambda s, d: alerts.threshold_alerts(_q(s, d), overrides=s.createDataFrame([("openai", "five_hour", 30.0, 60.0, None), ("gemini", "daily", 40.0, None, 80.0)], "provider string, quota_name string, warning double, critical double, quota_limit double")),
+        f"""WITH {_STATS}, l AS (SELECT *, CASE WHEN used_bp >= CASE WHEN provider = 'openai' AND quota_name = 'five_hour' THEN 6000 ELSE 9500 END THEN 2
+            WHEN used_bp >= CASE WHEN provider = 'openai' AND quota_name = 'five_hour' THEN 3000 WHEN provider = 'gemini' AND quota_name = 'daily' THEN 5000 ELSE 8000 END THEN 1 ELSE 0 END AS level FROM rs),
+        m AS (SELECT *, coalesce(max(level) OVER (PARTITION BY {K}, segment {ORD} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sent FROM l)
+        SELECT {K}, segment, snapshot_id, us, CASE level WHEN 2 THEN 'critical' ELSE 'warning' END AS alert FROM m WHERE level > sent""",
+    ),
+    "reset_alerts": (
+        lambda s, d: alerts.reset_alerts(_q(s, d), 3 * DAY),
+        f"""WITH RECURSIVE {_STATS}, n AS MATERIALIZED (SELECT {K}, snapshot_id, us, row_number() OVER (PARTITION BY {K} {ORD}) AS rn FROM bo WHERE is_boundary),
+        f AS (SELECT *, us AS told, true AS tells FROM n WHERE rn = 1 UNION ALL SELECT n.*, CASE WHEN n.us - f.told >= {3 * DAY} THEN n.us ELSE f.told END, n.us - f.told >= {3 * DAY}
+            FROM f JOIN n ON n.provider = f.provider AND n.account_id IS NOT DISTINCT FROM f.account_id AND n.quota_name = f.quota_name AND n.rn = f.rn + 1)
+        SELECT {K}, snapshot_id, us FROM f WHERE tells""",
+    ),
     "metrics_long": (
-        lambda s, d: alerts.metrics_long(_latest(s, d), NOW_US),
-        f"""WITH {SAMPLES}, {LATEST}, v AS (SELECT *, used_bp / CAST(100 AS DOUBLE) AS u, (reset_us - {NOW_US}) / CAST(1000000 AS DOUBLE) AS r, ({NOW_US} - us) / CAST(1000000 AS DOUBLE) AS a FROM la)
-        SELECT provider, account_id, quota_name, metric, value FROM (SELECT {K}, 'quota_utilization_percent' AS metric, u AS value FROM v UNION ALL SELECT {K}, 'quota_reset_seconds', r FROM v UNION ALL SELECT {K}, 'quota_sample_age_seconds', a FROM v) WHERE value IS NOT NULL""",
+        lambda s, d: alerts.metrics_long(
+            _latest(s, d), NOW_US, 3 * DAY, _q(s, d).select("provider", "account_id", (F.col("snapshot_id") % 3 == 0).alias("failed"), F.when(F.col("snapshot_id") % 2 == 0, "timeout").otherwise("http").alias("reason")), usage_events(s, d),
+            _latest(s, d).where("quota_name = 'daily'").select("provider", "account_id", F.lit("usd").alias("unit"), (F.col("used_bp") / 4.0).alias("balance")), _latest(s, d).select("provider", "account_id", F.concat(F.lit("n"), F.col("account_id").cast("string")).alias("account_name")).distinct(),
+            _q(s, d).where("snapshot_id % 40 = 0").select("provider", F.lit("query").alias("error_type")), "1.0",
+        ),
+        f"""WITH {USAGE}, {SAMPLES[SAMPLES.index('qs AS'):]}, {LATEST}, nw AS (SELECT provider, account_id, max(us) AS us FROM la GROUP BY 1, 2), r AS (
+        SELECT 'quota_utilization_percent' AS metric, provider, account_id, quota_name, NULL AS integration, NULL AS unit, NULL AS reason, NULL AS name, used_bp / CAST(100 AS DOUBLE) AS value FROM la
+        UNION ALL SELECT 'quota_reset_timestamp_seconds', provider, account_id, quota_name, NULL, NULL, NULL, NULL, reset_us / CAST(1000000 AS DOUBLE) FROM la
+        UNION ALL SELECT 'agent_last_cycle_age_seconds', provider, account_id, NULL, NULL, NULL, NULL, NULL, ({NOW_US} - us) / CAST(1000000 AS DOUBLE) FROM nw UNION ALL SELECT 'agent_healthy', provider, account_id, NULL, NULL, NULL, NULL, NULL, CASE WHEN {NOW_US} - us > {3 * DAY} THEN 0 ELSE 1 END FROM nw
+        UNION ALL SELECT 'cycles_completed_total', provider, account_id, NULL, NULL, NULL, NULL, NULL, count(*) FILTER (snapshot_id % 3 <> 0) FROM qs GROUP BY 2, 3
+        UNION ALL SELECT 'cycles_failed_total', provider, account_id, NULL, NULL, NULL, CASE WHEN snapshot_id % 2 = 0 THEN 'timeout' ELSE 'http' END, NULL, count(*) FROM qs WHERE snapshot_id % 3 = 0 GROUP BY 2, 3, 7
+        UNION ALL SELECT 'api_integration_requests', NULL, NULL, NULL, integration_name, NULL, NULL, NULL, count(*) FROM ue GROUP BY 5 UNION ALL SELECT 'api_integration_spend_usd', NULL, NULL, NULL, integration_name, NULL, NULL, NULL, coalesce(sum(cost_cents), 0) / CAST(100 AS DOUBLE) FROM ue GROUP BY 5
+        UNION ALL SELECT 'credits_balance', provider, account_id, NULL, NULL, 'usd', NULL, NULL, used_bp / CAST(4 AS DOUBLE) FROM la WHERE quota_name = 'daily' UNION ALL SELECT DISTINCT 'account_info', provider, account_id, NULL, NULL, NULL, NULL, 'n' || account_id, 1 FROM la
+        UNION ALL SELECT 'scrape_errors_total', provider, NULL, NULL, NULL, NULL, 'query', NULL, count(*) FROM qs WHERE snapshot_id % 40 = 0 GROUP BY 2 UNION ALL SELECT 'build_info', NULL, NULL, NULL, NULL, NULL, NULL, '1.0', 1)
+        SELECT metric, provider, CAST(account_id AS VARCHAR) AS account_id, quota_name, integration, unit, reason, name, CAST(value AS DOUBLE) AS value FROM r WHERE value IS NOT NULL""",
     ),
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quotalens.operators import analytics as an
+from quotalens.operators import documents as doc
 from quotalens.operators import insights as ins
 from quotalens.operators import rollup
 from quotalens.sources.projection import SAMPLES, USAGE, usage_events
@@ -24,6 +25,15 @@ def _accounts(s, d):
     return _q(s, d).groupBy("account_id").agg(F.max(F.col("snapshot_id") % 4 == 0).alias("is_deleted")).withColumn("external_id", F.col("account_id") % 40)
 
 
+def _documents(s, d):
+    """Pairs of payloads: a nested value that is null or changes, a list that may grow, a member that may go, some no JSON."""
+    n = F.col("event_id")
+    value = F.when(n % 4 == 0, "null").otherwise((n % 4).cast("string"))
+    old = F.concat(F.lit('{"a":{"k":'), value, F.lit('},"l":[1,{"x":null}]'), F.when(n % 7 == 2, ',"gone":true}').otherwise("}"))
+    new = F.concat(F.lit('{"b":1,"l":[1,{"x":2}'), F.when(n % 5 == 1, ",3").otherwise(""), F.lit('],"a":{"more":[],"k":'), (n % 3 + 1).cast("string"), F.lit("}}"))
+    return usage_events(s, d).select("event_id", old.alias("old"), F.when(n % 20 == 7, "oops").otherwise(new).alias("new"))
+
+
 def _slots(hour):
     return f"CAST(floor((us - {hour * HOUR} + {DAY // 2}) / {DAY}) AS BIGINT) * {DAY} + {hour * HOUR}"
 
@@ -101,13 +111,20 @@ QUERIES = {
         SELECT {K}, slot_us, arg_min(snapshot_id, (us, snapshot_id)) AS snapshot_id FROM u WHERE abs(us - slot_us) <= {90 * 60_000_000} GROUP BY ALL""",
     ),
     "poll_failures": (
-        lambda s, d: ins.poll_failures(_q(s, d).withColumn("failed", F.col("snapshot_id") % 3 != 0)),
-        f"""WITH {SAMPLES}, p AS (SELECT *, snapshot_id % 3 <> 0 AS failed FROM qs), r AS (SELECT *, sum(CASE WHEN failed THEN 0 ELSE 1 END) OVER (PARTITION BY provider, account_id {ORD}) AS ok FROM p)
-        SELECT provider, account_id, snapshot_id, us FROM (SELECT *, row_number() OVER (PARTITION BY provider, account_id, ok {ORD}) AS n FROM r WHERE failed) WHERE n = 3""",
+        lambda s, d: ins.poll_failures(_q(s, d).withColumn("failed", F.col("snapshot_id") % 5 != 0), 2, 2 * DAY, 4 * DAY),
+        f"""WITH RECURSIVE {SAMPLES}, p AS MATERIALIZED (SELECT provider, account_id, snapshot_id, us, snapshot_id % 5 <> 0 AS failed, row_number() OVER (PARTITION BY provider, account_id {ORD}) AS rn FROM qs),
+        f AS (SELECT *, CASE WHEN failed THEN 1 ELSE 0 END AS run, CASE WHEN failed THEN us END AS first_us, CAST(NULL AS BIGINT) AS sent, false AS tells FROM p WHERE rn = 1
+        UNION ALL SELECT p.*, CASE WHEN p.failed THEN f.run + 1 ELSE 0 END, CASE WHEN p.failed THEN coalesce(f.first_us, p.us) END, CASE WHEN NOT p.failed THEN NULL WHEN f.run >= 1 AND p.us - f.first_us >= {2 * DAY} AND (f.sent IS NULL OR p.us - f.sent >= {4 * DAY}) THEN p.us ELSE f.sent END,
+            coalesce(p.failed AND f.run >= 1 AND p.us - f.first_us >= {2 * DAY} AND (f.sent IS NULL OR p.us - f.sent >= {4 * DAY}), false) FROM f JOIN p ON p.provider = f.provider AND p.account_id IS NOT DISTINCT FROM f.account_id AND p.rn = f.rn + 1)
+        SELECT provider, account_id, snapshot_id, us, run AS failures FROM f WHERE tells""",
     ),
     "json_enrichment": (
-        lambda s, d: usage_events(s, d).select("event_id", ins.is_enrichment(F.concat(F.lit('{"a":{"k":'), (F.col("event_id") % 3).cast("string"), F.lit("}}")), F.concat(F.lit('{"b":1,"a":{"x":[1],"k":'), (F.col("event_id") % 2).cast("string"), F.lit("}}"))).alias("adds")),
-        f"WITH {USAGE} SELECT event_id, event_id % 3 = event_id % 2 AS adds FROM ue",
+        lambda s, d: _documents(s, d).select("event_id", doc.is_enrichment(F.col("old"), F.col("new")).alias("adds")),
+        f"""WITH {USAGE} SELECT event_id, CASE WHEN event_id % 20 = 7 THEN NULL ELSE (event_id % 4 = 0 OR event_id % 4 = event_id % 3 + 1) AND (event_id % 5 <> 1) AND event_id % 7 <> 2 END AS adds FROM ue""",
+    ),
+    "json_changes": (
+        lambda s, d: _documents(s, d).select("event_id", doc.patched(F.lit('{"a":"1","b":"2"}'), F.concat(F.lit('{"b":null,"k'), (F.col("event_id") % 3).cast("string"), F.lit('":"x"}'))).alias("patched"), doc.without_keys(F.lit('{"a":"1","b":"2"}'), "a").alias("removed"), doc.with_key(F.lit('{"a":"1"}'), "n", F.col("event_id")).alias("set_")),
+        f"""WITH {USAGE} SELECT event_id, '{{{{"a":"1","k' || CAST(event_id % 3 AS VARCHAR) || '":"x"}}}}' AS patched, '{{{{"b":"2"}}}}' AS removed, '{{{{"a":"1","n":"' || CAST(event_id AS VARCHAR) || '"}}}}' AS set_ FROM ue""".replace("{{", "{").replace("}}", "}"),
     ),
     "retention": (lambda s, d: ins.older_than(usage_events(s, d), NOW_US)[0].select("event_id", "us"), f"WITH {USAGE} SELECT event_id, us FROM ue WHERE us >= {NOW_US}"),
 }
