@@ -110,6 +110,12 @@ def workday_pace(rows: DataFrame, days: int = 5) -> DataFrame:
     return week.select(*KEY, "snapshot_id", "passed", "whole", F.when(delta > 2, "ahead").when(delta < -2, "behind").otherwise("on_track").alias("pace"))
 
 
+def percent_of_limit(used: Column, limit: Column, clamp: bool = False) -> Column:
+    """Use in percent of a limit; 0 where there is none above 0, and within 0 to 100 if clamped. An unknown use stays unknown."""
+    p = F.when(limit > 0, used * 100.0 / limit).otherwise(F.when(used.isNotNull(), 0.0))
+    return F.when(p < 0, 0.0).when(p > 100, 100.0).otherwise(p) if clamp else p
+
+
 #: Status ladders: rungs (name, from this use on in hundredths of a percent), highest first, and what is below all.
 LADDERS = {
     "usage": ((("critical", 9500), ("danger", 8000), ("warning", 5000)), "healthy"),

@@ -30,6 +30,11 @@ def _entry(name: Column, used: Column, value: Column | None = None, limit: Colum
     return F.struct(*[(none if c is None else c).cast(t).alias(n) for c, t, n in parts])
 
 
+def is_known_quota(name: Column) -> Column:
+    """A quota with a display name of its own, or a weekly limit of one model."""
+    return F.coalesce(name.isin(*ANTHROPIC) | name.startswith(SCOPED), F.lit(False))
+
+
 def slug(name: Column) -> Column:
     return F.nullif(F.trim(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "_"), F.lit("_")), F.lit(""))
 
