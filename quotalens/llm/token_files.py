@@ -17,10 +17,10 @@ from .common import prefix_by_split, shared_dir, table
 from .tokens import encoder, tokenizer_path
 
 #: Ids of a block, blocks of a segment, lanes of a block that are coded side by side, ids that a lane has at least, and the mark of a segment.
-BLOCK, BLOCKS, LANES, LANE, MAGIC = 1 << 21, 2, 4096, 128, b"QCM2"
+BLOCK, BLOCKS, LANES, LANE, MAGIC = 1 << 22, 1, 8192, 128, b"QCM2"
 END_ID = 2
 #: Ids that the order-0 table holds, slots of the order-2 table, steps between two rebuilds of the order-0 table.
-SYMBOLS, _SLOTS, _EVERY = 49408, 1 << 18, 32
+SYMBOLS, _SLOTS, _EVERY = 49408, 1 << 17, 32
 #: Bits of the coder's total and of the order-0 total, highest sureness of a prediction, low bits that the table of places leaves out.
 _TOTAL, _ORDER0, _SURE, _NEARBY = 28, 22, 7, 8
 _TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
@@ -29,19 +29,19 @@ _HALF = np.uint32(16)
 
 
 class _Coder:
-    """Carry-less range coders, one a lane, of 64-bit states and 16-bit words; ``streams`` (rows of words) makes them decoders."""
+    """Carry-less range coders, one a lane, of 64-bit states and 16-bit words; ``streams`` (nth words of all lanes, row by row)
+    makes them decoders."""
 
     def __init__(self, lanes: int, room: int, streams: np.ndarray | None = None) -> None:
         self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
-        self.decoding = streams is not None
-        rows = streams if self.decoding else np.zeros((lanes, room), np.uint16)
-        #: words of all lanes in one row, and each lane's place there
-        self.room, self.words, self.at = rows.shape[1], rows.ravel(), np.arange(lanes) * rows.shape[1]
+        self.decoding, self.lanes = streams is not None, lanes
+        #: lanes advance about alike, so that words of one place lie side by side; and each lane's place
+        self.words, self.at = (streams if self.decoding else np.zeros((room, lanes), np.uint16)).ravel(), np.arange(lanes)
         self.code = np.zeros(lanes, np.uint64)
         if self.decoding:
             for _ in range(4):
                 self.code = (self.code << _WORD) | self.words[self.at]
-                self.at += 1
+                self.at += lanes
 
     def value(self, n: int) -> np.ndarray:
         """Where the code of the first ``n`` lanes lies in the total (decoding); ``narrow`` must follow."""
@@ -64,7 +64,7 @@ class _Coder:
                 self.code[moved] = (self.code.take(moved) << _WORD) | self.words.take(at)
             else:
                 self.words[at] = l >> _KEEP
-            self.at[moved] = at + 1
+            self.at[moved] = at + self.lanes
             l <<= _WORD
             r <<= _WORD
             low[moved], span[moved] = l, r
@@ -73,11 +73,15 @@ class _Coder:
             moved = moved[again | (r < _BOTTOM)]
 
     def finish(self) -> tuple[np.ndarray, bytes]:
-        """Words of each lane, and all lanes' words; two close a lane, as the decoder reads zeros after them."""
-        last = self.low + (_BOTTOM - np.uint64(1))
-        self.words[self.at], self.words[self.at + 1] = last >> _KEEP, (last >> np.uint64(32)) & np.uint64(0xFFFF)
-        sizes = self.at % self.room + 2
-        return sizes, self.words.reshape(-1, self.room)[np.arange(self.room) < sizes[:, None]].astype("<u2").tobytes()
+        """Words of each lane, and all lanes' words. The decoder reads zeros after them, so one word closes a lane if the
+        interval holds a number with zeros alone after it, else two."""
+        one, two = (self.low + (_TOP - np.uint64(1))) >> _KEEP << _KEEP, self.low + (_BOTTOM - np.uint64(1))
+        short = one - self.low < self.range
+        last = np.where(short, one, two)
+        self.words[self.at], self.words[self.at + self.lanes] = last >> _KEEP, np.where(short, 0, (last >> np.uint64(32)) & np.uint64(0xFFFF))
+        sizes = self.at // self.lanes + 2 - short
+        rows = np.ascontiguousarray(self.words.reshape(-1, self.lanes)[: sizes.max()].T)
+        return sizes, rows[np.arange(rows.shape[1]) < sizes[:, None]].astype("<u2").tobytes()
 
 
 class _Mixture:
@@ -156,7 +160,7 @@ def _followed(table: np.ndarray, at: np.ndarray, entry: np.ndarray, sure: np.nda
 
 
 def _run(n_ids: int, lanes: int, ids: np.ndarray | None, streams: np.ndarray | None) -> np.ndarray | tuple[np.ndarray, bytes]:
-    """Codes (``ids``) or decodes (``streams``) one block, its lanes side by side: equal parts of the block, the last may be shorter.
+    """Codes (``ids``) or decodes (``streams``, see _Coder) one block, its lanes side by side: equal parts of the block, the last may be shorter.
 
     The probability of an id is a mixture: the order-2 and order-1 predictions with the weights that their surenesses
     have earned, and for what neither predicts the order-0 frequencies with the rest.
@@ -219,18 +223,18 @@ def _run(n_ids: int, lanes: int, ids: np.ndarray | None, streams: np.ndarray | N
 
 
 def encode_segment(ids: np.ndarray, block: int = BLOCK) -> bytes:
-    """A segment: mark, number of blocks; for each block its ids, lanes, bytes and the crc32 of its ids; then for each block
-    its lanes' sizes and words. A block can be read without the others. Ids must be below SYMBOLS; none makes no block."""
+    """A segment (``block`` ids at most in a block; a lane has at most BLOCK / LANES of them): mark, number of blocks; for each block its ids, lanes, bytes and the crc32 of its ids; then for each block
+    its lanes' sizes (16 bits) and words. A block can be read without the others. Ids must be below SYMBOLS; none makes no block."""
     ids = np.ascontiguousarray(ids, "<u4")
     if len(ids) and int(ids.max()) >= SYMBOLS:
         raise ValueError("an id is beyond the coder's tables")
     heads, coded = [], []
     for a in range(0, len(ids), block):
         part = ids[a : a + block]
-        steps = max(1, -(-len(part) // max(1, min(LANES, len(part) // LANE))))
+        steps = -(-len(part) // max(1, min(LANES, len(part) // LANE)))
         lanes = -(-len(part) // steps)
         sizes, words = _run(len(part), lanes, part, None)
-        coded.append(sizes.astype("<u4").tobytes() + words)
+        coded.append(sizes.astype("<u2").tobytes() + words)
         heads.append(struct.pack("<IIII", len(part), lanes, len(coded[-1]), zlib.crc32(part.tobytes())))
     return b"".join([MAGIC, struct.pack("<I", len(heads)), *heads, *coded])
 
@@ -247,13 +251,13 @@ def decode_segment(data: bytes) -> np.ndarray:
     if len(data) < at + sum(h[2] for h in heads):
         raise ValueError("segment is cut short")
     for length, lanes, size, crc in heads:
-        sizes = np.frombuffer(data, "<u4", lanes, at).astype(np.int64) if 4 * lanes <= size else np.zeros(0, np.int64)
-        if not lanes or len(sizes) < lanes or 4 * lanes + 2 * int(sizes.sum()) != size or -(-length // lanes) * (lanes - 1) >= length:
+        sizes = np.frombuffer(data, "<u2", lanes, at).astype(np.int64) if 2 * lanes <= size else np.zeros(0, np.int64)
+        if not lanes or len(sizes) < lanes or 2 * (lanes + int(sizes.sum())) != size or -(-length // lanes) * (lanes - 1) >= length:
             raise ValueError("a block does not end where it should")
         streams = np.zeros((lanes, int(sizes.max()) + 8), np.uint16)  # a decoder reads some words ahead
-        streams[np.arange(streams.shape[1]) < sizes[:, None]] = np.frombuffer(data, "<u2", int(sizes.sum()), at + 4 * lanes)
+        streams[np.arange(streams.shape[1]) < sizes[:, None]] = np.frombuffer(data, "<u2", int(sizes.sum()), at + 2 * lanes)
         try:
-            ids = _run(length, lanes, None, streams).astype("<u4")
+            ids = _run(length, lanes, None, np.ascontiguousarray(streams.T)).astype("<u4")
         except IndexError as e:
             raise ValueError("a block does not end where it should") from e
         if zlib.crc32(ids.tobytes()) != crc:
