@@ -113,8 +113,8 @@ QUERIES = {
         SELECT {K}, used, total, rate, CASE WHEN reached > total THEN total ELSE reached END AS projected, round(ex, 4) AS exhaust_hours, CASE WHEN used >= total THEN 'exhausted' WHEN coalesce(ex < h, false) THEN 'over_pace' WHEN used * 10 >= total * 8 THEN 'high' ELSE 'safe' END AS level FROM c""",
     ),
     "hidden_insights": (
-        lambda s, d: cur.hide_insights(_q(s, d).select("snapshot_id", F.concat("provider", F.lit(":"), "quota_name").alias("key")), _q(s, d).where("used_bp > 9900").select(F.concat("provider", F.lit(":"), "quota_name").alias("key")), s.createDataFrame([("openai:five_hour", "openai:seven_day"), ("gemini:daily", "anthropic:daily")], "key string, other string")),
-        f"""WITH {SAMPLES}, h AS (SELECT DISTINCT provider || ':' || quota_name AS key FROM qs WHERE used_bp > 9900), c AS (SELECT * FROM (VALUES ('openai:five_hour', 'openai:seven_day'), ('gemini:daily', 'anthropic:daily')) AS t(key, other))
+        lambda s, d: cur.hide_insights(_q(s, d).select("snapshot_id", F.concat("provider", F.lit(":"), "quota_name").alias("key")), _q(s, d).where("used_bp > 9900 AND quota_name LIKE 'five%' AND provider != 'anthropic'").select(F.concat("provider", F.lit(":"), "quota_name").alias("key")), s.createDataFrame([("openai:five_hour", "openai:seven_day"), ("gemini:daily", "anthropic:daily")], "key string, other string")),
+        f"""WITH {SAMPLES}, h AS (SELECT DISTINCT provider || ':' || quota_name AS key FROM qs WHERE used_bp > 9900 AND quota_name LIKE 'five%' AND provider <> 'anthropic'), c AS (SELECT * FROM (VALUES ('openai:five_hour', 'openai:seven_day'), ('gemini:daily', 'anthropic:daily')) AS t(key, other))
         SELECT snapshot_id, provider || ':' || quota_name AS key FROM qs WHERE provider || ':' || quota_name NOT IN (SELECT key FROM h UNION SELECT other FROM c WHERE key IN (SELECT key FROM h))""",
     ),
     "logging_pivot": (

@@ -157,7 +157,11 @@ QUERIES = {
         p AS (SELECT {K}, period, max(peak_bp) AS peak_bp FROM f GROUP BY ALL)
         SELECT {K}, count(*) AS periods, CAST(sum(peak_bp) AS BIGINT) AS total_peak_bp, round(avg(peak_bp), 6) AS avg_peak_bp, max(peak_bp) AS max_peak_bp FROM p GROUP BY ALL""",
     ),
-    "bad_cycles_copilot": (lambda s, d: b.bad_cycles(_whole(quota_samples(s, d)), "copilot"), f"WITH {SAMPLES}, {_WHOLE} SELECT * FROM wh WHERE end_us - start_us > {35 * b.DAY_US}"),
+    "bad_cycles_synthetic": (
+        lambda s, d: b.bad_cycles(_whole(quota_samples(s, d).withColumn("quota_name", F.when(F.col("quota_name") == "five_hour", "search").when(F.col("quota_name") == "daily", "subscription").otherwise(F.col("quota_name")))), "synthetic"),
+        f"""WITH {SAMPLES}, {_WHOLE}, n AS (SELECT * REPLACE (CASE quota_name WHEN 'five_hour' THEN 'search' WHEN 'daily' THEN 'subscription' ELSE quota_name END AS quota_name) FROM wh)
+        SELECT * FROM n WHERE (quota_name = 'search' AND end_us - start_us > {2 * b.HOUR_US}) OR (quota_name = 'subscription' AND end_us - start_us > {48 * b.HOUR_US})""",
+    ),
     "sessions_idle": (
         lambda s, d: b.idle_sessions(quota_samples(s, d), TIMEOUT_US),
         f"""WITH {SAMPLES}, ch AS (SELECT *, coalesce(used_bp <> lag(used_bp) OVER w, false) AS changed, lag(us) OVER w AS before_us, lag(used_bp) OVER w AS before FROM qs {WK}),
