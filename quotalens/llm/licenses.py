@@ -70,12 +70,17 @@ def _compressors() -> tuple:
     return tuple(made), alone
 
 
-def reductions(joined: bytes) -> list[tuple[float, str | None, list[str]]]:
+def reductions(joined: bytes, near: bytes) -> list[tuple[float, str | None, list[str]]]:
     """(size reduction, license, words) of every template for a block, the largest first: by how much smaller its dictionary makes
-    the block, for its own compressed size."""
+    the block, for its own compressed size. Short templates, which save but a few bytes, are also measured on ``near``, the words
+    next to the block's cues, and the larger reduction counts, as either size may waver by as much."""
     with_template, alone = _compressors()
-    plain = len(alone.compress(joined))
-    return sorted((((plain - len(c.compress(joined))) / own, name, words) for name, words, c, own in with_template), key=lambda r: (-r[0], r[1] or ""))
+    plain = {text: len(alone.compress(text)) for text in (joined, near)}
+    found = []
+    for name, words, c, own in with_template:
+        saved = max(plain[text] - len(c.compress(text)) for text in {joined, near if len(words) < SHORT else joined})
+        found.append((saved / own, name, words))
+    return sorted(found, key=lambda r: (-r[0], r[1] or ""))
 
 
 def blocks(text: str) -> list[tuple[int, int]]:
@@ -162,7 +167,9 @@ def find_licenses(text: str) -> list[tuple[str, int, int, float, float, bool]]:
         part = text[a:b]
         pairs = [(k, (m.start() + a, m.end() + a)) for m in _TOKEN.finditer(part) if (k := _key(m[0]))]
         words, spans = [k for k, _ in pairs], [s for _, s in pairs]
-        for saved, name, template in reductions(" ".join(words).encode()):
+        hits = [k for k, w in enumerate(words) if any(c.decode().split()[0] in w for c in CUES)]
+        near = sorted({i for k in hits for i in range(max(0, k - SHORT), min(len(words), k + SHORT + 1))})
+        for saved, name, template in reductions(" ".join(words).encode(), " ".join(words[i] for i in near).encode()):
             if saved < REDUCTION:
                 break
             if name is None:

@@ -404,7 +404,7 @@ def test_calibration_does_not_run_away():
 def test_compression_decides_which_templates_are_confirmed(monkeypatch):
     text = "word " * 60 + "Released under the MIT License. " + "word " * 60 + "SPDX-License-Identifier: ISC " + "word " * 60
     assert [f[0] for f in licenses.find_licenses(text)] == ["MIT", "ISC"]
-    monkeypatch.setattr(licenses, "reductions", lambda joined: [(0.0, name, words) for name, words, _, _ in licenses._compressors()[0]])
+    monkeypatch.setattr(licenses, "reductions", lambda joined, near: [(0.0, name, words) for name, words, _, _ in licenses._compressors()[0]])
     assert not licenses.find_licenses(text)
 
 
