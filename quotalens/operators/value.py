@@ -105,7 +105,8 @@ def allowance_cycles(meters: DataFrame) -> DataFrame:
     return fold_sorted(ordered, walk, _OUT)
 
 
-_SUMS = ("rows", "requests", "cents", "unknown", "output", "archived", "model", "model2")
+#: Sums of requests, and their types: squares of kinds' numbers can pass 2^63 where there are many kinds.
+_SUMS = {n: "bigint" for n in ("rows", "requests", "cents", "unknown", "output", "archived", "model")} | {"model2": "decimal(38,0)"}
 
 
 def _with_model_number(activity: DataFrame) -> DataFrame:
@@ -128,6 +129,7 @@ def interval_sums(intervals: DataFrame, activity: DataFrame) -> DataFrame:
     numbers is the square of their sum.
     """
     ident = [*KEY, "cycle", "from_us", "to_us"]
+    intervals = intervals.persist()  # few next to the meters, and read by four branches
     scoped = intervals.withColumn("scope", quota_scope(F.col("quota_name"))).where("scope IS NOT NULL")
     plans = F.when(F.col("plan") == "", F.array(F.lit("*"))).otherwise(F.array(F.lit("?"), F.concat(F.lit("="), "plan")))
     edges = scoped.withColumn("plan_key", F.explode(plans))
@@ -136,25 +138,25 @@ def interval_sums(intervals: DataFrame, activity: DataFrame) -> DataFrame:
     measures = {"rows": F.lit(1), "requests": F.col("requests"), "cents": F.col("cost_cents"), "unknown": F.col("unknown"), "output": F.col("output_tokens"), "archived": F.col("archived").cast("int"), "model": F.col("number"), "model2": F.col("number") * F.col("number")}
     plan = F.coalesce("plan", F.lit(""))
     acts = _with_model_number(activity).select(
-        "provider", F.explode(model_scopes(F.col("model"))).alias("scope"), plan.alias("plan"), "us", "end_us", *[v.cast("decimal(38,0)").alias(n) for n, v in measures.items()], F.col("archived").alias("is_archived")
+        "provider", F.explode(model_scopes(F.col("model"))).alias("scope"), plan.alias("plan"), "us", "end_us", *[v.cast(_SUMS[n]).alias(n) for n, v in measures.items()], F.col("archived").alias("is_archived")
     )
     acts = acts.withColumn("plan_key", F.explode(F.when(F.col("plan") == "", F.array(F.lit("*"), F.lit("?"))).otherwise(F.array(F.lit("*"), F.concat(F.lit("="), "plan")))))
-    zero = [F.lit(0).cast("decimal(38,0)").alias(n) for n in _SUMS]
+    zero = [F.lit(0).cast(t).alias(n) for n, t in _SUMS.items()]
     points = acts.select("provider", "scope", "plan_key", "us", *_SUMS, F.lit(None).cast(ends.schema["id"].dataType).alias("id"), F.lit(0).alias("sign")).unionByName(ends.select("provider", "scope", "plan_key", "us", *zero, "id", "sign"))
     points = points.withColumn("day", F.expr(f"us DIV {DAY_US}"))
     group = ["provider", "scope", "plan_key"]
-    days = points.groupBy(*group, "day").agg(*[F.sum(n).cast("decimal(38,0)").alias(n) for n in _SUMS])
+    days = points.groupBy(*group, "day").agg(*[F.sum(n).cast(t).alias(n) for n, t in _SUMS.items()])
     earlier = Window.partitionBy(*group).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    days = days.select(*group, "day", *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).cast("decimal(38,0)").alias(f"before_{n}") for n in _SUMS])
+    days = days.select(*group, "day", *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).cast(t).alias(f"before_{n}") for n, t in _SUMS.items()])
     inside = Window.partitionBy(*group, "day").orderBy("us", F.abs("sign")).rowsBetween(Window.unboundedPreceding, 0)
-    at = points.withColumns({n: F.sum(n).over(inside).cast("decimal(38,0)") for n in _SUMS}).where("sign != 0").join(days, [*group, "day"])
-    sums = at.groupBy("id").agg(*[F.sum(F.col("sign") * (F.col(n) + F.col(f"before_{n}"))).cast("decimal(38,0)").alias(n) for n in _SUMS])
+    at = points.withColumns({n: F.sum(n).over(inside).cast(t) for n, t in _SUMS.items()}).where("sign != 0").join(days, [*group, "day"])
+    sums = at.groupBy("id").agg(*[F.sum(F.col("sign") * (F.col(n) + F.col(f"before_{n}"))).cast(t).alias(n) for n, t in _SUMS.items()])
 
     # archived hours that begin inside and end after: they lie in the hour of the interval's end
     hour = lambda c: F.expr(f"{c} DIV {HOUR_US}")
     old = acts.where("is_archived").select(*group, hour("us").alias("hour"), F.col("us").alias("a_us"), F.col("end_us").alias("a_end"), *_SUMS)
     late = edges.select(F.struct(*ident).alias("id"), *group, "from_us", "to_us", hour("to_us").alias("hour")).join(old, [*group, "hour"]).where("a_us > from_us AND a_us <= to_us AND a_end > to_us")
-    late = late.groupBy("id").agg(*[F.sum(n).cast("decimal(38,0)").alias(f"late_{n}") for n in _SUMS])
+    late = late.groupBy("id").agg(*[F.sum(n).cast(t).alias(f"late_{n}") for n, t in _SUMS.items()])
     # archived hours across the start, of any model: the latest end of those that began up to it
     began = activity.where("archived").select("provider", F.col("us").alias("t"), "end_us", F.lit(None).cast(ends.schema["id"].dataType).alias("id"), F.lit(0).alias("side"))
     starts = intervals.select("provider", F.col("from_us").alias("t"), F.lit(None).cast("bigint").alias("end_us"), F.struct(*ident).alias("id"), F.lit(1).alias("side"))
@@ -169,7 +171,7 @@ def interval_sums(intervals: DataFrame, activity: DataFrame) -> DataFrame:
     return found.select(
         *[F.col(f"i.{c}") for c in intervals.columns], n("requests").cast("bigint").alias("requests"), n("cents").cast("bigint").alias("cents"), n("output").cast("bigint").alias("output"),
         (n("unknown") + F.coalesce("l.late_requests", F.lit(0))).cast("bigint").alias("unknown"), (F.coalesce("a.across", F.lit(False)) | (n("archived") > 0)).alias("taint"),
-        (n("rows") * n("model2") == n("model") * n("model")).alias("one_kind"), F.when(n("rows") > 0, (n("model") / n("rows"))).cast("bigint").alias("number"),
+        (n("rows").cast("decimal(19,0)") * n("model2") == n("model").cast("decimal(19,0)") * n("model")).alias("one_kind"), F.when(n("rows") > 0, (n("model") / n("rows"))).cast("bigint").alias("number"),
     )
 
 
