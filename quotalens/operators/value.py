@@ -128,7 +128,7 @@ def interval_sums(intervals: DataFrame, activity: DataFrame) -> DataFrame:
     provider than a day. The kinds of requests are numbered: all are the same if rows times the sum of squared
     numbers is the square of their sum.
     """
-    ident = [*KEY, "cycle", "from_us", "to_us"]
+    ident = intervals.columns  # the whole interval goes along, so that nothing is joined back to it
     intervals = intervals.persist()  # few next to the meters, and read by four branches
     scoped = intervals.withColumn("scope", quota_scope(F.col("quota_name"))).where("scope IS NOT NULL")
     plans = F.when(F.col("plan") == "", F.array(F.lit("*"))).otherwise(F.array(F.lit("?"), F.concat(F.lit("="), "plan")))
@@ -154,24 +154,29 @@ def interval_sums(intervals: DataFrame, activity: DataFrame) -> DataFrame:
 
     # archived hours that begin inside and end after: they lie in the hour of the interval's end
     hour = lambda c: F.expr(f"{c} DIV {HOUR_US}")
-    old = acts.where("is_archived").select(*group, hour("us").alias("hour"), F.col("us").alias("a_us"), F.col("end_us").alias("a_end"), *_SUMS)
+    old = acts.where("is_archived AND end_us > us").select(*group, hour("us").alias("hour"), F.col("us").alias("a_us"), F.col("end_us").alias("a_end"), *_SUMS)
     late = edges.select(F.struct(*ident).alias("id"), *group, "from_us", "to_us", hour("to_us").alias("hour")).join(old, [*group, "hour"]).where("a_us > from_us AND a_us <= to_us AND a_end > to_us")
     late = late.groupBy("id").agg(*[F.sum(n).cast(t).alias(f"late_{n}") for n, t in _SUMS.items()])
     # archived hours across the start, of any model: the latest end of those that began up to it
-    began = activity.where("archived").select("provider", F.col("us").alias("t"), "end_us", F.lit(None).cast(ends.schema["id"].dataType).alias("id"), F.lit(0).alias("side"))
+    began = activity.where("archived AND end_us > us").select("provider", F.col("us").alias("t"), "end_us", F.lit(None).cast(ends.schema["id"].dataType).alias("id"), F.lit(0).alias("side"))
     starts = intervals.select("provider", F.col("from_us").alias("t"), F.lit(None).cast("bigint").alias("end_us"), F.struct(*ident).alias("id"), F.lit(1).alias("side"))
     both = began.unionByName(starts).withColumn("hour", hour("t"))
     upto = Window.partitionBy("provider", "hour").orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)
     across = both.withColumn("_end", F.max("end_us").over(upto)).where("side = 1").select("id", F.coalesce(F.col("_end") > F.col("t"), F.lit(False)).alias("across"))
 
-    found = intervals.select(*intervals.columns, F.struct(*ident).alias("id")).alias("i")
-    eq = lambda t: F.expr(f"i.id <=> {t}.id")
-    found = found.join(sums.alias("s"), eq("s"), "left").join(late.alias("l"), eq("l"), "left").join(across.alias("a"), eq("a"), "left")
-    n = lambda c: F.coalesce(F.col(f"s.{c}"), F.lit(0)) - F.coalesce(F.col(f"l.late_{c}"), F.lit(0))
+    none = {n: F.lit(None).cast(t) for n, t in _SUMS.items()}
+    parts = [
+        sums.select("id", *[F.col(n) for n in _SUMS], *[none[n].alias(f"late_{n}") for n in _SUMS], F.lit(None).cast("boolean").alias("across")),
+        late.select("id", *[none[n].alias(n) for n in _SUMS], *[F.col(f"late_{n}") for n in _SUMS], F.lit(None).cast("boolean").alias("across")),
+        across.select("id", *[none[n].alias(n) for n in _SUMS], *[none[n].alias(f"late_{n}") for n in _SUMS], "across"),
+    ]
+    found = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("id").agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).cast(t).alias(c) for n, t in _SUMS.items() for c in (n, f"late_{n}")], F.coalesce(F.max("across"), F.lit(False)).alias("across")
+    )
+    n = lambda c: F.col(c) - F.col(f"late_{c}")
     return found.select(
-        *[F.col(f"i.{c}") for c in intervals.columns], n("requests").cast("bigint").alias("requests"), n("cents").cast("bigint").alias("cents"), n("output").cast("bigint").alias("output"),
-        (n("unknown") + F.coalesce("l.late_requests", F.lit(0))).cast("bigint").alias("unknown"), (F.coalesce("a.across", F.lit(False)) | (n("archived") > 0)).alias("taint"),
-        (n("rows").cast("decimal(19,0)") * n("model2") == n("model").cast("decimal(19,0)") * n("model")).alias("one_kind"), F.when(n("rows") > 0, (n("model") / n("rows"))).cast("bigint").alias("number"),
+        "id.*", n("requests").alias("requests"), n("cents").alias("cents"), n("output").alias("output"), (n("unknown") + F.col("late_requests")).alias("unknown"), (F.col("across") | (n("archived") > 0)).alias("taint"),
+        (n("rows").cast("decimal(19,0)") * n("model2") == n("model").cast("decimal(19,0)") * n("model")).alias("one_kind"), F.when(n("rows") > 0, F.expr("(model - late_model) DIV (rows - late_rows)")).alias("number"),
     )
 
 
