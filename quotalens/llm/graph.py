@@ -17,7 +17,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Every step replaces edges by edges to a smaller neighbour; their number never grows, and the rounds needed grow
     with the logarithm of the longest path. Each round is written to the shared folder. Loops and repeated edges are
-    ignored; no edges give no rows. A node with many edges is only ever aggregated (with partial sums) or joined.
+    ignored; no edges give no rows. A node with many edges is only ever aggregated (with partial sums) or joined;
+    beyond a partition of 256 MB (Spark's default) adaptive execution splits the join on it.
     """
     links = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     links, before = keep(links, "links"), None
