@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import keep
 
 
+def forest(i: np.ndarray, j: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """Roots after places ``i`` and ``j`` are linked pairwise; ``root`` gives the smallest known place of each place's component."""
+    while True:
+        low = np.minimum(root[i], root[j])
+        new = root.copy()
+        for end in (i, j):
+            np.minimum.at(new, root[end], low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
 
