@@ -8,6 +8,9 @@ from importlib import import_module
 MODULES = {
     "op1_best_fit_packing": "packing",
     "op10_secret_scan": "secrets",
+    "op11_embedding_near_dedup": "vector_dedup",
+    "op12_source_divergence": "divergence",
+    "op13_conversation_repair": "conversations",
     "op2_license_scan": "licenses",
     "op3_benchmark_decontamination": "decontamination",
     "op4_sharding": "sharding",
@@ -24,4 +27,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Only where DuckDB has the functions: crc32, XXH64, tokenizers, compression and training are beyond it."""
+    return {"op12_source_divergence": import_module(f"{__package__}.divergence").ORACLE_SQL}
