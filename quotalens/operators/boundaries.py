@@ -105,18 +105,23 @@ def billing_summary(periods: DataFrame) -> DataFrame:
     )
 
 
-def idle_sessions(rows: DataFrame, timeout_us: int) -> DataFrame:
+def idle_sessions(rows: DataFrame, timeout_us: int, silence_closes: bool = False, forget_us: int | None = None) -> DataFrame:
     """Activity sessions of a series, from changes of its value; windows alone, no fold.
 
     The first sample is the baseline. A change opens a session, or extends an open one whatever the gap; an unchanged
     sample within the timeout counts, one beyond closes. So a session starts at a change if none came before, or if the
     sample before lies over the timeout after the last change. It ends at its last change plus the timeout.
+
+    ``silence_closes``: a session also closes when its timeout passes without any sample, as timers do on a stream; so a change
+    later than that opens a new one. ``forget_us``: after so long without a sample the value is forgotten, and the next is a baseline.
     """
     w = Window.partitionBy(*KEY).orderBy("us", "snapshot_id")
     earlier = w.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_changed", F.coalesce(F.col("used_bp") != F.lag("used_bp").over(w), F.lit(False)))
+    known = F.lit(True) if forget_us is None else F.col("us") - F.lag("us").over(w) <= forget_us
+    rows = rows.withColumn("_changed", F.coalesce((F.col("used_bp") != F.lag("used_bp").over(w)) & known, F.lit(False)))
     rows = rows.withColumns({"_last": F.last(F.when(F.col("_changed"), F.col("us")), ignorenulls=True).over(earlier), "_us": F.lag("us").over(w), "_before": F.lag("used_bp").over(w)})
-    opens = F.col("_changed") & (F.col("_last").isNull() | (F.col("_us") - F.col("_last") > timeout_us))
+    seen = F.col("us") if silence_closes else F.col("_us")
+    opens = F.col("_changed") & (F.col("_last").isNull() | (seen - F.col("_last") > timeout_us))
     rows = rows.withColumn("session", F.sum(opens.cast("bigint")).over(w)).withColumn("_opens", opens)
     member = (F.col("session") > 0) & (F.col("_changed") | (F.col("us") - F.col("_last") <= timeout_us))
     return rows.where(member).groupBy(*KEY, "session").agg(

@@ -34,23 +34,85 @@ def is_enrichment(old: Column, new: Column) -> Column:
     return F.pandas_udf(_enriched, "boolean")(old, new)
 
 
-_MAP = "map<string,string>"
+#: Levels of objects that ``patched`` merges one by one; below, the patch's member replaces the document's.
+DEPTH = 6
+_MEMBERS = "map<string,variant>"
 
 
-def patched(document: Column, patch: Column) -> Column:
-    """a JSON object whose members of ``patch`` replace or join its own; a null member of the patch removes. One level deep;
-    members are taken as strings. A document that is no object counts as empty."""
-    old, new = F.coalesce(F.from_json(document, _MAP), F.create_map().cast(_MAP)), F.coalesce(F.from_json(patch, _MAP), F.create_map().cast(_MAP))
-    left = F.map_filter(old, lambda k, v: ~F.array_contains(F.map_keys(new), k))
-    return F.to_json(F.map_concat(left, F.map_filter(new, lambda k, v: v.isNotNull())))
+def _members(v: Column) -> Column:
+    """The members of a variant that is an object; null for any other."""
+    return F.try_variant_get(v, "$", _MEMBERS)
 
 
-def without_keys(document: Column, *keys: str) -> Column:
-    """a JSON object without some members; null if nothing is left or it is no object."""
-    left = F.map_filter(F.from_json(document, _MAP), lambda k, v: ~k.isin(*keys))
-    return F.when(F.size(left) > 0, F.to_json(left))
+def _bound(made, *columns: Column) -> Column:
+    """``made`` of columns that are computed once, whatever it does with them."""
+    names = [f"v{k}" for k in range(len(columns))]
+    return F.transform(F.array(F.struct(*[c.alias(n) for c, n in zip(columns, names)])), lambda x: made(*[x[n] for n in names]))[0]
 
 
-def with_key(document: Column, key: str, value: Column) -> Column:
-    """a JSON object with one member set."""
-    return patched(document, F.to_json(F.create_map(F.lit(key), value.cast("string"))))
+def _object(keys: Column, value) -> Column:
+    return F.to_variant_object(F.map_from_entries(F.transform(keys, lambda k: F.struct(k.alias("key"), value(k).alias("value")))))
+
+
+_NONE = lambda: F.create_map().cast(_MEMBERS)
+
+
+def _merged(old: Column, new: Column, depth: int) -> Column:
+    """RFC 7396 on variants: a member of the patch that is null removes, an object merges, anything else replaces."""
+
+    def objects(was: Column, patch: Column) -> Column:
+        keys = F.filter(F.array_union(F.map_keys(was), F.map_keys(patch)), lambda k: ~F.coalesce(F.is_variant_null(patch[k]), F.lit(False)))
+        inner = lambda k: F.when(F.array_contains(F.map_keys(patch), k), _merged(was[k], patch[k], depth - 1) if depth > 1 else patch[k]).otherwise(was[k])
+        return _object(keys, inner)
+
+    return _bound(lambda o, n, value: F.when(n.isNull(), value).otherwise(objects(F.coalesce(o, _NONE()), n)), _members(old), _members(new), new)
+
+
+def patched(document: Column, patch: Column, depth: int = DEPTH) -> Column:
+    """a JSON document changed by a JSON merge patch, object by object down to ``depth`` levels. Numbers, booleans and arrays keep
+    their types; objects come out with sorted keys. A document that is no object counts as empty, a patch that is none as no change."""
+    return _bound(
+        lambda o, n: F.when(_members(n).isNotNull(), F.to_json(_merged(o, n, depth))).when(_members(o).isNotNull(), F.to_json(o)).otherwise(F.lit("{}")),
+        F.try_parse_json(document), F.try_parse_json(patch),
+    )
+
+
+def _without(v: Column, path: list[str]) -> Column:
+    key, rest = path[0], path[1:]
+
+    def changed(m: Column, whole: Column) -> Column:
+        keys = F.map_keys(m) if rest else F.filter(F.map_keys(m), lambda k: k != key)
+        left = _object(keys, lambda k: F.when(k == key, _without(m[k], rest)).otherwise(m[k]) if rest else m[k])
+        return F.when(m.isNull(), whole).otherwise(left)
+
+    return _bound(changed, _members(v), v)
+
+
+def without_keys(document: Column, *paths: str) -> Column:
+    """a JSON object without some members, each a name or a path (``a.b``); one that is not there changes nothing. Null if no
+    member is left or the document is no object."""
+    made = F.try_parse_json(document)
+    for path in paths:
+        made = _without(made, path.split("."))
+    return _bound(lambda v: F.when(F.size(_members(v)) > 0, F.to_json(v)), made)
+
+
+def _with(v: Column, path: list[str], value: Column) -> Column:
+    key, rest = path[0], path[1:]
+
+    def changed(m: Column, whole: Column, new: Column) -> Column:
+        there = F.array_contains(F.map_keys(m), key)
+        if rest:  # a member is set only in an object that is there
+            return F.when(F.coalesce(there, F.lit(False)), _object(F.map_keys(m), lambda k: F.when(k == key, _with(m[k], rest, new)).otherwise(m[k]))).otherwise(whole)
+        keys = F.array_union(F.map_keys(m), F.array(F.lit(key)))
+        return F.when(m.isNull(), whole).otherwise(_object(keys, lambda k: F.when(k == key, new).otherwise(m[k])))
+
+    return _bound(changed, _members(v), v, value)
+
+
+def with_key(document: Column, path: str, value: Column) -> Column:
+    """a JSON document with one member set, by name or path; the value keeps its type. Its parent must be an object that is there,
+    else nothing changes; a document that is no object counts as empty."""
+    whole = F.coalesce(F.try_parse_json(document), F.parse_json(F.lit("{}")))
+    start = _bound(lambda v: F.when(_members(v).isNotNull(), v).otherwise(F.parse_json(F.lit("{}"))), whole)
+    return F.to_json(_with(start, path.split("."), value.cast("variant")))

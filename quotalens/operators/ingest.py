@@ -66,6 +66,28 @@ def not_compacted(events: DataFrame, tombstones: DataFrame) -> DataFrame:
     return events.join(tombstones.select("fingerprint").distinct(), "fingerprint", "left_anti")
 
 
+def _same_json(a: str, b: str) -> bool:
+    try:
+        return json.loads(a) == json.loads(b)
+    except (TypeError, ValueError):
+        return a == b
+
+
+def receipt(held: tuple[str, str] | None, device: str, kind: str, identity: str, payload: str, stored: bool, owner: str) -> tuple[str, str | None, tuple[str, str] | None]:
+    """Status and code of one arrival, and the (identity, payload) that stand after it; ``held`` are those that stood before."""
+    if held is None:
+        if kind != "usage_event" and owner != device:
+            return "rejected", "ownership_conflict", None
+        return "duplicate" if stored and kind == "usage_event" else "accepted", None, (identity, payload)
+    if identity != held[0]:
+        return "rejected", "event_identity_conflict", held
+    if _same_json(payload, held[1]):
+        return "duplicate", None, held
+    if kind == "usage_event" and adds_to(held[1], payload):
+        return "enriched", None, (identity, payload)
+    return "rejected", "event_payload_conflict", held
+
+
 def receipts(arrivals: DataFrame) -> DataFrame:
     """Status (and code, if rejected) of each arrival, in order of time and id of its (device_id, event_key).
 
@@ -77,32 +99,13 @@ def receipts(arrivals: DataFrame) -> DataFrame:
     else it is rejected. What arrives later depends on what was accepted, so a key's arrivals are walked in order.
     """
 
-    def same(a: str, b: str) -> bool:
-        try:
-            return json.loads(a) == json.loads(b)
-        except (TypeError, ValueError):
-            return a == b
-
     def walk(rows):
         key, held = None, None
         for event, *own, kind, identity, payload, stored, owner in rows:
             if own != key:
                 key, held = own, None
-            code = None
-            if held is None:
-                if kind != "usage_event" and owner != own[0]:
-                    state, code = "rejected", "ownership_conflict"
-                else:
-                    state, held = "duplicate" if stored and kind == "usage_event" else "accepted", (identity, payload)
-            elif identity != held[0]:
-                state, code = "rejected", "event_identity_conflict"
-            elif same(payload, held[1]):
-                state = "duplicate"
-            elif kind == "usage_event" and adds_to(held[1], payload):
-                state, held = "enriched", (identity, payload)
-            else:
-                state, code = "rejected", "event_payload_conflict"
-            yield event, *own, state, code
+            status, code, held = receipt(held, own[0], kind, identity, payload, stored, owner)
+            yield event, *own, status, code
 
     keys = ["device_id", "event_key"]
     columns = ["event_id", *keys, "kind", "identity", "payload", "stored", "owner"]
