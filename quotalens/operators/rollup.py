@@ -104,6 +104,20 @@ def usage_hierarchy(events: DataFrame) -> DataFrame:
     return events.rollup(*keys).agg(F.grouping_id().cast("bigint").alias("level"), *measures())
 
 
+def usage_tree(events: DataFrame) -> DataFrame:
+    """A8 nested: an integration a row, with its measures and its providers; these hold their accounts, and these their models, by name.
+
+    Built from the models upwards: each level sums the one below, which it holds as an array of structs, so the events are aggregated
+    once and each array is as long as there are names. Every level has its measures and its last capture.
+    """
+    keys, inner = ["integration_name", "provider", "account_name", "model"], ["providers", "accounts", "models"]
+    level = events.groupBy(*keys).agg(*measures(), F.max("us").alias("last_us"))
+    for depth in (3, 2, 1):
+        held = [keys[depth], *[c for c in level.columns if c not in keys]]
+        level = level.groupBy(*keys[:depth]).agg(*remeasures(), F.max("last_us").alias("last_us"), F.sort_array(F.collect_list(F.struct(*held))).alias(inner[depth - 1]))
+    return level
+
+
 def usage_cumulative(buckets: DataFrame, totals: DataFrame | None = None) -> DataFrame:
     """Running cost and output tokens per integration over its buckets.
 
