@@ -122,9 +122,5 @@ QUERIES = {
         lambda s, d: _documents(s, d).select("event_id", doc.is_enrichment(F.col("old"), F.col("new")).alias("adds")),
         f"""WITH {USAGE} SELECT event_id, CASE WHEN event_id % 20 = 7 THEN NULL ELSE (event_id % 4 = 0 OR event_id % 4 = event_id % 3 + 1) AND (event_id % 5 <> 1) AND event_id % 7 <> 2 END AS adds FROM ue""",
     ),
-    "json_changes": (
-        lambda s, d: _documents(s, d).select("event_id", doc.patched(F.lit('{"a":"1","b":"2"}'), F.concat(F.lit('{"b":null,"k'), (F.col("event_id") % 3).cast("string"), F.lit('":"x"}'))).alias("patched"), doc.without_keys(F.lit('{"a":"1","b":"2"}'), "a").alias("removed"), doc.with_key(F.lit('{"a":"1"}'), "n", F.col("event_id")).alias("set_")),
-        f"""WITH {USAGE} SELECT event_id, '{{{{"a":"1","k' || CAST(event_id % 3 AS VARCHAR) || '":"x"}}}}' AS patched, '{{{{"b":"2"}}}}' AS removed, '{{{{"a":"1","n":"' || CAST(event_id AS VARCHAR) || '"}}}}' AS set_ FROM ue""".replace("{{", "{").replace("}}", "}"),
-    ),
     "retention": (lambda s, d: ins.older_than(usage_events(s, d), NOW_US)[0].select("event_id", "us"), f"WITH {USAGE} SELECT event_id, us FROM ue WHERE us >= {NOW_US}"),
 }

@@ -159,7 +159,7 @@ def sums(df):
 @pytest.mark.parametrize("seed", range(3))
 def test_retention_stopped_anywhere_loses_and_doubles_nothing(spark, tmp_path, seed):
     rng = random.Random(seed)
-    s = retention.Store(spark, str(tmp_path / "store"), EVENTS)
+    s = retention.Store(spark, str(tmp_path / "store"), EVENTS, HOUR)
     all_rows = []
     for run in range(5):
         new = events(1000 * run, 60, seed=10 * seed + run)
@@ -170,7 +170,7 @@ def test_retention_stopped_anywhere_loses_and_doubles_nothing(spark, tmp_path, s
         assert sums(s.usage()) == sums(whole)
     assert s.compact(4 * HOUR, "last") == []
     assert sums(s.usage()) == sums(whole)
-    assert s.events().where(F.col("hour_us") < 4 * HOUR).count() == 0 and s.events().count() == len([r for r in all_rows if r[2] >= 4 * HOUR])
+    assert s.events().where(F.col("part_us") < 4 * HOUR).count() == 0 and s.events().count() == len([r for r in all_rows if r[2] >= 4 * HOUR])
     s.add_events(spark.createDataFrame(all_rows[:50], EVENTS))  # replays of compacted and of other events
     kept = [r for r in all_rows[:50] if r[2] >= 4 * HOUR]
     assert s.compact(4 * HOUR, "replay") == []
@@ -178,16 +178,16 @@ def test_retention_stopped_anywhere_loses_and_doubles_nothing(spark, tmp_path, s
 
 
 def test_retention_keeps_what_does_not_add_up(spark, tmp_path):
-    s = retention.Store(spark, str(tmp_path / "store"), EVENTS)
+    s = retention.Store(spark, str(tmp_path / "store"), EVENTS, HOUR)
     rows = events(0, 50, (0, 2))
     s.add_events(spark.createDataFrame(rows, EVENTS))
     s.compact(2 * HOUR, "a", until="tombstones")
     lost = [r for r in rows if r[2] < HOUR][0]
-    s._write(spark.createDataFrame([r for r in rows if r[2] < HOUR and r != lost], EVENTS).withColumn("hour_us", F.lit(0).cast("long")), "events", "hour_us")
+    s._write(spark.createDataFrame([r for r in rows if r[2] < HOUR and r != lost], EVENTS).withColumn("part_us", F.lit(0).cast("long")), "events", "part_us")
     assert s.compact(2 * HOUR, "b") == [(0, "a")]
     assert s.events().count() == len([r for r in rows if r[2] < HOUR]) - 1 and s.usage().agg(F.sum("request_count")).first()[0] == 49
 
 
 def test_retention_of_nothing(spark, tmp_path):
-    s = retention.Store(spark, str(tmp_path / "store"), EVENTS)
+    s = retention.Store(spark, str(tmp_path / "store"), EVENTS, HOUR)
     assert s.compact(HOUR, "a") == [] and s.usage().count() == 0
