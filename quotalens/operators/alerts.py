@@ -71,10 +71,10 @@ def pace_alerts(rows: DataFrame, fires_bp: int = 1500, clears_bp: int = 1000, ag
 
 
 def missed_polls(rows: DataFrame, now_us: int, interval_us: int, grace_us: int) -> DataFrame:
-    """Whole intervals missed since the deadline (last sample + interval + grace), the first counting at once."""
+    """Whole intervals missed since the deadline (last sample + interval + grace), the first counting when it has come."""
     last = rows.where(F.col("us") <= now_us).groupBy("provider", "account_id").agg(F.max("us").alias("last_us"))
     over = f"{now_us} - last_us - {interval_us} - {grace_us}"
-    return last.withColumn("missed", F.expr(f"CASE WHEN {over} > 0 THEN 1 + ({over}) DIV {interval_us} ELSE 0L END"))
+    return last.withColumn("missed", F.expr(f"CASE WHEN {over} >= 0 THEN 1 + ({over}) DIV {interval_us} ELSE 0L END"))
 
 
 def quiet_weekly(rows: DataFrame, below_bp: int = 5000) -> DataFrame:

@@ -85,27 +85,33 @@ def zai_rate(cycles: DataFrame, now_us: int) -> DataFrame:
 
 def zai_insights(samples: DataFrame, now_us: int) -> DataFrame:
     """Per account of token counters (snapshot_id, us, tokens_used, tokens_budget, reset_us, details): tokens an hour over 24
-    hours, use projected at the reset (percent of the budget, and its severity), the trend of the newer half of the 24 hours
-    against the older (25 % either way), tokens used in 7 days, capacity a month, tokens a tool call and the tool used most.
+    hours, use projected at the reset (percent of the budget, and its severity), the trend of 24 hours, tokens used in 7 days and a
+    day, capacity a month, tokens a tool call and the tool used most.
 
-    details: JSON array of {"modelCode", "usage"}. Rates need a rise between the first and last sample; counters that
-    fell (a daily reset) add nothing to the 7 days. Unknown parts are null.
+    The trend holds the newer half of the samples (of four or more; of an odd number the middle one is newer) against the older
+    half, 25 % either way; the older must have risen, the newer may have fallen. The 7 days are the last counter less the first, if it
+    rose. details: JSON array of {"modelCode", "usage"}. Unknown parts are null.
     """
     keys = ["provider", "account_id"]
     order = F.struct("us", "snapshot_id")
-    w = Window.partitionBy(*keys).orderBy("us", "snapshot_id")
     s = samples.where((F.col("us") <= now_us) & (F.col("us") > now_us - 7 * DAY_US))
-    s = s.withColumn("_rise", F.greatest(F.col("tokens_used") - F.lag("tokens_used").over(w), F.lit(0)))
     day = F.col("us") > now_us - DAY_US
-    newer = F.col("us") > now_us - DAY_US // 2
+    of_day = Window.partitionBy(*keys, day)
+    s = s.withColumns({"_nth": F.row_number().over(of_day.orderBy("us", "snapshot_id")), "_all": F.count("*").over(of_day)})
+    enough, newer = day & (F.col("_all") >= 4), F.col("_nth") > F.floor(F.col("_all") / 2)
     first, last = lambda c, x: F.min_by(F.when(c, F.col(x)), F.when(c, order)), lambda c, x: F.max_by(F.when(c, F.col(x)), F.when(c, order))
     span = lambda c, n: [first(c, "us").alias(f"{n}_t0"), last(c, "us").alias(f"{n}_t1"), first(c, "tokens_used").alias(f"{n}_v0"), last(c, "tokens_used").alias(f"{n}_v1")]
     a = s.groupBy(*keys).agg(
-        *span(day, "d"), *span(day & ~newer, "o"), *span(day & newer, "n"), F.coalesce(F.sum("_rise"), F.lit(0)).cast("bigint").alias("week_tokens"),
+        *span(day, "d"), *span(enough & ~newer, "o"), *span(enough & newer, "n"), *span(F.lit(True), "w"),
         F.max_by(F.struct("tokens_used", "tokens_budget", "reset_us", "details"), order).alias("l"),
     )
-    rate = lambda n: F.when((F.col(f"{n}_t1") > F.col(f"{n}_t0")) & (F.col(f"{n}_v1") > F.col(f"{n}_v0")), (F.col(f"{n}_v1") - F.col(f"{n}_v0")) * float(HOUR_US) / (F.col(f"{n}_t1") - F.col(f"{n}_t0")))
-    a = a.withColumns({"rate": F.round(rate("d"), 6), "_old": rate("o"), "_new": rate("n"), "_tools": F.from_json("l.details", "array<struct<modelCode:string,usage:double>>")})
+    speed = lambda n: F.when(F.col(f"{n}_t1") > F.col(f"{n}_t0"), (F.col(f"{n}_v1") - F.col(f"{n}_v0")) * float(HOUR_US) / (F.col(f"{n}_t1") - F.col(f"{n}_t0")))
+    rising = lambda n: F.when(speed(n) > 0, speed(n))
+    week = F.when(rising("w").isNotNull(), F.col("w_v1") - F.col("w_v0"))
+    a = a.withColumns({
+        "rate": F.round(rising("d"), 6), "_old": rising("o"), "_new": speed("n"), "week_tokens": week, "day_tokens": F.round(rising("w") * 24, 4),
+        "_tools": F.from_json("l.details", "array<struct<modelCode:string,usage:double>>"),
+    })
     hours = (F.col("l.reset_us") - now_us) / float(HOUR_US)
     projected = F.when(hours > 0, (F.col("l.tokens_used") + F.col("rate") * hours) * 10000 / F.col("l.tokens_budget"))
     change = (F.col("_new") - F.col("_old")) * 100 / F.col("_old")
@@ -113,7 +119,7 @@ def zai_insights(samples: DataFrame, now_us: int) -> DataFrame:
     top = F.expr("array_sort(_tools, (a, b) -> CASE WHEN a.usage <> b.usage THEN cast(sign(b.usage - a.usage) AS INT) WHEN a.modelCode < b.modelCode THEN -1 WHEN a.modelCode > b.modelCode THEN 1 ELSE 0 END)[0].modelCode")
     a = a.withColumn("projected_bp", F.round(projected, 4)).withColumn("tool_calls", F.round(calls, 4))
     return a.select(
-        *keys, "rate", "projected_bp", status(F.col("projected_bp"), "severity").alias("severity"), F.when(change > 25, "rising").when(change < -25, "falling").when(change.isNotNull(), "steady").alias("trend"), "week_tokens",
+        *keys, "rate", "projected_bp", status(F.col("projected_bp"), "severity").alias("severity"), F.when(change > 25, "rising").when(change < -25, "falling").when(change.isNotNull(), "steady").alias("trend"), "week_tokens", "day_tokens",
         (F.col("l.tokens_budget") * 30).alias("month_capacity"), "tool_calls", F.round(F.when(F.col("tool_calls") > 0, F.col("l.tokens_used") / F.col("tool_calls")), 4).alias("tokens_a_call"), top.alias("top_tool"),
     )
 
@@ -132,24 +138,69 @@ def copilot_insights(latest: DataFrame, rates: DataFrame, series: DataFrame, now
     )
 
 
-def codex_insights(cycles: DataFrame, rates: DataFrame, now_us: int, days: int = 30) -> DataFrame:
-    """Per account, its primary quota (five_hour, else seven_day): average change and highest peak of the cycles closed in
-    the last ``days``, else of the open one; and a forecast where the rate is above 0.01 % an hour: the projected use, not below the current.
+#: Plans whose weekly window is all there is: their five-hour quota is the weekly one under an old name.
+FREE_PLAN = "free"
+#: The quotas that are forecast, in the order shown.
+FORECASTS = ("five_hour", "seven_day", "code_review")
 
-    ``cycles``: KEY, start_us, end_us (null: open), peak_bp, delta_bp; ``rates``: KEY, last_bp, rate, projected_bp.
+
+def _work_us(start: Column, end: Column, off: tuple[int, ...]) -> Column:
+    """Microseconds of [start, end), cut into days from its start on, that begin on no day in ``off`` (Sunday is 1)."""
+    days = F.sequence(F.lit(0), F.lit(6))
+    begun = lambda k: start + k * F.lit(DAY_US)
+    part = lambda k: F.greatest(F.lit(0), F.least(end - begun(k), F.lit(DAY_US)))
+    work = lambda k: ~F.dayofweek(F.timestamp_micros(begun(k))).isin(*off) if off else F.lit(True)
+    return F.aggregate(days, F.lit(0).cast("bigint"), lambda n, k: n + F.when(work(k), part(k)).otherwise(0))
+
+
+def codex_insights(latest: DataFrame, cycles: DataFrame, rates: DataFrame, plans: DataFrame, now_us: int, days: int = 30, week: str = "7-day") -> DataFrame:
+    """Per account its primary quota's history, forecasts of its quotas, and its weekly pace.
+
+    ``latest``: KEY, snapshot_id, us, used_bp, reset_us; ``cycles``: KEY, start_us, end_us (null: open), peak_bp, delta_bp; ``rates``: KEY, rate,
+    projected_bp; ``plans``: provider, account_id, plan (others have none). The primary quota is five_hour, of the free plan seven_day,
+    or what it was called before, five_hour. Its history is that of the cycles that began in the last ``days`` and are closed (number,
+    average change, highest peak), else that of the open one (number 0); on the free plan each falls back to the old name first.
+
+    A quota's forecast is the use projected at its reset, not below its use now, where its rate is above 0.01 % an hour; without
+    such a rate the forecast is null. Quotas under the old name count as seven_day, the higher use of both. Status of a forecast: by the
+    use now, of code_review by what remains. The pace holds weekly use against an even one over the time, or over the work days of ``week``
+    (7-day, 6-day, 5-day): within 2 points on pace, else over or in reserve. Null accounts are accounts.
     """
-    rank = F.when(F.col("quota_name") == "five_hour", 0).when(F.col("quota_name") == "seven_day", 1)
-    own = cycles.withColumn("_rank", rank).where("_rank IS NOT NULL")
-    own = own.withColumn("_first", F.min("_rank").over(Window.partitionBy("provider", "account_id"))).where("_rank = _first")
-    done = F.col("end_us").isNotNull() & (F.col("end_us") > now_us - days * DAY_US)
-    open_ = F.col("end_us").isNull()
-    a = own.groupBy(*KEY).agg(F.count_if(done).alias("cycles"), F.round(F.avg(F.when(done, F.col("delta_bp"))), 4).alias("_avg"), F.max(F.when(done, F.col("peak_bp"))).alias("_peak"), F.max(F.when(open_, F.col("delta_bp"))).alias("_open_delta"), F.max(F.when(open_, F.col("peak_bp"))).alias("_open_peak"))
-    a = a.alias("a").join(rates.alias("r"), _null_safe("a", "r", KEY), "left")
-    fast = F.col("r.rate") > 1
-    return a.select(
-        *[F.col(f"a.{k}") for k in KEY], "cycles", F.when(F.col("cycles") > 0, F.col("_avg")).otherwise(F.col("_open_delta").cast("double")).alias("avg_delta_bp"), F.when(F.col("cycles") > 0, F.col("_peak")).otherwise(F.col("_open_peak")).alias("peak_bp"),
-        F.when(fast, F.greatest(F.col("r.projected_bp"), F.col("r.last_bp").cast("double"))).alias("forecast_bp"),
+    account = ["provider", "account_id"]
+    plan = plans.select(*account, (F.lower(F.trim("plan")) == FREE_PLAN).alias("_free")).groupBy(*account).agg(F.max("_free").alias("_free"))
+
+    def planned(df: DataFrame) -> DataFrame:
+        return df.alias("x").join(plan.alias("p"), _null_safe("x", "p", account), "left").select("x.*", F.coalesce("_free", F.lit(False)).alias("_free"))
+
+    old, open_ = F.col("quota_name") == "five_hour", F.col("end_us").isNull()
+    kept = open_ | (F.col("start_us") >= now_us - days * DAY_US)
+    place = F.when(F.col("_free"), F.when(F.col("quota_name") == "seven_day", 0).when(old, 1)).otherwise(F.when(old, 0))
+    own = planned(cycles).withColumn("_place", place + F.when(open_, 2).otherwise(0)).where(kept & F.col("_place").isNotNull())
+    own = own.withColumn("_best", F.min("_place").over(Window.partitionBy(*account))).where("_place = _best")
+    history = own.groupBy(*account).agg(F.count_if(~open_).alias("cycles"), F.round(F.avg("delta_bp"), 4).alias("avg_delta_bp"), F.max("peak_bp").alias("peak_bp"))
+
+    name = F.when(F.col("_free") & old, "seven_day").otherwise(F.col("quota_name"))
+    now = planned(latest).withColumn("_name", name)
+    now = now.groupBy(*account, "_free", "_name").agg(F.max_by(F.struct("used_bp", "reset_us"), F.struct("used_bp", "us", "snapshot_id")).alias("l"))
+    own_first = F.when(F.col("_name") == F.col("quota_name"), 0).otherwise(1)
+    rate = planned(rates).withColumn("_name", name).groupBy(*account, "_name").agg(F.min_by(F.struct("rate", "projected_bp"), own_first).alias("r"))
+    both = now.alias("n").join(rate.alias("r"), F.expr("n.provider = r.provider AND n.account_id <=> r.account_id AND n._name = r._name"), "left").select("n.*", F.col("r.r.rate").alias("rate"), F.col("r.r.projected_bp").alias("projected_bp"))
+    used = F.col("l.used_bp")
+    forecast = F.when(F.col("rate") > 1, F.greatest(used.cast("double"), "projected_bp"))
+    left = F.greatest(10000 - used, F.lit(0))
+    state = F.when(F.col("rate") > 1, F.when(F.col("_name") == "code_review", F.when(left <= 500, "critical").when(left <= 2000, "danger").when(left <= 5000, "warning").otherwise("healthy")).otherwise(status(used))).otherwise("info")
+    of = lambda q, c: F.max(F.when(F.col("_name") == q, c))
+    out = both.groupBy(*account, "_free").agg(
+        *[x for q in FORECASTS for x in (of(q, forecast).alias(f"{q}_forecast_bp"), of(q, state).alias(f"{q}_status"))],
+        of("seven_day", used).alias("_used"), of("seven_day", F.col("l.reset_us")).alias("_reset"),
     )
+    start, off = F.col("_reset") - 7 * DAY_US, {"7-day": (), "6-day": (1,), "5-day": (1, 7)}[week]
+    done, whole = _work_us(start, F.lit(now_us), off), _work_us(start, F.col("_reset"), off)
+    inside = (F.col("_reset") > now_us) & (F.col("_reset") - now_us <= 7 * DAY_US)
+    over = F.round(F.when(inside, F.col("_used") - done * 10000.0 / whole), 4)
+    out = out.withColumn("pace_bp", over).withColumn("pace", F.when(over.between(-200, 200), "on_pace").when(over > 200, "over").when(over < -200, "reserve"))
+    made = out.alias("o").join(history.alias("h"), _null_safe("o", "h", account), "left")
+    return made.select("o.provider", "o.account_id", F.when(F.col("_free"), "seven_day").otherwise("five_hour").alias("primary_quota"), F.coalesce("cycles", F.lit(0)).alias("cycles"), "avg_delta_bp", "peak_bp", *[c for c in out.columns if c not in account and not c.startswith("_")])
 
 
 def gemini_insights(latest: DataFrame, cycles: DataFrame, now_us: int, least_us: int = HOUR_US // 6, most: int = 50) -> DataFrame:
@@ -202,7 +253,8 @@ def minimax_insights(samples: DataFrame, now_us: int) -> DataFrame:
 def antigravity_insights(latest: DataFrame, cycles: DataFrame, now_us: int, since_us: int) -> DataFrame:
     """I8g: per account and quota group, the sums over its models of the mean rate of completed cycles since ``since_us`` and of the
     open cycle's rate (percent an hour, from cycles that rose); the group's rate (the open one if above 0), the hours until it runs
-    out, its level (before the reset: critical; 5 % an hour or more: warning; else healthy), and the account's earliest end.
+    out, its level (before the reset: critical; 5 % an hour or more: warning; else, and for a quiet group, info), and the account's
+    earliest end among groups that run out before their reset.
 
     ``latest``: provider, account_id, group, used_bp, reset_us; ``cycles``: provider, account_id, group, model, start_us, end_us, delta_bp.
     """
@@ -215,6 +267,6 @@ def antigravity_insights(latest: DataFrame, cycles: DataFrame, now_us: int, sinc
     g = latest.groupBy(*keys).agg(F.max("used_bp").alias("used_bp"), F.min("reset_us").alias("reset_us"))
     g = g.alias("g").join(m.alias("m"), _null_safe("g", "m", keys), "left").select("g.*", "completed_rate", "open_rate").withColumn("rate", F.when(F.col("open_rate") > 0, F.col("open_rate")).otherwise(F.col("completed_rate")))
     hours = F.when(F.col("rate") > 0, (10000 - F.col("used_bp")) / F.col("rate"))
-    early = F.coalesce(hours < (F.col("reset_us") - now_us) / float(HOUR_US), F.lit(False))
-    g = g.withColumn("exhaust_hours", F.round(hours, 4)).withColumn("level", F.when(early, "critical").when(F.col("rate") >= 500, "warning").otherwise("healthy"))
-    return g.withColumn("earliest_hours", F.min("exhaust_hours").over(Window.partitionBy("provider", "account_id")))
+    early = F.coalesce((hours > 0) & (hours < (F.col("reset_us") - now_us) / float(HOUR_US)), F.lit(False))
+    g = g.withColumn("exhaust_hours", F.round(hours, 4)).withColumn("level", F.when(early, "critical").when(hours <= 0, "info").when(F.col("rate") >= 500, "warning").otherwise("info"))
+    return g.withColumn("earliest_hours", F.min(F.when(F.col("level") == "critical", F.col("exhaust_hours"))).over(Window.partitionBy("provider", "account_id")))

@@ -122,7 +122,7 @@ def late_observations(rows: DataFrame, arrival: Column, late_us: int = 5 * MINUT
 
 
 def thin_meters(rows: DataFrame, within_us: int = 10 * MINUTE_US) -> DataFrame:
-    """Drops a meter if an equal one (key, use, reset) was kept in the last ten minutes.
+    """Drops a meter if an equal one (key, plan, use, reset) was kept in the last ten minutes, just ten included.
 
     What is kept depends on what was kept before, so each task walks its sorted rows holding one time.
     """
@@ -130,15 +130,16 @@ def thin_meters(rows: DataFrame, within_us: int = 10 * MINUTE_US) -> DataFrame:
     def walk(meters):
         key, kept = None, 0
         for *own, snapshot, us in meters:
-            if own != key or us - kept >= within_us:
+            if own != key or us - kept > within_us:
                 key, kept = own, us
-                yield *own[:3], snapshot, us, own[3]
+                yield *own[:3], snapshot, us, own[3], own[5]
 
     reset = F.col("reset_us") if "reset_us" in rows.columns else F.lit(None).cast("bigint")
-    order = [*KEY, "used_bp", "_reset"]
-    keyed = rows.select(*KEY, "used_bp", reset.alias("_reset"), "snapshot_id", "us")
+    plan = F.col("plan") if "plan" in rows.columns else F.lit(None).cast("string")
+    order = [*KEY, "used_bp", "_reset", "_plan"]
+    keyed = rows.select(*KEY, "used_bp", reset.alias("_reset"), plan.alias("_plan"), "snapshot_id", "us")
     ordered = keyed.repartition(*order).sortWithinPartitions(*order, "us", "snapshot_id")
-    return fold_sorted(ordered, walk, "provider string, account_id long, quota_name string, snapshot_id long, us long, used_bp long")
+    return fold_sorted(ordered, walk, "provider string, account_id long, quota_name string, snapshot_id long, us long, used_bp long, plan string")
 
 
 def prefer_polled(meters: DataFrame, within_us: int = 10 * MINUTE_US) -> DataFrame:

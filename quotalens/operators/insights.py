@@ -120,10 +120,12 @@ def report_totals(united: DataFrame) -> DataFrame:
 
 
 def burn_insights(rates: DataFrame) -> DataFrame:
-    """Ladder of burn rates: none known, idle, runs out before the reset, over 80 % at the reset, or safe."""
+    """Ladder of burn rates: none known, idle, runs out before the reset, over 80 % at the reset (of cursor also just
+    80 %), or safe."""
+    high = F.when(F.col("provider") == "cursor", F.col("projected_bp") >= 8000).otherwise(F.col("projected_bp") > 8000)
     level = (
         F.when(F.col("rate").isNull(), "analysing").when(F.col("rate") < 1, "idle").when(F.coalesce("exhausts_first", F.lit(False)), "negative")
-        .when(F.col("projected_bp") > 8000, "warning").otherwise("positive")
+        .when(high, "warning").otherwise("positive")
     )
     return rates.select(*KEY, level.alias("insight"))
 

@@ -37,6 +37,23 @@ _DETECTED = cycles_sql(cycles.RULES["openrouter"])
 _DC = f"dc AS ({_DETECTED})"
 
 
+def _codex_cycles(s, d):
+    return cycles.detect_cycles(_q(s, d), cycles.RULES["codex"])
+
+
+_CDC = f"cdc AS ({cycles_sql(cycles.RULES['codex'])})"
+#: The test tables have no code reviews: what is monthly there.
+_CNAME = "CASE quota_name WHEN 'monthly' THEN 'code_review' ELSE quota_name END"
+
+
+def _codex_names(df):
+    return df.withColumn("quota_name", F.expr(_CNAME))
+
+
+def _plans(s, d):
+    return _q(s, d).groupBy("provider", "account_id").agg(F.when(F.max(F.col("snapshot_id") % 5 == 0), " Free").otherwise("team").alias("plan"))
+
+
 def _windows(s, d):
     return _q(s, d).where("quota_name = 'five_hour'").select("provider", "account_id", "quota_name", "snapshot_id", "us", "reset_us", (F.col("reset_us") - 5 * HOUR).alias("window_start_us"), F.expr("used_bp DIV 10").alias("used"), F.lit(1000).cast("bigint").alias("total"))
 
@@ -55,8 +72,7 @@ def _zai(s, d):
 
 
 _ZAI = f"""zs AS (SELECT provider, account_name AS account_id, event_id AS snapshot_id, us, us % {DAY} // 1000 AS tokens_used, CAST(100000000 AS BIGINT) AS tokens_budget, CASE WHEN event_id % 4 <> 0 THEN us - us % {DAY} + {2 * DAY} END AS reset_us,
-    event_id % 7 AS search, event_id % 3 AS read, event_id % 5 <> 0 AS has_details FROM ue WHERE us <= {NOW_US} AND us > {NOW_US - 7 * DAY}),
-    zr AS (SELECT *, greatest(tokens_used - lag(tokens_used) OVER (PARTITION BY provider, account_id {ORD}), 0) AS rise FROM zs)"""
+    event_id % 7 AS search, event_id % 3 AS read, event_id % 5 <> 0 AS has_details FROM ue WHERE us <= {NOW_US} AND us > {NOW_US - 7 * DAY})"""
 
 
 def _span(cond: str, n: str) -> str:
@@ -129,12 +145,14 @@ QUERIES = {
     ),
     "zai_insights": (
         lambda s, d: cur.zai_insights(_zai(s, d), NOW_US),
-        f"""WITH {USAGE}, {_ZAI}, a AS (SELECT provider, account_id, {_span(f'us > {NOW_US - DAY}', 'd')}, {_span(f'us > {NOW_US - DAY} AND us <= {NOW_US - DAY // 2}', 'o')}, {_span(f'us > {NOW_US - DAY // 2}', 'n')}, CAST(coalesce(sum(rise), 0) AS BIGINT) AS week_tokens,
-            arg_max(tokens_used, (us, snapshot_id)) AS used, max(tokens_budget) AS budget, (list(reset_us ORDER BY us DESC, snapshot_id DESC))[1] AS reset_us, arg_max(search, (us, snapshot_id)) AS search, arg_max(read, (us, snapshot_id)) AS read, arg_max(has_details, (us, snapshot_id)) AS hd FROM zr GROUP BY 1, 2),
-        b AS (SELECT *, round({_RATE('d')}, 6) AS rate, {_RATE('o')} AS old, {_RATE('n')} AS new, (reset_us - {NOW_US}) / CAST({HOUR} AS DOUBLE) AS h, CASE WHEN hd THEN CAST(search + read AS DOUBLE) END AS calls FROM a),
+        f"""WITH {USAGE}, {_ZAI}, zn AS (SELECT *, row_number() OVER (PARTITION BY provider, account_id, us > {NOW_US - DAY} ORDER BY us, snapshot_id) AS nth, count(*) OVER (PARTITION BY provider, account_id, us > {NOW_US - DAY}) AS n_all FROM zs),
+        a AS (SELECT provider, account_id, {_span(f'us > {NOW_US - DAY}', 'd')}, {_span(f'us > {NOW_US - DAY} AND n_all >= 4 AND nth <= n_all // 2', 'o')}, {_span(f'us > {NOW_US - DAY} AND n_all >= 4 AND nth > n_all // 2', 'n')}, {_span('true', 'w')},
+            arg_max(tokens_used, (us, snapshot_id)) AS used, max(tokens_budget) AS budget, (list(reset_us ORDER BY us DESC, snapshot_id DESC))[1] AS reset_us, arg_max(search, (us, snapshot_id)) AS search, arg_max(read, (us, snapshot_id)) AS read, arg_max(has_details, (us, snapshot_id)) AS hd FROM zn GROUP BY 1, 2),
+        b AS (SELECT *, round({_RATE('d')}, 6) AS rate, {_RATE('o')} AS old, CASE WHEN n_t1 > n_t0 THEN (n_v1 - n_v0) * CAST({HOUR} AS DOUBLE) / (n_t1 - n_t0) END AS new, CASE WHEN w_t1 > w_t0 AND w_v1 > w_v0 THEN w_v1 - w_v0 END AS week_tokens, round({_RATE('w')} * 24, 4) AS day_tokens,
+            (reset_us - {NOW_US}) / CAST({HOUR} AS DOUBLE) AS h, CASE WHEN hd THEN CAST(search + read AS DOUBLE) END AS calls FROM a),
         c AS (SELECT *, round(CASE WHEN h > 0 THEN (used + rate * h) * 10000 / budget END, 4) AS projected_bp, (new - old) * 100 / old AS change FROM b)
         SELECT provider, account_id, rate, projected_bp, CASE WHEN projected_bp >= 9500 THEN 'negative' WHEN projected_bp >= 8000 THEN 'warning' WHEN projected_bp >= 5000 THEN 'info' WHEN projected_bp IS NOT NULL THEN 'positive' END AS severity,
-        CASE WHEN change > 25 THEN 'rising' WHEN change < -25 THEN 'falling' WHEN change IS NOT NULL THEN 'steady' END AS trend, week_tokens, budget * 30 AS month_capacity, calls AS tool_calls, round(CASE WHEN calls > 0 THEN used / calls END, 4) AS tokens_a_call,
+        CASE WHEN change > 25 THEN 'rising' WHEN change < -25 THEN 'falling' WHEN change IS NOT NULL THEN 'steady' END AS trend, week_tokens, day_tokens, budget * 30 AS month_capacity, calls AS tool_calls, round(CASE WHEN calls > 0 THEN used / calls END, 4) AS tokens_a_call,
         CASE WHEN NOT hd THEN NULL WHEN search > read THEN 'search' ELSE 'read' END AS top_tool FROM c""",
     ),
     "copilot_insights": (
@@ -145,10 +163,22 @@ QUERIES = {
         CASE WHEN c.reset_us > {NOW_US} THEN c.reset_us - {NOW_US} END AS reset_in_us, coalesce(snapshots, 0) AS snapshots FROM c LEFT JOIN br ON {_EQ('c', 'br')} LEFT JOIN n ON {_AEQ('c', 'n')}""",
     ),
     "codex_insights": (
-        lambda s, d: cur.codex_insights(_open_cycles(s, d), _rates(s, d).withColumn("last_bp", F.lit(4000).cast("bigint")), NOW_US),
-        f"""WITH {SAMPLES}, {_DC}, {_RATES}, o AS (SELECT *, CASE quota_name WHEN 'five_hour' THEN 0 WHEN 'seven_day' THEN 1 END AS rk FROM dc), m AS (SELECT * FROM o WHERE rk IS NOT NULL QUALIFY rk = min(rk) OVER (PARTITION BY provider, account_id)),
-        a AS (SELECT {K}, count(*) FILTER (end_us > {NOW_US - 30 * DAY}) AS cycles, round(avg(delta_bp) FILTER (end_us > {NOW_US - 30 * DAY}), 4) AS av, max(peak_bp) FILTER (end_us > {NOW_US - 30 * DAY}) AS pk, max(delta_bp) FILTER (end_us IS NULL) AS od, max(peak_bp) FILTER (end_us IS NULL) AS op FROM m GROUP BY ALL)
-        SELECT a.provider, a.account_id, a.quota_name, cycles, CASE WHEN cycles > 0 THEN av ELSE od END AS avg_delta_bp, CASE WHEN cycles > 0 THEN pk ELSE op END AS peak_bp, CASE WHEN rate > 1 THEN greatest(projected_bp, CAST(4000 AS DOUBLE)) END AS forecast_bp FROM a LEFT JOIN br ON {_EQ('a', 'br')}""",
+        lambda s, d: cur.codex_insights(_codex_names(_latest(s, d)), _codex_names(_codex_cycles(s, d)), _codex_names(_rates(s, d)), _plans(s, d), NOW_US, 5, "5-day"),
+        f"""WITH {SAMPLES}, {LATEST}, {_CDC}, {_RATES}, pl AS (SELECT provider, account_id, bool_or(snapshot_id % 5 = 0) AS free FROM qs GROUP BY 1, 2),
+        cy AS (SELECT * REPLACE ({_CNAME} AS quota_name) FROM cdc), lc AS (SELECT la.* REPLACE ({_CNAME} AS quota_name) FROM la), rc AS (SELECT * REPLACE ({_CNAME} AS quota_name) FROM br),
+        own AS (SELECT cy.*, free, CASE WHEN free THEN CASE quota_name WHEN 'seven_day' THEN 0 WHEN 'five_hour' THEN 1 END WHEN quota_name = 'five_hour' THEN 0 END + CASE WHEN end_us IS NULL THEN 2 ELSE 0 END AS place FROM cy JOIN pl ON {_AEQ('cy', 'pl')} WHERE end_us IS NULL OR start_us >= {NOW_US - 5 * DAY}),
+        best AS (SELECT * FROM own WHERE place IS NOT NULL QUALIFY place = min(place) OVER (PARTITION BY provider, account_id)),
+        hi AS (SELECT provider, account_id, count(*) FILTER (end_us IS NOT NULL) AS cycles, round(avg(delta_bp), 4) AS avg_delta_bp, max(peak_bp) AS peak_bp FROM best GROUP BY 1, 2),
+        nw AS (SELECT lc.provider, lc.account_id, free, CASE WHEN free AND quota_name = 'five_hour' THEN 'seven_day' ELSE quota_name END AS name, used_bp, us, snapshot_id, reset_us FROM lc JOIN pl ON {_AEQ('lc', 'pl')}),
+        nn AS (SELECT * FROM nw QUALIFY row_number() OVER (PARTITION BY provider, account_id, name ORDER BY used_bp DESC, us DESC, snapshot_id DESC) = 1),
+        rn AS (SELECT rc.provider, rc.account_id, CASE WHEN free AND quota_name = 'five_hour' THEN 'seven_day' ELSE quota_name END AS name, quota_name, rate, projected_bp FROM rc JOIN pl ON {_AEQ('rc', 'pl')}),
+        r1 AS (SELECT * FROM rn QUALIFY row_number() OVER (PARTITION BY provider, account_id, name ORDER BY name <> quota_name) = 1),
+        j AS (SELECT nn.*, rate, CASE WHEN rate > 1 THEN greatest(used_bp, projected_bp) END AS fc, CASE WHEN coalesce(rate, 0) <= 1 THEN 'info' WHEN nn.name = 'code_review' THEN CASE WHEN used_bp >= 9500 THEN 'critical' WHEN used_bp >= 8000 THEN 'danger' WHEN used_bp >= 5000 THEN 'warning' ELSE 'healthy' END ELSE {STATUS.format('used_bp')} END AS st FROM nn LEFT JOIN r1 ON {_AEQ('nn', 'r1')} AND nn.name = r1.name),
+        o AS (SELECT provider, account_id, free, {', '.join(f"max(CAST(fc AS DOUBLE)) FILTER (name = '{q}') AS {q}_forecast_bp, max(st) FILTER (name = '{q}') AS {q}_status" for q in cur.FORECASTS)}, max(used_bp) FILTER (name = 'seven_day') AS used, max(reset_us) FILTER (name = 'seven_day') AS reset_us FROM j GROUP BY 1, 2, 3),
+        dd AS (SELECT o.*, sum(CASE WHEN dow BETWEEN 1 AND 5 THEN greatest(0, least({NOW_US} - b, {DAY})) ELSE 0 END) AS done, sum(CASE WHEN dow BETWEEN 1 AND 5 THEN {DAY} ELSE 0 END) AS whole FROM o LEFT JOIN (SELECT provider AS p2, account_id AS a2, reset_us - {7 * DAY} + k * {DAY} AS b, dayofweek(make_timestamp(reset_us - {7 * DAY} + k * {DAY})) AS dow FROM o, range(7) AS t(k)) ON p2 = provider AND a2 IS NOT DISTINCT FROM account_id GROUP BY ALL),
+        pc AS (SELECT *, CASE WHEN reset_us > {NOW_US} AND reset_us - {NOW_US} <= {7 * DAY} THEN round(used - done * CAST(10000 AS DOUBLE) / whole, 4) END AS pace_bp FROM dd)
+        SELECT pc.provider, pc.account_id, CASE WHEN free THEN 'seven_day' ELSE 'five_hour' END AS primary_quota, coalesce(cycles, 0) AS cycles, avg_delta_bp, peak_bp, {', '.join(f'{q}_forecast_bp, {q}_status' for q in cur.FORECASTS)}, pace_bp, CASE WHEN pace_bp BETWEEN -200 AND 200 THEN 'on_pace' WHEN pace_bp > 200 THEN 'over' WHEN pace_bp < -200 THEN 'reserve' END AS pace
+        FROM pc LEFT JOIN hi ON {_AEQ('pc', 'hi')}""",
     ),
     "gemini_insights": (
         lambda s, d: cur.gemini_insights(_latest(s, d).withColumn("model", _gemini_model()), _open_cycles(s, d).withColumn("model", _gemini_model()), NOW_US),
@@ -174,8 +204,8 @@ QUERIES = {
         g AS (SELECT provider, account_id, "group", round(sum(dn), 4) AS completed_rate, round(sum(op), 4) AS open_rate FROM m GROUP BY 1, 2, 3),
         l AS (SELECT provider, account_id, CASE WHEN starts_with(quota_name, 'seven') THEN 'week' ELSE 'other' END AS "group", max(used_bp) AS used_bp, min(reset_us) AS reset_us FROM la GROUP BY 1, 2, 3),
         j AS (SELECT l.*, completed_rate, open_rate, CASE WHEN open_rate > 0 THEN open_rate ELSE completed_rate END AS rate FROM l LEFT JOIN g ON {_AEQ('l', 'g')} AND l."group" = g."group"),
-        h AS (SELECT *, CASE WHEN rate > 0 THEN (10000 - used_bp) / rate END AS hh FROM j), e AS (SELECT * EXCLUDE (hh), round(hh, 4) AS exhaust_hours, CASE WHEN coalesce(hh < (reset_us - {NOW_US}) / CAST({HOUR} AS DOUBLE), false) THEN 'critical' WHEN rate >= 500 THEN 'warning' ELSE 'healthy' END AS level FROM h)
-        SELECT *, min(exhaust_hours) OVER (PARTITION BY provider, account_id) AS earliest_hours FROM e""",
+        h AS (SELECT *, CASE WHEN rate > 0 THEN (10000 - used_bp) / rate END AS hh FROM j), e AS (SELECT * EXCLUDE (hh), round(hh, 4) AS exhaust_hours, CASE WHEN coalesce(hh > 0 AND hh < (reset_us - {NOW_US}) / CAST({HOUR} AS DOUBLE), false) THEN 'critical' WHEN hh <= 0 THEN 'info' WHEN rate >= 500 THEN 'warning' ELSE 'info' END AS level FROM h)
+        SELECT *, min(exhaust_hours) FILTER (level = 'critical') OVER (PARTITION BY provider, account_id) AS earliest_hours FROM e""",
     ),
     "normalized_metadata": (
         lambda s, d: rec.normalized_metadata(_metadata(s, d)).select("event_id", "session_id", "source_path", "reasoning_effort", "mode", "speed_mode", "input_tokens", "output_tokens"),

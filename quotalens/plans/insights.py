@@ -213,11 +213,12 @@ QUERIES = {
         f"WITH {SAMPLES}, {LATEST} SELECT {K}, snapshot_id, us, (snapshot_id % 10) * 60000000 <= 300000000 AND -(snapshot_id % 10) * 60000000 <= 60000000 AS may_alert FROM la",
     ),
     "meter_thinning": (
-        lambda s, d: ingest.thin_meters(_q(s, d).withColumn("used_bp", F.expr("used_bp DIV 500")), 5 * DAY),
-        f"""WITH RECURSIVE {SAMPLES}, m AS MATERIALIZED (SELECT {K}, snapshot_id, us, used_bp // 500 AS used_bp, coalesce(reset_us, -1) AS r, row_number() OVER (PARTITION BY {K}, used_bp // 500, coalesce(reset_us, -1) ORDER BY us, snapshot_id) AS rn FROM qs),
-        f AS (SELECT *, us AS kept, true AS stays FROM m WHERE rn = 1 UNION ALL SELECT m.*, CASE WHEN m.us - f.kept >= {5 * DAY} THEN m.us ELSE f.kept END, m.us - f.kept >= {5 * DAY} FROM f JOIN m
-            ON m.provider = f.provider AND m.account_id IS NOT DISTINCT FROM f.account_id AND m.quota_name = f.quota_name AND m.used_bp = f.used_bp AND m.r = f.r AND m.rn = f.rn + 1)
-        SELECT {K}, snapshot_id, us, used_bp FROM f WHERE stays""",
+        lambda s, d: ingest.thin_meters(_q(s, d).withColumns({"used_bp": F.expr("used_bp DIV 500"), "us": F.expr(f"us - us % {DAY}"), "plan": F.when(F.col("snapshot_id") % 3 == 0, "team").otherwise("plus")}), 5 * DAY),
+        f"""WITH RECURSIVE {SAMPLES}, w AS (SELECT * REPLACE (us - us % {DAY} AS us), CASE WHEN snapshot_id % 3 = 0 THEN 'team' ELSE 'plus' END AS plan FROM qs),
+        m AS MATERIALIZED (SELECT {K}, snapshot_id, us, used_bp // 500 AS used_bp, plan, coalesce(reset_us, -1) AS r, row_number() OVER (PARTITION BY {K}, used_bp // 500, plan, coalesce(reset_us, -1) ORDER BY us, snapshot_id) AS rn FROM w),
+        f AS (SELECT *, us AS kept, true AS stays FROM m WHERE rn = 1 UNION ALL SELECT m.*, CASE WHEN m.us - f.kept > {5 * DAY} THEN m.us ELSE f.kept END, m.us - f.kept > {5 * DAY} FROM f JOIN m
+            ON m.provider = f.provider AND m.account_id IS NOT DISTINCT FROM f.account_id AND m.quota_name = f.quota_name AND m.used_bp = f.used_bp AND m.plan = f.plan AND m.r = f.r AND m.rn = f.rn + 1)
+        SELECT {K}, snapshot_id, us, used_bp, plan FROM f WHERE stays""",
     ),
     "poll_meter_preference": (
         lambda s, d: ingest.prefer_polled(_meters(s, d), 12 * HOUR),
@@ -259,7 +260,7 @@ QUERIES = {
     "missed_polls": (
         lambda s, d: alerts.missed_polls(_q(s, d), NOW_US, DAY, 10_000_000),
         f"""WITH {SAMPLES}, l AS (SELECT provider, account_id, max(us) AS last_us FROM qs WHERE us <= {NOW_US} GROUP BY 1, 2)
-        SELECT *, CASE WHEN {NOW_US} > last_us + {DAY} + 10000000 THEN 1 + ({NOW_US} - last_us - {DAY} - 10000000) // {DAY} ELSE 0 END AS missed FROM l""",
+        SELECT *, CASE WHEN {NOW_US} >= last_us + {DAY} + 10000000 THEN 1 + ({NOW_US} - last_us - {DAY} - 10000000) // {DAY} ELSE 0 END AS missed FROM l""",
     ),
     "quiet_weekly": (
         lambda s, d: alerts.quiet_weekly(_noisy(s, d)),

@@ -92,8 +92,10 @@ QUERIES = {
         SELECT *, row_number() OVER (PARTITION BY kind ORDER BY cost_cents DESC, name) AS place FROM t""",
     ),
     "burn_insights": (
-        lambda s, d: ins.burn_insights(an.burn_rate(_q(s, d), NOW_US, WINDOW_US, LEAST_US)),
-        f"""WITH br AS ({_BURN}) SELECT {K}, CASE WHEN rate IS NULL THEN 'analysing' WHEN rate < 1 THEN 'idle' WHEN coalesce(exhausts_first, false) THEN 'negative' WHEN projected_bp > 8000 THEN 'warning' ELSE 'positive' END AS insight FROM br""",
+        # projected use in steps of 10 points, so that some is just at the limit
+        lambda s, d: ins.burn_insights(an.burn_rate(_q(s, d), NOW_US, WINDOW_US, LEAST_US).withColumns({"provider": F.when(F.col("provider") == "gemini", "cursor").otherwise(F.col("provider")), "projected_bp": F.round("projected_bp", -3), "exhausts_first": F.col("exhausts_first") & (F.col("n") % 2 == 0)})),
+        f"""WITH br AS ({_BURN}), x AS (SELECT * REPLACE (CASE WHEN provider = 'gemini' THEN 'cursor' ELSE provider END AS provider, round(projected_bp, -3) AS projected_bp, exhausts_first AND n % 2 = 0 AS exhausts_first) FROM br)
+        SELECT {K}, CASE WHEN rate IS NULL THEN 'analysing' WHEN rate < 1 THEN 'idle' WHEN coalesce(exhausts_first, false) THEN 'negative' WHEN projected_bp > 8000 OR (provider = 'cursor' AND projected_bp >= 8000) THEN 'warning' ELSE 'positive' END AS insight FROM x""",
     ),
     "cycle_rate": (
         lambda s, d: ins.cycle_rate(an.with_open(_cycles(s, d)), NOW_US),
