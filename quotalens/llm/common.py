@@ -13,6 +13,8 @@ from quotalens.session import ship_code
 
 #: Rows of an Arrow batch; texts average some KB, and a Python worker holds a batch in several forms at once.
 ARROW_ROWS = 2000
+#: Compressed bytes of a bucket.
+BUCKET_BYTES = 128 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,18 +47,27 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def keep_bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files that ``df`` reads, from its scan's blocks; no column is read. 0 if it reads no files."""
+    blocks = df.select(F.input_file_name().alias("file"), F.input_file_block_start().alias("at"), F.input_file_block_length().alias("bytes")).distinct()
+    return max(0, blocks.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0])
+
+
+def keep_bucketed(df: DataFrame, name: str, column: str, size: int = 0) -> DataFrame:
     """As ``keep``, dealt into buckets by ``column``: a join on it moves the other side alone, however often it is done.
 
-    There are as many buckets as the session has shuffle partitions (Spark's limit is 100 000). The table is known to the
-    session's catalog; its files lie in the shared folder.
+    There are as many buckets as the session has shuffle partitions, or as ``size`` bytes fill at BUCKET_BYTES each (Spark's limit is
+    100 000), as a bucket is read by one task. The table leaves the session's catalog at once; its files lie in the shared folder.
     """
     spark, tag = df.sparkSession, uuid.uuid4().hex
-    buckets = min(100_000, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = min(100_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES)))
     made = f"quotalens_{name.replace('-', '_')}_{tag}"
     writer = df.repartition(buckets, column).write.format("parquet").bucketBy(buckets, column).option("compression", "zstd")
     writer.option("path", f"{shared_dir(spark)}/quotalens-{name}-{tag}").saveAsTable(made)
-    return spark.table(made)
+    kept = spark.table(made)
+    kept.schema  # resolved: the files are all it needs from here on
+    spark.sql(f"DROP TABLE {made}")
+    return kept
 
 
 def with_position(df: DataFrame, name: str) -> DataFrame:

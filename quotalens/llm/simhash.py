@@ -13,13 +13,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import apart, keep, keep_bucketed, table, with_position
+from .common import apart, input_bytes, keep, keep_bucketed, table, with_position
 from .graph import components
 
 SHINGLE, RADIUS, BITS, TILE = 3, 2, 64, 1024
 #: For dropping near copies: radius between 64-bit fingerprints of distinct words, words of a shingle, and the least exact
 #: similarity of a dropped text with one that stays.
 COPY_RADIUS, COPY_SHINGLE, PAIR_SIMILARITY = 3, 5, 0.8
+#: Rows that are held against one copy of a text.
+LOT = 2000
 #: Texts sampled for common shingles, texts of these that share one, and the most that are told apart; they order shingles only.
 SAMPLE_TEXTS, COMMON_TEXTS, COMMON_MOST = 10_000, 3, 50_000
 _BIT_OF = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -294,7 +296,17 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    both = pairs.join(texts.select("_row", "text"), "_row").join(texts.select(F.col("_row").alias("_head"), F.col("text").alias("kept_text")), "_head")
+    """(_row, _by) of the pairs (_row, _head) whose texts are similar.
+
+    A head that thousands of rows are held against would send all their texts to one task: its pairs are dealt into lots of LOT, and
+    each lot meets a copy of the head's text.
+    """
+    pairs = keep(pairs, "near-pairs")
+    lots = pairs.groupBy("_head").agg(F.ceil(F.count("*") / LOT).alias("_lots"))
+    large = lots.where("_lots > 1")
+    dealt = pairs.join(large, "_head", "left").selectExpr("_row", "_head", "coalesce(pmod(xxhash64(_row), _lots), 0L) AS _lot")
+    heads = lots.selectExpr("_head", "explode(sequence(0L, _lots - 1)) AS _lot").join(texts.select(F.col("_row").alias("_head"), F.col("text").alias("kept_text")), "_head")
+    both = dealt.join(texts.select("_row", "text"), "_row").join(heads, ["_head", "_lot"])
     return both.select("_row", "_head", "text", "kept_text").mapInArrow(_compared, "_row long, _by long")
 
 
@@ -335,7 +347,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
             made = [word_fingerprint(t or b"") for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(made, pa.int64())], names=["_row", "node", "_id", "fp"])
 
-    rows = keep_bucketed(with_position(docs, "_row"), "near-rows", "_row")
+    rows = keep_bucketed(with_position(docs, "_row"), "near-rows", "_row", input_bytes(docs))
     text = F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[\x20\x09-\x0D]+", " "))
     marks = rows.select("_row", "text", F.xxhash64(text).alias("node"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("_id"))
     marks = marks.mapInArrow(marked, "_row long, node long, _id long, fp long")
