@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("usage", "quotas", "insights", "reports", "value", "current", "sources", "stores")
+FAMILIES = ("usage", "quotas", "insights", "reports", "value", "current", "sources", "stores", "periods")
 
 
 def _all() -> dict:
