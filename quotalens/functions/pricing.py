@@ -41,40 +41,38 @@ def model_name(model: Column) -> Column:
     return F.lower(F.trim(model))
 
 
-def model_keys(models: DataFrame, prices: DataFrame) -> DataFrame:
-    """(model, price_model): the key itself, else prefix/key, else the smallest key that ends in /key.
+def price_names(prices: DataFrame) -> DataFrame:
+    """(name, price_model): every name that finds a price: the key itself, else prefix/name, else the smallest key that ends in /name.
 
-    Case and outer spaces of either side do not matter. Both sides are distinct names, joined by equality on the last
-    part of the key. A null or blank model has no price.
+    Case and outer spaces of either side do not matter. The names are the tails of the keys, so the table is as small as the prices are,
+    and events meet it by one equality. A blank name finds none.
     """
-    keys = prices.select(F.col("model").alias("price_model"), model_name(F.col("model")).alias("_key")).distinct().withColumn("_tail", F.element_at(F.split("_key", "/"), -1))
-    name = F.col("_name")
-    rank = F.when(F.col("_key") == name, 0)
+    key = prices.select(F.col("model").alias("price_model"), model_name(F.col("model")).alias("_key")).distinct().withColumn("_parts", F.split("_key", "/"))
+    tails = F.transform(F.sequence(F.lit(1), F.size("_parts")), lambda k: F.array_join(F.slice("_parts", k, F.size("_parts")), "/"))
+    named = key.withColumn("name", F.explode(tails)).where("name != ''")
+    rank = F.when(F.col("_key") == F.col("name"), 0)
     for k, p in enumerate(PREFIXES):
-        rank = rank.when(F.col("_key") == F.concat(F.lit(p + "/"), name), k + 1)
-    found = models.select("model").distinct().withColumn("_name", model_name(F.col("model"))).where("_name != ''")
-    found = found.withColumn("_tail", F.element_at(F.split("_name", "/"), -1)).join(keys, "_tail")
-    found = found.withColumn("_rank", rank.otherwise(len(PREFIXES) + 1)).where((F.col("_rank") <= len(PREFIXES)) | F.col("_key").endswith(F.concat(F.lit("/"), name)))
-    return found.groupBy("model").agg(F.min_by("price_model", F.struct("_rank", "_key", "price_model")).alias("price_model"))
+        rank = rank.when(F.col("_key") == F.concat(F.lit(p + "/"), "name"), k + 1)
+    return named.groupBy("name").agg(F.min_by("price_model", F.struct(rank.otherwise(len(PREFIXES) + 1), "_key", "price_model")).alias("price_model"))
 
 
 def price_asof(events: DataFrame, prices: DataFrame) -> DataFrame:
     """The price period with the greatest start at or before the event; before the first period, the first.
 
     Periods become half-open intervals [from, until) with the first reaching back to the beginning, so that each event
-    meets one row of its model: an equality join on the model with a range filter. The price table is broadcast only
-    while it has at most MAX_PRICES rows.
+    meets one row of its model: an equality join on the model's name with a range filter. Events are read once. The names with their
+    periods are broadcast only while they have at most MAX_PRICES rows; counting reads prices alone.
     """
     w = Window.partitionBy("price_model").orderBy(F.col("from_us").asc_nulls_first())
     periods = prices.withColumnRenamed("model", "price_model").withColumn("_until", F.lead("from_us").over(w)).withColumn("_nth", F.row_number().over(w))
     periods = periods.withColumn("_since", F.when(F.col("_nth") == 1, F.lit(None)).otherwise(F.col("from_us")))
-    keyed = model_keys(events, prices).join(periods, "price_model")
-    if prices.limit(MAX_PRICES + 1).count() <= MAX_PRICES:
+    keyed = price_names(prices).join(periods, "price_model")
+    if keyed.limit(MAX_PRICES + 1).count() <= MAX_PRICES:
         keyed = F.broadcast(keyed)
     e, p = events.alias("e"), keyed.alias("p")
     at = (F.col("p._since").isNull() | (F.col("e.us") >= F.col("p._since"))) & (F.col("p._until").isNull() | (F.col("e.us") < F.col("p._until")))
     costs = [F.col(f"p.{c}") for c in ("price_model", "from_us", "input_cost", "output_cost", "cache_read_cost", "cache_write_cost", "cache_write_1h_cost")]
-    return e.join(p, (F.col("e.model") == F.col("p.model")) & at, "left").select("e.*", *costs)
+    return e.join(p, (model_name(F.col("e.model")) == F.col("p.name")) & at, "left").select("e.*", *costs)
 
 
 def _starts(model: Column, prefixes: tuple) -> Column:

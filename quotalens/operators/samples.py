@@ -78,16 +78,16 @@ def range_sampled(rows: DataFrame, points: int) -> DataFrame:
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
-    """Numbers a provider's rows (_i, from 1, of _n) by time and id: a place in the day, and the rows of all days before.
+    """Numbers a provider's rows (_i, from 1, of _n) by time and id: a place in ten minutes, and the rows of all before.
 
-    The windows over rows see one provider's day, those over providers one row a day, so that no task sorts a provider.
+    The windows over rows see ten minutes of a provider, those over providers one row for these, so that no task sorts a provider.
     """
-    rows = rows.withColumn("_day", F.expr("us DIV 86400000000"))
-    days = rows.groupBy("provider", "_day").agg(F.count("*").alias("_rows"))
+    rows = rows.withColumn("_span", F.expr("us DIV 600000000"))
+    spans = rows.groupBy("provider", "_span").agg(F.count("*").alias("_rows"))
     whole = Window.partitionBy("provider")
-    days = days.select("provider", "_day", F.coalesce(F.sum("_rows").over(whole.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_rows").over(whole).alias("_n"))
-    inside = F.row_number().over(Window.partitionBy("provider", "_day").orderBy("us", "snapshot_id"))
-    return rows.join(days, ["provider", "_day"]).withColumn("_i", F.col("_before") + inside).drop("_day", "_before")
+    spans = spans.select("provider", "_span", F.coalesce(F.sum("_rows").over(whole.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_rows").over(whole).alias("_n"))
+    inside = F.row_number().over(Window.partitionBy("provider", "_span").orderBy("us", "snapshot_id"))
+    return rows.join(spans, ["provider", "_span"]).withColumn("_i", F.col("_before") + inside).drop("_span", "_before")
 
 
 def rank_sampled(rows: DataFrame, points: int) -> DataFrame:

@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quotalens.session import cut
+
 from .folds import fold_sorted
 from .ingest import prefer_polled
 from .samples import KEY
 
 HOUR_US, DAY_US = 3_600_000_000, 86_400_000_000
+#: Time that one task of the running sums holds of a provider.
+SPAN_US = 600_000_000
 #: An interval closes when use has risen by so much; a fall of up to REJECT_BP at the same reset (within RESET_US) is rejected.
 LEAST_BP, REJECT_BP, RESET_US, FULL_BP = 500, 500, 60_000_000, 10_000
 #: Quotas whose intervals calibrate models: these names, or names that end in this.
@@ -123,13 +127,13 @@ def interval_sums(intervals: DataFrame, activity: DataFrame) -> DataFrame:
     archived hour that begins in the interval and ends after it counts as unknown requests alone; ``taint`` tells that
     an archived hour lies across the interval's start or inside it.
 
-    Sums up to a time are running sums inside a day plus a prefix sum over days, both per provider, scope and plan; an
+    Sums up to a time are running sums inside ten minutes plus a prefix sum over these, both per provider, scope and plan; an
     interval is the difference of its two ends. So the work grows with meters plus requests, and no task holds more of a
-    provider than a day. The kinds of requests are numbered: all are the same if rows times the sum of squared
+    provider than ten minutes. The kinds of requests are numbered: all are the same if rows times the sum of squared
     numbers is the square of their sum.
     """
     ident = intervals.columns  # the whole interval goes along, so that nothing is joined back to it
-    intervals = intervals.persist()  # few next to the meters, and read by four branches
+    intervals = cut(intervals)  # few next to the meters, and read by four branches
     scoped = intervals.withColumn("scope", quota_scope(F.col("quota_name"))).where("scope IS NOT NULL")
     plans = F.when(F.col("plan") == "", F.array(F.lit("*"))).otherwise(F.array(F.lit("?"), F.concat(F.lit("="), "plan")))
     edges = scoped.withColumn("plan_key", F.explode(plans))
@@ -143,13 +147,13 @@ def interval_sums(intervals: DataFrame, activity: DataFrame) -> DataFrame:
     acts = acts.withColumn("plan_key", F.explode(F.when(F.col("plan") == "", F.array(F.lit("*"), F.lit("?"))).otherwise(F.array(F.lit("*"), F.concat(F.lit("="), "plan")))))
     zero = [F.lit(0).cast(t).alias(n) for n, t in _SUMS.items()]
     points = acts.select("provider", "scope", "plan_key", "us", *_SUMS, F.lit(None).cast(ends.schema["id"].dataType).alias("id"), F.lit(0).alias("sign")).unionByName(ends.select("provider", "scope", "plan_key", "us", *zero, "id", "sign"))
-    points = points.withColumn("day", F.expr(f"us DIV {DAY_US}"))
+    points = points.withColumn("span", F.expr(f"us DIV {SPAN_US}"))
     group = ["provider", "scope", "plan_key"]
-    days = points.groupBy(*group, "day").agg(*[F.sum(n).cast(t).alias(n) for n, t in _SUMS.items()])
-    earlier = Window.partitionBy(*group).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    days = days.select(*group, "day", *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).cast(t).alias(f"before_{n}") for n, t in _SUMS.items()])
-    inside = Window.partitionBy(*group, "day").orderBy("us", F.abs("sign")).rowsBetween(Window.unboundedPreceding, 0)
-    at = points.withColumns({n: F.sum(n).over(inside).cast(t) for n, t in _SUMS.items()}).where("sign != 0").join(days, [*group, "day"])
+    spans = points.groupBy(*group, "span").agg(*[F.sum(n).cast(t).alias(n) for n, t in _SUMS.items()])
+    earlier = Window.partitionBy(*group).orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select(*group, "span", *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).cast(t).alias(f"before_{n}") for n, t in _SUMS.items()])
+    inside = Window.partitionBy(*group, "span").orderBy("us", F.abs("sign")).rowsBetween(Window.unboundedPreceding, 0)
+    at = points.withColumns({n: F.sum(n).over(inside).cast(t) for n, t in _SUMS.items()}).where("sign != 0").join(spans, [*group, "span"])
     sums = at.groupBy("id").agg(*[F.sum(F.col("sign") * (F.col(n) + F.col(f"before_{n}"))).cast(t).alias(n) for n, t in _SUMS.items()])
 
     # archived hours that begin inside and end after: they lie in the hour of the interval's end

@@ -55,10 +55,10 @@ def _plans(s, d):
 
 
 def _windows(s, d):
-    return _q(s, d).where("quota_name = 'five_hour'").select("provider", "account_id", "quota_name", "snapshot_id", "us", "reset_us", (F.col("reset_us") - 5 * HOUR).alias("window_start_us"), F.expr("used_bp DIV 10").alias("used"), F.lit(1000).cast("bigint").alias("total"))
+    return _q(s, d).select("provider", "account_id", "quota_name", "snapshot_id", "us", "reset_us", (F.col("reset_us") - 5 * HOUR).alias("window_start_us"), F.expr("used_bp DIV 10").alias("used"), F.lit(1000).cast("bigint").alias("total"))
 
 
-_WINDOWS = f"ws AS (SELECT {K}, snapshot_id, us, reset_us, reset_us - {5 * HOUR} AS window_start_us, used_bp // 10 AS used, CAST(1000 AS BIGINT) AS total FROM qs WHERE quota_name = 'five_hour')"
+_WINDOWS = f"ws AS (SELECT {K}, snapshot_id, us, reset_us, reset_us - {5 * HOUR} AS window_start_us, used_bp // 10 AS used, CAST(1000 AS BIGINT) AS total FROM qs)"
 _IN_WINDOW = f"""nw AS (SELECT {K}, arg_max(snapshot_id, (us, snapshot_id)) AS newest FROM ws GROUP BY ALL), wl AS (SELECT ws.* FROM ws JOIN nw ON {_EQ('ws', 'nw')} AND ws.snapshot_id = nw.newest),
     wi AS (SELECT ws.*, (wl.window_start_us IS NULL OR ws.us >= wl.window_start_us) AND (wl.reset_us IS NULL OR coalesce(abs(wl.reset_us - ws.reset_us) <= 1000000, false)) AS inside FROM ws JOIN wl ON {_EQ('ws', 'wl')}),
     cw AS (SELECT * FROM wi QUALIFY inside OR NOT bool_or(inside) OVER (PARTITION BY {K}))"""
@@ -122,7 +122,7 @@ QUERIES = {
     "current_window": (lambda s, d: cur.current_window(_windows(s, d)), f"WITH {SAMPLES}, {_WINDOWS}, {_IN_WINDOW} SELECT * EXCLUDE (inside) FROM cw"),
     "minimax_insights": (
         lambda s, d: cur.minimax_insights(_windows(s, d), NOW_US),
-        f"""WITH {SAMPLES}, {_WINDOWS.replace("WHERE quota_name = 'five_hour'", f"WHERE quota_name = 'five_hour' AND us <= {NOW_US}")}, {_IN_WINDOW},
+        f"""WITH {SAMPLES}, {_WINDOWS.replace("FROM qs", f"FROM qs WHERE us <= {NOW_US}")}, {_IN_WINDOW},
         a AS (SELECT {K}, min(us) AS t0, max(us) AS t1, arg_min(used, (us, snapshot_id)) AS u0, arg_max(used, (us, snapshot_id)) AS used, max(total) AS total, (list(reset_us ORDER BY us DESC, snapshot_id DESC))[1] AS reset_us FROM cw GROUP BY ALL),
         b AS (SELECT *, round(CASE WHEN t1 > t0 AND used > u0 THEN (used - u0) * CAST({HOUR} AS DOUBLE) / (t1 - t0) END, 6) AS rate, (reset_us - {NOW_US}) / CAST({HOUR} AS DOUBLE) AS h FROM a),
         c AS (SELECT *, CAST(floor(CASE WHEN h > 0 THEN used + coalesce(rate, 0) * h END + 0.5) AS BIGINT) AS reached, CASE WHEN rate > 0 THEN (total - used) / rate END AS ex FROM b)
@@ -192,8 +192,8 @@ QUERIES = {
         ).replace("{1}", "CASE WHEN contains(model, 'pro') THEN 'pro' WHEN contains(model, 'flash') THEN 'flash' ELSE model END"),
     ),
     "openrouter_insights": (
-        lambda s, d: cur.openrouter_insights(_latest(s, d).where("quota_name = 'daily'").select("provider", "account_id", (F.col("used_bp") / 100.0).alias("usage"), F.when(F.col("snapshot_id") % 3 != 0, F.col("account_id") % 2 * 100.0).alias("usage_limit"), F.when(F.col("snapshot_id") % 2 == 0, True).alias("free_tier"))),
-        f"""WITH {SAMPLES}, {LATEST}, o AS (SELECT provider, account_id, used_bp / CAST(100 AS DOUBLE) AS usage, CASE WHEN snapshot_id % 3 <> 0 THEN account_id % 2 * CAST(100 AS DOUBLE) END AS lim, snapshot_id % 2 = 0 AS free_tier FROM la WHERE quota_name = 'daily'),
+        lambda s, d: cur.openrouter_insights(_latest(s, d).select("provider", "account_id", (F.col("used_bp") / 100.0).alias("usage"), F.when(F.col("snapshot_id") % 3 != 0, F.col("account_id") % 2 * 100.0).alias("usage_limit"), F.when(F.col("snapshot_id") % 2 == 0, True).alias("free_tier"))),
+        f"""WITH {SAMPLES}, {LATEST}, o AS (SELECT provider, account_id, used_bp / CAST(100 AS DOUBLE) AS usage, CASE WHEN snapshot_id % 3 <> 0 THEN account_id % 2 * CAST(100 AS DOUBLE) END AS lim, snapshot_id % 2 = 0 AS free_tier FROM la),
         p AS (SELECT *, round(CASE WHEN lim > 0 THEN usage * 10000 / lim END, 4) AS u FROM o)
         SELECT provider, account_id, usage, CASE WHEN lim > 0 THEN greatest(lim - usage, 0) END AS remaining, u AS used_bp, CASE WHEN u >= 9000 THEN 'high' WHEN u >= 7500 THEN 'moderate' END AS level, free_tier FROM p""",
     ),

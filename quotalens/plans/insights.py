@@ -108,8 +108,8 @@ _NAMED = ("five_hour", "monthly", "seven_day")
 
 QUERIES = {
     "snapshot_asof": (
-        lambda s, d: an.asof(usage_events(s, d).where("integration_name = 'purchase'").select("event_id", "provider", F.expr("CAST(substr(account_name, 6) AS BIGINT)").alias("account_id"), "us"), _q(s, d).where("quota_name = 'five_hour'"), ["provider", "account_id"], "used_bp", "snapshot_id"),
-        f"""WITH {SAMPLES}, l AS (SELECT event_id, {'CASE user_id % 3 WHEN 0 THEN' + " 'anthropic' WHEN 1 THEN 'openai' ELSE 'gemini' END"} AS provider, user_id % 10 AS account_id, us FROM ev WHERE event_type = 'purchase')
+        lambda s, d: an.asof(usage_events(s, d).select("event_id", "provider", F.expr("CAST(substr(account_name, 6) AS BIGINT)").alias("account_id"), "us"), _q(s, d).where("quota_name = 'five_hour'"), ["provider", "account_id"], "used_bp", "snapshot_id"),
+        f"""WITH {SAMPLES}, l AS (SELECT event_id, {'CASE user_id % 3 WHEN 0 THEN' + " 'anthropic' WHEN 1 THEN 'openai' ELSE 'gemini' END"} AS provider, user_id % 10 AS account_id, us FROM ev)
         SELECT l.event_id, l.provider, l.account_id, l.us, r.us AS at_us, r.used_bp FROM l ASOF LEFT JOIN (SELECT * FROM qs WHERE quota_name = 'five_hour') r ON l.provider = r.provider AND l.account_id = r.account_id AND l.us >= r.us""",
     ),
     "usage_summary_quota": (
@@ -234,8 +234,8 @@ QUERIES = {
         f"WITH {SAMPLES}, {LATEST}, p AS (SELECT {K}, max(used_bp) AS peak_bp FROM qs GROUP BY ALL) SELECT la.provider, la.account_id, la.quota_name, reset_us, snapshot_id, peak_bp, us FROM la JOIN p ON la.provider = p.provider AND la.account_id IS NOT DISTINCT FROM p.account_id AND la.quota_name = p.quota_name",
     ),
     "ingest_health": (
-        lambda s, d: ingest.ingest_health(usage_events(s, d).select("source_path").distinct(), usage_events(s, d).where("integration_name = 'error' AND source_path <> 'p3'")),
-        f"WITH {USAGE}, c AS (SELECT DISTINCT source_path FROM ue), e AS (SELECT source_path, count(*) AS events, max(us) AS newest_us FROM ue WHERE integration_name = 'error' AND source_path <> 'p3' GROUP BY 1) SELECT source_path, coalesce(events, 0) AS events, newest_us FROM c LEFT JOIN e USING (source_path)",
+        lambda s, d: ingest.ingest_health(usage_events(s, d).select("source_path").distinct(), usage_events(s, d).where("source_path <> 'p3'")),
+        f"WITH {USAGE}, c AS (SELECT DISTINCT source_path FROM ue), e AS (SELECT source_path, count(*) AS events, max(us) AS newest_us FROM ue WHERE source_path <> 'p3' GROUP BY 1) SELECT source_path, coalesce(events, 0) AS events, newest_us FROM c LEFT JOIN e USING (source_path)",
     ),
     "usage_event_lines": (
         lambda s, d: ingest.parse_lines(_lines(s, d)).select("event_id", "model", "input_tokens", F.when(F.col("error").isNull(), F.col("us")).alias("us"), "error"),

@@ -78,7 +78,7 @@ def _cursor(s, d):
 
 def _payloads(decoder, payload):
     def query(s, d):
-        q = quota_samples(s, d).where("quota_name = 'five_hour'")
+        q = quota_samples(s, d)
         return decoder(q.select("snapshot_id", "us", payload().alias("payload"))).select("snapshot_id", "quota_name", F.round("used_percent", 6).alias("used_percent"), F.round("value", 6).alias("value"), F.round("limit_value", 6).alias("limit_value"), "resets_us", "plan")
 
     return query
@@ -119,7 +119,25 @@ def _copilot_payload():
     return _text('{"copilot_plan":"business","quota_reset_date_utc":"', _iso(), '","quota_snapshots":{"chat":{"unlimited":', F.when(i % 2 == 0, "true").otherwise("false"), ',"entitlement":300,"remaining":', _str(i % 300), ',"percent_remaining":', _str(i % 100), "}}}")
 
 
-_FIVE = f"{SAMPLES}, q AS (SELECT *, snapshot_id AS i FROM qs WHERE quota_name = 'five_hour')"
+def _anthropic_payload():
+    """Known and unknown quotas, some disabled; a model's weekly limit that a quota of its own tells, and one that none does."""
+    i = F.col("snapshot_id")
+    quota = lambda used, more: _text('{"utilization":', used, ',"resets_at":"', _iso(), '"', more, "}")
+    limit = lambda name, used: _text('{"kind":"weekly_scoped","percent":', used, ',"resets_at":"', _iso(), '","scope":{"model":{"display_name":"', name, '"}}}')
+    return F.when(i % 50 == 0, "oops").otherwise(_text(
+        '{"five_hour":', quota(_str(i % 100), F.when(i % 3 == 0, ',"is_enabled":false').otherwise("")), ',"unknown":', quota(F.lit("1"), F.lit("")), F.when(i % 2 == 0, ',"seven_day_sonnet":').otherwise(',"none":'), quota(F.lit("7.5"), F.lit("")),
+        ',"limits":[', limit(F.lit("Sonnet"), _str(i % 90)), ",", limit(F.lit("New Model"), F.when(i % 4 == 0, "null").otherwise(_str(i % 80))), "]}",
+    ))
+
+
+def _antigravity_payload():
+    i = F.col("snapshot_id")
+    model = lambda own, quota: _text('{"label":"L', _str(i % 3), '"', own, quota, "}")
+    quota = _text(',"quotaInfo":{', F.when(i % 4 != 0, _text('"remainingFraction":', F.when(i % 4 == 1, "0.25").otherwise("0.5"), ",")).otherwise(""), '"resetTime":"', _iso(), '"}')
+    return _text('{"userStatus":{"cascadeModelConfigData":{"clientModelConfigs":[', model(F.when(i % 2 == 0, _text(',"modelOrAlias":{"model":"m', _str(i % 5), '"}')).otherwise(""), quota), ',{"label":"free"}]}}}')
+
+
+_ALL = f"{SAMPLES}, q AS (SELECT *, snapshot_id AS i FROM qs)"
 
 
 def _batches(s, d):
@@ -159,22 +177,32 @@ QUERIES = {
     ),
     "payload_codex": (
         _payloads(payloads.codex, _codex_payload),
-        f"""WITH {_FIVE} SELECT i AS snapshot_id, CASE WHEN i % 3 = 0 AND i % 2 = 0 THEN 'seven_day' ELSE 'five_hour' END AS quota_name, round(used_bp / CAST(100 AS DOUBLE), 6) AS used_percent, CAST(NULL AS DOUBLE) AS value, CAST(NULL AS DOUBLE) AS limit_value, CASE WHEN i % 4 > 0 THEN i % 4 * 1000000 END AS resets_us, CASE WHEN i % 2 = 0 THEN 'Free' ELSE 'pro' END AS plan FROM q WHERE i % 50 <> 0
+        f"""WITH {_ALL} SELECT i AS snapshot_id, CASE WHEN i % 3 = 0 AND i % 2 = 0 THEN 'seven_day' ELSE 'five_hour' END AS quota_name, round(used_bp / CAST(100 AS DOUBLE), 6) AS used_percent, CAST(NULL AS DOUBLE) AS value, CAST(NULL AS DOUBLE) AS limit_value, CASE WHEN i % 4 > 0 THEN i % 4 * 1000000 END AS resets_us, CASE WHEN i % 2 = 0 THEN 'Free' ELSE 'pro' END AS plan FROM q WHERE i % 50 <> 0
         UNION ALL SELECT i, 'seven_day', CAST(i % 100 AS DOUBLE), NULL, NULL, {_SEC} + 60000000, CASE WHEN i % 2 = 0 THEN 'Free' ELSE 'pro' END FROM q WHERE i % 50 <> 0 AND i % 3 <> 0""",
     ),
-    "payload_zai": (_payloads(payloads.zai, _zai_payload), f"WITH {_FIVE} SELECT i AS snapshot_id, 'tokens' AS quota_name, round(CASE WHEN i % 3 > 0 THEN used_bp // 100 * CAST(100 AS DOUBLE) / (i % 3 * 100) ELSE 7 END, 6) AS used_percent, CAST(used_bp // 100 AS DOUBLE) AS value, CAST(i % 3 * 100 AS DOUBLE) AS limit_value, us // 1000 * 1000 AS resets_us, CAST(NULL AS VARCHAR) AS plan FROM q"),
-    "payload_gemini": (_payloads(payloads.gemini, _gemini_payload), f"WITH {_FIVE} SELECT i AS snapshot_id, 'gemini-pro' AS quota_name, round(used_bp // 100 * CAST(1 AS DOUBLE), 6) AS used_percent, round(1 - used_bp // 100 * CAST(0.01 AS DOUBLE), 6) AS value, CAST(NULL AS DOUBLE) AS limit_value, {_SEC} AS resets_us, CAST(NULL AS VARCHAR) AS plan FROM q"),
+    "payload_zai": (_payloads(payloads.zai, _zai_payload), f"WITH {_ALL} SELECT i AS snapshot_id, 'tokens' AS quota_name, round(CASE WHEN i % 3 > 0 THEN used_bp // 100 * CAST(100 AS DOUBLE) / (i % 3 * 100) ELSE 7 END, 6) AS used_percent, CAST(used_bp // 100 AS DOUBLE) AS value, CAST(i % 3 * 100 AS DOUBLE) AS limit_value, us // 1000 * 1000 AS resets_us, CAST(NULL AS VARCHAR) AS plan FROM q"),
+    "payload_gemini": (_payloads(payloads.gemini, _gemini_payload), f"WITH {_ALL} SELECT i AS snapshot_id, 'gemini-pro' AS quota_name, round(used_bp // 100 * CAST(1 AS DOUBLE), 6) AS used_percent, round(1 - used_bp // 100 * CAST(0.01 AS DOUBLE), 6) AS value, CAST(NULL AS DOUBLE) AS limit_value, {_SEC} AS resets_us, CAST(NULL AS VARCHAR) AS plan FROM q"),
     "payload_minimax": (
         _payloads(payloads.minimax, _minimax_payload),
-        f"WITH {_FIVE}, m AS (SELECT *, i % 5 * 100 AS total, greatest(i % 5 * 100 - i % 300, 0) AS u FROM q) SELECT i AS snapshot_id, 'm' || i % 2 AS quota_name, round(CASE WHEN total > 0 THEN u * CAST(100 AS DOUBLE) / total ELSE 0 END, 6) AS used_percent, CAST(u AS DOUBLE) AS value, CAST(total AS DOUBLE) AS limit_value, CASE WHEN i % 3 > 0 THEN us + i % 3 * 1000000 END AS resets_us, CAST(NULL AS VARCHAR) AS plan FROM m",
+        f"WITH {_ALL}, m AS (SELECT *, i % 5 * 100 AS total, greatest(i % 5 * 100 - i % 300, 0) AS u FROM q) SELECT i AS snapshot_id, 'm' || i % 2 AS quota_name, round(CASE WHEN total > 0 THEN u * CAST(100 AS DOUBLE) / total ELSE 0 END, 6) AS used_percent, CAST(u AS DOUBLE) AS value, CAST(total AS DOUBLE) AS limit_value, CASE WHEN i % 3 > 0 THEN us + i % 3 * 1000000 END AS resets_us, CAST(NULL AS VARCHAR) AS plan FROM m",
     ),
     "payload_cursor": (
         _payloads(payloads.cursor, _cursor_payload),
-        f"""WITH {_FIVE} SELECT i AS snapshot_id, 'total_usage' AS quota_name, CAST(i % 100 AS DOUBLE) AS used_percent, CAST(i % 70 AS DOUBLE) AS value, CAST(70 AS DOUBLE) AS limit_value, us // 1000 * 1000 AS resets_us, CAST(NULL AS VARCHAR) AS plan FROM q WHERE i % 9 <> 0
+        f"""WITH {_ALL} SELECT i AS snapshot_id, 'total_usage' AS quota_name, CAST(i % 100 AS DOUBLE) AS used_percent, CAST(i % 70 AS DOUBLE) AS value, CAST(70 AS DOUBLE) AS limit_value, us // 1000 * 1000 AS resets_us, CAST(NULL AS VARCHAR) AS plan FROM q WHERE i % 9 <> 0
         UNION ALL SELECT i, 'api_usage', 5, NULL, NULL, us // 1000 * 1000, NULL FROM q WHERE i % 9 <> 0 AND i % 2 = 0""",
     ),
-    "payload_openrouter": (_payloads(payloads.openrouter, _openrouter_payload), f"WITH {_FIVE} SELECT i AS snapshot_id, 'credits' AS quota_name, round(CASE WHEN i % 3 > 0 THEN i % 50 * CAST(100 AS DOUBLE) / (i % 3 * 40) END, 6) AS used_percent, CAST(i % 50 AS DOUBLE) AS value, CASE WHEN i % 3 > 0 THEN CAST(i % 3 * 40 AS DOUBLE) END AS limit_value, CAST(NULL AS BIGINT) AS resets_us, CAST(NULL AS VARCHAR) AS plan FROM q"),
-    "payload_copilot": (_payloads(payloads.copilot, _copilot_payload), f"WITH {_FIVE} SELECT i AS snapshot_id, 'chat' AS quota_name, CAST(CASE WHEN i % 2 = 0 THEN 0 ELSE 100 - i % 100 END AS DOUBLE) AS used_percent, CAST(300 - i % 300 AS DOUBLE) AS value, CAST(300 AS DOUBLE) AS limit_value, {_SEC} AS resets_us, 'business' AS plan FROM q"),
+    "payload_openrouter": (_payloads(payloads.openrouter, _openrouter_payload), f"WITH {_ALL} SELECT i AS snapshot_id, 'credits' AS quota_name, round(CASE WHEN i % 3 > 0 THEN i % 50 * CAST(100 AS DOUBLE) / (i % 3 * 40) END, 6) AS used_percent, CAST(i % 50 AS DOUBLE) AS value, CASE WHEN i % 3 > 0 THEN CAST(i % 3 * 40 AS DOUBLE) END AS limit_value, CAST(NULL AS BIGINT) AS resets_us, CAST(NULL AS VARCHAR) AS plan FROM q"),
+    "payload_copilot": (_payloads(payloads.copilot, _copilot_payload), f"WITH {_ALL} SELECT i AS snapshot_id, 'chat' AS quota_name, CAST(CASE WHEN i % 2 = 0 THEN 0 ELSE 100 - i % 100 END AS DOUBLE) AS used_percent, CAST(300 - i % 300 AS DOUBLE) AS value, CAST(300 AS DOUBLE) AS limit_value, {_SEC} AS resets_us, 'business' AS plan FROM q"),
+    "payload_anthropic": (
+        _payloads(payloads.anthropic, _anthropic_payload),
+        f"""WITH {_ALL}, o AS (SELECT * FROM q WHERE i % 50 <> 0), e AS (SELECT i, us, 'five_hour' AS n, CAST(i % 100 AS DOUBLE) AS u FROM o WHERE i % 3 <> 0 UNION ALL SELECT i, us, 'seven_day_sonnet', 7.5 FROM o WHERE i % 2 = 0
+            UNION ALL SELECT i, us, 'seven_day_scoped_sonnet', i % 90 FROM o WHERE i % 2 = 1 UNION ALL SELECT i, us, 'seven_day_scoped_new_model', i % 80 FROM o WHERE i % 4 <> 0)
+        SELECT i AS snapshot_id, n AS quota_name, u AS used_percent, CAST(NULL AS DOUBLE) AS value, CAST(NULL AS DOUBLE) AS limit_value, {_SEC} AS resets_us, CAST(NULL AS VARCHAR) AS plan FROM e""",
+    ),
+    "payload_antigravity": (
+        _payloads(payloads.antigravity, _antigravity_payload),
+        f"""WITH {_ALL} SELECT i AS snapshot_id, CASE WHEN i % 2 = 0 THEN 'm' || i % 5 ELSE 'L' || i % 3 END AS quota_name, CAST(CASE i % 4 WHEN 0 THEN 100 WHEN 1 THEN 75 ELSE 50 END AS DOUBLE) AS used_percent, CAST(NULL AS DOUBLE) AS value, CAST(NULL AS DOUBLE) AS limit_value, {_SEC} AS resets_us, CAST(NULL AS VARCHAR) AS plan FROM q""",
+    ),
     "ingest_batches": (
         _batches,
         f"WITH {SAMPLES} SELECT snapshot_id, CASE snapshot_id % 8 WHEN 1 THEN 'clock_skew' WHEN 2 THEN 'too_old' WHEN 3 THEN 'bad_json' WHEN 4 THEN 'schema_version' WHEN 5 THEN 'device' WHEN 6 THEN 'event_id' WHEN 7 THEN 'forbidden_key' END AS error FROM qs",

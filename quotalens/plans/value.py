@@ -64,10 +64,16 @@ _VALUE = f"""WITH RECURSIVE {_SUMS}, c AS (SELECT {_HEAD}, max(to_us) AS end_us,
     e AS (SELECT *, CASE WHEN clean AND used_bp >= 500 THEN cost_cents * CAST(10000 AS DOUBLE) END AS w FROM d),
     g AS (SELECT * EXCLUDE (clean, w), round(w / used_bp, 4) AS per100_cents, round(w / least(10000, used_bp + 100), 4) AS low_cents, round(w / greatest(100, used_bp - 100), 4) AS high_cents, clean AND start_bp <= 100 AND end_bp >= 9900 AS complete FROM e)
     SELECT *, CASE WHEN plan IN ('', 'pro') THEN round(per100_cents / 5, 4) END AS x1_cents FROM g"""
-#: Requests that calibration is shown on: of one kind, priced, not archived.
-_PURE = "model = 'claude-sonnet' AND speed_mode = 'fast' AND unknown = 0 AND NOT archived"
-_PURE_SUMS = _SUMS.replace("act AS (", "act0 AS (").replace(", la AS (", f", act AS (SELECT * FROM act0 WHERE {_PURE}), la AS (")
-_CALIBRATION = f"""WITH RECURSIVE {_PURE_SUMS}, o AS (SELECT split_part(kind, '|', 1) AS model, split_part(kind, '|', 2) AS reasoning_effort, split_part(kind, '|', 3) AS speed_mode, to_bp - from_bp AS bp, cents, output FROM st
+#: Requests whose speed and price change with the day, so that intervals hold one kind, several, unknown prices, or archived hours.
+_DAYS = {"model": "'claude-sonnet'", "reasoning_effort": "'high'", "speed_mode": "CASE WHEN {day} % 3 = 0 THEN 'fast' ELSE 'standard' END", "unknown": "CASE WHEN {day} % 5 = 4 THEN requests ELSE 0 END"}
+
+
+def _by_day(s, d):
+    return _activity(s, d).withColumns({c: F.expr(x.format(day="us DIV 86400000000")) for c, x in _DAYS.items()})
+
+
+_DAY_SUMS = _SUMS.replace("act AS (", "act0 AS (").replace(", la AS (", ", act AS (SELECT * REPLACE (" + ", ".join(f"{x.format(day='us // 86400000000')} AS {c}" for c, x in _DAYS.items()) + ") FROM act0), la AS (")
+_CALIBRATION = f"""WITH RECURSIVE {_DAY_SUMS}, o AS (SELECT split_part(kind, '|', 1) AS model, split_part(kind, '|', 2) AS reasoning_effort, split_part(kind, '|', 3) AS speed_mode, to_bp - from_bp AS bp, cents, output FROM st
         WHERE quota_name IN ('seven_day', 'weekly') AND to_bp - from_bp >= 500 AND kinds = 1 AND unknown = 0 AND requests > 0 AND NOT taint),
     t AS (SELECT model, reasoning_effort, speed_mode, CAST(sum(bp) AS BIGINT) AS quota_bp, CAST(sum(cents) AS BIGINT) AS matched_cents, CAST(sum(output) AS BIGINT) AS matched_output FROM o GROUP BY ALL)
     SELECT *, round(matched_cents * CAST(10000 AS DOUBLE) / quota_bp, 4) AS per100_cents, round(matched_output * CAST(100 AS DOUBLE) / quota_bp, 4) AS output_per_point FROM t"""
@@ -81,5 +87,5 @@ QUERIES = {
         ON iv.provider = cy.provider AND iv.account_id IS NOT DISTINCT FROM cy.account_id AND iv.quota_name = cy.quota_name AND iv.cycle = cy.cycle""",
     ),
     "subscription_value": (lambda s, d: val.subscription_value(_meters(s, d), _activity(s, d), 5.0, "pro"), _VALUE),
-    "model_calibration": (lambda s, d: val.model_calibration(_meters(s, d), _activity(s, d).where(_PURE)), _CALIBRATION),
+    "model_calibration": (lambda s, d: val.model_calibration(_meters(s, d), _by_day(s, d)), _CALIBRATION),
 }
