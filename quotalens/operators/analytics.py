@@ -162,7 +162,7 @@ def provider_cards(latest: DataFrame) -> DataFrame:
 def provider_aggregate(cards: DataFrame) -> DataFrame:
     """One row over all providers: their number, highest use, worst status, critical ones and those in danger or warned, and a label.
 
-    No providers are healthy.
+    No providers are healthy. The labels are fixed values.
     """
     rank = F.when(F.col("worst") == "critical", 3).when(F.col("worst") == "danger", 2).when(F.col("worst") == "warning", 1).otherwise(0)
     a = cards.agg(

@@ -93,7 +93,7 @@ def trim_empty(cycles: DataFrame) -> DataFrame:
 
 
 def device_class(path: Column) -> Column:
-    """What kind of machine a source path comes from."""
+    """What kind of machine a source path comes from. The names are fixed values."""
     p = F.coalesce(path, F.lit(""))
     return (
         F.when(p.contains("/Users/"), "macOS source").when(p.contains(":\\") | p.contains(":/"), "Windows source")

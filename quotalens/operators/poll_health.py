@@ -58,6 +58,21 @@ def poll_health(polls: DataFrame, now_us: int, interval_us: int, grace_us: int,
     return both.select("s.provider", "s.account_id", "polled_us", "success_us", F.coalesce("state", F.lit("healthy")).alias("state"), F.coalesce(F.col("failed") + F.col("missed"), F.lit(0)).alias("failures"), "first_us", "last_us", "severity")
 
 
+def backoff(polls: DataFrame, base_us: int = 5 * MINUTE_US, most_us: int = 6 * HOUR_US) -> DataFrame:
+    """Of every failed poll how long the poller rests after it: ``base_us``, doubled for each failure in a row before it, at most
+    ``most_us``; or what the provider asks for (``retry_after_us``, if given and above 0). ``resume_us`` is the end of the rest, ``early``
+    tells that the next poll came before it. A success starts the row anew, a skipped poll does not count."""
+    w = Window.partitionBy(*POLLER).orderBy("us", "snapshot_id")
+    failed = (F.col("outcome") == "failure").cast("bigint")
+    rows = polls.withColumn("_run", F.sum((F.col("outcome") == "success").cast("bigint")).over(w))
+    nth = F.sum(failed).over(Window.partitionBy(*POLLER, "_run").orderBy("us", "snapshot_id"))
+    asked = F.when(F.col("retry_after_us") > 0, F.col("retry_after_us")) if "retry_after_us" in polls.columns else F.lit(None).cast("bigint")
+    doubled = F.lit(base_us).cast("bigint") * F.pow(F.lit(2.0), F.least(F.col("failures") - 1, F.lit(10))).cast("bigint")
+    rows = rows.withColumns({"failures": nth, "_next": F.lead("us").over(w)}).where("outcome = 'failure'")
+    rows = rows.withColumn("rest_us", F.coalesce(asked, F.least(doubled, F.lit(most_us)))).withColumn("resume_us", F.col("us") + F.col("rest_us"))
+    return rows.select(*POLLER, "snapshot_id", "us", "failures", "rest_us", "resume_us", F.coalesce(F.col("_next") < F.col("resume_us"), F.lit(False)).alias("early"))
+
+
 class _Poller:
     """Health of one poller and of the one message that may be on its way."""
 

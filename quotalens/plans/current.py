@@ -28,20 +28,13 @@ def _rates(s, d):
     return an.burn_rate(_q(s, d), NOW_US, WINDOW_US, LEAST_US)
 
 
-def _open_cycles(s, d):
-    """Detected cycles with the model or quota they belong to."""
-    return cycles.detect_cycles(_q(s, d), cycles.RULES["openrouter"])
-
-
-_DETECTED = cycles_sql(cycles.RULES["openrouter"])
-_DC = f"dc AS ({_DETECTED})"
-
-
-def _codex_cycles(s, d):
-    return cycles.detect_cycles(_q(s, d), cycles.RULES["codex"])
+def _cycles_of(s, d, provider: str):
+    return cycles.detect_cycles(_q(s, d), cycles.RULES[provider])
 
 
 _CDC = f"cdc AS ({cycles_sql(cycles.RULES['codex'])})"
+_GDC = f"dc AS ({cycles_sql(cycles.RULES['gemini'])})"
+_ADC = f"dc AS ({cycles_sql(cycles.RULES['antigravity'])})"
 #: The test tables have no code reviews: what is monthly there.
 _CNAME = "CASE quota_name WHEN 'monthly' THEN 'code_review' ELSE quota_name END"
 
@@ -163,7 +156,7 @@ QUERIES = {
         CASE WHEN c.reset_us > {NOW_US} THEN c.reset_us - {NOW_US} END AS reset_in_us, coalesce(snapshots, 0) AS snapshots FROM c LEFT JOIN br ON {_EQ('c', 'br')} LEFT JOIN n ON {_AEQ('c', 'n')}""",
     ),
     "codex_insights": (
-        lambda s, d: cur.codex_insights(_codex_names(_latest(s, d)), _codex_names(_codex_cycles(s, d)), _codex_names(_rates(s, d)), _plans(s, d), NOW_US, 5, "5-day"),
+        lambda s, d: cur.codex_insights(_codex_names(_latest(s, d)), _codex_names(_cycles_of(s, d, "codex")), _codex_names(_rates(s, d)), _plans(s, d), NOW_US, 5, "5-day"),
         f"""WITH {SAMPLES}, {LATEST}, {_CDC}, {_RATES}, pl AS (SELECT provider, account_id, bool_or(snapshot_id % 5 = 0) AS free FROM qs GROUP BY 1, 2),
         cy AS (SELECT * REPLACE ({_CNAME} AS quota_name) FROM cdc), lc AS (SELECT la.* REPLACE ({_CNAME} AS quota_name) FROM la), rc AS (SELECT * REPLACE ({_CNAME} AS quota_name) FROM br),
         own AS (SELECT cy.*, free, CASE WHEN free THEN CASE quota_name WHEN 'seven_day' THEN 0 WHEN 'five_hour' THEN 1 END WHEN quota_name = 'five_hour' THEN 0 END + CASE WHEN end_us IS NULL THEN 2 ELSE 0 END AS place FROM cy JOIN pl ON {_AEQ('cy', 'pl')} WHERE end_us IS NULL OR start_us >= {NOW_US - 5 * DAY}),
@@ -181,8 +174,8 @@ QUERIES = {
         FROM pc LEFT JOIN hi ON {_AEQ('pc', 'hi')}""",
     ),
     "gemini_insights": (
-        lambda s, d: cur.gemini_insights(_latest(s, d).withColumn("model", _gemini_model()), _open_cycles(s, d).withColumn("model", _gemini_model()), NOW_US),
-        f"""WITH {SAMPLES}, {LATEST}, {_DC}, c AS (SELECT *, {{0}} AS model FROM dc), cf AS (SELECT *, {{1}} AS family, row_number() OVER (PARTITION BY provider, account_id, model, end_us IS NULL ORDER BY start_us DESC) AS nth FROM c),
+        lambda s, d: cur.gemini_insights(_latest(s, d).withColumn("model", _gemini_model()), _cycles_of(s, d, "gemini").withColumn("model", _gemini_model()), NOW_US),
+        f"""WITH {SAMPLES}, {LATEST}, {_GDC}, c AS (SELECT *, {{0}} AS model FROM dc), cf AS (SELECT *, {{1}} AS family, row_number() OVER (PARTITION BY provider, account_id, model, end_us IS NULL ORDER BY start_us DESC) AS nth FROM c),
         g AS (SELECT provider, account_id, family, round(max(CASE WHEN end_us IS NULL AND {NOW_US} - start_us >= {HOUR // 6} AND delta_bp > 0 THEN delta_bp * CAST({HOUR} AS DOUBLE) / ({NOW_US} - start_us) END), 6) AS rate, count(*) FILTER (end_us IS NOT NULL AND nth <= 50) AS completed,
             round(avg(peak_bp) FILTER (end_us IS NOT NULL AND nth <= 50), 4) AS avg_peak_bp, max(peak_bp) FILTER (end_us IS NOT NULL AND nth <= 50) AS max_peak_bp FROM cf GROUP BY 1, 2, 3),
         lm AS (SELECT *, {{0}} AS model FROM la), lf AS (SELECT *, {{1}} AS family FROM lm), f AS (SELECT provider, account_id, family, arg_min(used_bp, model) AS used_bp, min(reset_us) AS reset_us FROM lf GROUP BY 1, 2, 3),
@@ -198,8 +191,8 @@ QUERIES = {
         SELECT provider, account_id, usage, CASE WHEN lim > 0 THEN greatest(lim - usage, 0) END AS remaining, u AS used_bp, CASE WHEN u >= 9000 THEN 'high' WHEN u >= 7500 THEN 'moderate' END AS level, free_tier FROM p""",
     ),
     "antigravity_insights": (
-        lambda s, d: cur.antigravity_insights(_latest(s, d).withColumn("group", _group()), _open_cycles(s, d).withColumn("group", _group()).withColumn("model", F.col("quota_name")), NOW_US, NOW_US - 20 * DAY),
-        f"""WITH {SAMPLES}, {LATEST}, {_DC}, c AS (SELECT provider, account_id, CASE WHEN starts_with(quota_name, 'seven') THEN 'week' ELSE 'other' END AS "group", quota_name, start_us, end_us, CASE WHEN delta_bp > 0 AND coalesce(end_us, {NOW_US}) > start_us THEN delta_bp * CAST({HOUR} AS DOUBLE) / (coalesce(end_us, {NOW_US}) - start_us) END AS rt FROM dc),
+        lambda s, d: cur.antigravity_insights(_latest(s, d).withColumn("group", _group()), _cycles_of(s, d, "antigravity").withColumn("group", _group()).withColumn("model", F.col("quota_name")), NOW_US, NOW_US - 20 * DAY),
+        f"""WITH {SAMPLES}, {LATEST}, {_ADC}, c AS (SELECT provider, account_id, CASE WHEN starts_with(quota_name, 'seven') THEN 'week' ELSE 'other' END AS "group", quota_name, start_us, end_us, CASE WHEN delta_bp > 0 AND coalesce(end_us, {NOW_US}) > start_us THEN delta_bp * CAST({HOUR} AS DOUBLE) / (coalesce(end_us, {NOW_US}) - start_us) END AS rt FROM dc),
         m AS (SELECT provider, account_id, "group", quota_name, avg(rt) FILTER (end_us IS NOT NULL AND start_us >= {NOW_US - 20 * DAY}) AS dn, max(rt) FILTER (end_us IS NULL) AS op FROM c GROUP BY 1, 2, 3, 4),
         g AS (SELECT provider, account_id, "group", round(sum(dn), 4) AS completed_rate, round(sum(op), 4) AS open_rate FROM m GROUP BY 1, 2, 3),
         l AS (SELECT provider, account_id, CASE WHEN starts_with(quota_name, 'seven') THEN 'week' ELSE 'other' END AS "group", max(used_bp) AS used_bp, min(reset_us) AS reset_us FROM la GROUP BY 1, 2, 3),

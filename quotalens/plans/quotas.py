@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quotalens.operators import boundaries as b
@@ -91,6 +92,19 @@ _CARRY = ", ".join(f"last_value(CASE WHEN quota_name = '{n}' THEN used_bp END IG
 _COUNTERS = ["input_tokens", "cached_input_tokens", "output_tokens"]
 _GOES = "coalesce(model = lag(model) OVER w, false)" + "".join(f" AND {x} >= lag({x}) OVER w" for x in _COUNTERS)
 
+def _values(s, d):
+    """Values under the id of the first snapshot of their account and day."""
+    day = Window.partitionBy("provider", "account_id", F.expr("us DIV 86400000000"))
+    return quota_samples(s, d).select(F.min("snapshot_id").over(day).alias("snapshot_id"), "quota_name", "used_bp")
+
+
+def _headers(s, d):
+    return quota_samples(s, d).groupBy("provider", "account_id", F.expr("us DIV 86400000000")).agg(F.min("snapshot_id").alias("snapshot_id"), F.min("us").alias("us")).select("snapshot_id", "us")
+
+
+_HEADERS = """vl AS (SELECT min(snapshot_id) OVER (PARTITION BY provider, account_id, us // 86400000000) AS snapshot_id, quota_name, used_bp FROM qs),
+    hd AS (SELECT min(snapshot_id) AS snapshot_id, min(us) AS us FROM qs GROUP BY provider, account_id, us // 86400000000)"""
+
 QUERIES = {
     "range_scan": (lambda s, d: sm.in_range(quota_samples(s, d), FROM_US, TO_US, 500), f"WITH {SAMPLES} SELECT * FROM qs WHERE us >= {FROM_US} AND us < {TO_US} ORDER BY us DESC, snapshot_id DESC LIMIT 500"),
     "latest_snapshot": (lambda s, d: sm.latest_snapshot(quota_samples(s, d)), f"WITH {SAMPLES} SELECT * FROM qs QUALIFY row_number() OVER (PARTITION BY provider, account_id ORDER BY us DESC, snapshot_id DESC) = 1"),
@@ -99,12 +113,12 @@ QUERIES = {
         f"WITH {SAMPLES} SELECT * FROM (SELECT * FROM qs QUALIFY snapshot_id >= max(snapshot_id) OVER (PARTITION BY provider) - 2000) QUALIFY row_number() OVER (PARTITION BY {K} ORDER BY us DESC, snapshot_id DESC) = 1",
     ),
     "utilization_series": (
-        lambda s, d: sm.utilization_series(quota_samples(s, d).select("snapshot_id", "us"), quota_samples(s, d).where("quota_name = 'five_hour'").select("snapshot_id", "used_bp"), "left"),
-        f"WITH {SAMPLES} SELECT snapshot_id, us, CASE WHEN quota_name = 'five_hour' THEN used_bp END AS used_bp FROM qs",
+        lambda s, d: sm.utilization_series(_headers(s, d), _values(s, d).where("used_bp % 3 != 0"), "left"),
+        f"""WITH {SAMPLES}, {_HEADERS} SELECT h.snapshot_id, h.us, quota_name, used_bp FROM hd h LEFT JOIN (SELECT * FROM vl WHERE used_bp % 3 <> 0) v USING (snapshot_id)""",
     ),
     "headers_with_values": (
-        lambda s, d: sm.with_values(quota_samples(s, d).select("snapshot_id", "us"), quota_samples(s, d).where("used_bp > 8000")),
-        f"WITH {SAMPLES} SELECT snapshot_id, us FROM qs WHERE used_bp > 8000",
+        lambda s, d: sm.with_values(_headers(s, d), _values(s, d).where("used_bp > 8000")),
+        f"WITH {SAMPLES}, {_HEADERS} SELECT snapshot_id, us FROM hd WHERE snapshot_id IN (SELECT snapshot_id FROM vl WHERE used_bp > 8000)",
     ),
     "logging_history": (lambda s, d: sm.logging_history(quota_samples(s, d)), f"WITH {SAMPLES} SELECT {K}, snapshot_id, us, used_bp, used_bp - lag(used_bp) OVER w AS delta_bp FROM qs {WK}"),
     "locf_history": (

@@ -206,6 +206,14 @@ QUERIES = {
         SELECT se.*, coalesce(state, 'healthy') AS state, coalesce(failed + missed, 0) AS failures, first_us, last_us, severity FROM se LEFT JOIN ru ON ru.provider = se.provider AND ru.account_id IS NOT DISTINCT FROM se.account_id AND ended_us IS NULL""",
     ),
     "poll_messages": (_messages, None),
+    "poll_backoff": (
+        lambda s, d: poll_health.backoff(_polls(s, d).withColumn("retry_after_us", F.when(F.col("snapshot_id") % 10 == 0, F.col("snapshot_id") % 3 * HOUR)), 2 * HOUR, 24 * HOUR),
+        f"""WITH {SAMPLES}, po AS (SELECT provider, account_id, snapshot_id, us, CASE WHEN snapshot_id % 5 < 2 THEN 'failure' WHEN snapshot_id % 5 = 2 THEN 'skipped' ELSE 'success' END AS outcome, CASE WHEN snapshot_id % 10 = 0 THEN snapshot_id % 3 * {HOUR} END AS asked FROM qs),
+        ru AS (SELECT *, sum(CASE WHEN outcome = 'success' THEN 1 ELSE 0 END) OVER w AS run, lead(us) OVER w AS nxt FROM po WINDOW w AS (PARTITION BY provider, account_id {ORD})),
+        fa AS (SELECT *, row_number() OVER (PARTITION BY provider, account_id, run {ORD}) AS failures FROM ru WHERE outcome = 'failure'),
+        re AS (SELECT *, CASE WHEN asked > 0 THEN asked ELSE least({24 * HOUR}, {2 * HOUR} * CAST(pow(2, least(failures - 1, 10)) AS BIGINT)) END AS rest_us FROM fa)
+        SELECT provider, account_id, snapshot_id, us, failures, rest_us, us + rest_us AS resume_us, coalesce(nxt < us + rest_us, false) AS early FROM re""",
+    ),
     "time_order": (_times, _TIMES_SQL),
     "usage_tree": (_tree, _TREE_SQL),
     "stream_sessions": (_stream_sessions, _STREAM_SQL),
