@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotalens.operators import accounts, poll_health, records, retention, rollup, transfer
@@ -124,14 +124,14 @@ def _times(s, d):
     of = F.concat(sign, F.lpad(F.floor(F.abs(zone) / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((F.abs(zone) % 60).cast("string"), 2, "0"))
     nanos = F.lpad((n * 7919 % 1_000_000_000).cast("string"), 9, "0")
     text = F.when(n % 50 == 0, F.concat(F.lit("day "), n.cast("string"))).otherwise(F.concat(at, F.lit("."), F.when(n % 3 == 0, F.substring(nanos, 1, 6)).otherwise(nanos), F.when((zone == 0) & (n % 2 == 0), "Z").otherwise(of)))
-    t = e.select("event_id", "provider", text.alias("text")).withColumn("key", records.time_order(F.col("text")))
-    return t.select("event_id", "text", F.row_number().over(Window.partitionBy("provider").orderBy("key", "event_id")).cast("bigint").alias("place"))
+    t = e.select("event_id", text.alias("text")).withColumn("key", records.time_order(F.col("text")))
+    return t.select("event_id", "text", F.col("key.no_time").alias("no_time"), F.col("key.s").alias("s"), F.col("key.ns").cast("bigint").alias("ns"))
 
 
 _TIMES_SQL = f"""WITH {USAGE}, t AS (SELECT event_id, provider, us // 7200000000 * 7200 AS s, CASE WHEN event_id % 3 = 0 THEN event_id * 7919 % 1000000000 // 1000 * 1000 ELSE event_id * 7919 % 1000000000 END AS ns, (event_id % 5 - 2) * 90 AS z, lpad(CAST(event_id * 7919 % 1000000000 AS VARCHAR), 9, '0') AS d FROM ue),
     x AS (SELECT *, CASE WHEN event_id % 50 = 0 THEN 'day ' || CAST(event_id AS VARCHAR) ELSE strftime(make_timestamp((s + z * 60) * 1000000), '%Y-%m-%dT%H:%M:%S') || '.' || CASE WHEN event_id % 3 = 0 THEN substr(d, 1, 6) ELSE d END
         || CASE WHEN z = 0 AND event_id % 2 = 0 THEN 'Z' ELSE CASE WHEN z < 0 THEN '-' ELSE '+' END || lpad(CAST(abs(z) // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(abs(z) % 60 AS VARCHAR), 2, '0') END END AS txt FROM t)
-    SELECT event_id, txt AS "text", row_number() OVER (PARTITION BY provider ORDER BY event_id % 50 = 0, CASE WHEN event_id % 50 <> 0 THEN s END, CASE WHEN event_id % 50 <> 0 THEN ns END, CASE WHEN event_id % 50 = 0 THEN txt END, event_id) AS place FROM x"""
+    SELECT event_id, txt AS "text", event_id % 50 = 0 AS no_time, CASE WHEN event_id % 50 = 0 THEN 0 ELSE s END AS s, CASE WHEN event_id % 50 = 0 THEN 0 ELSE ns END AS ns FROM x"""
 
 
 def _tree(s, d):
@@ -159,7 +159,10 @@ def _drained(stream: DataFrame, folder: str, mode: str) -> DataFrame:
 
 def _in_batches(s: SparkSession, rows: DataFrame, folder: str, parts: int = 3) -> DataFrame:
     """The rows as a stream of ``parts`` batches, one range of times each."""
-    rows = rows.withColumn("_part", F.ntile(parts).over(Window.orderBy("us")))
+    low, high = rows.agg(F.min("us"), F.max("us")).first()
+    if low is None:
+        low = high = 0
+    rows = rows.withColumn("_part", F.expr(f"(us - {low}) * {parts} DIV {high - low + 1} + 1"))
     for k in range(parts):
         rows.where(F.col("_part") == k + 1).drop("_part").coalesce(1).write.mode("append").parquet(f"{folder}/in")
     return s.readStream.schema(rows.drop("_part").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
