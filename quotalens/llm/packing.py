@@ -172,7 +172,8 @@ def _intervals(plan: list) -> np.ndarray:
 def numbered(rows: DataFrame) -> DataFrame:
     """Adds _split (the task that made the row) and _nth (long: rows of the same ``length`` before it in that task).
 
-    Both hold once the rows are written: later reads see what was written.
+    Both hold once the rows are written: later reads see what was written. Equal and repeated rows are numbered in the order in which
+    the task has them; a length is never null; no rows give none.
     """
     at = rows.columns.index("length")
 
@@ -199,7 +200,7 @@ def with_rank(rows: DataFrame, name: str) -> DataFrame:
     """Adds the row's place (from 0) among all of its ``length`` to written rows with _split and _nth.
 
     Only counts are shuffled, one row a split and length; the rows themselves meet their counts by a broadcast where the
-    counts have been seen to be few (BROADCAST_ROWS), else by a join.
+    counts have been seen to be few (BROADCAST_ROWS), else by a join. Repeated rows have ranks of their own; no rows give none.
     """
     counts = rows.groupBy("length", "_split").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)

@@ -122,7 +122,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS,
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Half of the labelled rows make the dictionaries, from pieces of their whole texts; the other half the calibration, so
-    that no text is scored with itself. The driver gets SAMPLE_PIECES pieces of a class and SAMPLE_ROWS sizes of a class."""
+    that no text is scored with itself. The driver gets SAMPLE_PIECES pieces of a class and SAMPLE_ROWS sizes of a class.
+
+    Null texts are empty ones; rows without a label, and labels without a row, teach nothing; repeated rows count each. Without any
+    labelled rows every text gets the prior."""
     sample = keep(labelled_sample(docs, labels), "labelled-texts")
     counts = {(r["quality"], r["half"]): r["n"] for r in sample.groupBy("quality", "half").agg(F.count("*").alias("n")).collect()}
     n = {c: counts.get((c, 0), 0) + counts.get((c, 1), 0) for c in (0, 1)}

@@ -49,12 +49,13 @@ def balanced_shards(rows: DataFrame, n_shards: int = SHARDS, size: str = "size",
 
 
 def write_shards(rows: DataFrame, path: str) -> None:
-    """Writes the result of ``balanced_shards`` with one folder a shard, rows in slot order."""
+    """Writes the result of ``balanced_shards`` with one folder a shard, rows in slot order; a shard without rows has no folder."""
     rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, size (UTF-8 bytes of the text, null: none, plus 16) and text_crc32."""
+    """doc_id, size (UTF-8 bytes of the text, null: none, plus 16) and text_crc32 of every row, repeated ones and null ids too; an
+    empty table gives none, other columns are not read."""
     text = F.coalesce("text", F.lit(""))
     return docs.select("doc_id", (F.octet_length(text) + F.lit(OVERHEAD)).cast("long").alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32"))
 
