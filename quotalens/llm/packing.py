@@ -18,6 +18,8 @@ from .common import apart, keep, table
 from .tokens import encoder, tokenizer_path
 
 CAPACITY, END_ID = 4096, 1
+#: Entries of a worker's memories of encoded words, which stay with it when it goes on with other stages.
+WORDS, PIECES = 300_000, 200_000
 #: Rounds of the multiplicative weights, the share of its scarcest length that one pattern may cover, the prices' learning rate, how far below the best a pattern may lie, and the noise that makes rounds' patterns differ.
 ROUNDS, STEP, RATE, NEAR, NOISE = 24, 0.25, 0.3, 0.5, 0.3
 #: Most rows of counts (split, length, pieces before it) that are broadcast; more are joined.
@@ -218,7 +220,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: s
     kind = docs.schema[id_col].dataType.simpleString()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
+        own = encoder(path, WORDS, PIECES)
         for batch in batches:
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             rows, pieces = [], []

@@ -71,16 +71,6 @@ def word_fingerprint(text: bytes) -> int:
     return _majority(np.array([xxhash.xxh64_intdigest(w, 42) for w in set(text.lower().split())], np.uint64))
 
 
-def _shingles(text: str) -> set:
-    words = text.encode().lower().split()
-    return {tuple(words[k : k + COPY_SHINGLE]) for k in range(max(1, len(words) - COPY_SHINGLE + 1))}
-
-
-def _jaccard(a: set, b: set) -> float:
-    same = len(a & b)
-    return same / (len(a) + len(b) - same)
-
-
 def _near_in_runs(radius: int):
     """Compares all fingerprints of a run of equal tile keys with exclusive-or and bit counts, in arrays over many runs."""
 
@@ -287,12 +277,16 @@ def _similar_pairs(first: DataFrame) -> DataFrame:
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(_row, _by) of the pairs (_row, _head, text, kept_text) that are similar."""
-    shingles = lru_cache(maxsize=64)(_shingles)
+    """(_row, _by) of the pairs (_row, _head, text, kept_text) that are similar; shingles are sorted hashes, eight bytes each."""
+    hashes = lambda text: np.unique(_shingle_hashes(text.encode(), COPY_SHINGLE))
+    of_head = lru_cache(maxsize=16)(hashes)
     for batch in batches:
-        rows_ = zip(*(batch.column(k).to_pylist() for k in (2, 3)))
-        near = pa.array([_jaccard(_shingles(a or ""), shingles(b or "")) >= PAIR_SIMILARITY for a, b in rows_], pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], names=["_row", "_by"])
+        near = np.zeros(batch.num_rows, bool)
+        for k in range(batch.num_rows):  # one text at a time is a Python string
+            own, kept = (batch.column(c)[k].as_py() or "" for c in (2, 3))
+            near[k] = _set_jaccard(hashes(own), of_head(kept)) >= PAIR_SIMILARITY
+        found = pa.array(near)
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(found), batch.column(1).filter(found)], names=["_row", "_by"])
 
 
 def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:

@@ -36,9 +36,11 @@ class Encoder:
     combining marks are not cut that way.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, words: int = WORDS, pieces: int = PIECES) -> None:
         from tokenizers import Tokenizer
 
+        self.most_words, self.most_pieces = words, pieces
+
         self.tokenizer = Tokenizer.from_file(path)
         vocab = self.tokenizer.get_vocab()
         self.model = self.tokenizer.model
@@ -65,7 +67,7 @@ class Encoder:
             made = self._new_words({words[k] for k in missed})
             for k in missed:
                 ids[k] = made[words[k]]
-            room = WORDS - len(self.words)
+            room = self.most_words - len(self.words)
             if room > 0:
                 self.words.update((w, made[w]) for w in list(made)[:room] if len(w) <= LONGEST)
         at, out = 0, []
@@ -96,11 +98,11 @@ class Encoder:
             ids = b"".join([self.four[t.id] for t in self.model.tokenize(piece.decode("latin-1").translate(_BYTE_LETTERS))])
         else:
             ids = self._plain([letters])[0]
-        if len(self.pieces) < PIECES and len(piece) <= LONGEST:
+        if len(self.pieces) < self.most_pieces and len(piece) <= LONGEST:
             self.pieces[piece] = ids
         return ids
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, words: int = WORDS, pieces: int = PIECES) -> Encoder:
+    return Encoder(path, words, pieces)

@@ -58,6 +58,15 @@ def test_equals_duckdb(spark, name):
     assert got[by].astype(str).sort_values(by).values.tolist() == made[by].astype(str).replace({"<NA>": "nan"}).sort_values(by).values.tolist()
 
 
+def shingles(text):
+    own = text.encode().lower().split()
+    return {tuple(own[k : k + simhash.COPY_SHINGLE]) for k in range(max(1, len(own) - simhash.COPY_SHINGLE + 1))}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
 def words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 
@@ -299,12 +308,12 @@ def test_dropping_near_copies(spark, docs):
     all_ = docs.unionByName(edited).unionByName(docs.limit(20))
     kept = [r["doc_id"] for r in simhash.drop_near_duplicates(all_).collect()]
     assert len(kept) == len(set(kept)) and not [i for i in kept if i >= 100000]
-    sets = {i: simhash._shingles(t or "") for i, t in texts(docs)}
+    sets = {i: shingles(t or "") for i, t in texts(docs)}
     for a in kept:
         for b in kept:
-            assert a >= b or simhash._jaccard(sets[a], sets[b]) < 0.8
+            assert a >= b or jaccard(sets[a], sets[b]) < 0.8
     for i in set(sets) - set(kept):
-        assert any(simhash._jaccard(sets[i], sets[k]) >= 0.8 for k in kept)
+        assert any(jaccard(sets[i], sets[k]) >= 0.8 for k in kept)
 
 
 def test_copies_of_one_text_meet_in_lots(spark, monkeypatch):
@@ -321,8 +330,8 @@ def test_leftovers_of_a_group_are_settled_among_themselves(spark, monkeypatch):
     words = [f"w{k}" for k in range(500)]
     cases = {1: words, 2: [*words[:450], *["x%d" % k for k in range(50)]], 3: [*words[:390], *["y%d" % k for k in range(110)]], 4: [*words[:390], *["y%d" % k for k in range(105)]]}
     rows = [(i, " ".join(t)) for i, t in cases.items()]
-    sets = {i: simhash._shingles(t) for i, t in rows}
-    assert 0.6 < simhash._jaccard(sets[1], sets[3]) < 0.8 < 0.95 < simhash._jaccard(sets[3], sets[4])
+    sets = {i: shingles(t) for i, t in rows}
+    assert 0.6 < jaccard(sets[1], sets[3]) < 0.8 < 0.95 < jaccard(sets[3], sets[4])
     # the candidates put all four in one group, as a chain of links does
     monkeypatch.setattr(simhash, "near_links", lambda nodes, *_: nodes.crossJoin(nodes.selectExpr("node AS b")).selectExpr("node AS a", "b"))
     kept = {r["doc_id"] for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -337,12 +346,12 @@ def test_appended_truncated_and_doubled_copies_go(spark):
         texts_ = [words, [*words, *[f"z{k}y{i}" for i in range(int(n * (0.04 + k * 0.0045)))]], words[: n - int(n * 0.15)], words + words]
         rows += [(4 * k + i, " ".join(t)) for i, t in enumerate(texts_)]
     kept = {r["doc_id"] for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    sets = {i: simhash._shingles(t) for i, t in rows}
+    sets = {i: shingles(t) for i, t in rows}
     for k in range(40):
         group = range(4 * k, 4 * k + 4)
         stay = [i for i in group if i in kept]
-        assert all(simhash._jaccard(sets[a], sets[b]) < 0.8 for a in stay for b in stay if a < b)
-        assert all(any(simhash._jaccard(sets[i], sets[j]) >= 0.8 for j in stay) for i in group if i not in kept)
+        assert all(jaccard(sets[a], sets[b]) < 0.8 for a in stay for b in stay if a < b)
+        assert all(any(jaccard(sets[i], sets[j]) >= 0.8 for j in stay) for i in group if i not in kept)
     assert len(kept) < 60
 
 
