@@ -65,7 +65,8 @@ def _merged(old: Column, new: Column, depth: int) -> Column:
         inner = lambda k: F.when(F.array_contains(F.map_keys(patch), k), _merged(was[k], patch[k], depth - 1) if depth > 1 else patch[k]).otherwise(was[k])
         return _object(keys, inner)
 
-    return _bound(lambda o, n, value: F.when(n.isNull(), value).otherwise(objects(F.coalesce(o, _NONE()), n)), _members(old), _members(new), new)
+    merged = lambda o, n, value: F.when(n.isNull(), value).otherwise(objects(F.coalesce(o, _NONE()), n))
+    return _bound(lambda a, b: _bound(merged, _members(a), _members(b), b), old, new)
 
 
 def patched(document: Column, patch: Column, depth: int = DEPTH) -> Column:
@@ -85,7 +86,7 @@ def _without(v: Column, path: list[str]) -> Column:
         left = _object(keys, lambda k: F.when(k == key, _without(m[k], rest)).otherwise(m[k]) if rest else m[k])
         return F.when(m.isNull(), whole).otherwise(left)
 
-    return _bound(changed, _members(v), v)
+    return _bound(lambda w: _bound(changed, _members(w), w), v)
 
 
 def without_keys(document: Column, *paths: str) -> Column:
@@ -107,12 +108,11 @@ def _with(v: Column, path: list[str], value: Column) -> Column:
         keys = F.array_union(F.map_keys(m), F.array(F.lit(key)))
         return F.when(m.isNull(), whole).otherwise(_object(keys, lambda k: F.when(k == key, new).otherwise(m[k])))
 
-    return _bound(changed, _members(v), v, value)
+    return _bound(lambda w, new: _bound(changed, _members(w), w, new), v, value)
 
 
 def with_key(document: Column, path: str, value: Column) -> Column:
     """a JSON document with one member set, by name or path; the value keeps its type. Its parent must be an object that is there,
     else nothing changes; a document that is no object counts as empty."""
-    whole = F.coalesce(F.try_parse_json(document), F.parse_json(F.lit("{}")))
-    start = _bound(lambda v: F.when(_members(v).isNotNull(), v).otherwise(F.parse_json(F.lit("{}"))), whole)
+    start = _bound(lambda v: F.when(_members(v).isNotNull(), v).otherwise(F.parse_json(F.lit("{}"))), F.try_parse_json(document))
     return F.to_json(_with(start, path.split("."), value.cast("variant")))

@@ -64,7 +64,7 @@ class TailReader(DataSourceStreamReader):
     def latestOffset(self) -> dict:
         found = {}
         for info in self.files.get_file_info(fs.FileSelector(self.root, recursive=True, allow_not_found=True)):
-            if info.type == fs.FileType.File and self.suffix in info.base_name and info.size:
+            if info.type == fs.FileType.File and self.suffix in info.base_name and not info.base_name.startswith((".", "_")) and info.size:
                 with self.files.open_input_file(info.path) as file:
                     head, end = _first_line(file), _after_last_line(file, info.size)
                 if head and end:
@@ -126,7 +126,8 @@ class TailedLines(DataSource):
 
 
 def tail_lines(spark: SparkSession, path: str, suffix: str = ".jsonl"):
-    """Streaming (value, source_path, at) of every line of the files below ``path`` whose name holds ``suffix``, each once.
+    """Streaming (value, source_path, at) of every line of the files below ``path`` whose name holds ``suffix``, each once; files whose
+    names begin with a dot or an underscore are left out, as Spark leaves them.
 
     Files may grow at any time, also in the middle of a line; a line is given once it ends. A file that shrank or has another first
     line is a new one, read from its start; a file that was renamed (rotated) with its first line is followed where it was left. Two

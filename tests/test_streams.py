@@ -41,6 +41,7 @@ def test_growing_file_gives_each_line_once(tail):
     logs, run = tail
     write(logs / "a.jsonl", '{"n":1}\n{"n":2}\n{"n"')
     write(logs / "skipped.txt", "no\n")
+    write(logs / ".a.jsonl.crc", "no\nno\n")
     assert run() == ['{"n":1}', '{"n":2}']
     write(logs / "a.jsonl", ':3}\n{"n":4}')
     assert run() == ['{"n":1}', '{"n":2}', '{"n":3}']
