@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from quotalens.session import cut
 
+#: Width of the spans of time that an account's facts are dealt by.
+SPAN_US = 600_000_000
+
 
 def merge_ends(merges: DataFrame) -> DataFrame:
     """Each merge (source, target, us) with ``survivor``: where its rows are after all later merges.
@@ -19,9 +22,9 @@ def merge_ends(merges: DataFrame) -> DataFrame:
     once = merges.where("source != target AND us IS NOT NULL").groupBy("source", "us").agg(F.min("target").alias("target"))
     leaves = once.select(F.col("source").alias("account"), "us", F.struct("source", "us").alias("leaving"), F.lit(None).cast(merges.schema["target"].dataType).alias("source"))
     arrives = once.select(F.col("target").alias("account"), "us", F.lit(None).cast(leaves.schema["leaving"].dataType).alias("leaving"), "source")
-    # of equal times what leaves comes first, so an arrival meets only later departures
-    after = Window.partitionBy("account").orderBy("us", F.col("leaving").isNull(), "source").rowsBetween(1, Window.unboundedFollowing)
-    follows = leaves.unionByName(arrives).withColumn("next", F.first("leaving", ignorenulls=True).over(after)).where("source IS NOT NULL")
+    # from the latest back, a running value; of equal times what leaves comes last, so an arrival meets only later departures
+    after = Window.partitionBy("account").orderBy(F.desc("us"), F.col("leaving").isNotNull(), "source").rowsBetween(Window.unboundedPreceding, -1)
+    follows = leaves.unionByName(arrives).withColumn("next", F.last("leaving", ignorenulls=True).over(after)).where("source IS NOT NULL")
     step = cut(follows.select(F.struct("source", "us").alias("merge"), F.col("account").alias("survivor"), "next"))
     while not step.where("next IS NOT NULL").isEmpty():
         then = step.select(F.col("merge").alias("next"), F.col("survivor").alias("_survivor"), F.col("next").alias("_next"))
@@ -32,13 +35,18 @@ def merge_ends(merges: DataFrame) -> DataFrame:
 def resolved(facts: DataFrame, merges: DataFrame, account: str = "account_id") -> DataFrame:
     """M5 at read time: every fact (``account``, us) with ``resolved``, the account that holds it now.
 
-    A fact follows the first merge of its account at or after it; later facts of a merged account stay its own. Merges are looked up by one
-    window over the account's facts and merges, so nothing is paired, and facts are never rewritten. Null accounts and times stay
-    as they are.
+    A fact follows the first merge of its account at or after it; later facts of a merged account stay its own. Inside a span of time
+    of an account, merges are carried back over its facts by a running value; a fact that has none there takes the first merge of the
+    account's later spans. So work is linear, no task holds more than a span's rows (or an account's spans), and facts are never
+    rewritten. Null accounts and times stay as they are.
     """
     ends = merge_ends(merges).select(F.col("source").alias("_account"), "us", F.col("survivor").alias("_survivor"), F.lit(1).alias("_side"))
     rows = facts.withColumns({"_account": F.col(account), "_side": F.lit(0)})
-    both = rows.unionByName(ends, allowMissingColumns=True)
-    after = Window.partitionBy("_account").orderBy("us", "_side").rowsBetween(0, Window.unboundedFollowing)
-    found = F.first("_survivor", ignorenulls=True).over(after)
-    return both.withColumn("_found", found).where("_side = 0").select(*facts.columns, F.when(F.col("us").isNotNull(), F.coalesce("_found", account)).otherwise(F.col(account)).alias("resolved"))
+    # facts of no time take no merge; they are dealt by where they are read
+    both = rows.unionByName(ends, allowMissingColumns=True).withColumn("_span", F.coalesce(F.expr(f"us DIV {SPAN_US}"), F.spark_partition_id().cast("long")))
+    spans = both.where("us IS NOT NULL").groupBy("_account", "_span").agg(F.min(F.when(F.col("_side") == 1, F.struct("us", "_survivor")))["_survivor"].alias("_first"))
+    later = Window.partitionBy("_account").orderBy(F.desc("_span")).rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select("_account", "_span", F.last("_first", ignorenulls=True).over(later).alias("_later"))
+    after = Window.partitionBy("_account", "_span").orderBy(F.desc("us"), F.desc("_side")).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_found", F.last("_survivor", ignorenulls=True).over(after)).where("_side = 0").join(spans, ["_account", "_span"], "left")
+    return found.select(*facts.columns, F.when(F.col("us").isNotNull(), F.coalesce("_found", "_later", account)).otherwise(F.col(account)).alias("resolved"))

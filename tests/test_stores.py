@@ -191,3 +191,19 @@ def test_retention_keeps_what_does_not_add_up(spark, tmp_path):
 def test_retention_of_nothing(spark, tmp_path):
     s = retention.Store(spark, str(tmp_path / "store"), EVENTS, HOUR)
     assert s.compact(HOUR, "a") == [] and s.usage().count() == 0
+
+
+def test_merges_are_carried_over_spans_in_linear_work(spark):
+    """Facts whose next merge is spans away; no frame runs to a partition's end, which Spark evaluates anew for each row."""
+    day, rng = 86_400_000_000, random.Random(4)
+    merges = [(1, 2, 3 * day), (2, 1, 5 * day), (1, 3, 9 * day), (3, 4, 9 * day + 1)]
+    facts = [(k, rng.choice([1, 2, 3, 9, None]), rng.choice([None, 0, 3 * day, 9 * day, rng.randrange(-day, 10 * day)])) for k in range(300)]
+
+    def walk(account, us, strict=False):
+        nexts = [(u, t) for s, t, u in merges if s == account and us is not None and (u > us if strict else u >= us)]
+        return walk(min(nexts)[1], min(nexts)[0], True) if nexts else account
+
+    found = accounts.resolved(spark.createDataFrame(facts, "id long, account_id long, us long"), spark.createDataFrame(merges, "source long, target long, us long"))
+    assert {r.id: r.resolved for r in found.collect()} == {k: walk(a, u) for k, a, u in facts}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "unboundedfollowing" not in plan and "_span" in plan
