@@ -22,8 +22,9 @@ SHINGLE, RADIUS, BITS, TILE = 3, 2, 64, 1024
 COPY_RADIUS, COPY_SHINGLE, PAIR_SIMILARITY = 3, 5, 0.8
 #: Rows that are held against one copy of a text.
 LOT = 2000
-#: Texts sampled for common shingles, texts of these that share one, and the most that are told apart; they order shingles only.
-SAMPLE_TEXTS, COMMON_TEXTS, COMMON_MOST = 10_000, 3, 50_000
+#: Texts sampled for common shingles (and at least one of so many), texts of these that share one, and the most that are told apart; they
+#: order shingles only. A fixed share keeps the frequency from which a shingle counts as common alike at every size.
+SAMPLE_TEXTS, SAMPLE_SHARE, COMMON_TEXTS, COMMON_MOST = 10_000, 20, 3, 1_000_000
 _BIT_OF = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 _PLACE = np.arange(8, dtype=np.int64) * 256
 
@@ -203,16 +204,17 @@ def _set_jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _common_shingles(texts: DataFrame, n: int) -> np.ndarray:
-    """Hashes of shingles that COMMON_TEXTS or more of some SAMPLE_TEXTS texts share, the most common last, at most COMMON_MOST."""
+    """Hashes of shingles that COMMON_TEXTS or more of the sampled texts share, the most common last, at most COMMON_MOST."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [np.unique(_shingle_hashes(t or b"", COPY_SHINGLE)) for t in batch.column(0).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *made]).view(np.int64))], names=["h"])
 
-    sample = texts.where(F.pmod(F.xxhash64("_row"), F.lit(max(1, n // SAMPLE_TEXTS))) == 0).select("text")
+    sample = texts.where(F.pmod(F.xxhash64("_row"), F.lit(min(SAMPLE_SHARE, max(1, n // SAMPLE_TEXTS)))) == 0).select("text")
     common = sample.mapInArrow(each, "h long").groupBy("h").agg(F.count("*").alias("n")).where(f"n >= {COMMON_TEXTS}")
-    return np.array([r["h"] for r in common.orderBy(F.desc("n"), "h").limit(COMMON_MOST).collect()][::-1], np.int64).view(np.uint64)
+    found = common.orderBy(F.desc("n"), "h").limit(COMMON_MOST).select("h").toArrow()
+    return found.column("h").to_numpy()[::-1].astype(np.int64).view(np.uint64)
 
 
 def _first_shingles(texts: DataFrame, common: np.ndarray, new: int) -> DataFrame:
@@ -276,6 +278,46 @@ def _similar_pairs(first: DataFrame) -> DataFrame:
     return both.selectExpr("a._row AS _row", "b._row AS _head").distinct()
 
 
+def _parities(own: np.ndarray) -> bytes:
+    """One bit for each value of the hashes' last bits (twice as many values as hashes at most, 64 at least): whether an odd number have it."""
+    bits = max(64, 1 << (len(own) - 1).bit_length() if len(own) else 0)
+    at = (own & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def _differing(a: bytes, b: bytes) -> int:
+    """In how many bits two sets' parities differ, the longer folded to the shorter: no more than the hashes that one set alone has."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) != len(y):
+        x, y = (x, y) if len(x) > len(y) else (y, x)
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _not_ruled_out(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (_row, _head) whose shingles' parities allow for PAIR_SIMILARITY, which needs 9 times the shingles of one text alone
+    to be at most both sizes. Parities are a few hundredths of a text, so texts move for pairs that are similar, and few more."""
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.unique(_shingle_hashes(t or b"", COPY_SHINGLE)) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            columns = [batch.column(0), pa.array([len(o) for o in own], pa.int32()), pa.array([_parities(o) for o in own], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["_row", "n", "bits"])
+
+    def allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            near = pa.array([9 * _differing(x, y) <= n for n, x, y in zip(sizes, a, b)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(near) for c in (0, 1)], names=["_row", "_head"])
+
+    pairs = keep(pairs, "near-candidates")
+    paired = pairs.select("_row").unionByName(pairs.select(F.col("_head").alias("_row"))).distinct()
+    made = keep(texts.select("_row", "text").join(paired, "_row", "left_semi").mapInArrow(marked, "_row long, n int, bits binary"), "near-parities")
+    heads = made.toDF("_head", "head_n", "head_bits")
+    both = pairs.join(made, "_row").join(heads, "_head").select("_row", "_head", (F.col("n") + F.col("head_n")).alias("n"), "bits", "head_bits")
+    return both.mapInArrow(allowed, "_row long, _head long")
+
+
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(_row, _by) of the pairs (_row, _head, text, kept_text) that are similar; shingles are sorted hashes, eight bytes each."""
     hashes = lambda text: np.unique(_shingle_hashes(text.encode(), COPY_SHINGLE))
@@ -312,7 +354,7 @@ def _settled(groups: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _settled_exactly(members: DataFrame, first: DataFrame, texts: DataFrame) -> DataFrame:
     """(_row, _by) of members (_row, _order) that go, all members of similar pairs held against each other."""
-    links = keep(_similar(_similar_pairs(first), texts), "near-exact-links")
+    links = keep(_similar(_not_ruled_out(_similar_pairs(first), texts), texts), "near-exact-links")
     roots = components(links, "_row", "_by").select(F.col("node").alias("_row"), F.col("root").alias("_root"))
     return keep(_settled(members.join(roots, "_row"), texts), "near-exact-gone")
 
@@ -326,8 +368,8 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     1. Dense groups shrink: components of links between texts whose fingerprints of distinct words lie within COPY_RADIUS.
        In a group, in the order of ids, a text goes if it is similar to one that stays: first all are held against the
        smallest, in parallel, then the leftovers against each other in one sorted pass.
-    2. Among what is left, all similar pairs are found by a prefix filter, which misses none, and components of these are
-       settled alike; a text to which more went in step 1 comes first.
+    2. Among what is left, all similar pairs are found by a prefix filter and by parities of shingles, which miss none, and components
+       of these are settled alike; a text to which more went in step 1 comes first.
     3. A text that went to one that itself goes in step 2 comes back, and is held against all that stay.
 
     Texts are dealt out by row once; every later step moves ids and hashes to them, and texts only within groups and pairs.

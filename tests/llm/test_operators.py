@@ -724,3 +724,27 @@ def test_written_shards_keep_their_order(spark, docs, tmp_path):
         seen += len(part)
         assert sorted(r["slot"] for r in part) == list(range(len(part))) and all(want[shard, r["slot"]] == r["doc_id"] for r in part)
     assert seen == docs.count()
+
+
+def test_parities_rule_out_pairs_but_no_similar_one(spark):
+    """Of pairs that share a first shingle, texts move only for those that may be similar; sizes differ, so parities are folded."""
+    rng = np.random.default_rng(5)
+    for n in (1, 60, 64, 65, 130, 1000, 5000):
+        own = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        other = np.unique(np.append(own[: len(own) - n // 10], rng.integers(0, 1 << 63, n // 8).astype(np.uint64)))
+        alone = len(np.setxor1d(own, other))
+        assert simhash._differing(simhash._parities(own), simhash._parities(other)) <= alone
+        assert simhash._differing(simhash._parities(own), simhash._parities(own)) == 0
+    words = [" ".join(f"w{k}" for k in rng.integers(0, 100_000, 300)) for _ in range(4)]
+    texts = spark.createDataFrame([(0, words[0]), (1, words[0] + " more words"), (2, words[1]), (3, words[2] + " " + words[3])], "_row long, text string")
+    pairs = spark.createDataFrame([(1, 0), (2, 0), (3, 0), (3, 2)], "_row long, _head long")
+    assert [tuple(r) for r in simhash._not_ruled_out(pairs, texts).collect()] == [(1, 0)]
+
+
+def test_common_shingles_are_told_at_one_frequency_at_every_size(spark, monkeypatch):
+    """A shingle of a fixed share of texts is common however many texts there are."""
+    monkeypatch.setattr(simhash, "SAMPLE_TEXTS", 4)
+    monkeypatch.setattr(simhash, "SAMPLE_SHARE", 2)
+    for n in (40, 400):
+        texts = spark.createDataFrame([(k, ("one two three four five " if k % 4 == 0 else "") + f"a{k} b{k} c{k} d{k} e{k}") for k in range(n)], "_row long, text string")
+        assert simhash._shingle_hashes(b"one two three four five", simhash.COPY_SHINGLE)[0] in simhash._common_shingles(texts, n)
