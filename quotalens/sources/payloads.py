@@ -19,9 +19,15 @@ def _iso(c: Column) -> Column:
 
 
 def _long(df: DataFrame, entries: Column) -> DataFrame:
-    """Explodes an array of (quota_name, used_percent, value, limit_value, resets_us, plan)."""
+    """Explodes an array of (quota_name, used_percent, value, limit_value, resets_us, plan).
+
+    An outer explode, whose row of nulls the names drop: for a plain one Spark filters by the array's size first, and so makes it twice more.
+    """
     keep = [c for c in df.columns if c not in ("payload", "_p")]
-    return df.select(*keep, F.explode(entries).alias("q")).select(*keep, "q.*").where(F.col("quota_name").isNotNull())
+    return df.select(*keep, F.explode_outer(entries).alias("q")).select(*keep, "q.*").where(F.col("quota_name").isNotNull())
+
+
+_ENTRIES = "array<struct<quota_name:string,used_percent:double,value:double,limit_value:double,resets_us:bigint,plan:string>>"
 
 
 def _entry(name: Column, used: Column, value: Column | None = None, limit: Column | None = None, resets: Column | None = None, plan: Column | None = None) -> Column:
@@ -41,22 +47,20 @@ def slug(name: Column) -> Column:
 
 def anthropic(df: DataFrame) -> DataFrame:
     """Known quota objects that are not disabled, and weekly limits of one model where no quota of its own tells them."""
-    quotas = F.from_json("payload", "map<string,string>")
     entry = "struct<utilization:double,resets_at:string,is_enabled:boolean>"
     limits = F.from_json(F.get_json_object("payload", "$.limits"), "array<struct<kind:string,percent:double,resets_at:string,scope:struct<model:struct<display_name:string>>>>")
-    df = df.withColumn("_p", quotas)
-    own = F.transform(F.array(*[F.lit(n) for n in ANTHROPIC]), lambda n: F.struct(n.alias("name"), F.from_json(F.get(F.map_values(F.map_filter("_p", lambda k, v: k == n)), F.lit(0)), entry).alias("e")))
-    own = F.filter(own, lambda x: x["e"]["utilization"].isNotNull() & F.coalesce(x["e"]["is_enabled"], F.lit(True)))
-    df = df.withColumns({"_own": own, "_limits": F.coalesce(limits, F.array().cast("array<struct<kind:string,percent:double,resets_at:string,scope:struct<model:struct<display_name:string>>>>"))})
-    scoped = F.filter("_limits", lambda x: (x["kind"] == "weekly_scoped") & x["percent"].isNotNull() & slug(x["scope"]["model"]["display_name"]).isNotNull())
-    named = F.transform("_own", lambda x: x["name"])
-    scoped = F.filter(scoped, lambda x: ~F.array_contains(named, F.concat(F.lit("seven_day_"), slug(x["scope"]["model"]["display_name"]))))
+    df = df.withColumns({"_p": F.from_json("payload", "map<string,string>"), "_limits": limits})
+    # each name asks the map by itself: inside a lambda the payload would be parsed anew for each name
+    own = F.array(*[F.struct(F.lit(n).alias("name"), F.from_json(F.try_element_at("_p", F.lit(n)), entry).alias("e")) for n in ANTHROPIC])
+    df = df.withColumn("_own", F.filter(own, lambda x: x["e"]["utilization"].isNotNull() & F.coalesce(x["e"]["is_enabled"], F.lit(True))))
+    weekly = F.filter("_limits", lambda x: (x["kind"] == "weekly_scoped") & x["percent"].isNotNull())
+    scoped = F.transform(weekly, lambda x: F.struct(slug(x["scope"]["model"]["display_name"]).alias("name"), x["percent"].alias("percent"), x["resets_at"].alias("resets_at")))
+    scoped = F.filter(scoped, lambda x: x["name"].isNotNull() & ~F.exists("_own", lambda o: o["name"] == F.concat(F.lit("seven_day_"), x["name"])))
     entries = F.concat(
         F.transform("_own", lambda x: _entry(x["name"], x["e"]["utilization"], resets=_iso(x["e"]["resets_at"]))),
-        F.transform(scoped, lambda x: _entry(F.concat(F.lit(SCOPED), slug(x["scope"]["model"]["display_name"])), x["percent"], resets=_iso(x["resets_at"]))),
+        F.coalesce(F.transform(scoped, lambda x: _entry(F.concat(F.lit(SCOPED), x["name"]), x["percent"], resets=_iso(x["resets_at"]))), F.array().cast(_ENTRIES)),
     )
-    found = _long(df.withColumn("_entries", entries).drop("_own", "_limits"), F.col("_entries"))
-    return found.drop("_entries")
+    return _long(df, entries).drop("_own", "_limits")
 
 
 def codex(df: DataFrame) -> DataFrame:
