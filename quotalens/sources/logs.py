@@ -24,7 +24,10 @@ def number(json: str, *paths: str) -> Column:
 
 def moment(json: str, *paths: str) -> Column:
     """Epoch microseconds of an ISO time, or of epoch seconds or milliseconds."""
-    raw = text(json, *paths)
+    return _moment(text(json, *paths))
+
+
+def _moment(raw: Column) -> Column:
     n = raw.try_cast("double")
     return F.coalesce(F.unix_micros(F.try_to_timestamp(raw)), F.when(n > 1e11, n * 1000).otherwise(n * 1_000_000).cast("bigint"))
 
@@ -112,13 +115,17 @@ def gemini_documents(docs: DataFrame, value: str = "value", path: str = "source_
 def antigravity_settings(docs: DataFrame, value: str = "value", path: str = "source_path") -> DataFrame:
     """Cumulative counters of a settings document; changes of them are ``boundaries.cumulative_delta``'s work."""
     df = docs.withColumn("_u", F.get_json_object(value, "$.tokenUsage")).where(F.col("_u").isNotNull() & (F.col("_u") != "{}"))
-    raw, cached = number("_u", "inputTokens", "input_tokens", "input"), number("_u", "cacheReadTokens", "cache_read_input_tokens", "cached_input_tokens", "cached")
-    made, out = number("_u", "cacheCreationTokens", "cache_creation_input_tokens", "cache_creation_tokens"), number("_u", "outputTokens", "output_tokens", "output")
-    thought, total = number("_u", "thinkingTokens", "reasoning_output_tokens", "reasoning_tokens", "thoughts"), number("_u", "totalTokens", "total_tokens", "total")
-    lock = F.lower(text(value, "providerLock"))
+    # each in a column of its own, as what is used twice in one projection is looked up twice
+    df = df.withColumns({
+        "_raw": number("_u", "inputTokens", "input_tokens", "input"), "_cached": number("_u", "cacheReadTokens", "cache_read_input_tokens", "cached_input_tokens", "cached"),
+        "_made": number("_u", "cacheCreationTokens", "cache_creation_input_tokens", "cache_creation_tokens"), "_out": number("_u", "outputTokens", "output_tokens", "output"),
+        "_thought": number("_u", "thinkingTokens", "reasoning_output_tokens", "reasoning_tokens", "thoughts"), "_total": number("_u", "totalTokens", "total_tokens", "total"),
+        "_lock": F.lower(text(value, "providerLock")), "_at": text(value, "providerLockTimestamp", "timestamp", "ts"),
+    })
+    raw, cached, made, out, thought, total, lock = (F.col(c) for c in ("_raw", "_cached", "_made", "_out", "_thought", "_total", "_lock"))
     return _events(
         df, source=F.lit("antigravity"), provider=F.when(lock.contains("claude") | lock.contains("anthropic"), "anthropic").when(lock.contains("gpt") | lock.contains("openai"), "openai").otherwise("google"),
-        session_id=_stem(path, r"\.settings\.json"), model=F.lower(text(value, "model")), us=moment(value, "providerLockTimestamp", "timestamp", "ts"), input_tokens=F.greatest(raw - cached, F.lit(0)), cached_input_tokens=cached,
+        session_id=_stem(path, r"\.settings\.json"), model=F.lower(text(value, "model")), us=_moment(F.col("_at")), input_tokens=F.greatest(raw - cached, F.lit(0)), cached_input_tokens=cached,
         cache_creation_input_tokens=made, output_tokens=out, reasoning_output_tokens=thought, total_tokens=F.when(total > 0, total).otherwise(raw + cached + made + out + thought), source_path=F.col(path),
     )
 

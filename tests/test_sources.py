@@ -121,3 +121,9 @@ def test_streamed_cycles_equal_those_of_the_batch(spark, tmp_path):
     q.awaitTermination(240)
     batch = cycles.detect_cycles(spark.createDataFrame(rows, schema), rule).where("end_us IS NOT NULL")
     assert sorted(map(tuple, spark.table("closed").collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_a_settings_document_is_looked_up_once_for_each_key(spark):
+    df = spark.createDataFrame([('{"tokenUsage":{"inputTokens":1}}', "/x/a.settings.json")], "value string, source_path string")
+    plan = logs.antigravity_settings(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert [plan.count(f"$.{key})") for key in ("inputTokens", "cacheReadTokens", "outputTokens", "totalTokens")] == [1, 1, 1, 1]
