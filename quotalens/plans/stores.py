@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,7 @@ from .usage import MEASURES
 MINUTE = 60_000_000
 INTERVAL_US, GRACE_US = 8 * HOUR, 5 * MINUTE
 TIMEOUT_US, FORGET_US = 12 * HOUR, 3 * DAY
+SESSION_GROUPS = 2048
 
 
 def _folder(s: SparkSession, name: str) -> str:
@@ -157,21 +159,24 @@ def _drained(stream: DataFrame, folder: str, mode: str) -> DataFrame:
     return s.read.schema(stream.schema).parquet(out)
 
 
-def _in_batches(s: SparkSession, rows: DataFrame, folder: str, parts: int = 3) -> DataFrame:
-    """The rows as a stream of ``parts`` batches, one range of times each."""
+def _in_batches(made: Callable[[DataFrame], DataFrame], rows: DataFrame, folder: str, mode: str, parts: int = 3) -> DataFrame:
+    """What a stream made of the rows gives in ``parts`` batches, one range of times each. A range is written by all tasks, as files of
+    the stream's folder; then the stream goes on from its checkpoint and takes them as one batch."""
+    s = rows.sparkSession
     low, high = rows.agg(F.min("us"), F.max("us")).first()
     if low is None:
         low = high = 0
-    rows = rows.withColumn("_part", F.expr(f"(us - {low}) * {parts} DIV {high - low + 1} + 1"))
+    part = F.expr(f"(us - {low}) * {parts} DIV {high - low + 1}")
     for k in range(parts):
-        rows.where(F.col("_part") == k + 1).drop("_part").coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    return s.readStream.schema(rows.drop("_part").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        rows.where(part == k).write.mode("append").parquet(f"{folder}/in")
+        found = _drained(made(s.readStream.schema(rows.schema).parquet(f"{folder}/in")), folder, mode)
+    return found
 
 
 def _stream_sessions(s, d):
     keyed.prepare_state(s)
-    folder = _folder(s, "sessions")
-    return _drained(keyed.closing_sessions(_in_batches(s, _q(s, d).select(*K.split(", "), "snapshot_id", "us", "used_bp"), folder), TIMEOUT_US, FORGET_US), folder, "append").drop("session")
+    samples = _q(s, d).select(*K.split(", "), "snapshot_id", "us", "used_bp")
+    return _in_batches(lambda rows: keyed.closing_sessions(rows, TIMEOUT_US, FORGET_US, groups=SESSION_GROUPS), samples, _folder(s, "sessions"), "append").drop("session")
 
 
 _STREAM_SQL = f"""WITH {SAMPLES}, ch AS (SELECT *, coalesce(used_bp <> lag(used_bp) OVER w AND us - lag(us) OVER w <= {FORGET_US}, false) AS changed, lag(used_bp) OVER w AS before FROM qs WINDOW w AS (PARTITION BY {K} {ORD})),
@@ -183,8 +188,7 @@ _STREAM_SQL = f"""WITH {SAMPLES}, ch AS (SELECT *, coalesce(used_bp <> lag(used_
 
 def _stream_receipts(s, d):
     keyed.prepare_state(s)
-    folder = _folder(s, "receipts")
-    return _drained(keyed.receipt_stream(_in_batches(s, _arrivals(s, d), folder)), folder, "update").drop("payload")
+    return _in_batches(keyed.receipt_stream, _arrivals(s, d), _folder(s, "receipts"), "update").drop("payload")
 
 
 # Usage as JSON lines in four folders of files, followed by byte offsets.

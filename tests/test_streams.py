@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quotalens.operators import boundaries, ingest
+from quotalens.plans import stores
 from quotalens.sources.tail import TailReader, tail_lines
 from quotalens.streaming import keyed
 
@@ -135,6 +136,22 @@ def test_silent_keys_leave_no_state(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).where("provider = 'p'").count() == 200
 
 
+def test_keys_in_groups_share_a_state(spark, tmp_path):
+    """Many keys in a few groups, some uses unknown: the sessions of the batch, and no more states than groups."""
+    keyed.prepare_state(spark)
+    rng = random.Random(6)
+    rows = [("p", rng.choice([None, 2**60 + k % 90]), f"q{k % 3}", k, MINUTE * (60 + k // 20), rng.choice([1, 2, 2, None])) for k in range(1800)]
+    whole = spark.createDataFrame(rows, SAMPLES)
+    made = lambda stream: keyed.closing_sessions(stream, 10 * MINUTE, 20 * MINUTE, groups=5)
+    got = [tuple(r) for r in stores._in_batches(made, whole, str(tmp_path), "append").drop("session").collect()]
+    want = {tuple(r) for r in boundaries.idle_sessions(whole, 10 * MINUTE, True, 20 * MINUTE).drop("session").collect()}
+    done = rows[-1][4] - 6 * MINUTE
+    assert len(got) == len(set(got)) and set(got) <= want and {r for r in want if r[4] < done} <= set(got) and len(got) > 100
+    state = spark.read.format("statestore").load(f"{tmp_path}/checkpoint")
+    assert 0 < state.count() <= 5
+    assert len([f for f in os.listdir(tmp_path / "in") if f.endswith(".parquet")]) > 3  # a batch is written by more than one task
+
+
 ARRIVALS = "event_id long, device_id string, event_key string, us long, kind string, identity string, payload string, stored boolean, owner string"
 
 
