@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -115,6 +115,9 @@ def closing_sessions(samples: DataFrame, timeout_us: int, forget_us: int, late:
     return closed.withColumn("account_id", F.nullif(F.col("_account"), F.lit("")).cast("bigint")).select(*[c.split()[0] for c in SESSIONS.split(", ")])
 
 
+_STATED = [f.split()[0] for f in RECEIPTS.split(", ")]
+
+
 class _Receipts(StatefulProcessor):
     """One value a key: the identity and payload that were accepted last."""
 
@@ -124,14 +127,17 @@ class _Receipts(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.held = handle.getValueState("held", "identity string, payload string", self.ttl)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         before = tuple(self.held.get()) if self.held.exists() else None
-        held = before
-        for r in sorted(rows, key=lambda r: (r.us, r.event_id)):
-            status, code, held = receipt(held, key[0], r.kind, r.identity, r.payload, r.stored, r.owner)
-            yield Row(event_id=r.event_id, device_id=key[0], event_key=key[1], status=status, code=code, payload=held[1] if status in ("accepted", "enriched") else None)
+        held, made = before, []
+        whole = lambda column: [None if v is None else int(v) for v in column.tolist()]
+        arrivals = [r for f in rows for r in zip(whole(f["us"]), whole(f["event_id"]), *[f[c].tolist() for c in ("kind", "identity", "payload", "stored", "owner")])]
+        for _, event, *arrival in sorted(arrivals, key=lambda r: r[:2]):
+            status, code, held = receipt(held, key[0], *arrival)
+            made.append((None if event is None else str(event), *key, status, code, held[1] if status in ("accepted", "enriched") else None))
         if held is not None and held != before:
             self.held.update(held)
+        yield pd.DataFrame(dict(zip(_STATED, (pd.Series(c, dtype="object") for c in zip(*made)))))
 
     def close(self) -> None:
         pass
@@ -145,4 +151,7 @@ def receipt_stream(arrivals: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     after its last write (in processing time) a receipt is kept; None keeps it for good.
     """
     mode = "None" if ttl_ms is None else "ProcessingTime"
-    return arrivals.groupBy("device_id", "event_key").transformWithState(_Receipts(ttl_ms), RECEIPTS, "Update", mode)
+    # arrivals go to Python as frames, as single rows cost several times a step; ids and times as texts, so they stay whole and null
+    texts = arrivals.select("device_id", "event_key", F.col("us").cast("string").alias("us"), F.col("event_id").cast("string").alias("event_id"), "kind", "identity", "payload", "stored", "owner")
+    made = texts.groupBy("device_id", "event_key").transformWithStateInPandas(_Receipts(ttl_ms), ", ".join(f"{c} string" for c in _STATED), "Update", mode)
+    return made.withColumn("event_id", F.col("event_id").cast("long"))

@@ -4,6 +4,7 @@ import json
 import os
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,3 +183,22 @@ def test_receipts_on_a_stream_equal_those_of_the_batch(spark, tmp_path, files):
     assert sorted((tuple(r)[:5] for r in got), key=key) == want
     statuses = {r.status for r in got}
     assert statuses == {"accepted", "duplicate", "enriched", "rejected"} and all((r.payload is None) or r.status in ("accepted", "enriched") for r in got)
+
+
+def test_receipts_take_frames_and_keep_large_ids_and_nulls():
+    """Arrivals of a key come as whole frames, not as single rows; ids beyond 2^53 and nulls stay as they are."""
+
+    class Held:
+        value = None
+        exists = lambda self: self.value is not None
+        get = lambda self: self.value
+        update = lambda self, v: setattr(self, "value", v)
+
+    columns = ["us", "event_id", "kind", "identity", "payload", "stored", "owner"]
+    rows = [("9", str(2**60 + 1), "usage_event", "i", None, None, "d"), ("10", None, "usage_event", "i", '{"a":1}', True, None), ("9", str(2**60), "usage_event", "i", '{"a":null}', False, "d")]
+    p = keyed._Receipts(None)
+    p.held = Held()
+    frames = [pd.DataFrame(part, columns=columns) for part in (rows[:1], rows[1:])]
+    [got] = [f.astype("object").to_dict("split")["data"] for f in p.handleInputRows(("d", "e"), iter(frames), None)]
+    assert [(r[0], r[3], r[4]) for r in got] == [(str(2**60), "accepted", None), (str(2**60 + 1), "rejected", "event_payload_conflict"), (None, "enriched", None)]
+    assert [r[5] for r in got] == ['{"a":null}', None, '{"a":1}'] and p.held.value == ("i", '{"a":1}')
