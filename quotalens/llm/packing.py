@@ -18,7 +18,8 @@ from .common import apart, keep, table
 from .tokens import encoder, tokenizer_path
 
 CAPACITY, END_ID = 4096, 1
-#: Entries of a worker's memories of encoded words, which stay with it when it goes on with other stages.
+#: Entries of a worker's memories of encoded words. A task ends with empty ones: tasks go round all of an executor's workers, so each worker
+#: would come to hold its own for as long as it lives.
 WORDS, PIECES = 300_000, 200_000
 #: Rounds of the multiplicative weights, the share of its scarcest length that one pattern may cover, the prices' learning rate, how far below the best a pattern may lie, and the noise that makes rounds' patterns differ.
 ROUNDS, STEP, RATE, NEAR, NOISE = 24, 0.25, 0.3, 0.5, 0.3
@@ -221,19 +222,23 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: s
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, WORDS, PIECES)
-        for batch in batches:
-            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            rows, pieces = [], []
-            for k, ids in enumerate(own.encode(texts)):
-                ids += end
-                for n, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    pieces.append(ids[at : at + 4 * capacity])
-                    rows.append((k, n, at // 4))
-            taken = pa.array([k for k, _, _ in rows], pa.int64())
-            columns = [batch.column(0).take(taken), pa.array([n for _, n, _ in rows], pa.int32()), pa.array([a for _, _, a in rows], pa.int64())]
-            columns += [pa.array([len(p) // 4 for p in pieces], pa.int32()), pa.array(list(map(zlib.crc32, pieces)), pa.int64())]
-            columns += [pa.array(pieces, pa.binary())] * with_ids
-            yield pa.RecordBatch.from_arrays(columns, names=[id_col, "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
+        try:
+            for batch in batches:
+                texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+                rows, pieces = [], []
+                for k, ids in enumerate(own.encode(texts)):
+                    ids += end
+                    for n, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        pieces.append(ids[at : at + 4 * capacity])
+                        rows.append((k, n, at // 4))
+                taken = pa.array([k for k, _, _ in rows], pa.int64())
+                columns = [batch.column(0).take(taken), pa.array([n for _, n, _ in rows], pa.int32()), pa.array([a for _, _, a in rows], pa.int64())]
+                columns += [pa.array([len(p) // 4 for p in pieces], pa.int32()), pa.array(list(map(zlib.crc32, pieces)), pa.int64())]
+                columns += [pa.array(pieces, pa.binary())] * with_ids
+                yield pa.RecordBatch.from_arrays(columns, names=[id_col, "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
+        finally:
+            own.forget()
+            pa.default_memory_pool().release_unused()
 
     return docs.select(id_col, text_col).mapInArrow(each, f"`{id_col}` {kind}, piece int, start long, length int, ids_crc32 long" + ", ids binary" * with_ids)
 

@@ -48,6 +48,11 @@ class Encoder:
         self.words: dict[bytes, bytes] = {}
         self.pieces: dict[bytes, bytes] = {}
 
+    def forget(self) -> None:
+        """Lets go of the remembered words; the tokenizer stays."""
+        self.words.clear()
+        self.pieces.clear()
+
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 

@@ -8,6 +8,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -694,6 +695,19 @@ def test_stages_take_odd_rows_and_any_columns(spark, odd, empty_):
     assert {r["doc_id"] for r in pieces} == (set() if empty_ else {r["doc_id"] for r in docs.collect()})
 
 
+def test_tasks_of_packing_leave_no_words_in_workers(spark):
+    rows = spark.range(400).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(0, 20), k -> concat('w', id * 20 + k))) AS text").repartition(8)
+    assert packing.token_pieces(rows, tokens.tokenizer_path()).agg({"length": "sum"}).first()[0] > 400 * 20
+
+    def left(batches):
+        own = tokens.encoder(tokens.tokenizer_path(), packing.WORDS, packing.PIECES)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(own.words) + len(own.pieces)] * batch.num_rows)], names=["n"])
+
+    # tasks go round the workers that the first query has left
+    assert {r["n"] for r in spark.range(16).repartition(16).mapInArrow(left, "n long").collect()} == {0}
+
+
 def test_packing_keeps_columns_of_any_name(spark):
     rows = spark.createDataFrame([(k % 7 + 1, k, k, k, k) for k in range(50)], "length int, _split int, _nth long, _rank long, x0 int")
     got = packing.pack(rows, 10).collect()
