@@ -30,7 +30,8 @@ def _folder(s: SparkSession, name: str) -> str:
     return f"{work_dir(s)}/quotalens-{name}-{uuid.uuid4().hex}"
 
 
-# Documents: nested objects of numbers, a list and a text that a patch changes, removes and adds to.
+# Documents: nested objects of numbers, a list and a text that a patch changes, removes and adds to. A row takes some 200 µs and a scan has
+# no more busy tasks than its files have row groups, so the ids are dealt to all cores first.
 def _json_changes(s, d):
     n = F.col("event_id").cast("string")
     old = F.concat(F.lit('{"id":'), n, F.lit(',"in":{"keep":1.5,"k":{"x":'), (F.col("event_id") % 7).cast("string"), F.lit(',"y":true},"l":[1,{"z":null}]},"t":"5"}'))
@@ -38,7 +39,7 @@ def _json_changes(s, d):
         F.lit('{"in":{"k":{"x":'), F.when(F.col("event_id") % 3 == 0, "null").otherwise((F.col("event_id") % 5).cast("string")), F.lit(',"n":{"a":'), n, F.lit("}}"),
         F.when(F.col("event_id") % 4 == 0, ',"l":null').otherwise(""), F.lit("},"), F.when(F.col("event_id") % 5 == 0, '"t":null,').otherwise(""), F.lit('"z":[]}'),
     )
-    e = usage_events(s, d).select("event_id", old.alias("old"), patch.alias("patch"))
+    e = usage_events(s, d).select("event_id").repartition(4 * s.sparkContext.defaultParallelism, "event_id").select("event_id", old.alias("old"), patch.alias("patch"))
     return e.select("event_id", doc.patched(F.col("old"), F.col("patch")).alias("patched"), doc.without_keys(F.col("old"), "in.k.x", "t").alias("removed"), doc.with_key(F.col("old"), "in.k.y", F.col("event_id")).alias("set_"))
 
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quotalens.operators import accounts, documents, retention, rollup, transfer
+from quotalens.plans import stores
 
 
 def merge_patch(old, new):
@@ -207,3 +208,11 @@ def test_merges_are_carried_over_spans_in_linear_work(spark):
     assert {r.id: r.resolved for r in found.collect()} == {k: walk(a, u) for k, a, u in facts}
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "unboundedfollowing" not in plan and "_span" in plan
+
+
+def test_json_changes_work_on_all_cores(spark, tmp_path):
+    """One file of one row group is one task of a scan."""
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    made = stores.QUERIES["json_changes"][0](spark, str(tmp_path))
+    sizes = [n for n in made.select("event_id").rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+    assert len(sizes) >= spark.sparkContext.defaultParallelism and sum(sizes) == spark.read.parquet(str(tmp_path / "events.parquet")).count()
