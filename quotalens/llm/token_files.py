@@ -125,27 +125,33 @@ class _Mixture:
             room = (1 << _ORDER0) - SYMBOLS - len(self.seen)
             upto = total * room // total[-1] + np.arange(1, len(total) + 1)
             self.cumulative = np.concatenate([[0], upto]) + SYMBOLS
-            self.nearby = np.searchsorted(self.cumulative, np.arange(1 << (_ORDER0 - _NEARBY)) << _NEARBY, side="right") - 1
+            self.nearby = None
 
-    def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where ids begin and end in the order-0 total."""
-        rank = self.rank.take(ids)
+    def interval(self, ids: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where ids, of which the ranks are given, begin and end in the order-0 total."""
         known = rank >= 0
         if known.all():
-            return self.cumulative.take(rank), self.cumulative.take(rank + 1)
+            return self.cumulative.take(rank, mode="clip"), self.cumulative.take(rank + 1, mode="clip")
         begin, end = ids.copy(), ids + 1
         begin[known], end[known] = self.cumulative[rank[known]], self.cumulative[rank[known] + 1]
         return begin, end
 
-    def found(self, place: np.ndarray) -> np.ndarray:
-        """The ids whose intervals hold the places."""
+    def found(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids whose intervals hold the places, and their ranks."""
         if not len(self.seen):
-            return np.minimum(place, SYMBOLS - 1)
-        ids = self.nearby.take(place >> _NEARBY)  # right but for rare ids and places near an end
-        wrong = np.flatnonzero(self.cumulative.take(ids + 1) <= place)
-        ids[wrong] = np.searchsorted(self.cumulative, place[wrong], side="right") - 1
-        known = ids >= 0
-        return self.seen.take(ids) if known.all() else np.where(known, self.seen.take(ids), np.minimum(place, SYMBOLS - 1))
+            ids = np.minimum(place, SYMBOLS - 1)
+            return ids, self.rank.take(ids)
+        if self.nearby is None:  # of each 2^_NEARBY-th place, how many intervals begin up to it
+            steps = 1 << (_ORDER0 - _NEARBY)
+            self.nearby = np.cumsum(np.bincount((self.cumulative - 1 >> _NEARBY) + 1, minlength=steps)[:steps]) - 1
+        rank = self.nearby.take(place >> _NEARBY, mode="clip")  # right but for rare ids and places near an end
+        wrong = np.flatnonzero(self.cumulative.take(rank + 1, mode="clip") <= place)
+        rank[wrong] = np.searchsorted(self.cumulative, place[wrong], side="right") - 1
+        known = rank >= 0
+        if known.all():
+            return self.seen.take(rank, mode="clip"), rank
+        ids = np.where(known, self.seen.take(rank, mode="clip"), np.minimum(place, SYMBOLS - 1))
+        return ids, self.rank.take(ids)
 
 
 #: What a guess's sureness gains, by that sureness and whether the guess was right.
@@ -154,8 +160,9 @@ _GAIN = np.array([[0 if k == 0 else -1 << 16, 0 if k == _SURE else 1 << 16] for
 
 def _followed(table: np.ndarray, at: np.ndarray, entry: np.ndarray, sure: np.ndarray, right: np.ndarray, token: np.ndarray) -> None:
     """A right guess grows surer, a wrong one less sure, and one that is not sure gives way. Of equal slots the last lane writes."""
-    new = entry + _GAIN.take(sure * 2 + right)
-    np.copyto(new, token, where=(sure + right) == 0)
+    case = sure * 2 + right
+    new = entry + _GAIN.take(case, mode="clip")
+    np.copyto(new, token, where=case == 0)
     table[at] = new
 
 
@@ -180,36 +187,38 @@ def _run(n_ids: int, lanes: int, ids: np.ndarray | None, streams: np.ndarray | N
         if n < len(last):
             before, last = before[:n], last[:n]
         slot = (last * 0x9E3779B1 + before * 0x85EBCA77 >> 13) & (_SLOTS - 1)
-        two, one = model.after_two.take(slot), model.after_one.take(last)
+        two, one = model.after_two.take(slot, mode="clip"), model.after_one.take(last, mode="clip")
         guess_two, guess_one = two.astype(np.uint16), one.astype(np.uint16)  # the lower halves
         sure_two, sure_one = two >> _HALF, one >> _HALF
         pair = (sure_two * np.uint32(2 * (_SURE + 1)) + sure_one * np.uint32(2) + (guess_two == guess_one)).astype(np.int64)
         if told is None:
             value = coder.value(n)
-            is_two = value < model.two.take(pair)
-            missed = np.flatnonzero(value >= model.both.take(pair))
+            is_two = value < model.two.take(pair, mode="clip")
+            missed = np.flatnonzero(value >= model.both.take(pair, mode="clip"))
             token = guess_one.copy()
             np.copyto(token, guess_two, where=is_two)
             pair_missed = pair[missed]
-            both = model.both.take(pair_missed)
-            found = model.found((((value[missed] - both + 1) << _ORDER0) - 1) // ((1 << _TOTAL) - both))
+            both = model.both.take(pair_missed, mode="clip")
+            # exact: both numbers are below 2^53, and a quotient below 2^22 is 2^-28 at least from the next whole number or is one
+            found, rank = model.found(((((value[missed] - both + 1) << _ORDER0) - 1) / ((1 << _TOTAL) - both)).astype(np.int64))
             token[missed] = found
         else:
             token = told[t, :n]
             is_two = guess_two == token
             missed = np.flatnonzero(~(is_two | (guess_one == token)))
             found, pair_missed = token[missed].astype(np.int64), pair[missed]
-            both = model.both.take(pair_missed)
+            both, rank = model.both.take(pair_missed, mode="clip"), model.rank.take(found)
         hit = pair * 2 + is_two
-        start, size = model.start.take(hit), model.size.take(hit)
-        begin, end = model.interval(found)
+        start, size = model.start.take(hit, mode="clip"), model.size.take(hit, mode="clip")
+        begin, end = model.interval(found, rank)
         room = (1 << _TOTAL) - both
         begin = room * begin >> _ORDER0
         start[missed] = both + begin
         size[missed] = (room * end >> _ORDER0) - begin
         coder.narrow(n, start, size)
         hits, misses = np.bincount(hit, minlength=model.start.size).reshape(-1, 2), np.bincount(pair_missed, minlength=model.both.size)
-        model.outcomes += np.stack([hits[:, 1], hits[:, 0] - misses, misses], 1)
+        for k, seen in enumerate((hits[:, 1], hits[:, 0] - misses, misses)):
+            model.outcomes[:, k] += seen
         _followed(model.after_two, slot, two, sure_two, is_two, token)
         _followed(model.after_one, last, one, sure_one, guess_one == token, token)
         model.new.append(found)

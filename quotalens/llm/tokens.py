@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import re
 from functools import lru_cache
-from itertools import chain
 from unicodedata import is_normalized
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Entries of the two memories of a Python worker; when full they serve what they hold and take no more.
 WORDS, PIECES, LONGEST = 800_000, 600_000, 48
@@ -17,6 +19,10 @@ _PIECE = re.compile(rb"[a-z\x80-\xff]+|[^a-z\x80-\xff]+")
 #: Byte-level alphabets write printable Latin-1 bytes as they are and the others as letters from U+0100 on.
 _PLAIN_BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PLAIN_BYTES)}
+#: The alphabet's letter of each byte; the space that parts pieces stays.
+_LETTERS = np.array([32 if b == 32 else _BYTE_LETTERS.get(b, b) for b in range(256)], "<u4")
+#: Pieces that the model is given at once.
+_LOT = 256
 _HARMLESS = bytes(b for b in range(256) if b not in b"\xcc\xcd\xe0\xe1\xe2\xe3\xef\xf0\xf1\xf2\xf3\xf4")
 _WHOLE = re.compile(rb"<\||[\xcc\xcd]|\xe1\xaa|\xe1\xb7|\xe2\x83|\xef\xb8|\xe1\x85|\xe1\x86|\xe1\x87|\xe3\x82\x99|\xe3\x82\x9a|\xe0[\xa4-\xbf]|[\xf0-\xf4]")
 
@@ -38,13 +44,19 @@ class Encoder:
 
     def __init__(self, path: str, words: int = WORDS, pieces: int = PIECES) -> None:
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.most_words, self.most_pieces = words, pieces
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: the file's model alone, for pieces that are normalised and cut already
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = CharDelimiterSplit(" ")
+        #: whether an id ends a piece: the last one of each, and no other, has the suffix
         vocab = self.tokenizer.get_vocab()
-        self.model = self.tokenizer.model
-        self.four = [i.to_bytes(4, "little") for i in range(max(vocab.values()) + 1)]
+        self.closing = np.zeros(max(vocab.values()) + 1, bool)
+        self.closing[[i for token, i in vocab.items() if token.endswith(self.tokenizer.model.end_of_word_suffix)]] = True
         self.words: dict[bytes, bytes] = {}
         self.pieces: dict[bytes, bytes] = {}
 
@@ -56,56 +68,81 @@ class Encoder:
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[bytes], at_once: int = 256) -> list[bytes]:
-        """Ids of each text; texts are UTF-8, and ``at_once`` of them are cut into words at a time."""
-        return [ids for at in range(0, len(texts), at_once) for ids in self._some(texts[at : at + at_once])]
+    def encode(self, texts: list[bytes], at_once: int = 2000, most: int = 4 << 20) -> list[bytes]:
+        """Ids of each text; texts are UTF-8, and at most ``at_once`` of them, of about ``most`` bytes, are cut into words at a time."""
+        out, lot, size = [], [], 0
+        for t in texts:
+            if lot and (len(lot) == at_once or size + len(t) > most):
+                out += self._some(lot)
+                lot, size = [], 0
+            lot.append(t)
+            size += len(t)
+        return out + self._some(lot) if lot else out
 
     def _some(self, texts: list[bytes]) -> list[bytes]:
         whole = [k for k, t in enumerate(texts) if (b"<|" in t or t.translate(None, _HARMLESS)) and _WHOLE.search(t)]
         found = dict(zip(whole, self._plain([texts[k].decode() for k in whole])))
-        cut = [[] if k in found else t.lower().split() for k, t in enumerate(texts)]
-        words = list(chain.from_iterable(cut))
+        # each distinct word of these texts is looked up once; the places of words are numbers
+        cut = pc.ascii_split_whitespace(pa.array([b"" if k in found else t.lower() for k, t in enumerate(texts)], pa.binary()).cast(pa.string()))
+        coded = cut.values.dictionary_encode()
+        words = _slices(coded.dictionary)
         ids = list(map(self.words.get, words))
-        # only words that the memory lacks are looked at one by one
         missed = [k for k, x in enumerate(ids) if x is None]
         if missed:
-            made = self._new_words({words[k] for k in missed})
-            for k in missed:
-                ids[k] = made[words[k]]
+            made = self._new_words([words[k] for k in missed])
+            for k, x in zip(missed, made):
+                ids[k] = x
             room = self.most_words - len(self.words)
             if room > 0:
-                self.words.update((w, made[w]) for w in list(made)[:room] if len(w) <= LONGEST)
-        at, out = 0, []
-        for k, own in enumerate(cut):
-            out.append(found[k] if k in found else b"".join(ids[at : at + len(own)]))
-            at += len(own)
-        return out
-
-    def _new_words(self, words: set[bytes]) -> dict[bytes, bytes]:
+                self.words.update((words[k], x) for k, x in list(zip(missed, made))[:room] if len(words[k]) <= LONGEST)
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids)) >> 2
+        place = coded.indices.to_numpy()
+        counts = sizes.take(place)
+        ends = np.zeros(len(counts) + 1, np.int32)  # a text has fewer ids than the 2^31 bytes that it may have
+        np.cumsum(counts, out=ends[1:])
+        # from an id's place in the texts to that in the distinct words
+        moved = np.repeat((np.cumsum(sizes, dtype=np.int32) - sizes).take(place) - ends[:-1], counts)
+        moved += np.arange(ends[-1], dtype=np.int32)
+        ids = np.frombuffer(b"".join(ids), "<u4").take(moved).tobytes()
+        at = (ends.take(cut.offsets.to_numpy()).astype(np.int64) << 2).tolist()
+        return [found[k] if k in found else ids[a:b] for k, (a, b) in enumerate(zip(at, at[1:]))]
+
+    def _new_words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words, which differ from each other."""
         quoted = [w for w in words if b"'" in w]
         made = dict(zip(quoted, self._plain([w.decode() for w in quoted])))
-        if quoted:
-            words = words.difference(quoted)
+        cut = [() if w in made else (w,) if w.isalpha() else _PIECE.findall(w) for w in words]
+        new = self._new_pieces(list({p for c in cut for p in c if p not in self.pieces}))
+        room = self.most_pieces - len(self.pieces)
+        if room > 0:
+            self.pieces.update((p, x) for p, x in list(new.items())[:room] if len(p) <= LONGEST)
         known = self.pieces
-        for w in words:
-            ids = b""
-            for p in _PIECE.findall(w):
-                ids += known[p] if p in known else self._new_piece(p)
-            made[w] = ids
-        return made
+        return [made[w] if w in made else b"".join([new[p] if p in new else known[p] for p in c]) for w, c in zip(words, cut)]
 
-    def _new_piece(self, piece: bytes) -> bytes:
+    def _new_pieces(self, pieces: list[bytes]) -> dict[bytes, bytes]:
         """Letters that the normaliser leaves as they are go to the model itself, whose alphabet writes a byte as a letter."""
-        letters = piece.decode()
-        if piece.islower() and piece.isascii() and piece.isalpha():
-            ids = b"".join([self.four[t.id] for t in self.model.tokenize(letters)])
-        elif letters.isalpha() and letters == letters.lower() and is_normalized("NFC", letters):
-            ids = b"".join([self.four[t.id] for t in self.model.tokenize(piece.decode("latin-1").translate(_BYTE_LETTERS))])
-        else:
-            ids = self._plain([letters])[0]
-        if len(self.pieces) < self.most_pieces and len(piece) <= LONGEST:
-            self.pieces[piece] = ids
-        return ids
+        bare, other = [], []
+        for p in pieces:
+            if p.isalpha():
+                bare.append(p)
+            else:
+                letters = p.decode()
+                (bare if letters.isalpha() and letters == letters.lower() and is_normalized("NFC", letters) else other).append(p)
+        made = dict(zip(other, self._plain([p.decode() for p in other])))
+        lots = [bare[at : at + _LOT] for at in range(0, len(bare), _LOT)]
+        texts = [_LETTERS.take(np.frombuffer(b" ".join(lot), np.uint8)).tobytes().decode("utf-32-le") for lot in lots]
+        for lot, e in zip(lots, self.bare.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            ends = (4 * np.flatnonzero(self.closing.take(ids)) + 4).tolist()
+            ids = ids.tobytes()
+            made.update(zip(lot, [ids[a:b] for a, b in zip([0, *ends], ends)], strict=True))
+        return made
+
+
+def _slices(values: pa.StringArray) -> list[bytes]:
+    at = np.frombuffer(values.buffers()[1], np.int32, len(values) + 1, 4 * values.offset).tolist()
+    data = values.buffers()[2].to_pybytes() if at[-1] else b""
+    return [data[a:b] for a, b in zip(at, at[1:])]
 
 
 @lru_cache(maxsize=2)

@@ -403,6 +403,39 @@ def test_encoder_equals_the_tokenizer(docs):
     assert [np.frombuffer(x, "<u4").tolist() for x in own.encode([t.encode() for t in every])] == [encode(t) for t in every]
 
 
+def test_encoder_looks_up_a_word_once_and_gives_the_model_many():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *key):
+            self.asked += 1
+            return super().get(*key)
+
+    class Recorded:
+        def __init__(self, own):
+            self.own, self.calls = own, []
+
+        def encode_batch_fast(self, texts, **options):
+            self.calls.append(sum(len(t.split()) for t in texts))
+            return self.own.encode_batch_fast(texts, **options)
+
+    own = tokens.Encoder(tokens.tokenizer_path())
+    own.words, own.bare = Counted(), Recorded(own.bare)
+    words = [f"{a}{b}é{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrs"]
+    text = " ".join(words * 40)
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode([text.encode()] * 3)] == [encode(text)] * 3
+    assert own.words.asked == len(words) and own.bare.calls == [len(words)]
+
+
+def test_encoder_cuts_lots_without_loss():
+    own = tokens.Encoder(tokens.tokenizer_path())
+    every = [" ", "", "a\tb \n", " It's <|endoftext|> 12!!", "e\u0301 x", "word, " * 30, "\x01 b\x0bc", "Ünï-çødé 7x"] * 3
+    for at_once, most in ((1, 1), (5, 40), (2000, 1 << 22)):
+        got = own.encode([t.encode() for t in every], at_once, most)
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [encode(t) for t in every]
+    assert own.encode([]) == []
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
