@@ -1,4 +1,4 @@
-"""Token ids of whole texts, with a per-process memory of words that recur."""
+"""Token ids of whole texts, with a per-process memory of pieces that recur."""
 
 from __future__ import annotations
 
@@ -11,9 +11,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Entries of the two memories of a Python worker; when full they serve what they hold and take no more.
+#: Their sum is what the memories of a Python worker hold at most; when full they serve what they hold and take no more.
 WORDS, PIECES, LONGEST = 800_000, 600_000, 48
-_PIECE = re.compile(rb"[a-z\x80-\xff]+|[^a-z\x80-\xff]+")
+#: Of a lower-cased text's bytes: white space, letters (and what may be one), others.
+_CLASSES = bytes(0 if b in b" \t\n\v\f\r" else 1 if 97 <= b <= 122 or b >= 128 else 2 for b in range(256))
 # a text with one of these is encoded in one go: an added token, or a mark that could join the letter before it;
 # only texts with a byte that can begin one are searched
 #: Byte-level alphabets write printable Latin-1 bytes as they are and the others as letters from U+0100 on.
@@ -37,9 +38,8 @@ class Encoder:
     """Ids as little-endian unsigned 32-bit bytes, equal to ``encode(text, add_special_tokens=False).ids``.
 
     The tokenizer drops white space and encodes runs of letters, single digits and runs of other characters each on
-    their own, so a text is cut at white space and each word's ids are remembered; a new word is cut into letter and
-    other runs whose ids are remembered too. Words with an apostrophe (contractions) and texts with added tokens or
-    combining marks are not cut that way.
+    their own, so texts are cut into runs of white space, of letters and of others, whose ids are remembered. Words with
+    an apostrophe (contractions) are kept whole, texts with added tokens or combining marks are not cut at all.
     """
 
     def __init__(self, path: str, words: int = WORDS, pieces: int = PIECES) -> None:
@@ -47,8 +47,7 @@ class Encoder:
         from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        self.most_words, self.most_pieces = words, pieces
-
+        self.most = words + pieces
         self.tokenizer = Tokenizer.from_file(path)
         #: the file's model alone, for pieces that are normalised and cut already
         self.bare = Tokenizer(self.tokenizer.model)
@@ -69,7 +68,7 @@ class Encoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[bytes], at_once: int = 2000, most: int = 4 << 20) -> list[bytes]:
-        """Ids of each text; texts are UTF-8, and at most ``at_once`` of them, of about ``most`` bytes, are cut into words at a time."""
+        """Ids of each text; texts are UTF-8, and at most ``at_once`` of them, of about ``most`` bytes, are cut into pieces at a time."""
         out, lot, size = [], [], 0
         for t in texts:
             if lot and (len(lot) == at_once or size + len(t) > most):
@@ -82,42 +81,38 @@ class Encoder:
     def _some(self, texts: list[bytes]) -> list[bytes]:
         whole = [k for k, t in enumerate(texts) if (b"<|" in t or t.translate(None, _HARMLESS)) and _WHOLE.search(t)]
         found = dict(zip(whole, self._plain([texts[k].decode() for k in whole])))
-        # each distinct word of these texts is looked up once; the places of words are numbers
-        cut = pc.ascii_split_whitespace(pa.array([b"" if k in found else t.lower() for k, t in enumerate(texts)], pa.binary()).cast(pa.string()))
-        coded = cut.values.dictionary_encode()
-        words = _slices(coded.dictionary)
-        ids = list(map(self.words.get, words))
-        missed = [k for k, x in enumerate(ids) if x is None]
-        if missed:
-            made = self._new_words([words[k] for k in missed])
-            for k, x in zip(missed, made):
-                ids[k] = x
-            room = self.most_words - len(self.words)
-            if room > 0:
-                self.words.update((words[k], x) for k, x in list(zip(missed, made))[:room] if len(words[k]) <= LONGEST)
+        texts = [b"" if k in found else t for k, t in enumerate(texts)]
+        data = b"\n".join(texts).lower()
+        starts = _run_starts(data)
+        # each distinct run of these texts is looked up once; the places of runs are numbers
+        offsets = np.append(starts, np.int32(len(data)))
+        coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        ids = self._ids(_slices(coded.dictionary))
         sizes = np.fromiter(map(len, ids), np.int32, len(ids)) >> 2
         place = coded.indices.to_numpy()
         counts = sizes.take(place)
         ends = np.zeros(len(counts) + 1, np.int32)  # a text has fewer ids than the 2^31 bytes that it may have
         np.cumsum(counts, out=ends[1:])
-        # from an id's place in the texts to that in the distinct words
+        # from an id's place in the texts to that in the distinct runs
         moved = np.repeat((np.cumsum(sizes, dtype=np.int32) - sizes).take(place) - ends[:-1], counts)
         moved += np.arange(ends[-1], dtype=np.int32)
         ids = np.frombuffer(b"".join(ids), "<u4").take(moved).tobytes()
-        at = (ends.take(cut.offsets.to_numpy()).astype(np.int64) << 2).tolist()
+        upto = np.cumsum([len(t) + 1 for t in texts]) - 1
+        at = [0, *(ends.take(np.searchsorted(starts, upto)).astype(np.int64) << 2).tolist()]
         return [found[k] if k in found else ids[a:b] for k, (a, b) in enumerate(zip(at, at[1:]))]
 
-    def _new_words(self, words: list[bytes]) -> list[bytes]:
-        """Ids of words, which differ from each other."""
-        quoted = [w for w in words if b"'" in w]
-        made = dict(zip(quoted, self._plain([w.decode() for w in quoted])))
-        cut = [() if w in made else (w,) if w.isalpha() else _PIECE.findall(w) for w in words]
-        new = self._new_pieces(list({p for c in cut for p in c if p not in self.pieces}))
-        room = self.most_pieces - len(self.pieces)
-        if room > 0:
-            self.pieces.update((p, x) for p, x in list(new.items())[:room] if len(p) <= LONGEST)
-        known = self.pieces
-        return [made[w] if w in made else b"".join([new[p] if p in new else known[p] for p in c]) for w, c in zip(words, cut)]
+    def _ids(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of pieces, which differ from each other; those with an apostrophe are whole words."""
+        ids = list(map(self.pieces.get, pieces))
+        missed = [k for k, x in enumerate(ids) if x is None]
+        made = self._new_pieces([pieces[k] for k in missed if pieces[k] not in self.words])
+        for k in missed:
+            ids[k] = made[pieces[k]] if pieces[k] in made else self.words[pieces[k]]
+        room = max(0, self.most - len(self.pieces) - len(self.words))
+        for p, x in list(made.items())[:room]:
+            if len(p) <= LONGEST:
+                (self.words if b"'" in p else self.pieces)[p] = x
+        return ids
 
     def _new_pieces(self, pieces: list[bytes]) -> dict[bytes, bytes]:
         """Letters that the normaliser leaves as they are go to the model itself, whose alphabet writes a byte as a letter."""
@@ -139,6 +134,23 @@ class Encoder:
         return made
 
 
+def _run_starts(data: bytes) -> np.ndarray:
+    """Where runs of bytes of a class begin; a word with an apostrophe is one run."""
+    kinds = np.frombuffer(data.translate(_CLASSES), np.uint8)
+    starts = np.concatenate([[0], np.flatnonzero(kinds[1:] != kinds[:-1]) + 1]).astype(np.int32)
+    if b"'" not in data:
+        return starts
+    space = kinds.take(starts) == 0
+    word = np.cumsum(space)
+    quoted = np.zeros(word[-1] + 1, bool)
+    marks = np.flatnonzero(np.frombuffer(data, np.uint8) == ord("'"))
+    quoted[word[np.searchsorted(starts, marks, side="right") - 1]] = True
+    inner = quoted.take(word) & ~space
+    inner[1:] &= ~space[:-1]
+    inner[0] = False
+    return starts[~inner]
+
+
 def _slices(values: pa.StringArray) -> list[bytes]:
     at = np.frombuffer(values.buffers()[1], np.int32, len(values) + 1, 4 * values.offset).tolist()
     data = values.buffers()[2].to_pybytes() if at[-1] else b""

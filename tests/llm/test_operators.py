@@ -403,7 +403,7 @@ def test_encoder_equals_the_tokenizer(docs):
     assert [np.frombuffer(x, "<u4").tolist() for x in own.encode([t.encode() for t in every])] == [encode(t) for t in every]
 
 
-def test_encoder_looks_up_a_word_once_and_gives_the_model_many():
+def test_encoder_looks_up_a_piece_once_and_gives_the_model_many():
     class Counted(dict):
         asked = 0
 
@@ -420,16 +420,16 @@ def test_encoder_looks_up_a_word_once_and_gives_the_model_many():
             return self.own.encode_batch_fast(texts, **options)
 
     own = tokens.Encoder(tokens.tokenizer_path())
-    own.words, own.bare = Counted(), Recorded(own.bare)
+    own.pieces, own.bare = Counted(), Recorded(own.bare)
     words = [f"{a}{b}é{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrs"]
     text = " ".join(words * 40)
     assert [np.frombuffer(x, "<u4").tolist() for x in own.encode([text.encode()] * 3)] == [encode(text)] * 3
-    assert own.words.asked == len(words) and own.bare.calls == [len(words)]
+    assert own.pieces.asked == len(words) + 2 and own.bare.calls == [len(words)]  # and a space and a line's end
 
 
 def test_encoder_cuts_lots_without_loss():
     own = tokens.Encoder(tokens.tokenizer_path())
-    every = [" ", "", "a\tb \n", " It's <|endoftext|> 12!!", "e\u0301 x", "word, " * 30, "\x01 b\x0bc", "Ünï-çødé 7x"] * 3
+    every = [" ", "", "a\tb \n", " It's <|endoftext|> 12!!", "e\u0301 x", "word, " * 30, "\x01 b\x0bc", "Ünï-çødé 7x", "'s a!'t 3'll x'", "o'o'o 'tx?'d"] * 3
     for at_once, most in ((1, 1), (5, 40), (2000, 1 << 22)):
         got = own.encode([t.encode() for t in every], at_once, most)
         assert [np.frombuffer(x, "<u4").tolist() for x in got] == [encode(t) for t in every]
