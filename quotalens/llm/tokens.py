@@ -20,6 +20,9 @@ _CLASSES = bytes(0 if b in b" \t\n\v\f\r" else 1 if 97 <= b <= 122 or b >= 128 e
 #: Byte-level alphabets write printable Latin-1 bytes as they are and the others as letters from U+0100 on.
 _PLAIN_BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PLAIN_BYTES)}
+#: An apostrophe, or the first byte of a character beyond Latin letters (U+00C0 to U+02BF but the signs of times and division and the dotted capital i), which may be
+#: punctuation that goes with ASCII punctuation, or white space.
+_MARK = re.compile(rb"['\xc2\xcb-\xff]|\xc3[\x97\xb7]|\xc4\xb0")
 #: The alphabet's letter of each byte; the space that parts pieces stays.
 _LETTERS = np.array([32 if b == 32 else _BYTE_LETTERS.get(b, b) for b in range(256)], "<u4")
 #: Pieces that the model is given at once.
@@ -39,7 +42,7 @@ class Encoder:
 
     The tokenizer drops white space and encodes runs of letters, single digits and runs of other characters each on
     their own, so texts are cut into runs of white space, of letters and of others, whose ids are remembered. Words with
-    an apostrophe (contractions) are kept whole, texts with added tokens or combining marks are not cut at all.
+    an apostrophe (contractions) or with characters beyond Latin letters are kept whole, texts with added tokens or combining marks are not cut at all.
     """
 
     def __init__(self, path: str, words: int = WORDS, pieces: int = PIECES) -> None:
@@ -135,15 +138,15 @@ class Encoder:
 
 
 def _run_starts(data: bytes) -> np.ndarray:
-    """Where runs of bytes of a class begin; a word with an apostrophe is one run."""
+    """Where runs of bytes of a class begin; a word with a mark that could join its neighbours is one run."""
     kinds = np.frombuffer(data.translate(_CLASSES), np.uint8)
     starts = np.concatenate([[0], np.flatnonzero(kinds[1:] != kinds[:-1]) + 1]).astype(np.int32)
-    if b"'" not in data:
+    marks = [m.start() for m in _MARK.finditer(data)]
+    if not marks:
         return starts
     space = kinds.take(starts) == 0
     word = np.cumsum(space)
     quoted = np.zeros(word[-1] + 1, bool)
-    marks = np.flatnonzero(np.frombuffer(data, np.uint8) == ord("'"))
     quoted[word[np.searchsorted(starts, marks, side="right") - 1]] = True
     inner = quoted.take(word) & ~space
     inner[1:] &= ~space[:-1]

@@ -429,7 +429,7 @@ def test_encoder_looks_up_a_piece_once_and_gives_the_model_many():
 
 def test_encoder_cuts_lots_without_loss():
     own = tokens.Encoder(tokens.tokenizer_path())
-    every = [" ", "", "a\tb \n", " It's <|endoftext|> 12!!", "e\u0301 x", "word, " * 30, "\x01 b\x0bc", "Ünï-çødé 7x", "'s a!'t 3'll x'", "o'o'o 'tx?'d"] * 3
+    every = [" ", "", "a\tb \n", " It's <|endoftext|> 12!!", "e\u0301 x", "word, " * 30, "\x01 b\x0bc", "Ünï-çødé 7x", "'s a!'t 3'll x'", "o'o'o 'tx?'d", "he said “so”. ’< a×! b÷= «x», İ! tİ?"] * 3
     for at_once, most in ((1, 1), (5, 40), (2000, 1 << 22)):
         got = own.encode([t.encode() for t in every], at_once, most)
         assert [np.frombuffer(x, "<u4").tolist() for x in got] == [encode(t) for t in every]
