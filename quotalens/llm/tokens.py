@@ -22,7 +22,8 @@ _PLAIN_BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PLAIN_BYTES)}
 #: An apostrophe, or the first byte of a character beyond Latin letters (U+00C0 to U+02BF but the signs of times and division and the dotted capital i), which may be
 #: punctuation that goes with ASCII punctuation, or white space.
-_MARK = re.compile(rb"['\xc2\xcb-\xff]|\xc3[\x97\xb7]|\xc4\xb0")
+_MARKS = bytes(b == ord("'") or b == 0xC2 or b >= 0xCB for b in range(256))
+_PAIRS = (b"\xc3\x97", b"\xc3\xb7", b"\xc4\xb0")
 #: The alphabet's letter of each byte; the space that parts pieces stays.
 _LETTERS = np.array([32 if b == 32 else _BYTE_LETTERS.get(b, b) for b in range(256)], "<u4")
 #: Pieces that the model is given at once.
@@ -141,9 +142,11 @@ def _run_starts(data: bytes) -> np.ndarray:
     """Where runs of bytes of a class begin; a word with a mark that could join its neighbours is one run."""
     kinds = np.frombuffer(data.translate(_CLASSES), np.uint8)
     starts = np.concatenate([[0], np.flatnonzero(kinds[1:] != kinds[:-1]) + 1]).astype(np.int32)
-    marks = [m.start() for m in _MARK.finditer(data)]
-    if not marks:
+    marks = np.flatnonzero(np.frombuffer(data.translate(_MARKS), bool))
+    pairs = [m.start() for p in _PAIRS if p in data for m in re.finditer(p, data)]
+    if not len(marks) and not pairs:
         return starts
+    marks = np.concatenate([marks, pairs]).astype(np.int64)
     space = kinds.take(starts) == 0
     word = np.cumsum(space)
     quoted = np.zeros(word[-1] + 1, bool)
